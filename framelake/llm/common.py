@@ -1,14 +1,22 @@
-"""Helpers shared by the training-data operators: shared-storage stages and small text utilities."""
+"""Helpers shared by the training-data operators: shared-storage stages, Arrow text access, learning folds."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Python tasks work through an Arrow batch in slices of about this many bytes of text.
+SLICE_BYTES = 4 << 20
+#: Lower-cases A-Z and nothing else, on UTF-8 bytes.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one when it is unset (tests)."""
@@ -29,15 +37,6 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stage(stage: DataFrame) -> None:
-    """Delete the files of a stage that nothing will read again."""
-    spark = stage.sparkSession
-    jvm = spark._jvm
-    for name in stage.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_column(name: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -51,3 +50,32 @@ def fold_of(doc_id: Column, folds: int = 4) -> Column:
 def fold_in_python(doc_id: object, folds: int = 4) -> int:
     """``fold_of`` for one value, for tests."""
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, end to end, and the n + 1 offsets into them; nothing is copied."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind, (_, where, data) = (np.int64 if wide else np.int32), column.buffers()
+    offsets = np.frombuffer(where, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` has about ``limit`` bytes in each; a longer text stands alone, whole."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = utf8(batch.column(column))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+            yield batch.slice(start, min(stop, batch.num_rows) - start)
+            start = stop
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """The texts of a batch as UTF-8 bytes."""
+    data, offsets = utf8(batch.column(column))
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
