@@ -10,6 +10,7 @@ MODULES = {
     "op3_chat_perspectives": "chat",
     "op5_secrets": "secrets",
     "op9_decontamination": "decontaminate",
+    "op10_repeats": "repeats",
 }
 
 
