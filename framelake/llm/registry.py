@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import importlib
+from . import ann, chat, decontaminate, langid, packing, quality, repeats, secrets, simhash, toxicity
 
 MODULES = {
-    "op1_packing": "packing",
-    "op2_simhash": "simhash",
-    "op3_chat_perspectives": "chat",
-    "op5_secrets": "secrets",
-    "op9_decontamination": "decontaminate",
-    "op10_repeats": "repeats",
+    "op1_packing": packing,
+    "op2_simhash": simhash,
+    "op3_chat_perspectives": chat,
+    "op4_toxicity": toxicity,
+    "op5_secrets": secrets,
+    "op6_quality": quality,
+    "op7_language_id": langid,
+    "op8_ann": ann,
+    "op9_decontamination": decontaminate,
+    "op10_repeats": repeats,
 }
 
 
 def queries() -> dict:
     """Query functions (spark, sf_dir) by name."""
-    return {name: importlib.import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
+    return {name: module.query for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name, for the operators that SQL can express."""
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: module.ORACLE for name, module in MODULES.items() if hasattr(module, "ORACLE")}
