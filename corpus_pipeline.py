@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, on five-word shingles."""
-    return simhash.deduplicate(docs, words=5)
+    """One document of each group of SimHash near-duplicates, by the shingles and bits of the operator's contract."""
+    return simhash.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
