@@ -1,7 +1,6 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-The coarse centroids and the residual codebooks are fitted on at most ``SAMPLE`` vectors (those with the smallest hash
-of their id).  Every vector is then indexed: its nearest centroid, and one byte for each group of dimensions of its
+The coarse centroids and the residual codebooks are fitted on at most about ``SAMPLE`` vectors (a seeded sample).  Every vector is then indexed: its nearest centroid, and one byte for each group of dimensions of its
 residual.  Queries are compared with the ``PROBES`` share of cells nearest to them by asymmetric distances - a query's
 table of products with every codeword, so nothing but the vectors is quantised - and the best of each part of the index
 are reranked with exact distances in double precision.  The share is high because embeddings without clusters, whose
@@ -169,7 +168,9 @@ def search(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col
     """The k nearest of every row that the SQL condition ``is_query`` (on ``vec_id``) names: ``query_id``, ``rank``, ``vec_id``, ``score``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
+    n = rows.count()
+    sample = rows if n <= SAMPLE else rows.where(F.rand(7) < 0.95 * SAMPLE / n)
+    sample = sample.select("vector").toArrow().column("vector").combine_chunks()
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import bounded_sample, fold_of
 
 HELD_OUT = 2
 
@@ -48,12 +48,12 @@ def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``bound`` labelled rows outside the held-out fold (smallest id hashes): ``docs`` with ``__y``.
+    """At most ``bound`` labelled rows outside the held-out fold (by their id hashes): ``docs`` with ``__y``.
 
     Labels of one id that disagree count by their largest; the sampled labels are few, so they are sent to all tasks.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col)) != HELD_OUT))
     ids = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y")).join(ids, "__id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(bound)
+    chosen = bounded_sample(chosen, bound, "__id")
     return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).drop("__id")

@@ -6,8 +6,7 @@ each labels the unlabelled rows it is most sure of, and these pseudo-labels join
 are then calibrated on labelled rows that neither learned from, and a logistic combination of the calibrated log-odds
 scores every document.
 
-Learning reads at most ``SAMPLE`` labelled rows outside the held-out fold and as many unlabelled rows (smallest id
-hashes); scoring reads every text whole, in the task that reads it.
+Learning reads at most ``SAMPLE`` labelled rows outside the held-out fold and as many unlabelled rows (by their id hashes); scoring reads every text whole, in the task that reads it.
 
 Nulls and edge cases: a null text is empty, a null source or language is a value of its own, a null length is 0; null
 labels and ids are not learned from; without any label every score is 0.5, which is kept; repeated rows are scored
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, slices, text_column, texts_of
+from .common import bounded_sample, fold_of, slices, text_column, texts_of
 from .learners import HELD_OUT, fit_dense, labelled_sample, sigmoid
 
 SAMPLE, ROUNDS, CONFIDENT, A_ROUND = 12_000, 3, 0.97, 400
@@ -166,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"))
     a, b, y = sampled_views(labelled_sample(rows, own, "label", bound))
     known = own.where("doc_id is not null").select("doc_id").distinct()
-    free = rows.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    unlabelled = rows.join(F.broadcast(free), "doc_id").withColumn("__y", F.lit(0))
+    free = rows.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct()
+    unlabelled = rows.join(F.broadcast(bounded_sample(free, bound, "doc_id")), "doc_id").withColumn("__y", F.lit(0))
     free_a, free_b, _ = sampled_views(unlabelled)
     return CoTrained().learn((a, b), y, (free_a, free_b))
 

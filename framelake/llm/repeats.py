@@ -325,7 +325,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -
     """Byte ranges of ``rows`` (from ``row_keys``) covered by repeats: ``r_id``, ``r_own``, ``start``, ``stop``."""
     table = write_stage(item_table(rows, length), "items")
     often = table.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("times > 1")
-    often = write_stage(table.join(often.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "repeated")
+    # Counts are written before the join, so that both of its sides are plain exchanges and a hot anchor can be split.
+    often = write_stage(often.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "counted")
+    often = write_stage(table.join(often, "anchor"), "repeated")
     mixed = often.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "own", "lo", "n")).alias("first"))
     mixed = write_stage(mixed, "distinct")
     large = mixed.groupBy("anchor").agg(F.count("*").alias("size")).select("anchor", (F.col("size") > group).alias("large"))

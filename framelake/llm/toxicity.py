@@ -6,7 +6,7 @@ loss is the logistic one plus, for every training row that names a group, the sq
 identity terms are swapped for others of their group: a term that only happens to stand beside insults cannot keep
 weight, so neutral mentions are not flagged.
 
-Learning reads at most ``SAMPLE`` labelled rows (those with the smallest id hash) outside the held-out fold; scoring
+Learning reads at most ``SAMPLE`` labelled rows (chosen by id hash) outside the held-out fold; scoring
 reads every text whole, in the task that reads it.  Labels, language, source and id are no inputs of a score.
 
 Nulls and edge cases: a null text is empty and gets the score of a text without features; null labels and null ids
@@ -30,7 +30,9 @@ from .decontaminate import NORMAL
 from .learners import HELD_OUT, Adam, labelled_sample, sigmoid
 
 SAMPLE, FEATURES, LEAST_DOCUMENTS = 12_000, 2048, 3
-PREFIXES = (5, 6, 7, 8)
+PREFIXES = (3, 4, 5, 6, 7)
+#: Features whose log-odds are this many standard errors from zero can have weight.
+LEAST_Z = 2.8
 THRESHOLD = 0.3
 # Groups of identity terms that stand in for each other.
 IDENTITY = (
@@ -107,7 +109,7 @@ def chosen_features(sample: DataFrame, positives: int, negatives: int, n: int =
     t, o = F.col("toxic") + 0.5, F.col("other") + 0.5
     odds = F.log(t / (positives - F.col("toxic") + 0.5)) - F.log(o / (negatives - F.col("other") + 0.5))
     scored = count_features(sample).where(F.col("toxic") + F.col("other") >= LEAST_DOCUMENTS)
-    scored = scored.withColumn("z", F.abs(odds) / F.sqrt(1 / t + 1 / o)).orderBy(F.desc("z"), "feature").limit(n)
+    scored = scored.withColumn("z", F.abs(odds) / F.sqrt(1 / t + 1 / o)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(n)
     return [bytes(r.feature) for r in scored.select("feature").collect()]
 
 
@@ -131,7 +133,7 @@ def design(sample: DataFrame, names: list[bytes], identity: Sequence[Sequence[st
     return (table.column("y").to_numpy() > 0).astype(np.float64), lists[0], lists[1]
 
 
-def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None], size: int, fairness: float = 2.0, l2: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, own: list[np.ndarray], other: list[np.ndarray | None], size: int, fairness: float = 2.0, l2: float = 5e-5, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Weights and constant that minimise the regularised loss."""
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     """A scorer learned from a bounded sample of the labelled rows outside the held-out fold."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text"))
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"))
-    sample = write_stage(labelled_sample(texts, own, "label", bound).select("text", "__y"), "labelled")
+    # Copies of a text count once: a large group of copies would pass its own words off as evidence.
+    sample = labelled_sample(texts, own, "label", bound).withColumn("h", F.xxhash64("text"))
+    sample = write_stage(sample.groupBy("h").agg(F.first("text").alias("text"), F.max("__y").alias("__y")).drop("h"), "labelled")
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("__y") > 0).cast("long")), F.lit(0)).alias("t")).first()
     if not size.n:
         return Scorer({}, -60.0)
