@@ -26,7 +26,7 @@ traces AS (SELECT roi_id, frame, avg(v) FILTER (kind = 'body') AS raw, avg(v) FI
 TRACE = """trace AS (SELECT user_id AS roi_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value AS f, event_type FROM events)"""
 BINS = MOVIE + """, bins AS (SELECT movie, frame_in_movie // 8 AS bin, px, sum(v) AS v FROM movie GROUP BY ALL HAVING count(*) = 8)"""
 COV = BINS + """, offs AS (SELECT k AS dcol, o AS drow FROM range(0, 3) a(k), range(-2, 3) b(o) WHERE k > 0 OR o >= 0),
-pairs AS (SELECT DISTINCT px AS px_i, px + drow + 8 * dcol AS px_j FROM (SELECT DISTINCT px FROM movie), offs
+pairs AS (SELECT DISTINCT px AS px_i, CAST(px + drow + 8 * dcol AS INTEGER) AS px_j FROM (SELECT DISTINCT px FROM movie), offs
   WHERE px % 8 + drow BETWEEN 0 AND 7 AND px // 8 + dcol <= 7),
 cov AS (SELECT px_i, px_j, avg(c) AS cov FROM (SELECT a.movie, px_i, px_j, covar_pop(a.v, b.v) AS c FROM pairs
   JOIN bins a ON a.px = px_i JOIN bins b ON b.px = px_j AND b.movie = a.movie AND b.bin = a.bin GROUP BY ALL) GROUP BY ALL),
