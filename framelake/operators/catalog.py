@@ -79,3 +79,35 @@ def valid_identifier(name: Column) -> Column:
     """A name with everything but letters, digits and ``_`` replaced, never starting with a digit."""
     clean = F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
     return F.when(clean.rlike("^[A-Za-z]"), clean).otherwise(F.concat(F.lit("x"), clean))
+
+
+def session_counts(files: DataFrame, group: str, unit: int = 10) -> DataFrame:
+    """Files of each session, and ``odd`` where they are no multiple of ``unit``."""
+    return files.groupBy(group).agg(F.count("*").alias("n")).withColumn("odd", F.col("n") % unit != 0)
+
+
+#: Where each generation of scanner header keeps (stack switch, slices, flyback, channels, frame period), newest first.
+SCANNER_FIELDS = [
+    ("hFastZ.enable", "hFastZ.numFramesPerVolume", "hFastZ.discardFlybackFrames", "hChannels.channelSave", "hRoiManager.scanFramePeriod"),
+    ("SI4.fastZEnable", "SI4.stackNumSlices", "SI4.fastZDiscardFlybackFrames", "SI4.channelsSave", "SI4.scanFramePeriod"),
+    ("SI.hFastZ.enable", "SI.hFastZ.numFramesPerVolume", "SI.hFastZ.discardFlybackFrames", "SI.hChannels.channelSave", "SI.hRoiManager.scanFramePeriod"),
+    ("SI5.fastZEnable", "SI5.stackNumSlices", "SI5.fastZDiscardFlybackFrames", "SI5.channelsSave", "SI5.scanFramePeriod"),
+    ("", "", "", "acq.numberOfChannelsSave", ""),
+]
+
+
+def scanner_layout(meta: DataFrame, period: float | None = None) -> DataFrame:
+    """``stack``, ``channels``, ``slices`` (without flyback), ``flyback`` and ``period`` from headers of any generation.
+
+    ``meta`` has a map ``fields`` from header names to numbers, channels as their count.  ``period`` stands in for a frame
+    period that the header lacks; a header of no known generation fails the row.
+    """
+    pick = [[F.try_element_at("fields", F.lit(name)) for name in names] for names in SCANNER_FIELDS]
+    stack = F.coalesce(*[p[0] for p in pick], F.lit(0.0)) > 0
+    channels = F.coalesce(*[p[3] for p in pick], F.raise_error(F.lit("unknown scanner header")).cast("double"))
+    slices, flyback = F.coalesce(*[p[1] for p in pick], F.lit(1.0)), F.when(stack, F.coalesce(*[p[2] for p in pick], F.lit(0.0))).otherwise(0.0)
+    per_volume = F.coalesce(pick[0][1], pick[2][1]).isNotNull()  # these headers count flyback frames as slices
+    kept = F.when(stack & per_volume, slices - flyback).when(per_volume, 1.0).otherwise(slices)
+    rest = [c for c in meta.columns if c != "fields"]
+    seconds = F.coalesce(*[p[4] for p in pick], F.lit(period).cast("double"))
+    return meta.select(*rest, stack.alias("stack"), channels.cast("int").alias("channels"), kept.cast("int").alias("slices"), flyback.cast("int").alias("flyback"), seconds.alias("period"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.functions.compat import argmax, nan_to_null, pearson
+from framelake.functions.compat import argmax, nan_to_null, non_negative, pearson
 
 
 def mean_image(movie: DataFrame) -> DataFrame:
@@ -216,3 +216,46 @@ def sync_info(counts: DataFrame) -> DataFrame:
     """Per block the valid frames: the least over slices, times slices + 1 when there are several."""
     k = F.count("*")
     return counts.groupBy("block").agg((F.min("n_frames") * F.when(k > 1, k + 1).otherwise(1)).alias("valid_frames"))
+
+
+def display_intensity(v: Column, how: str = "sqrt") -> Column:
+    """Intensity for registration or display: negatives and missing values as 0, then ``sqrt`` or the ``gamma`` of 1/4."""
+    clean = non_negative(v)
+    return F.sqrt(clean) if how == "sqrt" else F.pow(clean, F.lit(0.25))
+
+
+def unit_scale(image: DataFrame, column: str) -> DataFrame:
+    """An image (``px``, value) from its least to its greatest value onto 0 to 1; null for a constant image."""
+    ends = image.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    scaled = F.try_divide(F.col(column) - F.col("low"), F.col("high") - F.col("low"))
+    return image.crossJoin(F.broadcast(ends)).withColumn(column, scaled).drop("low", "high")  # one row of ends
+
+
+def overview(anatomy: DataFrame, activity: DataFrame) -> DataFrame:
+    """Colour composite (``px``, ``red``, ``green``, ``blue``): red has 0.7 anatomy and 0.3 activity, the others anatomy."""
+    joined = anatomy.select("px", F.col("v").alias("a")).join(activity.select("px", F.col("v").alias("b")), "px")
+    return joined.select("px", (0.7 * F.col("a") + 0.3 * F.col("b")).alias("red"), F.col("a").alias("green"), F.col("a").alias("blue"))
+
+
+def stimulus_frames(stimuli: DataFrame, blocks: DataFrame, target: int) -> DataFrame:
+    """Global frames of one target's stimuli: frame within the block plus the frames of all earlier blocks."""
+    order = Window.orderBy("block")  # one row for each block
+    starts = blocks.select("block", (F.sum("frames").over(order) - F.col("frames")).alias("start"))
+    return stimuli.where(F.col("target") == target).join(starts, "block").select("block", (F.col("start") + F.col("frame")).alias("key_frame"))
+
+
+def first_trial_frames(trials: DataFrame) -> DataFrame:
+    """The first frame of each trial of each target."""
+    return trials.groupBy("target", "trial").agg(F.min("frame").alias("key_frame"))
+
+
+def time_axis(frames: DataFrame, period: float) -> DataFrame:
+    """Seconds since the first frame."""
+    return frames.withColumn("seconds", F.col("frame") * F.lit(period))
+
+
+def expand_lines(shifts: DataFrame, most: float = 10.0) -> DataFrame:
+    """One row per line of each frame; a line that moves more than ``most`` on either axis does not move at all."""
+    lines = shifts.select("movie", "frame", F.posexplode(F.arrays_zip("dy", "dx")).alias("row_", "d"))
+    wild = (F.abs("d.dy") > most) | (F.abs("d.dx") > most)
+    return lines.select("movie", "frame", "row_", *[F.when(wild, 0.0).otherwise(F.col(f"d.{c}")).alias(c) for c in ("dy", "dx")])

@@ -7,8 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from framelake.functions.compat import pearson
+
+from .baseline import robust_fit
 
 
 def similarity(r: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -89,8 +94,22 @@ def seed_neighbourhoods(correlation: DataFrame, seeds: DataFrame, neighbourhood:
     return correlation.join(first, "px_i").join(second, (correlation["px_j"] == second["px_j"]) & (F.col("seed") == F.col("seed2"))).select("seed", "px_i", correlation["px_j"], "r")
 
 
+def count_cuts(values: np.ndarray) -> int:
+    """How many eigenvalues lie below a robust line through all of them by ten of its deviations: the last such place."""
+    if len(values) < 4:
+        return max(len(values), 1)
+    x = np.arange(1, len(values) + 1, dtype=float)
+    design = np.column_stack((x, np.ones(len(x))))
+    line = design @ robust_fit(design, values, 2.0)
+    low = np.flatnonzero(values < line - 10 * np.median(np.abs(values - line)) / 0.6745)
+    return int(low[-1]) + 1 if len(low) else 1
+
+
 def cluster_seeds(pairs: DataFrame, height: int, n_cuts: int = 3, more: int = 0, excluded: int = 0) -> DataFrame:
-    """(``seed``, ``px``, ``cluster``): the best silhouette of n_cuts .. n_cuts + 2 clusters, at least two."""
+    """(``seed``, ``px``, ``cluster``): the best silhouette of n_cuts .. n_cuts + 2 clusters, at least n_cuts + 1 of them.
+
+    ``n_cuts`` of 0 counts the cuts from the eigenvalues of up to 20.
+    """
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         px = np.unique(frame[["px_i", "px_j"]].to_numpy())
@@ -100,10 +119,12 @@ def cluster_seeds(pairs: DataFrame, height: int, n_cuts: int = 3, more: int = 0,
         np.fill_diagonal(r, 1)
         rows, cols = px % height, px // height
         side = (np.abs(rows[:, None] - rows[None]) + np.abs(cols[:, None] - cols[None])) == 1
-        vectors, _ = cuts(similarity(r, side.astype(float)), n_cuts)
-        vectors = vectors[:, excluded:] if vectors.shape[1] > excluded else vectors
-        tries = [l1_clusters(vectors, min(max(2, n_cuts + m + more), len(px))) for m in range(3)] if len(px) > 2 else [np.zeros(len(px), int)]
-        own = max(tries, key=lambda t: silhouette(vectors, t))
+        vectors, values = cuts(similarity(r, side.astype(float)), n_cuts or 20)
+        n = n_cuts or count_cuts(values)
+        vectors = vectors[:, excluded:n] if min(vectors.shape[1], n) > excluded else vectors[:, :n]
+        tries = [l1_clusters(vectors, min(max(2, n + m + more), len(px))) for m in range(3)] if len(px) > 2 else [np.zeros(len(px), int)]
+        best = max(range(len(tries)), key=lambda t: silhouette(vectors, tries[t]))
+        own = tries[max(best, min(1, len(tries) - 1))]
         return pd.DataFrame({"seed": frame["seed"].iloc[0], "px": px.astype(int), "cluster": own})
 
     kind = dict(pairs.dtypes)["seed"]
@@ -144,3 +165,128 @@ def swallowed(labels: DataFrame, mask: DataFrame) -> DataFrame:
     """Regions of a label image that a new mask would cover completely."""
     inside = labels.join(mask.select("px").distinct().withColumn("hit", F.lit(1)), "px", "left")
     return inside.groupBy("label").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).where("n = hits").select("label")
+
+
+def split_cluster(clusters: DataFrame, pairs: DataFrame, cluster: int) -> DataFrame:
+    """One cluster of each seed in two by its second cut on the raw correlations; the larger half keeps the number and
+    the other one gets the next free number of the seed."""
+    own = clusters.where(F.col("cluster") == cluster)
+    first, second = own.select("seed", F.col("px").alias("px_i")), own.select("seed", F.col("px").alias("px_j"))
+    inner = pairs.join(first, ["seed", "px_i"]).join(second, ["seed", "px_j"])
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        px = np.unique(frame[["px_i", "px_j"]].to_numpy())
+        i, j = np.searchsorted(px, frame["px_i"]), np.searchsorted(px, frame["px_j"])
+        r = np.zeros((len(px), len(px)))
+        r[i, j] = r[j, i] = np.nan_to_num(frame["r"].to_numpy(float))
+        np.fill_diagonal(r, 1)
+        half = np.zeros(len(px), int)
+        if len(px) > 1:
+            vectors, _ = cuts(np.maximum(r, 1e-9), 1)
+            half = l1_clusters(vectors, 2)
+        minor = half != np.bincount(half).argmax()
+        return pd.DataFrame({"seed": frame["seed"].iloc[0], "px": px.astype(int), "minor": minor})
+
+    halves = inner.groupBy("seed").applyInPandas(of, f"seed {dict(clusters.dtypes)['seed']}, px int, minor boolean")
+    top = clusters.groupBy("seed").agg((F.max("cluster") + 1).cast("int").alias("next"))
+    moved = clusters.join(halves.where("minor"), ["seed", "px"], "left").join(top, "seed")
+    return moved.select("seed", "px", F.when(F.col("minor"), F.col("next")).otherwise(F.col("cluster")).alias("cluster"))
+
+
+def background_cluster(features: DataFrame) -> DataFrame:
+    """(``seed``, ``background``): of the clusters other than the one with the seed's own pixel, the one whose centroid has
+    the least L2 norm (the smaller number on ties).  ``features``: ``seed``, ``px``, ``cluster``, ``vector``."""
+    at = features.select("seed", "px", "cluster", F.posexplode("vector").alias("axis", "x"))
+    centre = at.groupBy("seed", "cluster", "axis").agg(F.avg("x").alias("m"))
+    norms = centre.groupBy("seed", "cluster").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    body = features.where("px = seed").select("seed", "cluster")
+    return norms.join(body, ["seed", "cluster"], "left_anti").groupBy("seed").agg(F.min(F.struct("norm", "cluster"))["cluster"].alias("background"))
+
+
+def second_largest(clusters: DataFrame) -> DataFrame:
+    """(``seed``, ``cluster``, ``n``): each seed's second largest cluster, the smaller number first on ties."""
+    sizes = clusters.groupBy("seed", "cluster").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("seed").orderBy(F.desc("n"), "cluster")
+    return sizes.withColumn("place", F.row_number().over(order)).where("place = 2").drop("place")
+
+
+def movie_correlations(movie: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Correlations, straight from the movie, of all pairs i <= j in each seed's own list of pixels (``seed``, ``px``).
+
+    A seed's list is a neighbourhood of fixed size; its pairs come from the list, then meet the pixels by key.
+    """
+    left, right = pixels.select("seed", F.col("px").alias("px_i")), pixels.select("seed", F.col("px").alias("px_j"))
+    pairs = left.join(right, "seed").where("px_i <= px_j")
+    wanted = pairs.select("px_i", "px_j").distinct()
+    a, b = movie.select("frame", F.col("px").alias("px_i"), F.col("v").alias("a")), movie.select("frame", F.col("px").alias("px_j"), F.col("v").alias("b"))
+    found = wanted.join(a, "px_i").join(b, ["px_j", "frame"]).groupBy("px_i", "px_j").agg(pearson(F.col("a"), F.col("b")).alias("r"))
+    return pairs.join(found, ["px_i", "px_j"]).select("seed", "px_i", "px_j", "r")
+
+
+def inside_polygon(row: Column, col: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a place lies inside a polygon, by the parity of the sides that a ray along the row crosses."""
+    crossed = F.lit(0)
+    for (r0, c0), (r1, c1) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if r0 != r1:
+            at = (row - F.lit(float(r0))) * F.lit((c1 - c0) / (r1 - r0)) + F.lit(float(c0))
+            crossed = crossed + F.when(((F.lit(float(r0)) > row) != (F.lit(float(r1)) > row)) & (col < at), 1).otherwise(0)
+    return crossed % 2 == 1
+
+
+def seed_grid(spark: SparkSession, step: int, height: int, width: int) -> DataFrame:
+    """(``seed``, ``row_``, ``col_``): centres of a grid of squares of ``step`` pixels, column by column."""
+    down, across = round(height / step), round(width / step)
+    ids = spark.range(down * across).select(F.col("id").cast("int").alias("seed"))
+    half = (step - 1) / 2
+    return ids.select("seed", (F.col("seed") % down * step + half).alias("row_"), (F.floor(F.col("seed") / down) * step + half).alias("col_"))
+
+
+def nearest_seed(row: Column, col: Column, step: int, height: int, width: int) -> Column:
+    """Number of the grid seed whose square holds a place (the last one beyond the grid)."""
+    down, across = round(height / step), round(width / step)
+    r, c = (F.least(F.floor(x / step), F.lit(n - 1)) for x, n in ((row, down), (col, across)))
+    return (r + c * down).cast("int")
+
+
+def seed_discs(spark: SparkSession, step: int, radius: float, height: int, width: int) -> DataFrame:
+    """(``seed``, ``px``): pixels nearer to a seed than ``radius``; offsets come from the seed, so nothing is compared that
+    lies outside its square."""
+    reach = F.sequence(F.lit(-int(radius) - 1), F.lit(int(radius) + 1))
+    near = seed_grid(spark, step, height, width).select("*", F.explode(reach).alias("dr")).select("*", F.explode(reach).alias("dc"))
+    near = near.withColumns({"r": F.floor("row_") + F.col("dr"), "c": F.floor("col_") + F.col("dc")})
+    near = near.where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
+    far = (F.col("r") - F.col("row_")) ** 2 + (F.col("c") - F.col("col_")) ** 2
+    return near.where(far < radius**2).select("seed", (F.col("r") + F.col("c") * height).cast("int").alias("px"))
+
+
+def seed_covariance(bins: DataFrame, discs: DataFrame) -> DataFrame:
+    """Covariance of all pairs i <= j in each seed's disc: population covariance over the bins of each movie, averaged over
+    movies.  A pair that several seeds share is computed once."""
+    left, right = discs.select("seed", F.col("px").alias("px_i")), discs.select("seed", F.col("px").alias("px_j"))
+    pairs = left.join(right, "seed").where("px_i <= px_j")
+    a = bins.select("movie", "bin", F.col("px").alias("px_i"), F.col("v").alias("a"))
+    b = bins.select("movie", "bin", F.col("px").alias("px_j"), F.col("v").alias("b"))
+    per_movie = pairs.select("px_i", "px_j").distinct().join(a, "px_i").join(b, ["px_j", "movie", "bin"]).groupBy("movie", "px_i", "px_j").agg(F.covar_pop("a", "b").alias("c"))
+    cov = per_movie.groupBy("px_i", "px_j").agg(F.avg("c").alias("cov"))
+    return pairs.join(cov, ["px_i", "px_j"]).select("seed", "px_i", "px_j", "cov")
+
+
+def region_window(pixels: DataFrame, radius: int, height: int, width: int) -> DataFrame:
+    """(``roi_id``, ``top``, ``bottom``, ``left``, ``right``): the square around each body's rounded centroid, cut at the image."""
+    body = pixels.where("kind = 'body'")
+    centre = body.groupBy("roi_id").agg(F.round(F.avg(F.col("px") % height)).cast("int").alias("r"), F.round(F.avg(F.floor(F.col("px") / height))).cast("int").alias("c"))
+    low, high = (lambda x: F.greatest(x - radius, F.lit(0))), (lambda x, n: F.least(x + radius, F.lit(n - 1)))
+    return centre.select("roi_id", low(F.col("r")).alias("top"), high(F.col("r"), height).alias("bottom"), low(F.col("c")).alias("left"), high(F.col("c"), width).alias("right"))
+
+
+def region_movie(movie: DataFrame, windows: DataFrame) -> DataFrame:
+    """Pixels of the window around each region in every frame; windows give their pixels first and meet the movie by key."""
+    places = windows.select("roi_id", F.explode(F.sequence("top", "bottom")).alias("row_"), "left", "right")
+    places = places.select("roi_id", "row_", F.explode(F.sequence("left", "right")).alias("col_"))
+    return movie.join(places, ["row_", "col_"]).select("roi_id", "frame", "row_", "col_", "v")
+
+
+def migrate_regions(old: DataFrame) -> DataFrame:
+    """One row per region from parallel arrays ``ids`` and ``groups`` of an older table; the arrays are dropped."""
+    each = old.select("*", F.explode(F.arrays_zip("ids", "groups")).alias("one"))
+    return each.select(*[c for c in old.columns if c not in ("ids", "groups")], F.col("one.ids").alias("id"), F.col("one.groups").alias("grp"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framelake.functions.compat import gaussian_weights, midpoint_percentile, tidy, to_int16
 from framelake.operators import catalog as C
 from framelake.operators import movie as M
+from framelake.operators import segmentation as G
 from framelake.operators import traces as W
 from framelake.sources import views as V
 
@@ -383,6 +384,137 @@ def set_operations(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@register("band_offsets", "SELECT CAST(k AS INTEGER) AS dcol, CAST(o AS INTEGER) AS drow FROM range(0, 3) a(k), range(-2, 3) b(o) WHERE k > 0 OR o >= 0")
+def band_offsets(spark, sf):
+    return M.band_offsets(spark, NH).select(F.col("dcol").cast("int"), F.col("drow").cast("int"))
+
+
+SEEDS = """seeds AS (SELECT CAST(i AS INTEGER) AS seed, (i % 4) * 2 + 0.5 AS sr, (i // 4) * 2 + 0.5 AS sc FROM range(16) r(i)),
+discs AS (SELECT seed, CAST(i AS INTEGER) AS px FROM seeds, range(64) p(i) WHERE (i % 8 - sr) ** 2 + (i // 8 - sc) ** 2 < 4)"""
+
+
+@register("seed_discs", f"WITH {SEEDS} SELECT seed, px FROM discs")
+def seed_discs(spark, sf):
+    return G.seed_discs(spark, 2, 2.0, H, WIDTH)
+
+
+@register("seed_covariance", f"WITH {BINS}, {SEEDS}, pairs AS (SELECT a.seed, a.px AS px_i, b.px AS px_j FROM discs a JOIN discs b ON a.seed = b.seed AND a.px <= b.px), c AS (SELECT a.movie, a.px AS px_i, b.px AS px_j, covar_pop(a.v, b.v) AS c FROM (SELECT DISTINCT px_i, px_j FROM pairs) JOIN bins a ON a.px = px_i JOIN bins b ON b.px = px_j AND b.movie = a.movie AND b.bin = a.bin GROUP BY ALL) SELECT seed, px_i, px_j, {r6('avg(c)')} AS cov FROM pairs JOIN c USING (px_i, px_j) GROUP BY seed, px_i, px_j")
+def seed_covariance(spark, sf):
+    return rounded(G.seed_covariance(M.bin_frames(V.movie(spark, sf), 8), G.seed_discs(spark, 2, 2.0, H, WIDTH)), "cov")
+
+
+@register("nearest_seed", "SELECT CAST(i AS INTEGER) AS px, CAST(least((i % 8) // 3, 2) + 3 * least((i // 8) // 3, 2) AS INTEGER) AS seed FROM range(64) r(i)")
+def nearest_seed(spark, sf):
+    px = spark.range(H * WIDTH).select(F.col("id").cast("int").alias("px"))
+    return px.select("px", G.nearest_seed(F.col("px") % H, F.floor(F.col("px") / H), 3, H, WIDTH).alias("seed"))
+
+
+@register("movie_correlations", f"WITH {MOVIE}, {SEEDS}, pairs AS (SELECT a.seed, a.px AS px_i, b.px AS px_j FROM discs a JOIN discs b ON a.seed = b.seed AND a.px <= b.px) SELECT seed, px_i, px_j, round(corr(a.v, b.v), 6) + 0.0 AS r FROM pairs JOIN movie a ON a.px = px_i JOIN movie b ON b.px = px_j AND b.frame = a.frame GROUP BY seed, px_i, px_j")
+def movie_correlations(spark, sf):
+    return rounded(G.movie_correlations(V.movie(spark, sf), G.seed_discs(spark, 2, 2.0, H, WIDTH)), "r")
+
+
+@register("polygon_region", "SELECT CAST(i AS INTEGER) AS px FROM range(64) r(i) WHERE i % 8 + i // 8 > 4.5 AND i % 8 < 6.5 AND i // 8 < 5.5")
+def polygon_region(spark, sf):
+    px = spark.range(H * WIDTH).select(F.col("id").cast("int").alias("px"))
+    return px.where(G.inside_polygon(F.col("px") % H, F.floor(F.col("px") / H), [(-1.0, 5.5), (6.5, 5.5), (6.5, -2.0)]))
+
+
+@register("region_movie", f"WITH {ROI}, c AS (SELECT roi_id, CAST(round(avg(px % 8)) AS INTEGER) AS r, CAST(round(avg(px // 8)) AS INTEGER) AS c FROM roi_px WHERE kind = 'body' GROUP BY roi_id) SELECT roi_id, frame, row_, col_, v FROM movie JOIN c ON row_ BETWEEN greatest(r - 2, 0) AND least(r + 2, 7) AND col_ BETWEEN greatest(c.c - 2, 0) AND least(c.c + 2, 7)")
+def region_movie(spark, sf):
+    return G.region_movie(V.movie(spark, sf), G.region_window(V.roi_pixels(spark), 2, H, WIDTH))
+
+
+@register("display_intensity", f"WITH {MOVIE} SELECT frame, px, {r6('sqrt(greatest(v, 0))')} AS root, {r6('pow(greatest(v, 0), 0.25)')} AS gamma FROM movie")
+def display_intensity(spark, sf):
+    v = F.col("v")
+    return rounded(V.movie(spark, sf).select("frame", "px", M.display_intensity(v).alias("root"), M.display_intensity(v, "gamma").alias("gamma")), "root", "gamma")
+
+
+@register("overview_image", f"WITH {MOVIE}, m AS (SELECT px, avg(v) AS a, stddev_samp(v) AS s FROM movie GROUP BY px), n AS (SELECT px, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS a, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS s FROM m) SELECT px, {r6('0.7 * a + 0.3 * s')} AS red, {r6('a')} AS green, {r6('a')} AS blue FROM n")
+def overview_image(spark, sf):
+    movie = V.movie(spark, sf)
+    anatomy, activity = (M.unit_scale(movie.groupBy("px").agg(how("v").alias("v")), "v") for how in (F.avg, F.stddev_samp))
+    return rounded(M.overview(anatomy, activity), "red", "green", "blue")
+
+
+@register("stimulus_frames", "WITH s AS (SELECT vec_id // 50 AS block, vec_id % 50 AS frame, label FROM embeddings WHERE vec_id % 25 = 10), b AS (SELECT vec_id // 50 AS block, count(*) AS frames FROM embeddings GROUP BY ALL), o AS (SELECT block, sum(frames) OVER (ORDER BY block) - frames AS start FROM b) SELECT block, CAST(start + frame AS BIGINT) AS key_frame FROM s JOIN o USING (block) WHERE label = 3")
+def stimulus_frames(spark, sf):
+    rows = V.frames(spark, sf)
+    stimuli = V.stimuli(spark, sf).select(F.expr(f"key_frame div {V.FILE_FRAMES}").alias("block"), (F.col("key_frame") % V.FILE_FRAMES).alias("frame"), "target")
+    return M.stimulus_frames(stimuli, rows.groupBy(F.col("movie").alias("block")).agg(F.count("*").alias("frames")), 3)
+
+
+@register("first_trial_frames", "SELECT label AS target, vec_id // 25 AS trial, min(vec_id) AS key_frame FROM embeddings GROUP BY ALL")
+def first_trial_frames(spark, sf):
+    rows = V.table(spark, sf, "embeddings")
+    return M.first_trial_frames(rows.select(F.col("label").alias("target"), F.expr("vec_id div 25").alias("trial"), F.col("vec_id").alias("frame")))
+
+
+@register("time_axis", f"WITH {TRACE} SELECT roi_id, frame, {r6('CAST(frame AS DOUBLE) * CAST(0.0333 AS DOUBLE)')} AS seconds FROM trace")
+def time_axis(spark, sf):
+    return rounded(M.time_axis(V.trace(spark, sf), 0.0333).select("roi_id", "frame", "seconds"), "seconds")
+
+
+@register("session_counts", "SELECT o_custkey, count(*) AS n, count(*) % 10 <> 0 AS odd FROM orders GROUP BY o_custkey")
+def session_counts(spark, sf):
+    return C.session_counts(V.table(spark, sf, "orders"), "o_custkey")
+
+
+@register("processing_order", f"WITH {MANIFEST} SELECT movie, CASE WHEN movie = 4 THEN 0 ELSE movie + 1 END AS turn FROM manifest")
+def processing_order(spark, sf):
+    return C.processing_order(V.manifest(V.frames(spark, sf)).select("movie"), 4)
+
+
+@register("new_files", "SELECT DISTINCT url AS path FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def new_files(spark, sf):
+    rows = V.table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
+    return C.register_files(rows.where("page_id % 3 = 0"), rows)
+
+
+@register("valid_names", "SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g'), '^([^A-Za-z]|$)', 'x\\1') AS name FROM part")
+def valid_names(spark, sf):
+    return V.table(spark, sf, "part").select("p_partkey", C.valid_identifier(F.col("p_name")).alias("name"))
+
+
+@register("scanner_layout", "SELECT p_partkey, p_size % 2 = 1 AS stack, CAST(p_size % 4 + 1 AS INTEGER) AS channels, CAST(CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 1 THEN p_size ELSE 1 END ELSE p_size END AS INTEGER) AS slices, CAST(CASE WHEN p_size % 2 = 1 THEN 2 ELSE 0 END AS INTEGER) AS flyback, round(1.0 / (p_size + 10), 6) + 0.0 AS period FROM part")
+def scanner_layout(spark, sf):
+    size = F.col("p_size")
+    values = {"enable": size % 2, "channels": size % 4 + 1, "flyback": F.lit(2), "period": 1.0 / (size + 10)}
+
+    def header(k: int) -> F.Column:
+        stack, slices, flyback, channels, period = C.SCANNER_FIELDS[k]
+        deep = size + 2 if k in (0, 2) else size
+        parts = ((stack, values["enable"]), (slices, deep), (flyback, values["flyback"]), (channels, values["channels"]), (period, values["period"]))
+        return F.create_map(*[x for name, v in parts for x in (F.lit(name), v.cast("double"))])
+
+    meta = V.table(spark, sf, "part").select("p_partkey", F.when(size % 3 == 0, header(0)).when(size % 3 == 1, header(1)).otherwise(header(3)).alias("fields"))
+    return rounded(C.scanner_layout(meta), "period")
+
+
+@register("migrate_regions", "SELECT l_orderkey AS acquisition, l_linenumber AS id, CAST(l_quantity AS INTEGER) % 9 + 1 AS grp FROM lineitem")
+def migrate_regions(spark, sf):
+    rows = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("acquisition"), F.struct(F.col("l_linenumber").alias("i"), (F.col("l_quantity").cast("int") % 9 + 1).alias("g")).alias("one"))
+    old = rows.groupBy("acquisition").agg(F.collect_list("one").alias("all")).select("acquisition", F.col("all.i").alias("ids"), F.col("all.g").alias("groups"))
+    return G.migrate_regions(old)
+
+
+@register("second_largest", "WITH s AS (SELECT o_custkey AS seed, CAST(o_orderkey % 4 AS INTEGER) AS cluster, count(*) AS n FROM orders GROUP BY ALL) SELECT seed, cluster, n FROM s QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, cluster) = 2")
+def second_largest(spark, sf):
+    return G.second_largest(V.table(spark, sf, "orders").select(F.col("o_custkey").alias("seed"), (F.col("o_orderkey") % 4).cast("int").alias("cluster")))
+
+
+@register("merge_clusters", "SELECT o_orderkey AS px, CAST(CASE WHEN c = 2 THEN 0 WHEN c > 2 THEN c - 1 ELSE c END AS INTEGER) AS cluster FROM (SELECT o_orderkey, o_orderkey % 5 AS c FROM orders)")
+def merge_clusters(spark, sf):
+    return G.merge_clusters(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("px"), (F.col("o_orderkey") % 5).cast("int").alias("cluster")), 0, 2)
+
+
+@register("swallowed_regions", f"WITH {ROI}, l AS (SELECT px, max(roi_id) AS label FROM roi_px GROUP BY px) SELECT label FROM l GROUP BY label HAVING count(*) = count(*) FILTER (px % 8 < 5)")
+def swallowed_regions(spark, sf):
+    mask = spark.range(H * WIDTH).select(F.col("id").cast("int").alias("px")).where(F.col("px") % H < 5)
+    return G.swallowed(M.latest_label(V.roi_pixels(spark)), mask)
+
+
 def queries() -> dict[str, Query]:
     """Query functions (spark, sf_dir) by name."""
     return {name: query for name, (query, _) in FOUND.items()}

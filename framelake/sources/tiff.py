@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Fixed values of the TIFF 6.0 format: tags, and sizes of the field types that matter here.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 279, 339
@@ -71,9 +72,9 @@ def read_stacks(spark: SparkSession, path: str) -> DataFrame:
 
 def number_files(frames: DataFrame) -> DataFrame:
     """``movie`` from the order of paths and the global ``frame``: files before count in full."""
+    order = Window.orderBy("path")  # one row for each file
     sizes = frames.groupBy("path").agg(F.count("*").alias("z"))
-    earlier = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.path") < F.col("a.path"), "left")
-    starts = earlier.groupBy("a.path").agg(F.count("b.path").alias("movie"), F.coalesce(F.sum("b.z"), F.lit(0)).alias("start"))
+    starts = sizes.select("path", (F.row_number().over(order) - 1).cast("long").alias("movie"), (F.sum("z").over(order) - F.col("z")).alias("start"))
     return frames.join(starts, "path").withColumn("frame", F.col("start") + F.col("frame_in_movie")).drop("start")
 
 
