@@ -8,6 +8,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from framelake.functions.compat import midpoint_percentile
+
+from . import traces
 
 
 def bisquare(u: np.ndarray) -> np.ndarray:
@@ -69,3 +74,16 @@ def baseline_delta_f(traces: DataFrame) -> DataFrame:
 
     kinds = dict(traces.dtypes)
     return traces.groupBy("roi_id").applyInPandas(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, df double")
+
+
+def paired_coefficients(pairs: DataFrame, length: int = 5, span: int = 5, percent: float = 10.0, tune: float = 2.0) -> DataFrame:
+    """The background coefficient of every region, fitted on quiet frames only.
+
+    Body and background are each taken relative to a low percentile and smoothed; frames whose smoothed change of their
+    difference is at most its commonest value are kept; the robust slope comes from those.  All but the last fit is native.
+    """
+    base = pairs.groupBy("roi_id").agg(*[midpoint_percentile(F.collect_list(c), percent).alias(f"{c}0") for c in ("raw", "neuropil")])
+    centred = pairs.join(base, "roi_id").select("roi_id", "frame", *[(F.col(c) - F.col(f"{c}0")).alias(c) for c in ("raw", "neuropil")])
+    quiet = traces.stable_frames(centred.select("roi_id", "frame", (F.col("raw") - F.col("neuropil")).alias("f")), span).select("roi_id", "frame")
+    smooth = [traces.gaussian_smooth(centred.select("roi_id", "frame", F.col(c).alias("f")), length).select("roi_id", "frame", F.col("smooth").alias(c)) for c in ("raw", "neuropil")]
+    return neuropil_coefficients(smooth[0].join(smooth[1], ["roi_id", "frame"]).join(quiet, ["roi_id", "frame"]), tune)

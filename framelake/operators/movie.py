@@ -169,15 +169,17 @@ def edge_subtracted(movie: DataFrame, pixels: DataFrame, edge: DataFrame) -> Dat
 
 
 def line_shift_scores(image: DataFrame, height: int, width: int, most: int = 3) -> DataFrame:
-    """Correlation of odd lines with even lines shifted along the line, on the central part of a mean image."""
+    """Correlation of odd lines with even lines shifted along the line, on the central part of a mean image (of each movie
+    where the image has a ``movie``)."""
+    key = ["movie"] if "movie" in image.columns else []
     top, side = (2 * (-(-15 * n // 100) // 2) for n in (height, width))
     n = width - 2 * side
     inner = image.where((F.col("row_") >= top) & (F.col("row_") < height - top) & (F.col("col_") >= side) & (F.col("col_") < width - side))
-    inner = inner.select("row_", (F.col("col_") - side).alias("c"), "mean")
-    odd = inner.where(F.col("row_") % 2 == 0).select("row_", "c", F.col("mean").alias("a"))
-    even = inner.where(F.col("row_") % 2 == 1).select((F.col("row_") - 1).alias("row_"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"), F.col("c").alias("c0"), F.col("mean").alias("b"))
+    inner = inner.select(*key, "row_", (F.col("col_") - side).alias("c"), "mean")
+    odd = inner.where(F.col("row_") % 2 == 0).select(*key, "row_", "c", F.col("mean").alias("a"))
+    even = inner.where(F.col("row_") % 2 == 1).select(*key, (F.col("row_") - 1).alias("row_"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"), F.col("c").alias("c0"), F.col("mean").alias("b"))
     even = even.withColumn("c", F.pmod(F.col("c0") + F.col("shift"), F.lit(n)))
-    return odd.join(even, ["row_", "c"]).groupBy("shift").agg(pearson(F.col("a"), F.col("b")).alias("score"))
+    return odd.join(even, [*key, "row_", "c"]).groupBy(*key, "shift").agg(pearson(F.col("a"), F.col("b")).alias("score"))
 
 
 def circular_shift(movie: DataFrame, rows: int, cols: int, height: int, width: int) -> DataFrame:
@@ -259,3 +261,14 @@ def expand_lines(shifts: DataFrame, most: float = 10.0) -> DataFrame:
     lines = shifts.select("movie", "frame", F.posexplode(F.arrays_zip("dy", "dx")).alias("row_", "d"))
     wild = (F.abs("d.dy") > most) | (F.abs("d.dx") > most)
     return lines.select("movie", "frame", "row_", *[F.when(wild, 0.0).otherwise(F.col(f"d.{c}")).alias(c) for c in ("dy", "dx")])
+
+
+def best_line_shift(scores: DataFrame) -> DataFrame:
+    """The shift with the highest score of each movie, the first among equals."""
+    return scores.groupBy("movie").agg(argmax(F.col("score"), F.col("shift")).alias("shift"))
+
+
+def apply_line_shift(movie: DataFrame, shifts: DataFrame, width: int) -> DataFrame:
+    """Every second line of every frame moved along itself, with wraparound, by its movie's ``shift``."""
+    moved = F.when(F.col("row_") % 2 == 1, F.pmod(F.col("col_") + F.col("shift"), F.lit(width))).otherwise(F.col("col_"))
+    return movie.join(shifts, "movie").withColumn("col_", moved.cast("int")).drop("shift")

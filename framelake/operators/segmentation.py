@@ -290,3 +290,29 @@ def migrate_regions(old: DataFrame) -> DataFrame:
     """One row per region from parallel arrays ``ids`` and ``groups`` of an older table; the arrays are dropped."""
     each = old.select("*", F.explode(F.arrays_zip("ids", "groups")).alias("one"))
     return each.select(*[c for c in old.columns if c not in ("ids", "groups")], F.col("one.ids").alias("id"), F.col("one.groups").alias("grp"))
+
+
+def delete_region(regions: DataFrame, gone: int, renumber: bool = False) -> DataFrame:
+    """``regions`` without one id; ``renumber`` closes the gap above it."""
+    kept = regions.where(F.col("id") != gone)
+    return kept.withColumn("id", F.when(F.col("id") > gone, F.col("id") - 1).otherwise(F.col("id"))) if renumber else kept
+
+
+def relabel_region(regions: DataFrame, region: int, group: int) -> DataFrame:
+    """One region in another group."""
+    return regions.withColumn("grp", F.when(F.col("id") == region, F.lit(group)).otherwise(F.col("grp")))
+
+
+def nudge_coefficient(regions: DataFrame, region: int, step: float) -> DataFrame:
+    """One region's background coefficient moved by a step."""
+    return regions.withColumn("sub_coef", F.when(F.col("id") == region, F.col("sub_coef") + step).otherwise(F.col("sub_coef")))
+
+
+def clear_labels(labels: DataFrame, gone: int) -> DataFrame:
+    """A label image without one region."""
+    return labels.where(F.col("label") != gone)
+
+
+def first_occurrences(items: DataFrame, order_by: str, *keys: str) -> DataFrame:
+    """Distinct keys with the place of each one's first occurrence."""
+    return items.groupBy(*keys).agg(F.min(order_by).alias(order_by))

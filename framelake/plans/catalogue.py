@@ -515,6 +515,35 @@ def swallowed_regions(spark, sf):
     return G.swallowed(M.latest_label(V.roi_pixels(spark)), mask)
 
 
+@register("line_shift_applied", f"WITH {MOVIE} SELECT frame, row_, CAST(CASE WHEN row_ % 2 = 1 THEN (col_ + movie % 3 + 8) % 8 ELSE col_ END AS INTEGER) AS col_, v FROM movie")
+def line_shift_applied(spark, sf):
+    movie = V.movie(spark, sf)
+    shifts = movie.select("movie").distinct().withColumn("shift", F.col("movie") % 3)
+    return M.apply_line_shift(movie, shifts, WIDTH).select("frame", "row_", "col_", "v")
+
+
+@register("line_shift_best", "WITH g AS (SELECT o_custkey AS movie, o_orderkey % 7 - 3 AS shift, round(avg(o_totalprice) / 100000) AS score FROM orders GROUP BY ALL) SELECT movie, shift FROM g QUALIFY row_number() OVER (PARTITION BY movie ORDER BY score DESC, shift) = 1")
+def line_shift_best(spark, sf):
+    keys = [F.col("o_custkey").alias("movie"), (F.col("o_orderkey") % 7 - 3).alias("shift")]
+    return M.best_line_shift(V.table(spark, sf, "orders").groupBy(*keys).agg(F.round(F.avg("o_totalprice") / 100000).alias("score")))
+
+
+@register("first_occurrences", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def first_occurrences(spark, sf):
+    return G.first_occurrences(V.table(spark, sf, "events"), "event_id", "user_id", "event_type")
+
+
+@register("region_edits", f"WITH {ROI} SELECT CASE WHEN roi_id > 1 THEN roi_id - 1 ELSE roi_id END AS id, CASE WHEN roi_id = 3 THEN 7 ELSE grp END AS grp, {r6('CASE WHEN roi_id = 0 THEN sub_coef + 0.05 ELSE sub_coef END')} AS sub_coef FROM roi WHERE roi_id <> 1")
+def region_edits(spark, sf):
+    regions = V.rois(spark).withColumnRenamed("roi_id", "id")
+    return rounded(G.nudge_coefficient(G.relabel_region(G.delete_region(regions, 1, renumber=True), 2, 7), 0, 0.05), "sub_coef")
+
+
+@register("label_cleared", f"WITH {ROI} SELECT px, max(roi_id) AS label FROM roi_px GROUP BY px HAVING max(roi_id) <> 2")
+def label_cleared(spark, sf):
+    return G.clear_labels(M.latest_label(V.roi_pixels(spark)), 2)
+
+
 def queries() -> dict[str, Query]:
     """Query functions (spark, sf_dir) by name."""
     return {name: query for name, (query, _) in FOUND.items()}

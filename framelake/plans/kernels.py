@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.compat import tidy
 from framelake.operators import baseline as B
+from framelake.operators import extraction as E
 from framelake.operators import images as I
 from framelake.operators import movie as M
 from framelake.operators import nonrigid as N
@@ -94,6 +95,12 @@ def background(spark: SparkSession, sf: str) -> DataFrame:
     return G.background_cluster(G.cluster_seeds(near, H, 2).join(own, ["seed", "px"]))
 
 
+def source_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Activity of the patches' footprints."""
+    movie = V.movie(spark, sf)
+    return E.footprint_traces(movie, E.footprints(movie, 2, 4, H, WIDTH))
+
+
 KERNELS: dict[str, Query] = {
     "subpixel_shift": with_reference(R.frame_shifts, H),
     "segment_shift": with_reference(R.segment_shifts, H, WIDTH),
@@ -110,6 +117,10 @@ KERNELS: dict[str, Query] = {
     "split_cluster": split,
     "background_cluster": background,
     "neuropil_coefficient": lambda spark, sf: B.neuropil_coefficients(traces(spark, sf)),
+    "paired_coefficient": lambda spark, sf: B.paired_coefficients(traces(spark, sf)),
+    "source_footprints": lambda spark, sf: E.footprints(V.movie(spark, sf), 2, 4, H, WIDTH),
+    "source_traces": source_traces,
+    "deconvolution": lambda spark, sf: E.deconvolved(V.trace(spark, sf)),
     "baseline_delta_f": lambda spark, sf: B.baseline_delta_f(traces(spark, sf)),
 } | {f"motion_{name}": strategy(name) for name in R.STRATEGIES} | {f"motion_{name}": recording(name) for name in N.RECORDING_STRATEGIES}
 

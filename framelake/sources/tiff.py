@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window
 # Fixed values of the TIFF 6.0 format: tags, and sizes of the field types that matter here.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 279, 339
 SIZES = {3: ("H", 2), 4: ("I", 4)}
+#: Scanner settings stand in the first bytes of a stack.
+HEADER_BYTES = 1 << 16
 
 
 def pages(data: bytes) -> Iterator[np.ndarray]:
@@ -87,3 +90,42 @@ def write_pixel_major(movie: DataFrame, path: str) -> None:
 def write_corrected(frames: DataFrame, path: str) -> None:
     """Corrected frames by slice, channel and movie, so that reads prune to the files they need."""
     frames.write.mode("overwrite").partitionBy("slice", "channel", "movie").parquet(path)
+
+
+def append_bins(bins: DataFrame, path: str) -> None:
+    """Bins behind those that a store has already: their numbers go on from its highest ``bin``."""
+    spark = bins.sparkSession
+    try:
+        end = spark.read.parquet(path).agg(F.max("bin")).first()[0]
+    except AnalysisException as missing:  # the first append finds no store
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        end = None
+    bins.withColumn("bin", F.col("bin") + F.lit(0 if end is None else end + 1)).write.mode("append").parquet(path)
+
+
+def write_covariance(covariance: DataFrame, path: str, **settings: int) -> None:
+    """The covariance band clustered by pixel, with its settings as columns of a one-row table beside it."""
+    covariance.repartitionByRange("px_i").sortWithinPartitions("px_i", "px_j").write.mode("overwrite").parquet(f"{path}/band")
+    covariance.sparkSession.createDataFrame([tuple(settings.values())], list(settings)).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def write_snapshot(regions: DataFrame, path: str, version: int) -> None:
+    """The region table as one more version of itself; a version that is written again replaces only itself."""
+    regions.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(``path``, ``fields``): the ``name = number`` lines of each stack's description tag, for ``catalog.scanner_layout``.
+
+    A list in brackets counts its items; true and false are 1 and 0.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEADER_BYTES).alias("head"))
+    lines = F.expr("regexp_extract_all(decode(head, 'ISO-8859-1'), '([A-Za-z][A-Za-z0-9_.]*) *= *([^\\r\\n\\u0000]+)', 0)")
+    each = files.select("path", F.explode(lines).alias("line"))
+    name = F.regexp_replace(F.trim(F.element_at(F.split("line", "=", 2), 1)), "^(scanimage|state)\\.", "")
+    text = F.lower(F.trim(F.element_at(F.split("line", "=", 2), 2)))
+    items = F.size(F.filter(F.split(F.regexp_replace(text, r"[\[\]]", ""), r"[\s;,]+"), lambda s: s != ""))
+    number = F.when(text.startswith("["), items.cast("double")).when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+    known = each.select("path", name.alias("k"), number.alias("v")).where("v IS NOT NULL").groupBy("path", "k").agg(F.max("v").alias("v"))
+    return known.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))

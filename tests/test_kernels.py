@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import catalog as C
+from framelake.operators import extraction as X
 from framelake.operators import images as I
 from framelake.operators import nonrigid as N
 from framelake.operators import registration as R
 from framelake.operators import segmentation as G
 from framelake.plans import kernels
+from framelake.sources import tiff
 
 SF = "/root/testdata/sf0.001"
 
@@ -187,6 +189,63 @@ def test_unknown_header_fails(spark):
     assert C.scanner_layout(old, 0.1).collect() == [(1, False, 2, 1, 0, 0.1)]
 
 
+def test_deconvolution_solves_its_problem():
+    """Against the best of many projected-gradient steps on the events themselves."""
+    rng = np.random.default_rng(4)
+    events = (rng.random(60) < 0.1) * rng.uniform(1, 3, 60)
+    decay, penalty = 0.8, 0.1
+    grow = np.tril(decay ** np.maximum(np.arange(60)[:, None] - np.arange(60)[None], 0))
+    y = grow @ events + rng.normal(0, 0.2, 60)
+    got = X.deconvolve(y, decay, penalty)
+    s = np.zeros(60)
+    rate = 1 / np.linalg.norm(grow, 2) ** 2
+    for _ in range(40000):
+        s = np.maximum(s - rate * (grow.T @ (grow @ s - y) + penalty), 0)
+    cost = [0.5 * np.sum((grow @ e - y) ** 2) + penalty * e.sum() for e in (s, got[1])]
+    assert cost[1] <= cost[0] + 1e-3 and np.allclose(grow @ got[1], got[0])
+    assert [len(a) for a in X.deconvolve(np.zeros(0), 0.5, 0.0)] == [0, 0]
+
+
+def test_footprints_and_traces(spark):
+    rng = np.random.default_rng(8)
+    act = rng.exponential(1.0, (4, 40))
+    masks = [np.zeros((8, 8)) for _ in range(4)]
+    for m, (r, c) in zip(masks, ((0, 0), (0, 4), (4, 0), (4, 4))):
+        m[r + 1 : r + 3, c + 1 : c + 3] = rng.uniform(0.5, 1, (2, 2))
+    rows = [(f, r + 8 * c, float(sum(m[r, c] * a[f] for m, a in zip(masks, act)))) for f in range(40) for r in range(8) for c in range(8)]
+    movie = spark.createDataFrame(rows, "frame long, px int, v double")
+    weights = X.footprints(movie, 1, 4, 8, 8)
+    got = X.footprint_traces(movie, weights).toPandas()
+    for patch, k in ((0, 0), (2, 1), (1, 2), (3, 3)):
+        f = got[got.patch == patch].sort_values("frame")["f"].to_numpy()
+        assert len(f) == 40 and np.corrcoef(f, act[k])[0, 1] > 0.999
+
+
+def test_stores(spark, tmp_path):
+    bins = spark.createDataFrame([(b, p, float(b)) for b in range(3) for p in range(2)], "bin long, px int, v double")
+    for _ in range(2):
+        tiff.append_bins(bins, str(tmp_path / "bins"))
+    assert sorted(r.bin for r in spark.read.parquet(str(tmp_path / "bins")).select("bin").distinct().collect()) == list(range(6))
+    tiff.write_covariance(spark.createDataFrame([(0, 1, 2.0)], "px_i int, px_j int, cov double"), str(tmp_path / "cov"), neighbourhood=3, bin=8)
+    assert spark.read.parquet(str(tmp_path / "cov/settings")).first().asDict() == {"neighbourhood": 3, "bin": 8}
+    for v in (1, 2, 2):
+        tiff.write_snapshot(spark.range(v), str(tmp_path / "snap"), v)
+    assert spark.read.parquet(str(tmp_path / "snap")).where("version = 2").count() == 2
+
+
+def test_headers(spark, tmp_path):
+    data = tiff.stack_bytes([np.zeros((2, 3), np.int16)]) + b"SI4.fastZEnable = true\nSI4.stackNumSlices = 4\nSI4.fastZDiscardFlybackFrames = 1\nSI4.channelsSave = [1;2]\nSI4.scanFramePeriod = 0.05\nSI4.name = 'x'\n"
+    (tmp_path / "a.tif").write_bytes(data)
+    got = C.scanner_layout(tiff.read_headers(spark, str(tmp_path / "*.tif"))).first()
+    assert (got.stack, got.channels, got.slices, got.flyback, got.period) == (True, 2, 4, 1, 0.05)
+
+
+def test_files_are_numbered_without_a_self_join(spark):
+    rows = [(p, k) for p, n in (("b", 2), ("a", 3), ("c", 1)) for k in range(n)]
+    got = tiff.number_files(spark.createDataFrame(rows, "path string, frame_in_movie long"))
+    assert sorted((r.movie, r.frame) for r in got.collect()) == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (2, 5)]
+
+
 @pytest.mark.parametrize("name", sorted(kernels.queries()))
 def test_kernel_query_runs(spark, name):
     df = kernels.queries()[name](spark, SF)
