@@ -11,6 +11,7 @@ from framelake.functions.compat import gaussian_weights, midpoint_percentile, ti
 from framelake.operators import catalog as C
 from framelake.operators import movie as M
 from framelake.operators import segmentation as G
+from framelake.operators import tiles as T
 from framelake.operators import traces as W
 from framelake.sources import views as V
 
@@ -103,6 +104,11 @@ def pixel_covariance(spark, sf):
     return rounded(covariance(spark, sf), "cov", digits=9)
 
 
+@register("pixel_covariance_tiled", f"WITH {COV} SELECT px_i, px_j, {r6('cov')} AS cov FROM cov")
+def pixel_covariance_tiled(spark, sf):
+    return rounded(T.pixel_covariance(M.bin_frames(V.movie(spark, sf), 8), NH, H, WIDTH, side=4), "cov")
+
+
 @register("pixel_correlation", f"WITH {COV} SELECT px_i, px_j, {r6('r')} AS r FROM cor")
 def pixel_correlation(spark, sf):
     return rounded(M.pixel_correlation(covariance(spark, sf)), "r")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from framelake.operators import catalog as C
 from framelake.operators import extraction as X
 from framelake.operators import images as I
+from framelake.operators import movie as M
 from framelake.operators import nonrigid as N
 from framelake.operators import registration as R
 from framelake.operators import segmentation as G
+from framelake.operators import tiles as T
 from framelake.plans import kernels
 from framelake.sources import tiff
 
@@ -246,6 +248,17 @@ def test_files_are_numbered_without_a_self_join(spark):
     assert sorted((r.movie, r.frame) for r in got.collect()) == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (2, 5)]
 
 
+@pytest.mark.parametrize("side, neighbourhood", [(3, 5), (4, 3), (16, 2)])
+def test_tiled_covariance_equals_the_native_one(spark, side, neighbourhood):
+    rng = np.random.default_rng(9)
+    h, w = 10, 7
+    rows = [(m, b, p, float(rng.normal() + p % 3 * b)) for m, n in ((0, 6), (1, 4)) for b in range(n) for p in range(h * w) if (m, p) != (1, 20)]
+    bins = spark.createDataFrame(rows, "movie long, bin long, px int, v double")
+    got, want = ({(r.px_i, r.px_j): r["cov"] for r in f(bins).collect()} for f in (lambda b: T.pixel_covariance(b, neighbourhood, h, w, side, 2), lambda b: M.pixel_covariance(b, neighbourhood, h, w)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert T.pixel_covariance(bins.limit(0), neighbourhood, h, w, side).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(kernels.queries()))
 def test_kernel_query_runs(spark, name):
     df = kernels.queries()[name](spark, SF)
