@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framelake.sources.stages import kept
+
 from . import images as I
 from . import registration as R
 
@@ -243,7 +245,7 @@ def correct_recording(frames: DataFrame, height: int, width: int, reference_movi
     ``nonrigid`` adds demons to the affine step; without ``bicubic`` frames are read bilinearly.  A downsampled store of the
     result is ``movie.downsample``.
     """
-    lines = R.line_shifts(frames, R.reference_images(frames), height, spans)
+    lines = kept(R.line_shifts(frames, R.reference_images(frames), height, spans))  # read for the images and again at the end
     pictures = mean_images(R.apply_line_shifts(frames, lines, height))
     return apply_fields(frames, lines, movie_fields(pictures, reference_movie, height, width, nonrigid, smooth), height, bicubic)
 
