@@ -101,12 +101,15 @@ def linked(x: np.ndarray, key: int) -> np.ndarray:
     return (FIRST_KEY[shared_positions(x)] == key) & (np.bitwise_count(x) <= MOST_BITS)
 
 
-def forest(members: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of one posting list of distinct, sorted fingerprints."""
+def forest(members: np.ndarray, key: int, dense: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of one posting list of distinct fingerprints, in any order."""
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     free = np.array([b for p in range(BYTES) if p not in SUBSETS[key] for b in range(8 * p, 8 * p + 8)])
-    probes = patterns(free) if len(members) > DENSE else None
+    probes = patterns(free) if len(members) > (DENSE if dense is None else dense) else None
+    if probes is not None:
+        # Spark sorts fingerprints as signed longs; the probes are looked up in unsigned order.
+        members = np.sort(members)
     rest, queue = members, []
     seen = np.zeros(len(members), bool) if probes is not None else None
     at = 0
@@ -141,8 +144,8 @@ def forest(members: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of posting lists that come sorted by (key, bytes, fingerprint); a list may span batches."""
+def links_of(batches: Iterator[pa.RecordBatch], dense: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Links of posting lists that come sorted by (key, bytes); a list may span batches."""
     held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def found(keys: np.ndarray, shared: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
@@ -153,7 +156,7 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = (FIRST_KEY[shared_positions(x)] == keys[two]) & (np.bitwise_count(x) <= MOST_BITS)
         left, right = [prints[two][ok]], [prints[two + 1][ok]]
         for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-            more = forest(prints[a:b], int(keys[a]))
+            more = forest(prints[a:b], int(keys[a]), dense)
             left.append(more[0])
             right.append(more[1])
         pair = [pa.array(np.concatenate(s).view(np.int64)) for s in (left, right)]
@@ -172,11 +175,11 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(*held)
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
+def fingerprint_links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     """Links (``u``, ``v``) that connect all distinct values of ``fp`` at three or fewer differing bits."""
     posted = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(int(m))) for m in MASKS.view(np.int64)])).alias("key", "shared"))
     lists = posted.select("key", "shared", "fp").repartition("key", "shared").sortWithinPartitions("key", "shared", "fp")
-    return lists.mapInArrow(links_of, "u long, v long")
+    return lists.mapInArrow(lambda batches: links_of(batches, dense), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -158,6 +158,26 @@ def test_fingerprint_links(spark, monkeypatch, dense):
     assert len(set(zip(roots, ours))) == len(set(roots)) == len(set(ours))
 
 
+def test_fingerprint_links_of_both_signs(spark):
+    rng = np.random.default_rng(4)
+    prints = set()
+    for _ in range(30):
+        # Neighbours of a chain differ by a bit in each of the three high bytes: they meet in one long list only.
+        p = 0x1122334455 | int(rng.integers(0, 1 << 24)) << 40
+        for _ in range(10):
+            prints.add(p)
+            p ^= sum(1 << int(8 * b + rng.integers(0, 8)) for b in (5, 6, 7))
+    prints = sorted(prints)
+    assert prints[0] < 1 << 63 <= prints[-1]
+    df = spark.createDataFrame([(p - (p >> 63 << 64),) for p in prints], "fp long")
+    roots = brute_components(prints)
+    for dense in (4096, 16):
+        found = simhash.components(simhash.fingerprint_links(df, dense=dense)).collect()
+        ours = {r.fp % (1 << 64): r.root for r in found}
+        ours = [ours.get(p, p) for p in prints]
+        assert len(set(zip(roots, ours))) == len(set(roots)) == len(set(ours))
+
+
 def test_chat(spark):
     import duckdb
 
