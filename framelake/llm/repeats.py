@@ -14,6 +14,9 @@ anchor form an item, the stretch of text under them; items are some 185 windows
 * An anchor with more than ``GROUP`` distinct items would fill a task.  Its windows go by their own hashes instead,
   counted with combining before the shuffle and joined back, which deals the group out over all tasks.
 
+``remove_repeats`` takes the ranges that repeats cover out of the texts; ``repeat_groups`` lists the maximal repeats
+themselves, of any length and with every occurrence.
+
 Matches never cross documents.  Edge cases: a null text is empty; texts shorter than LENGTH have no repeats; a null id
 keeps its row, and rows that share an id are told apart by a hash of their text; repeated rows repeat each other, so
 both lose what is long enough.  An empty table gives no rows.  Other columns are not read.
@@ -124,16 +127,17 @@ class SuffixBlock:
         left = data[self.starts - 1].astype(np.int64)
         # At the head of a stretch the text to the left is another item's: always taken as different.
         self.left = np.where(inside == 0, -1 - self.owner, left)
-        self._sort(data, n)
+        self._sort(data, n, int(sizes.max(initial=0)))
 
-    def _sort(self, data: np.ndarray, n: int) -> None:
+    def _sort(self, data: np.ndarray, n: int, longest: int) -> None:
         key = np.zeros(n, np.uint64)
         for j in range(8):
             key = (key << np.uint64(8)) | data[j : j + n]
         ranks = []
         rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
         size = 8
-        while size * 2 <= 256:
+        # Order and common prefixes are exact up to three times the last size: doubled until the longest stretch fits.
+        while size * 2 <= 256 or 3 * size < longest:
             ranks.append((size, rank))
             rank = self._double(rank, rank, size)
             size *= 2
@@ -165,7 +169,7 @@ class SuffixBlock:
     def _double(first: np.ndarray, second: np.ndarray, step: int) -> np.ndarray:
         n = len(first)
         key = first.astype(np.int64) * (n + 1)
-        key[: n - step] += second[step:].astype(np.int64) + 1
+        key[: max(n - step, 0)] += second[step:].astype(np.int64) + 1
         return np.unique(key, return_inverse=True)[1].astype(np.int32)
 
     def intervals(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -373,6 +377,100 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(of, schema)
 
 
+def repeat_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Every place (``r_id``, ``r_own``, ``start``) where a maximal repeat may begin, and some others.
+
+    Inside an item the byte to the left is known, so a window there counts only if it has other bytes to the left in
+    other items of its anchor; equal items are looked at once.  The head of an item always counts.
+    """
+    table = write_stage(item_table(rows, length), "items")
+    often = table.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("times > 1")
+    often = write_stage(often.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "counted")
+    often = write_stage(table.join(often, "anchor"), "repeated")
+    wanted = often.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "own", "lo", "n")).alias("first"))
+    wanted = wanted.select("anchor", F.col("first.doc_id").alias("r_id"), F.col("first.own").alias("r_own"), F.col("first.lo").alias("lo"), F.col("first.n").alias("n"), "copies", F.lit(False).alias("large"))
+    stretches = stretches_of(rows, wanted, length).select("anchor", "bytes")
+    names = ["anchor", "whole", "window", "at", "left"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for part in slices(batches, "bytes", PIECE // 8):
+            for anchor, text in zip(part.column("anchor").to_pylist(), texts_of(part, "bytes"), strict=True):
+                n = len(text) - length + 1
+                window = np.array([digest(text[k : k + length]) for k in range(n)], np.uint64)
+                left = np.concatenate(([-1], np.frombuffer(text, np.uint8)[: n - 1])).astype(np.int32)
+                whole = np.array([digest(text)], np.uint64).view(np.int64)
+                arrays = [pa.array(np.full(n, anchor, np.int64)), pa.array(np.repeat(whole, n)), pa.array(window.view(np.int64)), pa.array(np.arange(n)), pa.array(left)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    windows = write_stage(stretches.mapInArrow(of, "anchor long, whole long, window long, at long, left int"), "windows")
+    diverse = windows.groupBy("window").agg(F.min("left").alias("a"), F.max("left").alias("b")).where("a <> b").select("window")
+    inner = windows.where("at > 0").join(write_stage(diverse, "diverse"), "window").select("anchor", "whole", "at").distinct()
+    inner = often.join(write_stage(inner, "inner"), ["anchor", "whole"]).select(F.col("doc_id").alias("r_id"), F.col("own").alias("r_own"), (F.col("lo") + F.col("at")).alias("start"))
+    heads = often.select(F.col("doc_id").alias("r_id"), F.col("own").alias("r_own"), F.col("lo").alias("start"))
+    return write_stage(heads.unionByName(inner).distinct(), "starts")
+
+
+def stretch_digests(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (row key, ``start``, ``lo``, ``mid``, ``hi``, ``n_lo``, ``n_hi``) with ``copies`` of its row, the byte to
+    the left (-1 at the head of a text) and the 128-bit hash of the ``mid`` bytes from ``start``, null past the end."""
+    numbers = ["start", "lo", "mid", "hi", "n_lo", "n_hi"]
+    listed = asked.groupBy("r_id", "r_own").agg(F.collect_list(F.struct(*numbers)).alias("asked"))
+    joined = texts.join(listed, same_row(texts, listed)).select("doc_id", "own", "copies", "text", "asked")
+    key = [T.StructField("r_id", texts.schema["doc_id"].dataType), T.StructField("r_own", T.LongType()), T.StructField("copies", T.LongType())]
+    schema = T.StructType([*key, *(T.StructField(c, T.LongType()) for c in numbers), T.StructField("left", T.IntegerType()), T.StructField("hash", T.StringType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PIECE // 8):
+            for k, text in enumerate(texts_of(part, "text")):
+                view = memoryview(text)
+                wanted = part.column("asked").slice(k, 1).flatten()
+                columns = [wanted.field(c) for c in numbers]
+                start, mid = columns[0].to_pylist(), columns[2].to_pylist()
+                left = [text[a - 1] if a else -1 for a in start]
+                found = [xxhash.xxh3_128_hexdigest(view[a : a + d]) if a + d <= len(text) else None for a, d in zip(start, mid, strict=True)]
+                rows = pa.array(np.full(len(start), k))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("doc_id", "own", "copies")), *columns, pa.array(left, pa.int32()), pa.array(found, pa.string())], schema.names)
+
+    return joined.mapInArrow(of, schema)
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Maximal repeats of any length, a row for each occurrence: ``group``, ``length``, ``times``, row key and ``start``.
+
+    The places that share a window form a group; with growing depth a group splits until its members stand alone, and
+    each depth at which a group with different bytes to the left splits is a maximal repeat.  These depths are found by
+    halving: when a group is as large at the end of a range of depths as at its start, no split lies between.  All
+    members of a group ask for the same depths, groups are counted by hash with combining before the shuffle, and
+    rounds are the logarithm of the longest text.  Equal rows give equal occurrences.  Groups can be nested, so a text
+    that is periodic over n bytes has some n * n / 2 rows.
+    """
+    rows = row_keys(docs, id_col, text_col)
+    texts = write_stage(rows.groupBy("doc_id", "own").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
+    longest = texts.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    width = 1
+    while length + width <= longest:
+        width *= 2
+    one = F.lit(1).cast("long")
+    depth = lambda d: F.lit(d).cast("long")
+    asked = repeat_starts(rows, length).withColumns({"lo": depth(length - width), "mid": depth(length), "hi": depth(length + width), "n_lo": one, "n_hi": one})
+    kept = ["r_id", "r_own", "start"]
+    first = True
+    while first or width > 1:
+        found = write_stage(stretch_digests(texts, asked), "digests")
+        left = F.min("left")
+        counts = found.where("hash is not null").groupBy("mid", "hash").agg(F.sum("copies").alias("n"), ((left < 0) | (left != F.max("left"))).alias("diverse")).where("n > 1")
+        found = found.join(write_stage(counts, "counts"), ["mid", "hash"], "left").withColumn("n_mid", F.coalesce("n", one))
+        deeper = found.where("diverse and n_mid > n_hi").select(*kept, F.col("mid").alias("lo"), "hi", F.col("n_mid").alias("n_lo"), "n_hi")
+        # The first depth has nothing above it; later ones halve the range.
+        asked = deeper if first else deeper.unionByName(found.where("n_lo > n_mid").select(*kept, "lo", F.col("mid").alias("hi"), "n_lo", F.col("n_mid").alias("n_hi")))
+        width, first = (width if first else width // 2), False
+        asked = write_stage(asked.withColumn("mid", F.expr("(lo + hi) div 2")), "asked")
+    found = stretch_digests(texts, asked.withColumn("mid", F.col("lo")))
+    every = found.withColumn("copy", F.explode(F.sequence(one, F.col("copies"))))
+    return every.select(F.col("hash").alias("group"), F.col("mid").alias("length"), F.col("n_lo").alias("times"), F.col("r_id").alias("doc_id"), F.col("r_own").alias("own"), "start")
+
+
 def maximal_repeats(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeat groups (length, [(text, start)]) of a few texts, by one suffix block over whole texts."""
     kept = [(i, t) for i, t in enumerate(texts) if len(t) >= length]

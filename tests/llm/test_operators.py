@@ -294,6 +294,51 @@ def test_maximal_repeats():
     assert (60, ((0, 1), (2, 1))) in groups and (50, ((0, 1), (1, 1), (2, 1))) in groups
 
 
+def brute_groups(texts, length):
+    """Maximal repeats by refining groups of equal prefixes a byte at a time."""
+    level = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            level[t[i : i + length]].append((k, i))
+    out, depth, level = set(), length, [v for v in level.values() if len(v) > 1]
+    while level:
+        deeper = []
+        for places in level:
+            parts = collections.defaultdict(list)
+            for k, i in places:
+                parts[texts[k][i + depth] if i + depth < len(texts[k]) else (k, i)].append((k, i))
+            if len({texts[k][i - 1] if i else (k,) for k, i in places}) > 1:
+                if len(parts) > 1:
+                    out.add((depth, tuple(sorted(places))))
+                deeper += [v for v in parts.values() if len(v) > 1]
+        level, depth = deeper, depth + 1
+    return out
+
+
+def test_repeat_groups(spark, empty):
+    rng = np.random.default_rng(12)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    long = word("abcd é", 5000)
+    texts = [word("wx", 30) + long + word("wx", 50), long[700:] + word("yz", 20), word("uv", 600) + long[:2000] + word("yz", 9), long[100:1300], long[100:1300], "z" * 420, word("st", 450) * 2, None, "", "q" + long[-450:]]
+    raw = [(t or "").encode() for t in texts]
+    want = brute_groups(raw, repeats.LENGTH)
+    assert max(n for n, _ in want) > 3000
+    assert {(n, tuple(p)) for n, p in repeats.maximal_repeats(raw)} == want
+    schema = "doc_id long, text string"
+
+    def groups(rows):
+        found = collections.defaultdict(list)
+        for r in repeats.repeat_groups(spark.createDataFrame(rows, schema)).collect():
+            found[r.group, r.length, r.times].append((r.doc_id, r.start))
+        assert all(times == len(p) for (_, _, times), p in found.items())
+        return {(n, tuple(sorted(p))) for (_, n, _), p in found.items()}
+
+    assert groups(list(enumerate(texts))) == want
+    # Equal rows repeat each other throughout.
+    assert groups([(7, long), (7, long)]) == {(len(long.encode()), ((7, 0), (7, 0)))}
+    assert repeats.repeat_groups(empty).count() == 0
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(600, 8)).astype(np.float32)
