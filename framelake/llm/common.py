@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,19 @@ SLICE_BYTES = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: The folders that ``write_stage`` has written, by the DataFrames that read them.
+WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one when it is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``; on a local master only (tests) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
     return context.getCheckpointDir()
 
@@ -34,7 +42,28 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    return out
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the files of a written stage that nothing reads any more."""
+    path = WRITTEN.pop(df, None)
+    if path is not None:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def beside(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(``row``, ``text``): every row as a struct, whatever its columns are called, and its text with null read as empty."""
+    return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), text_column(text_col).alias("text"))
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_column(name: str = "text") -> Column:

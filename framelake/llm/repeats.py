@@ -6,13 +6,15 @@ at equal places, so a repeat is found by comparing only windows with one anchor
 anchor form an item, the stretch of text under them; items are some 185 windows long.
 
 * Items whose anchor hash occurs once have no repeats; they are dropped by a count that combines before the shuffle.
-* Items that are equal as a whole repeat throughout: one of them is kept as their representative.
-* The text of the distinct items of an anchor meets in one task.  There an enhanced suffix array over them (prefix
-  doubling, common-prefix lengths from the doubled ranks, the byte to the left) is scanned with a stack.  It gives the
-  common-prefix intervals, and an interval of depth >= LENGTH whose suffixes have different bytes to the left is a
-  maximal repeat: all its occurrences are put out, not just neighbours in the array.
-* An anchor with more than ``GROUP`` distinct items would fill a task.  Its windows go by their own hashes instead,
-  counted with combining before the shuffle and joined back, which deals the group out over all tasks.
+* Items that are equal as a whole (by a 128-bit digest of their bytes) are one leaf of their anchor's tree, which occurs
+  as often as they do: a leaf of more than one occurrence repeats to its full depth.  One of them represents them.
+* The text of the distinct items of an anchor meets in one task.  There windows that no other equals are left out, and
+  an enhanced suffix array over the rest (prefix doubling, common-prefix lengths from the doubled ranks, the byte to the
+  left) is scanned with a stack.  It gives the common-prefix intervals, and an interval of depth >= LENGTH whose suffixes
+  have different bytes to the left is a maximal repeat: all its occurrences are put out, not just neighbours in the array.
+* An anchor with more than ``GROUP`` distinct items would fill a task.  Its items are dealt out anew by anchors of more
+  bytes, chosen within their windows by the same rule, level by level (``LEVELS``).  An anchor of the last level is a
+  whole window, so a group there is the occurrences of one window, and any group ends small or as one leaf.
 
 ``remove_repeats`` takes the ranges that repeats cover out of the texts; ``repeat_groups`` lists the maximal repeats
 themselves, of any length and with every occurrence.
@@ -34,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_column, texts_of, utf8, write_stage
+from .common import drop_stage, slices, text_column, texts_of, utf8, write_stage
 
 LENGTH, K = 400, 32
 #: Bytes whose windows are hashed together, and bytes of text under one suffix array (a larger group stands alone).
 PIECE, BLOCK = 1 << 20, 1 << 20
-#: Distinct items of one anchor that meet in a task: some 600 bytes each.
+#: Distinct items of one anchor that meet in a task, some 600 bytes each; a larger group is split by longer anchors.
 GROUP = 2048
+#: Bytes of the anchors of each level; the last level's are whole windows.
+LEVELS = (K, 128)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = 255  # no byte of UTF-8
 
@@ -111,23 +115,53 @@ def items(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int =
 
 
 class SuffixBlock:
-    """Enhanced suffix array over stretches of text; ``starts`` are the places whose suffixes take part."""
+    """Enhanced suffix array over stretches of text.
+
+    Only windows that occur twice at least (by a rolling hash, so some others may stay) take part: the runs of them are
+    cut out, which loses nothing, since every later window under a common prefix is such a window too.  A suffix has
+    its place ``starts`` in the array's text, the stretch ``owner`` and the place in it ``inside``.
+    """
 
     def __init__(self, stretches: list[bytes], length: int = LENGTH) -> None:
         self.length = length
+        whole = bytes([END]).join(stretches)
         sizes = np.array([len(s) for s in stretches], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        data = np.frombuffer(bytes([END]).join(stretches) + bytes([END]) * 8, np.uint8)
+        first = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
+        runs = self._runs(np.frombuffer(whole, np.uint8), first, sizes)
+        own, lo, windows = runs
+        bytes_ = windows + length - 1
+        at = (first[own] + lo).tolist()
+        data = np.frombuffer(bytes([END]).join([whole[a : a + n] for a, n in zip(at, bytes_.tolist(), strict=True)]) + bytes([END]) * 8, np.uint8)
         n = len(data) - 7
-        windows = sizes - length + 1
-        self.owner = np.repeat(np.arange(len(stretches)), windows)
-        inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        self.starts = self.first[self.owner] + inside
-        self.remaining = sizes[self.owner] - inside
-        left = data[self.starts - 1].astype(np.int64)
+        begin = np.concatenate(([0], np.cumsum(bytes_ + 1)))[:-1]
+        run = np.repeat(np.arange(len(own)), windows)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.owner, self.inside = own[run], lo[run] + step
+        self.starts = begin[run] + step
+        self.remaining = bytes_[run] - step
         # At the head of a stretch the text to the left is another item's: always taken as different.
-        self.left = np.where(inside == 0, -1 - self.owner, left)
-        self._sort(data, n, int(sizes.max(initial=0)))
+        before = np.frombuffer(whole, np.uint8)[np.maximum(first[self.owner] + self.inside - 1, 0)] if len(run) else np.zeros(0, np.uint8)
+        self.left = np.where(self.inside == 0, -1 - self.owner, before.astype(np.int64))
+        self._sort(data, n, int(bytes_.max(initial=0)))
+
+    def _runs(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, first window, windows) of the runs of windows whose hash occurs more than once."""
+        windows = np.maximum(sizes - self.length + 1, 0)
+        owner = np.repeat(np.arange(len(sizes)), windows)
+        none = np.zeros(0, np.int64)
+        if not len(owner):
+            return none, none, none
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        own = hashes(data, self.length)[first[owner] + inside]
+        ordered = np.sort(own)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if not len(twice):
+            return none, none, none
+        again = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+        joined = again[1:] & again[:-1] & (owner[1:] == owner[:-1])
+        heads = np.flatnonzero(again & ~np.concatenate(([False], joined)))
+        tails = np.flatnonzero(again & ~np.concatenate((joined, [False])))
+        return owner[heads], inside[heads], tails - heads + 1
 
     def _sort(self, data: np.ndarray, n: int, longest: int) -> None:
         key = np.zeros(n, np.uint64)
@@ -220,50 +254,65 @@ def covered(block: SuffixBlock) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``doc_id``, ``own`` hash of the text, ``text``): the two first tell rows apart."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_column(text_col)).alias("own"), text_column(text_col).alias("text"))
+    """(``doc_id``, ``own`` hash of the text, ``base``, ``copies``, ``text``): the first three tell texts apart."""
+    text = text_column(text_col)
+    one = F.lit(1).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("own"), F.lit(0).cast("long").alias("base"), one.alias("copies"), text.alias("text"))
+
 
+def same_text(left: DataFrame, right: DataFrame) -> Column:
+    """The join condition on texts; the right side's keys are ``r_id``, ``r_own`` and ``r_base``."""
+    return left["doc_id"].eqNullSafe(right["r_id"]) & (left["own"] == right["r_own"]) & (left["base"] == right["r_base"])
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """The join condition on row keys; the right side's are ``r_id`` and ``r_own``."""
-    return left["doc_id"].eqNullSafe(right["r_id"]) & (left["own"] == right["r_own"])
 
+def keyed(kind: T.DataType, *fields: tuple[str, T.DataType]) -> T.StructType:
+    """A schema of a text's keys and other fields."""
+    keys = [("doc_id", kind), ("own", T.LongType()), ("base", T.LongType())]
+    return T.StructType([T.StructField(name, type_) for name, type_ in (*keys, *fields)])
 
-def item_table(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Items of all rows: ``anchor``, ``whole`` (hash of the item's text), row key, first window, windows."""
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("own", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("n", T.IntegerType())])
+
+def item_table(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """Items of all texts: their text's keys and ``copies``, ``anchor``, ``whole`` and ``check`` (together a 128-bit
+    digest of the item's bytes), first window in the row, windows."""
+    longs = [(name, T.LongType()) for name in ("copies", "anchor", "whole", "check", "lo")]
+    schema = keyed(texts.schema["doc_id"].dataType, *longs, ("n", T.IntegerType()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for part in slices(batches, "text", PIECE):
             data, offsets = utf8(part.column("text"))
-            docs, lo, n, anchors = items(data, offsets, length)
+            docs, lo, n, anchors = items(data, offsets, length, k)
             begin = offsets[docs] + lo
             view = memoryview(data)
-            whole = np.array([digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)], np.uint64)
+            whole = b"".join([digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)])
+            whole, check = np.frombuffer(whole, np.int64).reshape(-1, 2).T
             where = pa.array(docs.astype(np.int64))
-            arrays = [pa.array(anchors.view(np.int64)), pa.array(whole.view(np.int64)), part.column("doc_id").take(where), part.column("own").take(where), pa.array(lo, pa.int64()), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            keys = [part.column(name).take(where) for name in ("doc_id", "own", "base", "copies")]
+            lo = lo + keys[2].to_numpy()
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(anchors.view(np.int64)), pa.array(whole), pa.array(check), pa.array(lo, pa.int64()), pa.array(n, pa.int32())], schema.names)
 
-    return rows.mapInArrow(of, schema)
+    return texts.mapInArrow(of, schema)
 
 
-def stretches_of(rows: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The text under representatives: ``anchor``, ``bytes``, row key, ``lo``, ``copies``, ``large``."""
-    listed = wanted.groupBy("r_id", "r_own").agg(F.collect_list(F.struct("anchor", "lo", "n", "copies", "large")).alias("wanted"))
-    joined = rows.join(listed, same_row(rows, listed)).select("doc_id", "own", "text", "wanted")
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("bytes", T.BinaryType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("own", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("large", T.BooleanType())])
+def stretches_of(texts: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The text under representatives, as texts of their own: ``base`` is their first byte; also ``anchor`` and ``large``."""
+    listed = wanted.groupBy("r_id", "r_own", "r_base").agg(F.collect_list(F.struct("anchor", "lo", "n", "copies", "large")).alias("wanted"))
+    joined = texts.join(listed, same_text(texts, listed)).select("doc_id", "own", "base", "text", "wanted")
+    schema = keyed(texts.schema["doc_id"].dataType, ("copies", T.LongType()), ("text", T.BinaryType()), ("anchor", T.LongType()), ("large", T.BooleanType()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             out: list[list] = [[] for _ in range(6)]
+            bases = part.column("base").to_pylist()
             for k, (text, wanted_) in enumerate(zip(texts_of(part, "text"), part.column("wanted").to_pylist(), strict=True)):
                 for w in wanted_:
-                    for column, value in zip(out, (k, w["anchor"], text[w["lo"] : w["lo"] + w["n"] + length - 1], w["lo"], w["copies"], w["large"]), strict=True):
+                    at = w["lo"] - bases[k]
+                    for column, value in zip(out, (k, w["lo"], w["copies"], text[at : at + w["n"] + length - 1], w["anchor"], w["large"]), strict=True):
                         column.append(value)
             where = pa.array(out[0], pa.int64())
-            arrays = [pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), part.column("doc_id").take(where), part.column("own").take(where), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+            keys = [part.column(name).take(where) for name in ("doc_id", "own")]
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))], schema.names)
 
     return joined.mapInArrow(of, schema)
 
@@ -275,20 +324,20 @@ def repeats_in_groups(stretches: DataFrame, length: int = LENGTH) -> DataFrame:
     grouped = stretches.drop("large").repartition("anchor").sortWithinPartitions("anchor")
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        block = SuffixBlock(batch.column("bytes").to_pylist(), length)
+        block = SuffixBlock(batch.column("text").to_pylist(), length)
         where, sizes = covered(block)
         owner = block.owner[where]
         single = batch.column("copies").to_numpy()[owner] == 1
         where, sizes, owner = where[single], sizes[single], owner[single]
-        start = batch.column("lo").to_numpy()[owner] + block.starts[where] - block.first[owner]
+        start = batch.column("base").to_numpy()[owner] + block.inside[where]
         rows = pa.array(owner)
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("own").take(rows), pa.array(start), pa.array(start + sizes)], schema.names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
-        for part in slices(batches, "bytes", BLOCK):
+        for part in slices(batches, "text", BLOCK):
             held = part if held is None else pa.concat_batches([held, part])
-            if held.column("bytes").nbytes < BLOCK:
+            if held.column("text").nbytes < BLOCK:
                 continue
             others = np.flatnonzero(held.column("anchor").to_numpy() != held.column("anchor")[-1].as_py())
             if len(others):
@@ -300,49 +349,46 @@ def repeats_in_groups(stretches: DataFrame, length: int = LENGTH) -> DataFrame:
     return grouped.mapInArrow(of, schema)
 
 
-def repeats_by_window(stretches: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``repeats_in_groups`` for groups of any size: windows are counted by (anchor, their own hash)."""
-    kind = stretches.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("window", T.LongType()), T.StructField("r_id", kind), T.StructField("r_own", T.LongType()), T.StructField("start", T.LongType()), T.StructField("copies", T.LongType())])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for part in slices(batches, "bytes", PIECE // 8):
-            data, offsets = utf8(part.column("bytes"))
-            view = memoryview(data)
-            n = np.diff(offsets) - length + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            window = np.array([digest(view[a : a + length]) for a in (offsets[owner] + inside).tolist()], np.uint64)
-            rows = pa.array(owner)
-            taken = {name: part.column(name).take(rows) for name in ("anchor", "doc_id", "own", "lo", "copies")}
-            start = pa.array(taken["lo"].to_numpy() + inside)
-            yield pa.RecordBatch.from_arrays([taken["anchor"], pa.array(window.view(np.int64)), taken["doc_id"], taken["own"], start, taken["copies"]], schema.names)
-
-    windows = stretches.drop("large").mapInArrow(of, schema)
-    often = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor", "window")
-    singles = windows.where("copies = 1").join(often, ["anchor", "window"])
-    return singles.select("r_id", "r_own", "start", (F.col("start") + length).alias("stop"))
-
-
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Byte ranges of ``rows`` (from ``row_keys``) covered by repeats: ``r_id``, ``r_own``, ``start``, ``stop``."""
-    table = write_stage(item_table(rows, length), "items")
-    often = table.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("times > 1")
+def repeated_items(texts: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Items whose anchor occurs again, with ``mixed`` where its items differ; and the representatives of the mixed
+    anchors' distinct items: ``first`` (text's keys, ``lo``, ``n``) and ``copies``.  Both are written."""
+    table = write_stage(item_table(texts, length, k), "items")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "check") for f in (F.min, F.max)]
+    often = table.groupBy("anchor").agg(F.sum("copies").alias("times"), *ends).where("times > 1")
     # Counts are written before the join, so that both of its sides are plain exchanges and a hot anchor can be split.
-    often = write_stage(often.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "counted")
+    often = write_stage(often.select("anchor", F.expr("min_whole <> max_whole OR min_check <> max_check").alias("mixed")), "counted")
     often = write_stage(table.join(often, "anchor"), "repeated")
-    mixed = often.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "own", "lo", "n")).alias("first"))
-    mixed = write_stage(mixed, "distinct")
-    large = mixed.groupBy("anchor").agg(F.count("*").alias("size")).select("anchor", (F.col("size") > group).alias("large"))
-    wanted = mixed.join(large, "anchor").select("anchor", F.col("first.doc_id").alias("r_id"), F.col("first.own").alias("r_own"), F.col("first.lo").alias("lo"), F.col("first.n").alias("n"), "copies", "large")
-    stretches = write_stage(stretches_of(rows, wanted, length), "stretches")
-    stop = (F.col("lo") + F.col("n") + (length - 1)).alias("stop")
-    keys = [F.col("doc_id").alias("r_id"), F.col("own").alias("r_own"), F.col("lo").alias("start"), stop]
-    alike = often.where("not mixed").select(*keys)
-    twice = often.where("mixed").join(mixed.where("copies > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select(*keys)
-    inner = repeats_in_groups(stretches.where("not large"), length)
-    return alike.unionByName(twice).unionByName(inner).unionByName(repeats_by_window(stretches.where("large"), length))
+    drop_stage(table)
+    mixed = often.where("mixed").groupBy("anchor", "whole", "check").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "own", "base", "lo", "n")).alias("first"))
+    return often, write_stage(mixed, "distinct")
+
+
+def representatives(mixed: DataFrame, large: Column) -> DataFrame:
+    """What ``stretches_of`` takes."""
+    keys = [F.col(f"first.{name}").alias(alias) for name, alias in (("doc_id", "r_id"), ("own", "r_own"), ("base", "r_base"), ("lo", "lo"), ("n", "n"))]
+    return mixed.select("anchor", *keys, "copies", large.alias("large"))
+
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP, levels: tuple[int, ...] | None = None) -> DataFrame:
+    """Byte ranges of ``texts`` (as from ``row_keys``) covered by repeats: ``r_id``, ``r_own``, ``start``, ``stop``.
+
+    Texts with more than one copy have their ranges already; they only show what else repeats."""
+    k, *deeper = levels or (*(k for k in LEVELS if k < length), length)
+    often, mixed = repeated_items(texts, length, k)
+    sizes = mixed.groupBy("anchor").agg(F.count("*").alias("size")).where(F.lit(bool(deeper)) & (F.col("size") > group))
+    sizes = write_stage(sizes, "large")
+    wanted = representatives(mixed.join(sizes, "anchor", "left"), F.col("size").isNotNull())
+    stretches = write_stage(stretches_of(texts, wanted, length), "stretches")
+    keys = [F.col("doc_id").alias("r_id"), F.col("own").alias("r_own"), F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")]
+    single = often.where("copies = 1")
+    alike = single.where("not mixed").select(*keys)
+    names = ["anchor", "whole", "check"]
+    twice = single.where("mixed").join(mixed.where("copies > 1").select(*names), names, "left_semi").select(*keys)
+    found = alike.unionByName(twice).unionByName(repeats_in_groups(stretches.where("not large"), length))
+    if not sizes.isEmpty():
+        again = stretches.where("large").drop("anchor", "large")
+        found = found.unionByName(repeated_ranges(again, length, group, tuple(deeper)))
+    return found
 
 
 def without(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -361,7 +407,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes that stay) and its SHA-256."""
     rows = row_keys(docs, id_col, text_col)
     ranges = repeated_ranges(rows, length, group).groupBy("r_id", "r_own").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = rows.join(ranges, same_row(rows, ranges), "left").select("doc_id", "text", "ranges")
+    same = rows["doc_id"].eqNullSafe(ranges["r_id"]) & (rows["own"] == ranges["r_own"])
+    joined = rows.join(ranges, same, "left").select("doc_id", "text", "ranges")
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,23 +430,19 @@ def repeat_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     Inside an item the byte to the left is known, so a window there counts only if it has other bytes to the left in
     other items of its anchor; equal items are looked at once.  The head of an item always counts.
     """
-    table = write_stage(item_table(rows, length), "items")
-    often = table.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("times > 1")
-    often = write_stage(often.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "counted")
-    often = write_stage(table.join(often, "anchor"), "repeated")
-    wanted = often.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "own", "lo", "n")).alias("first"))
-    wanted = wanted.select("anchor", F.col("first.doc_id").alias("r_id"), F.col("first.own").alias("r_own"), F.col("first.lo").alias("lo"), F.col("first.n").alias("n"), "copies", F.lit(False).alias("large"))
-    stretches = stretches_of(rows, wanted, length).select("anchor", "bytes")
+    often, mixed = repeated_items(rows, length)
+    stretches = stretches_of(rows, representatives(mixed, F.lit(False)), length).select("anchor", "text")
     names = ["anchor", "whole", "window", "at", "left"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for part in slices(batches, "bytes", PIECE // 8):
-            for anchor, text in zip(part.column("anchor").to_pylist(), texts_of(part, "bytes"), strict=True):
+        for part in slices(batches, "text", PIECE // 8):
+            for anchor, text in zip(part.column("anchor").to_pylist(), texts_of(part, "text"), strict=True):
                 n = len(text) - length + 1
+                # Equal windows have equal hashes; unequal ones that share a hash only make a start too many.
                 window = np.array([digest(text[k : k + length]) for k in range(n)], np.uint64)
                 left = np.concatenate(([-1], np.frombuffer(text, np.uint8)[: n - 1])).astype(np.int32)
-                whole = np.array([digest(text)], np.uint64).view(np.int64)
+                whole = np.frombuffer(xxhash.xxh3_128_digest(text), np.int64)[:1]
                 arrays = [pa.array(np.full(n, anchor, np.int64)), pa.array(np.repeat(whole, n)), pa.array(window.view(np.int64)), pa.array(np.arange(n)), pa.array(left)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -416,7 +459,8 @@ def stretch_digests(texts: DataFrame, asked: DataFrame) -> DataFrame:
     the left (-1 at the head of a text) and the 128-bit hash of the ``mid`` bytes from ``start``, null past the end."""
     numbers = ["start", "lo", "mid", "hi", "n_lo", "n_hi"]
     listed = asked.groupBy("r_id", "r_own").agg(F.collect_list(F.struct(*numbers)).alias("asked"))
-    joined = texts.join(listed, same_row(texts, listed)).select("doc_id", "own", "copies", "text", "asked")
+    same = texts["doc_id"].eqNullSafe(listed["r_id"]) & (texts["own"] == listed["r_own"])
+    joined = texts.join(listed, same).select("doc_id", "own", "copies", "text", "asked")
     key = [T.StructField("r_id", texts.schema["doc_id"].dataType), T.StructField("r_own", T.LongType()), T.StructField("copies", T.LongType())]
     schema = T.StructType([*key, *(T.StructField(c, T.LongType()) for c in numbers), T.StructField("left", T.IntegerType()), T.StructField("hash", T.StringType())])
 
@@ -477,7 +521,7 @@ def maximal_repeats(texts: list[bytes], length: int = LENGTH) -> list[tuple[int,
     block = SuffixBlock([t for _, t in kept], length)
     groups = []
     for depth, suffixes in block.intervals():
-        places = sorted((kept[o][0], int(s - block.first[o])) for o, s in zip(block.owner[suffixes].tolist(), block.starts[suffixes].tolist(), strict=True))
+        places = sorted((kept[o][0], at) for o, at in zip(block.owner[suffixes].tolist(), block.inside[suffixes].tolist(), strict=True))
         groups.append((depth, places))
     return groups
 
