@@ -6,17 +6,18 @@ shorter item) hits its words, and the suffix links lead from the match to the st
 the items that contain it.  Words that no test item has reset the match, so only runs of known words are streamed.
 
 The automaton is sent to the tasks, so its size is bounded: items are dealt into blocks of at most ``BLOCK_WORDS``
-words (an item longer than that is cut into parts that overlap by a window), and the documents pass the blocks one
-after another, each pass adding its hits to the row.  Nothing is shuffled and no document leaves its task.
-
-Nulls and edge cases: a null text or item has no words; an item without words is no window; a null ``item_id`` takes
-no part.  Items that share an id count once.  Repeated documents give repeated rows.  Tables may be empty; other
-columns are not read by the scan and are kept by ``decontaminate`` (names starting with ``__dc`` are reserved).
+words (an item longer than that is cut into parts that overlap by a window).  One block is one pass over the documents
+in which nothing is shuffled and no document leaves its task.  With more blocks every pass reads the documents and puts
+out the hits alone, by a digest of the text; they are merged and joined with the documents once, at the end.
+
+Nulls and edge cases: a null text or item has no words; an item without words is no window; windows of an item without
+an id hit words and name no item.  Items that share an id count once.  Repeated documents give repeated rows.  Tables
+may be empty.  Other columns are not read by ``contamination``; ``decontaminate`` keeps them as they are, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_column, texts_of, write_stage
+from .common import beside, slices, text_column, texts_of, write_stage
 
 WINDOW = 13
 #: A document is contaminated when hit words are at least one in this many.
 COVERAGE = 20
-#: Words of test items in one automaton: two states a word, so some 400 MB in a task at the very most.
-BLOCK_WORDS = 400_000
+#: Words of test items in one automaton: two states a word, so some 200 MB in a task at the very most.
+BLOCK_WORDS = 200_000
 #: Keeps 0-9, a-z and all bytes of code points above 127; lower-cases A-Z; anything else is a space.
 NORMAL = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -44,7 +45,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of word sequences; ``windows`` knows the items of each window state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -60,10 +61,10 @@ class Automaton:
                 for i in ids:
                     last = self._extend(last, i)
             elif ids:
-                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), set()).add(item)
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), set()).update(named(item))
         for item, ids in coded:
             for _, state in self.matches(ids):
-                self.windows.setdefault(state, set()).add(item)
+                self.windows.setdefault(state, set()).update(named(item))
         self.least = min([window, *self.short])
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
@@ -133,6 +134,11 @@ class Automaton:
         return merged(spans), items
 
 
+def named(item: str | None) -> tuple[str, ...]:
+    """An item's id, where it has one."""
+    return () if item is None else (item,)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching ranges made one."""
     out: list[tuple[int, int]] = []
@@ -144,10 +150,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Test items in blocks of bounded size, streamed to the driver one partition at a time."""
-    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("i"), text_column().alias("t"))
-    block: list[tuple[str, list[bytes]]] = []
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), text_column().alias("t"))
+    block: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for row in rows.toLocalIterator():
         words = words_of(row.t.encode())
@@ -163,62 +169,81 @@ def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = B
         yield block
 
 
-HITS = T.StructType([T.StructField("__dc_words", T.LongType()), T.StructField("__dc_spans", T.ArrayType(T.LongType())), T.StructField("__dc_items", T.ArrayType(T.StringType()))])
-
-
-def scan_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``__dc_words`` (count), ``__dc_spans`` (flat word ranges) and ``__dc_items`` (sorted ids)."""
-    context = docs.sparkSession.sparkContext
-    kept = docs.columns
-    rows = docs.withColumns({"__dc_text": text_column(text_col), "__dc_words": F.lit(0).cast("long"), "__dc_spans": F.array().cast("array<bigint>"), "__dc_items": F.array().cast("array<string>")})
-    schema = T.StructType([*docs.schema.fields, T.StructField("__dc_text", T.StringType()), *HITS.fields])
-
-    def pass_of(sent) -> DataFrame:
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton: Automaton = sent.value
-            for part in slices(batches, "__dc_text"):
-                n, spans, items = [], [], []
-                had_spans, had_items = part.column("__dc_spans").to_pylist(), part.column("__dc_items").to_pylist()
-                for k, text in enumerate(texts_of(part, "__dc_text")):
-                    words = words_of(text)
-                    got, names = automaton.scan(words)
-                    before = list(zip(had_spans[k][::2], had_spans[k][1::2], strict=True))
-                    n.append(len(words))
-                    spans.append([x for s in merged(before + got) for x in s])
-                    items.append(sorted(names.union(had_items[k])))
-                new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept) + 1], *new], part.schema.names)
-
-        return rows.select(*[f.name for f in schema.fields]).mapInArrow(of, schema)
-
-    passes = 0
-    for block in item_blocks(benchmark, window, block_words):
-        if passes:
-            rows = write_stage(rows, "block")
-        rows = pass_of(context.broadcast(Automaton(block, window)))
-        passes += 1
-    if not passes:
-        rows = pass_of(context.broadcast(Automaton([], window)))
-    return rows.drop("__dc_text")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit``, ``hit_spans``, ``items`` and ``contaminated``."""
-    found = scan_blocks(docs, benchmark, text_col, window, block_words)
-    flat = F.col("__dc_spans")
-    n_hit = F.aggregate(F.transform(flat, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
-    found = found.withColumns({"n_words": F.col("__dc_words"), "n_hit": n_hit, "hit_spans": flat, "items": F.col("__dc_items")}).drop("__dc_words", "__dc_spans", "__dc_items")
+SPANS, ITEMS = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+
+
+def pairs(flat: list[int]) -> list[tuple[int, int]]:
+    """Flat ranges as pairs."""
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def scan_block(rows: DataFrame, automaton: Automaton, keep: str) -> DataFrame:
+    """``keep``, ``n_words``, ``spans`` (flat word ranges) and ``items`` (sorted ids) of every row of (``keep``, ``text``)."""
+    sent = rows.sparkSession.sparkContext.broadcast(automaton)
+    schema = T.StructType([rows.schema[keep], T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            n, spans, items = [], [], []
+            for text in texts_of(part, "text"):
+                words = words_of(text)
+                found, names = sent.value.scan(words)
+                n.append(len(words))
+                spans.append([x for s in found for x in s])
+                items.append(sorted(names))
+            new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(keep), *new], schema.names)
+
+    return rows.select(keep, "text").mapInArrow(of, schema)
+
+
+def with_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """As ``scan_block`` gives them: rows of (``row``, ``text``) with the hits that all blocks found by their text's digest."""
+    gathered = hits.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = rows.withColumn("digest", F.sha1("text")).join(gathered, "digest", "left").select("row", "text", "spans", "items")
+    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            n = [len(words_of(t)) for t in texts_of(part, "text")]
+            spans = [[x for s in merged(pairs(flat or [])) for x in s] for flat in part.column("spans").to_pylist()]
+            items = [names or [] for names in part.column("items").to_pylist()]
+            new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column("row"), *new], schema.names)
+
+    return joined.mapInArrow(of, schema)
+
+
+def scan(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``row``, ``n_words``, ``n_hit``, ``hit_spans``, ``items`` and ``contaminated`` of every row of (``row``, ``text``)."""
+    blocks = item_blocks(benchmark, window, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        found = scan_block(rows, Automaton(first, window), "row")
+    else:
+        hits = None
+        texts = rows.select(F.sha1("text").alias("digest"), "text")
+        for block in (b for some in ((first, second), blocks) for b in some):
+            new = scan_block(texts, Automaton(block, window), "digest").where(F.size("spans") > 0)
+            # Copies of a text have the same hits: one of them is enough.
+            new = write_stage(new.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits")
+            hits = new if hits is None else hits.unionByName(new)
+        found = with_hits(rows, hits)
+    signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda s, x: s + x)
+    found = found.select("row", "n_words", n_hit.alias("n_hit"), F.col("spans").alias("hit_spans"), "items")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
-    """``docs`` without the rows that the rule calls contaminated; all other rows stay as they are."""
-    return contamination(docs, benchmark, text_col, window, coverage).where(~F.col("contaminated")).select(*docs.columns)
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """Per document: ``doc_id``, ``n_words``, ``n_hit``, ``hit_spans``, ``items`` and ``contaminated``."""
+    rows = beside(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("row", F.struct("row.doc_id"))
+    return scan(rows, benchmark, **limits).select("row.doc_id", "n_words", "n_hit", "hit_spans", "items", "contaminated")
 
 
-def digest(names: list[str]) -> str:
-    """The digest of sorted item ids, for tests."""
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **limits: int) -> DataFrame:
+    """``docs`` without the rows that the rule calls contaminated; all other rows stay as they are."""
+    return scan(beside(docs, text_col), benchmark, **limits).where(~F.col("contaminated")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -225,9 +225,9 @@ def brute_contamination(items, text):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = low(t)
-        if i is not None and w:
+        if w:
             for k in range(max(1, len(w) - 12)):
-                windows[tuple(w[k : k + 13])].add(str(i))
+                windows[tuple(w[k : k + 13])].update([] if i is None else [str(i)])
     w, hit, found = low(text), set(), set()
     for n in {len(k) for k in windows}:
         for k in range(len(w) - n + 1):
@@ -241,17 +241,18 @@ def brute_contamination(items, text):
 def test_decontamination(spark, awkward, empty, block):
     rng = np.random.default_rng(1)
     words = list("abcdefg")
-    items = [(k, " ".join(rng.choice(words, n))) for k, n in enumerate([5, 12, 13, 14, 20, 45, 60, 3])] + [(8, None), (9, "..."), (10, "The Quick-brown fox"), (None, "a b c"), (3, "b a b a b a b a b a b a b a b a b")]
+    items = [(k, " ".join(rng.choice(words, n))) for k, n in enumerate([5, 12, 13, 14, 20, 45, 60, 3])] + [(8, None), (9, "..."), (10, "The Quick-brown fox"), (None, "a zz c"), (3, "b a b a b a b a b a b a b a b a b")]
     texts = [" ".join(rng.choice(words + ["zz", "ÉÉ"], n)) for n in (0, 5, 30, 200, 800)] + [items[5][1] + " zz " + items[2][1], "THE quick... brown, FOX!", items[6][1].upper() * 3, None]
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, items string")
+    docs = spark.createDataFrame([(k, t, f"x{k}", -7, "y") for k, t in enumerate(texts)], "doc_id long, text string, items string, n_words int, `dotted.name` string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.contamination(docs.drop("items"), bench, block_words=block).collect()}
-    for k, t in enumerate(texts):
-        r = got[k]
-        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == brute_contamination(items, t), k
-    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    want = {k: brute_contamination(items, t) for k, t in enumerate(texts)}
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(docs, bench, block_words=block).collect()}
+    assert got == want
+    kept = decontaminate.decontaminate(docs, bench, block_words=block)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted((tuple(r) for r in docs.collect() if not want[r.doc_id][3]), key=lambda r: r[0])
     assert decontaminate.contamination(empty, bench).count() == 0
-    none = decontaminate.contamination(docs.drop("items"), bench.limit(0)).agg({"n_hit": "sum", "n_words": "sum"}).first()
+    none = decontaminate.contamination(docs, bench.limit(0)).agg({"n_hit": "sum", "n_words": "sum"}).first()
     assert none["sum(n_hit)"] == 0 and none["sum(n_words)"] > 900
     assert decontaminate.contamination(awkward, bench).count() == awkward.count()
 
