@@ -1,20 +1,22 @@
 """Secret scanning with structural confirmation.
 
 Base candidates are assignments to secret-like names, access key ids and long hexadecimal runs.  Structural
-confirmation looks further: base64 and hexadecimal candidates are decoded, and reported when the bytes parse as a key
-encoding - DER with nested lengths that add up, SSH length-prefixed fields, an armoured private key around such a
-body, or a signed token whose header and claims are JSON with an algorithm.  Confirmed spans are added; base ones stay.
+confirmation looks further: base64 (both alphabets, one run or lines of equal width) and hexadecimal candidates (either
+case) are decoded, and reported when the bytes parse throughout as a private key - DER whose nested lengths all add up and
+whose fields are those of an RSA, DSA, EC, PKCS#8 or encrypted PKCS#8 key, or the fields of an OpenSSH key file - or when
+a signed token's header and claims are JSON with an algorithm.  Public keys, certificates and signatures have other
+fields and are not reported.  Confirmed spans are added; base ones stay.
 
 Spans are (kind, start, end) in code points, end exclusive, of the whole match.  A scan is one pass over each row in
-its own task: nothing is shuffled.  Nulls and edge cases: a null or empty text has no spans; a null id keeps its row;
-repeated rows repeat; an empty table gives no rows.  Other columns are kept by ``redact`` and not read by the scan.
+its own task, in time linear in the text: nothing is shuffled.  Nulls and edge cases: a null or empty text has no spans; a
+null id keeps its row; repeated rows repeat; an empty table gives no rows.  ``redact`` keeps all other columns as they
+are, whatever their names; ``scan`` does not read them.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_column
+from .common import beside, slices, text_column
 
 # The base patterns and the shortest secret of each kind.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,10 +35,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "token", "armour", "der", "ssh")
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Runs of token characters; a signed token is three parts of one.
+TOKEN = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)*+")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/]+={0,2})")
+URL_BASE64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
+# How keys begin (DER's sequence tag, OpenSSH's name), and the object identifiers of encrypted PKCS#8.
+SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
+OPENSSH = b"openssh-key-v1\x00"
+ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
+SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-")
 REDACTED = "[REDACTED]"
 
 
@@ -63,51 +73,153 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (start + size, start + size + length) if length >= 128 else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE whose nested lengths fill it exactly and that holds integers, or an algorithm and a key string."""
-    outer = der_length(data, 0) if data[:1] == b"\x30" else None
-    if outer is None or outer[1] != len(data):
-        return False
-    tags, at = [], outer[0]
-    while at < outer[1]:
-        inner = der_length(data, at)
-        if inner is None or inner[1] > outer[1]:
-            return False
-        tags.append(data[at])
-        if data[at] == 0x30:
-            below = der_length(data, inner[0]) if inner[0] < inner[1] else None
-            if below is None or below[1] > inner[1]:
-                return False
-        at = inner[1]
-    integers = all(t == 0x02 for t in tags) and len(tags) >= 2
-    wrapped = 0x30 in tags and bool({0x03, 0x04} & set(tags))
-    curve = tags[:2] == [0x02, 0x04]
-    return integers or wrapped or curve
+def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, content start, content end) of the DER elements that fill ``at`` to ``end`` exactly, or None."""
+    found = []
+    while at < end:
+        content = der_length(data, at)
+        if content is None or content[1] > end:
+            return None
+        found.append((data[at], *content))
+        at = content[1]
+    return found
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields, the first of them an SSH key name, that fill the bytes; or an OpenSSH private key."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def well_formed(data: bytes) -> list[tuple[int, int, int]] | None:
+    """The fields of the one SEQUENCE that ``data`` is, when every nested length adds up; each element is seen once."""
+    outer = elements(data, 0, len(data)) if data[:1] == bytes([SEQUENCE]) else None
+    if outer is None or len(outer) != 1:
+        return None
+    fields = None
+    waiting = outer
+    while waiting:
+        tag, start, end = waiting.pop()
+        if tag & 0x20:
+            inner = elements(data, start, end)
+            if inner is None:
+                return None
+            if fields is None:
+                fields = list(inner)
+            waiting += inner
+        elif tag == INTEGER and start == end:
+            return None
+    return fields
+
+
+def is_der_key(data: bytes) -> bool:
+    """A private key in DER: RSA, DSA, EC, PKCS#8 or encrypted PKCS#8."""
+    fields = well_formed(data)
+    if not fields:
+        return False
+    tags = [tag for tag, _, _ in fields]
+    version = int.from_bytes(data[fields[0][1] : fields[0][2]], "big") if tags[0] == INTEGER else None
+    if tags[0] == SEQUENCE:
+        named = elements(data, fields[0][1], fields[0][2])
+        return tags == [SEQUENCE, OCTETS] and bool(named) and named[0][0] == OBJECT_ID and data[named[0][1] : named[0][2]].startswith(ENCRYPTED)
+    if set(tags) == {INTEGER}:
+        return version in (0, 1) and len(tags) == 9 or version == 0 and len(tags) == 6
+    if tags[:2] == [INTEGER, OCTETS]:
+        return version == 1 and fields[1][1] < fields[1][2] and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and version in (0, 1):
+        named = elements(data, fields[1][1], fields[1][2])
+        return bool(named) and named[0][0] == OBJECT_ID and fields[2][1] < fields[2][2] and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+    return False
+
+
+def ssh_fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at`` on (all of them or ``most``), and where they end; None where one runs over."""
+    fields: list[bytes] = []
+    while at < len(data) and len(fields) != most:
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
+            return None
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith(SSH_NAMES)
+    return fields, at
 
 
-def is_signed_token(text: str) -> bool:
-    """Three parts: a JSON header that names its algorithm, a JSON payload, and a signature."""
-    head, body, _ = text.split(".")
-    parts = [decoded(head), decoded(body)]
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH private key: cipher, derivation and its options, public keys with known names, and the private part."""
+    head = ssh_fields(data, len(OPENSSH), 3) if data.startswith(OPENSSH) else None
+    if head is None or len(head[0]) < 3 or not head[0][0].isascii():
+        return False
+    at = head[1]
+    keys = int.from_bytes(data[at : at + 4], "big")
+    rest = ssh_fields(data, at + 4)
+    if rest is None or not 1 <= keys == len(rest[0]) - 1:
+        return False
+    for public in rest[0][:-1]:
+        fields = ssh_fields(public, 0)
+        if fields is None or len(fields[0]) < 2 or not fields[0][0].startswith(SSH_NAMES):
+            return False
+    private = rest[0][-1]
+    # Unencrypted, it starts with one check number twice.
+    return len(private) >= 8 and len(private) % 8 == 0 and (head[0][0] != b"none" or private[:4] == private[4:8])
+
+
+def is_key(data: bytes | None) -> str | None:
+    """The kind of key that the bytes are."""
+    if not data:
+        return None
+    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def is_json_object(text: str) -> dict | None:
+    """The object that base64 decodes to, or None."""
+    data = decoded(text) if text.startswith("eyJ") else None
     try:
-        header, claims = (json.loads(p) for p in parts if p is not None)
+        found = json.loads(data) if data else None
     except (ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def signed_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """Three parts of a run: a JSON header that names its algorithm (from its part's first "eyJ"), JSON claims, a signature."""
+    for m in TOKEN.finditer(text):
+        if "eyJ" not in m[0] or m[0].count(".") < 2:
+            continue
+        parts, at = m[0].split("."), m.start()
+        skip = 0
+        for k, part in enumerate(parts[:-2]):
+            head = part.find("eyJ")
+            # The shortest header, {"alg":""}, takes 14 characters.
+            if not skip and 0 <= head <= len(part) - 14 and parts[k + 1].startswith("eyJ"):
+                header = is_json_object(part[head:])
+                if header is not None and isinstance(header.get("alg"), str) and is_json_object(parts[k + 1]) is not None:
+                    yield "token", at + head, at + sum(map(len, parts[k : k + 3])) + 2
+                    skip = 3
+            at += len(part) + 1
+            skip = max(skip - 1, 0)
+
+
+def keys_in_base64(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64: a run with the lines of its width that follow, as far as the key's own length asks, or a run alone.
+
+    The lines of a group that is no key are looked at one by one only, so that no line is joined over and over."""
+    done = 0
+    for m in BASE64.finditer(text):
+        if m[0][0] not in "Mb":
+            continue
+        lines, ends = [m[0]], [m.end()]
+        if m.start() >= done and "=" not in m[0]:
+            outer = der_length(decoded(m[0][:12]) or b"", 0)
+            # A DER key names its length; OpenSSH's goes on to the last line of the group.
+            left = -(-outer[1] * 4 // 3) - len(m[0]) if m[0][0] == "M" and outer else len(text)
+            while left > 0 and (more := NEXT_LINE.match(text, ends[-1])) and len(more[1]) <= len(m[0]):
+                lines.append(more[1])
+                ends.append(more.end())
+                left -= len(more[1])
+                if len(more[1]) < len(m[0]) or "=" in more[1]:
+                    break
+            done = ends[-1]
+        for n in sorted({len(lines), max(len(lines) - 1, 1), 1}, reverse=True):
+            if kind := is_key(decoded("".join(lines[:n]))):
+                yield kind, m.start(), ends[n - 1]
+                break
+    for m in URL_BASE64.finditer(text):
+        if m[0][0] in "Mb" and ("-" in m[0] or "_" in m[0]) and (kind := is_key(decoded(m[0]))):
+            yield kind, m.start(), m.end()
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -119,26 +231,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def confirmed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans that structural confirmation adds."""
-    found = []
-    if "eyJ" in text:
-        found += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    found = list(signed_tokens(text)) if "eyJ" in text else []
+    armour = []
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            body = decoded("".join(m[2].split()))
-            if body is not None and (is_der_key(body) or is_ssh_key(body)):
-                found.append(("armour", m.start(), m.end()))
-    for kind, start, end in base:
-        if kind == "hex" and (end - start) % 2 == 0 and text.startswith("30", start) and is_der_key(bytes.fromhex(text[start:end])):
-            found.append(("der", start, end))
-    for m in BASE64.finditer(text):
-        body = decoded(m[0]) if m[0][0] in "MAb" else None
-        if body is not None and is_der_key(body):
-            found.append(("der", m.start(), m.end()))
-        elif body is not None and is_ssh_key(body):
-            found.append(("ssh", m.start(), m.end()))
-    return found
+            if is_key(decoded("".join(m[2].split()))):
+                armour.append(("armour", m.start(), m.end()))
+    for m in ANY_HEX.finditer(text):
+        # 30 is DER's sequence, 6f the first letter of OpenSSH's name.
+        if len(m[0]) % 2 == 0 and m[0][:2].lower() in ("30", "6f") and (kind := is_key(bytes.fromhex(m[0]))):
+            found.append((kind, m.start(), m.end()))
+    at = 0
+    for span in keys_in_base64(text):
+        while at < len(armour) and armour[at][2] <= span[1]:
+            at += 1
+        if at == len(armour) or span[1] < armour[at][1]:
+            found.append(span)
+    return found + armour
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -161,48 +272,46 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-FOUND = T.StructType([T.StructField("__sec_base", T.StringType()), T.StructField("__sec_all", T.StringType()), T.StructField("__sec_n", T.ArrayType(T.LongType())), T.StructField("__sec_text", T.StringType())])
+FOUND = T.StructType([*(T.StructField(f"n_{kind}", T.LongType()) for kind in KINDS[:3]), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("clean", T.StringType())])
 
 
-def scan(docs: DataFrame, text_col: str = "text", rewrite: bool = False) -> DataFrame:
-    """``docs`` with joined base spans, joined spans, counts of the base kinds and, on demand, the redacted text."""
-    names = docs.columns
-    rows = docs.withColumn("__sec_text", text_column(text_col))
-    schema = T.StructType([*docs.schema.fields, *FOUND.fields])
+def scan_rows(rows: DataFrame, rewrite: bool) -> DataFrame:
+    """Every ``row`` of (``row``, ``text``) with counts of the base kinds, joined base spans, joined spans and, on demand,
+    the redacted text where there are spans."""
+    schema = T.StructType([rows.schema["row"], *FOUND.fields])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__sec_text"):
-            base_out, all_out, counts, texts = [], [], [], []
-            for text in part.column("__sec_text").to_pylist():
+        for part in slices(batches, "text"):
+            out: list[list] = [[] for _ in FOUND]
+            for text in part.column("text").to_pylist():
                 base = base_spans(text)
-                every = base + confirmed_spans(text, base)
-                base_out.append(joined(base))
-                all_out.append(joined(every))
-                counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS[:3]])
-                texts.append(redacted(text, every) if rewrite else None)
-            new = [pa.array(base_out), pa.array(all_out), pa.array(counts, pa.list_(pa.int64())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *new], [f.name for f in schema.fields])
+                every = base + confirmed_spans(text)
+                counts = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
+                for column, value in zip(out, (*counts, joined(base), joined(every), redacted(text, every) if rewrite and every else None), strict=True):
+                    column.append(value)
+            types = [pa.int64()] * 3 + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], schema.names)
 
     return rows.mapInArrow(of, schema)
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``[REDACTED]``; a length column follows where it exists."""
-    found = scan(docs, text_col, rewrite=True)
-    hit = F.col("__sec_all") != ""
-    new = {text_col: F.when(hit, F.col("__sec_text")).otherwise(F.col(text_col))}
-    if length_col in docs.columns:
-        new[length_col] = F.when(hit, F.length("__sec_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return found.withColumns(new).select(*docs.columns)
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, joined ``base`` spans and joined ``spans``."""
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), text_column(text_col).alias("text"))
+    return scan_rows(rows, False).select("row.doc_id", *FOUND.names[:-1])
 
 
-def digest(spans: str) -> str:
-    """Lowercase SHA-256 of joined spans, for tests."""
-    return hashlib.sha256(spans.encode()).hexdigest()
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every span of a secret replaced by ``[REDACTED]``; a length column follows where it exists."""
+    found = scan_rows(beside(docs, text_col), True)
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    new = {text_col: F.coalesce("clean", old[text_col])}
+    if length_col in old:
+        new[length_col] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema[length_col].dataType)).otherwise(old[length_col])
+    return found.select(*[new.get(c, column).alias(c) for c, column in old.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Contract query of operator 5."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    counts = [F.col("__sec_n")[k].alias(f"n_{kind}") for k, kind in enumerate(KINDS[:3])]
-    return found.select("doc_id", *counts, F.sha2("__sec_base", 256).alias("base_sha256"), F.col("__sec_all").alias("spans"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
