@@ -35,6 +35,8 @@ CACHE_WORDS = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1 / 2048
 #: Words of lower-case Latin-1 letters alone.
 SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Characters that are a letter or digit by themselves, whatever stands before them, and stay one when normalised.
+ENDS_TOKEN = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | frozenset(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -106,8 +108,9 @@ class WordTokens:
 
     def learn(self, words: list[str]) -> None:
         """Adds new, distinct words.  A letter or digit ends a token before a stop or comma, so such a word is its
-        stem's ids and the mark's; all other words go to the tokenizer in one text, set apart by a mark."""
-        stems = {w: w[:-1] for w in words if w[-1:] in self.stops and w[-2:-1].isalnum()}
+        stem's ids and the mark's (some letters end in a combining mark once they are lower-cased, which would join the
+        stop: those do not count); all other words go to the tokenizer in one text, set apart by a mark."""
+        stems = {w: w[:-1] for w in words if w[-1:] in self.stops and w[-2:-1] in ENDS_TOKEN}
         bare = list(dict.fromkeys([w for w in words if w not in stems] + [s for s in stems.values() if s not in self.known]))
         marks = [w for w in bare if self.MARK in w]
         simple = list(filter(SIMPLE, bare))
