@@ -47,13 +47,21 @@ def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2
     return w
 
 
+def sums_of(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the logistic loss at ``w``; ``z`` ends in a column of ones."""
+    p = sigmoid(z @ w)
+    return z.T @ (p - y), (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``bound`` labelled rows outside the held-out fold (by their id hashes): ``docs`` with ``__y``.
 
-    Labels of one id that disagree count by their largest; the sampled labels are few, so they are sent to all tasks.
+    Labels are sampled first, being the small side, and sent to all tasks.  Labels of one id that disagree count by their
+    largest; rows that share an id count once, as the one with the smallest hash, so an id that fills the table is a row.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col)) != HELD_OUT))
-    ids = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y")).join(ids, "__id", "left_semi")
+    chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y"))
     chosen = bounded_sample(chosen, bound, "__id")
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).drop("__id")
+    found = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    row = F.struct(*docs.columns, "__y")
+    return found.groupBy("__id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")

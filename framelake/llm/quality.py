@@ -2,32 +2,42 @@
 
 The content view measures the text (character classes, repetition of words and lines, word lengths); the metadata view
 knows the source, the language and the recorded length.  Each view is a logistic classifier.  Over ``ROUNDS`` rounds
-each labels the unlabelled rows it is most sure of, and these pseudo-labels join the other view's training set.  Both
-are then calibrated on labelled rows that neither learned from, and a logistic combination of the calibrated log-odds
-scores every document.
+each labels every unlabelled row that it is sure of, and these pseudo-labels join the other view's training set: the
+pseudo-labels of a class weigh ``PSEUDO`` times the labelled rows of that class together, however many they are.  Both
+views are then calibrated on labelled rows that neither learned from (a fifth, by id hash), and a logistic combination
+of the calibrated log-odds scores every document.
 
-Learning reads at most ``SAMPLE`` labelled rows outside the held-out fold and as many unlabelled rows (by their id hashes); scoring reads every text whole, in the task that reads it.
+Labels are learned from at most ``SAMPLE`` labelled rows outside the held-out fold.  Pseudo-labels cover all unlabelled
+rows: their measures are written once, and a Newton step of the content view adds up gradient and curvature over them in
+the tasks; the metadata view takes few values, so counting the values by pseudo-label is all it needs.  Scoring reads
+every text whole, in the task that reads it.
 
 Nulls and edge cases: a null text is empty, a null source or language is a value of its own, a null length is 0; null
 labels and ids are not learned from; without any label every score is 0.5, which is kept; repeated rows are scored
-alike; an empty table gives no rows.  Missing metadata columns are taken as null; others are not read.
+alike; an empty table gives no rows.  Missing metadata columns are taken as null.  ``keep_good`` keeps all columns as
+they are, whatever their names; ``score`` reads no others.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold_of, slices, text_column, texts_of
-from .learners import HELD_OUT, fit_dense, labelled_sample, sigmoid
+from .common import beside, drop_stage, fold_of, slices, text_column, texts_of, write_stage
+from .learners import HELD_OUT, fit_dense, labelled_sample, sigmoid, sums_of
 
-SAMPLE, ROUNDS, CONFIDENT, A_ROUND = 12_000, 3, 0.97, 400
+SAMPLE, ROUNDS, CONFIDENT, PSEUDO = 12_000, 3, 0.97, 0.3
+#: Newton steps of a view in a round; they go on from the round before.
+STEPS = 2
+#: One labelled row in so many calibrates.
+CALIBRATE = 5
 THRESHOLD = 0.5
 METADATA = {"source": "string", "lang": "string", "n_chars": "double"}
 SOURCES, LANGS = 64, 16
@@ -53,18 +63,21 @@ def content(text: bytes) -> list[float]:
     ]
 
 
-def metadata(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
-    """One-hot hashes of source and language, and steps of the recorded length."""
-    out = np.zeros(SOURCES + LANGS + 13)
-    out[zlib.crc32(f"s{source}".encode()) % SOURCES] = 1
-    out[SOURCES + zlib.crc32(f"l{lang}".encode()) % LANGS] = 1
+def metadata(source: str | None, lang: str | None, n_chars: float | None) -> list[int]:
+    """The slots of source, language and recorded length in the metadata view."""
     size = np.log2(1 + max(n_chars or 0, 0)) if n_chars is not None and np.isfinite(n_chars) else 0
-    out[SOURCES + LANGS + int(min(size, 24) // 2)] = 1
+    return [zlib.crc32(f"s{source}".encode()) % SOURCES, SOURCES + zlib.crc32(f"l{lang}".encode()) % LANGS, SOURCES + LANGS + int(min(size, 24) // 2)]
+
+
+def one_hot(slots: np.ndarray) -> np.ndarray:
+    """Rows of slots as rows of zeros and ones."""
+    out = np.zeros((len(slots), SOURCES + LANGS + 13))
+    np.put_along_axis(out, slots.reshape(-1, 3), 1, axis=1)
     return out
 
 
 def both_views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The two views of a batch with ``text`` and the metadata columns."""
+    """The content measures and metadata slots of a batch with ``text`` and the metadata columns."""
     first = np.array([content(t) for t in texts_of(part, "text")])
     rows = zip(*(part.column(c).to_pylist() for c in METADATA), strict=True)
     return first, np.array([metadata(*r) for r in rows])
@@ -72,34 +85,100 @@ def both_views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``doc_id``, ``text``, metadata) of every row."""
-    own = [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in METADATA.items()]
-    return docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text"), *own)
+    return docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text"), *own_metadata(docs))
+
+
+def own_metadata(docs: DataFrame) -> list[Column]:
+    """The metadata columns, null where the table lacks one."""
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in METADATA.items()]
 
 
 class View:
-    """A standardised logistic classifier with its calibration."""
+    """A standardised logistic classifier with its calibration; ``x`` is always a dense matrix of inputs."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, squares: bool) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, squares: bool) -> None:
         self.squares = squares
-        x = self._wide(x)
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        self.w = fit_dense((x - self.mean) / self.scale, y, weight)
+        wide = self._wide(x)
+        self.mean, self.scale = wide.mean(axis=0), np.maximum(wide.std(axis=0), 1e-3)
+        self.w = fit_dense((wide - self.mean) / self.scale, y)
         self.slope, self.shift = 1.0, 0.0
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack((x, x**2)) if self.squares else x
 
+    def design(self, x: np.ndarray) -> np.ndarray:
+        """Standardised inputs and a column of ones."""
+        return np.column_stack((np.clip((self._wide(x) - self.mean) / self.scale, -8, 8), np.ones(len(x))))
+
+    def step(self, gradient: np.ndarray, curve: np.ndarray) -> None:
+        """One Newton step with a ridge, of at most five in any weight."""
+        ridge = np.append(np.ones(len(self.w) - 1), 1e-3)
+        step = np.linalg.solve(curve + np.diag(ridge), gradient + ridge * self.w)
+        self.w = self.w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((self._wide(x) - self.mean) / self.scale, -8, 8)
-        return np.clip(z @ self.w[:-1] + self.w[-1], -20, 20)
+        return np.clip(self.design(x) @ self.w, -20, 20)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.slope, self.shift = fit_dense(self.logit(x)[:, None], y, l2=0.1)
+        if len(y):
+            self.slope, self.shift = fit_dense(self.logit(x)[:, None], y, l2=0.1)
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.logit(x) + self.shift
 
 
+def sure(p: np.ndarray) -> np.ndarray:
+    """1 where a score is surely good, 0 where surely bad, else -1."""
+    return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+
+
+def pseudo_counts(free: DataFrame, content_view: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, pseudo-label, rows) of the unlabelled rows that the content view is sure of: as many as metadata has values."""
+    sent = free.sparkSession.sparkContext.broadcast(content_view)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                label = sure(sigmoid(sent.value.calibrated(matrix(batch.column("a")))))
+                slots = matrix(batch.column("m"))[label >= 0].astype(np.int64)
+                values, n = np.unique(np.column_stack((slots, label[label >= 0])), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in values.T.reshape(4, -1)), pa.array(n, pa.int64())], list("abcyn"))
+
+    found = free.select("a", "m").mapInArrow(of, "a long, b long, c long, y long, n long").groupBy("a", "b", "c", "y").agg(F.sum("n").alias("n")).toArrow()
+    columns = [found.column(c).to_numpy() for c in "abcyn"]
+    return np.column_stack(columns[:3]), columns[3].astype(np.float64), columns[4].astype(np.float64)
+
+
+def pseudo_sums(free: DataFrame, content_view: View, metadata_view: View, w: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For bad and good pseudo-labels of the metadata view: rows, gradient and curvature of the content view at ``w``."""
+    sent = free.sparkSession.sparkContext.broadcast((content_view, metadata_view, w))
+    size = len(w)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other, at = sent.value
+        total = np.zeros((2, 1 + size + size * size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = sure(sigmoid(other.calibrated(one_hot(matrix(batch.column("m")).astype(np.int64)))))
+            z = own.design(matrix(batch.column("a")))
+            for y in (0, 1):
+                mine = z[label == y]
+                gradient, curve = sums_of(mine, np.full(len(mine), float(y)), at)
+                total[y] += np.concatenate(([len(mine)], gradient, curve.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["k", "v"])
+
+    summed = free.select("a", "m").mapInArrow(of, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(2 * (1 + size + size * size))
+    total[summed.column("k").to_numpy()] = summed.column("v").to_numpy()
+    return [(t[0], t[1 : 1 + size], t[1 + size :].reshape(size, size)) for t in total.reshape(2, -1)]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 class CoTrained:
     """The two views and how they combine; ``None`` views score 0.5."""
 
@@ -107,32 +186,42 @@ class CoTrained:
         self.views: tuple[View, View] | None = None
         self.combine = np.zeros(3)
 
-    def learn(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: tuple[np.ndarray, np.ndarray]) -> CoTrained:
-        """Co-trains on labelled views, exchanging pseudo-labels of the unlabelled ones."""
+    def learn(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, kept: np.ndarray, free: DataFrame | None, rounds: int = ROUNDS) -> CoTrained:
+        """Co-trains on labelled views (``kept`` rows calibrate), exchanging pseudo-labels of the unlabelled ones: ``free``
+        has their content measures ``a`` and metadata slots ``m``."""
         if not len(y):
             return self
-        kept = np.arange(len(y)) % 5 == 4
-        pseudo: list[dict[int, float]] = [{}, {}]
-        for round_ in range(ROUNDS + 1):
-            fitted = []
-            for k, squares in ((0, True), (1, False)):
-                rows = np.array(list(pseudo[k]), np.int64)
-                x = np.concatenate((views[k][~kept], free[k][rows]))
-                target = np.concatenate((y[~kept], np.array(list(pseudo[k].values()))))
-                fitted.append(View(x, target, np.concatenate((np.ones(int((~kept).sum())), np.full(len(rows), 0.3))), squares))
-                if kept.any():
-                    fitted[k].calibrate(views[k][kept], y[kept])
-            if round_ == ROUNDS:
-                break
-            for k in (0, 1):
-                p = sigmoid(fitted[k].calibrated(free[k])) if len(free[k]) else np.zeros(0)
-                for value, sure in ((1.0, p), (0.0, 1 - p)):
-                    order = np.argsort(-sure, kind="stable")[:A_ROUND]
-                    pseudo[1 - k].update({int(i): value for i in order if sure[i] >= CONFIDENT})
-        self.views = (fitted[0], fitted[1])
-        use = kept if kept.any() else ~kept
-        x = np.column_stack([v.calibrated(view[use]) for v, view in zip(self.views, views, strict=True)])
-        self.combine = fit_dense(x, y[use], l2=1.0)
+        if kept.all() or not kept.any():
+            kept = np.zeros(len(y), bool)
+        fit, held = ~kept, kept if kept.any() else ~kept
+        both = (views[0], one_hot(views[1]))
+        first, second = View(both[0][fit], y[fit], True), View(both[1][fit], y[fit], False)
+        self.views = (first, second)
+        per_class = [PSEUDO * float((y[fit] == c).sum()) for c in (0, 1)]
+
+        def calibrate() -> None:
+            for view, x in zip(self.views, both, strict=True):
+                view.calibrate(x[kept], y[kept])
+
+        calibrate()
+        for _ in range(rounds if free is not None else 0):
+            slots, label, n = pseudo_counts(free, first)
+            own, design = second.design(both[1][fit]), second.design(one_hot(slots))
+            weight = n * sum(per_class[c] * (label == c) / max(n[label == c].sum(), 1) for c in (0, 1))
+            labelling = copy.deepcopy((first, second))
+            for _ in range(STEPS):
+                # The weights are on the rows of the design, once in the gradient and once in the curvature.
+                sums = [sums_of(own, y[fit], second.w), weighted_sums(design, label, second.w, weight)]
+                second.step(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1])
+            own = first.design(both[0][fit])
+            for _ in range(STEPS):
+                gradient, curve = sums_of(own, y[fit], first.w)
+                for c, (rows, more, bend) in enumerate(pseudo_sums(free, *labelling, first.w)):
+                    gradient, curve = gradient + per_class[c] / max(rows, 1) * more, curve + per_class[c] / max(rows, 1) * bend
+                first.step(gradient, curve)
+            calibrate()
+        x = np.column_stack([v.calibrated(view[held]) for v, view in zip(self.views, both, strict=True)])
+        self.combine = fit_dense(x, y[held], l2=1.0)
         return self
 
     def scores(self, views: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,59 +229,69 @@ class CoTrained:
         if self.views is None:
             half = np.full(len(views[0]), 0.5)
             return half, half, half
-        own = [v.calibrated(x) for v, x in zip(self.views, views, strict=True)]
+        own = [v.calibrated(x) for v, x in zip(self.views, (views[0], one_hot(views[1])), strict=True)]
         return sigmoid(np.column_stack(own) @ self.combine[:2] + self.combine[2]), sigmoid(own[0]), sigmoid(own[1])
 
 
-def sampled_views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Views and labels of a bounded sample with ``__y``; the measuring runs where the rows are."""
+def weighted_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sums_of`` with a weight for each row."""
+    p = sigmoid(z @ w)
+    return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+
+
+def measured(rows: DataFrame, *carried: str) -> DataFrame:
+    """``carried`` columns with content measures ``a`` and metadata slots ``m``; the measuring runs where the rows are."""
+    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.IntegerType()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            a, b = both_views(part)
-            kinds = [pa.list_(pa.float64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), t) for x, t in zip((a, b), kinds, strict=True)] + [part.column("__y")], ["a", "b", "y"])
+            a, m = both_views(part)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(m.tolist(), pa.list_(pa.int32()))], schema.names)
 
-    table = rows.select("text", *METADATA, "__y").mapInArrow(of, "a array<double>, b array<double>, y int").toArrow()
-    sizes = (len(content(b"")), len(metadata(None, None, None)))
-    views = [np.array(table.column(c).to_pylist(), np.float64).reshape(-1, n) for c, n in zip("ab", sizes, strict=True)]
-    return views[0], views[1], (np.array(table.column("y").to_pylist(), np.float64) > 0).astype(np.float64)
+    return rows.select("text", *METADATA, *carried).mapInArrow(of, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> CoTrained:
-    """Co-trained views from bounded samples of labelled and unlabelled rows."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE, rounds: int = ROUNDS) -> CoTrained:
+    """Co-trained views from a bounded sample of labelled rows and all unlabelled ones."""
     rows = inputs(docs, id_col, text_col)
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label"))
-    a, b, y = sampled_views(labelled_sample(rows, own, "label", bound))
+    sample = labelled_sample(rows, own, "label", bound).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0)
+    table = measured(sample, "__y", "held").toArrow()
+    if not table.num_rows:
+        return CoTrained()
+    views = tuple(matrix(table.column(c).combine_chunks()) for c in "am")
+    y, held = (table.column(c).to_numpy() for c in ("__y", "held"))
     known = own.where("doc_id is not null").select("doc_id").distinct()
-    free = rows.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct()
-    unlabelled = rows.join(F.broadcast(bounded_sample(free, bound, "doc_id")), "doc_id").withColumn("__y", F.lit(0))
-    free_a, free_b, _ = sampled_views(unlabelled)
-    return CoTrained().learn((a, b), y, (free_a, free_b))
+    free = write_stage(measured(rows.where("doc_id is not null"), "doc_id").join(known, "doc_id", "left_anti").select("a", "m"), "views")
+    model = CoTrained().learn((views[0], views[1].astype(np.int64)), (y > 0).astype(np.float64), held.astype(bool), free, rounds)
+    drop_stage(free)
+    return model
 
 
-NEW = ("__q", "__q_content", "__q_metadata")
+NEW = ("score", "score_content", "score_metadata")
 
 
-def score(docs: DataFrame, model: CoTrained, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__q``, ``__q_content`` and ``__q_metadata`` (0 to 1, higher is better)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    extra = [text_column(text_col).alias("__q_text"), *((F.col(c) if c in names else F.lit(None)).cast(kind).alias(f"__q_{c}") for c, kind in METADATA.items())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in NEW)])
+def score_rows(rows: DataFrame, model: CoTrained, keep: str) -> DataFrame:
+    """``keep`` and the scores of every row of (``keep``, ``text``, metadata)."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([rows.schema[keep], *(T.StructField(c, T.DoubleType()) for c in NEW)])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__q_text"):
-            view = pa.RecordBatch.from_arrays(part.columns[len(names) :], ["text", *METADATA])
-            found = sent.value.scores(both_views(view))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(s) for s in found)], schema.names)
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(keep), *(pa.array(s) for s in sent.value.scores(both_views(part)))], schema.names)
+
+    return rows.mapInArrow(of, schema)
+
 
-    return docs.select("*", *extra).mapInArrow(of, schema)
+def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: ``doc_id``, ``score``, ``score_content`` and ``score_metadata`` (0 to 1, higher is better)."""
+    return score_rows(inputs(docs, id_col, text_col), model, "doc_id")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below the threshold."""
-    return score(docs, train(docs, labels)).where(F.col("__q") >= threshold).select(*docs.columns)
+    rows = beside(docs).select("row", "text", *((F.col("row").getField(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in METADATA.items()))
+    return score_rows(rows, train(docs, labels), "row").where(F.col("score") >= threshold).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -200,7 +299,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score(docs, model)
-    return found.select(
-        "doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), F.col("__q").alias("score"),
-        F.col("__q_content").alias("score_content"), F.col("__q_metadata").alias("score_metadata"), (F.col("__q") >= THRESHOLD).cast("int").alias("predicted"),
-    )
+    held_out = (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out")
+    return found.select("doc_id", held_out, *NEW, (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -14,7 +14,8 @@ small-star rounds on DataFrames; nothing is gathered on the driver but two numbe
 
 Nulls and edge cases: a null text is an empty one; a text without words has fingerprint zero and is linked like any
 other.  A null ``doc_id`` keeps its row and never is a component's smallest id (a component of nulls alone gets null).
-Repeated rows give repeated rows.  Other columns are not read, whatever their names.  An empty table gives no rows.
+Repeated rows give repeated rows.  Other columns are not read, and ``deduplicate`` keeps them as they are, whatever their
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, slices, text_column, texts_of, write_stage
+from .common import LOWER, beside, drop_stage, slices, text_column, texts_of, write_stage
 
 BYTES, MOST_BITS = 8, 3
 LEAST_SHARED = BYTES - MOST_BITS
@@ -197,7 +198,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = write_stage(small, "links")
+        last, now = now, write_stage(small, "links")
+        drop_stage(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -222,10 +224,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each component: the smallest id, among equal ids the smallest text hash."""
     found = near_duplicates(docs, id_col, text_col, words)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__own", F.xxhash64(text_column(text_col)))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
-    return rows.dropDuplicates([id_col, "__own"]).drop("__own")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rows = beside(docs, text_col).select("row", F.col("row").getField(id_col).alias("id"), F.xxhash64("text").alias("own"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("own") == F.col("kept_hash")), "left_semi")
+    return rows.dropDuplicates(["id", "own"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -146,8 +146,10 @@ def test_simhash(awkward, empty):
         least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
     got = collections.Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(awkward).collect())
     assert got == collections.Counter((d, p, least[r]) for (d, _), p, r in zip(rows, prints, roots))
-    kept = simhash.deduplicate(awkward)
-    assert kept.columns == awkward.columns and kept.count() == len(set(roots))
+    clashing = awkward.withColumns({"own": awkward.doc_id, "__own": awkward.fp, "id": awkward.anchor})
+    kept = simhash.deduplicate(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len(set(roots))
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in clashing.collect()}
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -560,12 +562,48 @@ def test_quality(spark, awkward, empty):
     found = quality.query(spark, sf).collect()
     assert held_out_accuracy(found, {r.doc_id: r.quality for r in labels.collect()}, "predicted") > 0.95
     none = quality.train(awkward, spark.createDataFrame([], "doc_id long, quality int"))
-    assert quality.score(awkward, none).where("__q = 0.5").count() == awkward.count()
+    assert quality.score(awkward, none).where("score = 0.5").count() == awkward.count()
     one = spark.createDataFrame([(6, 1), (None, 0)], "doc_id long, quality int")
-    assert quality.keep_good(awkward, one).columns == awkward.columns
+    clashing = awkward.withColumns({"score": awkward.anchor, "row": awkward.fp, "a": awkward.doc_id})
+    kept = quality.keep_good(clashing, one)
+    assert kept.columns == clashing.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in clashing.collect()}
     assert quality.keep_good(empty, one).count() == 0
 
 
+def test_co_training_uses_every_sure_row(spark):
+    """Content that only the metadata view can label: the exchange must move the content view, by all rows alike."""
+    rng = np.random.default_rng(5)
+    good = rng.random(3000) < 0.5
+    texts = [("alpha beta gamma delta " if g else "alpha!! beta!! ") * int(rng.integers(2, 9)) for g in good]
+    rows = [(k, t, "en", "site" if g else "spam", len(t)) for k, (t, g) in enumerate(zip(texts, good))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(g)) for k, g in enumerate(good[:200])], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    alone = quality.train(docs, labels, rounds=0)
+    assert np.abs(model.views[0].w - alone.views[0].w).max() > 1e-3
+    # The sums over tasks are those of one pass over all rows.
+    free = quality.measured(quality.inputs(docs, "doc_id", "text"), "doc_id")
+    table = free.toArrow()
+    a, m = (quality.matrix(table.column(c).combine_chunks()) for c in "am")
+    label = quality.sure(quality.sigmoid(alone.views[1].calibrated(quality.one_hot(m.astype(int)))))
+    got = quality.pseudo_sums(free, *alone.views, alone.views[0].w)
+    for c in (0, 1):
+        z = alone.views[0].design(a[label == c])
+        gradient, curve = quality.sums_of(z, np.full(len(z), float(c)), alone.views[0].w)
+        assert got[c][0] == len(z) and np.allclose(got[c][1], gradient, atol=1e-6) and np.allclose(got[c][2], curve, atol=1e-6)
+    slots, y, n = quality.pseudo_counts(free, alone.views[0])
+    label = quality.sure(quality.sigmoid(alone.views[0].calibrated(a)))
+    assert sorted(zip(map(tuple, slots.tolist()), y, n)) == sorted((k[:3], k[3], v) for k, v in collections.Counter((*map(int, r), float(c)) for r, c in zip(m, label) if c >= 0).items())
+
+
+def test_a_repeated_id_is_one_labelled_row(spark):
+    from framelake.llm.learners import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(4, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, label int")
+    assert labelled_sample(docs, labels, "label", 10).count() == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
