@@ -1,14 +1,20 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-The coarse centroids and the residual codebooks are fitted on at most about ``SAMPLE`` vectors (a seeded sample).  Every vector is then indexed: its nearest centroid, and one byte for each group of dimensions of its
-residual.  Queries are compared with the ``PROBES`` share of cells nearest to them by asymmetric distances - a query's
-table of products with every codeword, so nothing but the vectors is quantised - and the best of each part of the index
-are reranked with exact distances in double precision.  The share is high because embeddings without clusters, whose
-neighbours lie in any cell, must reach a recall of 0.9 too; ``probes`` lowers it for clustered ones.
-
-Queries go in blocks of at most ``QUERIES`` vectors, each sent to all tasks (2 MB at 64 dimensions) and run against
-the whole index; a task keeps ten neighbours for each query, so the rows that meet for a query grow with the tasks, not
-with the vectors.  The index is written to the shared folder and read once for each block.
+The coarse centroids (the square root of the number of vectors) and the residual codebooks are fitted on at most about
+``SAMPLE`` vectors (a seeded sample).  Every vector is then indexed: its nearest centroid, and one byte for each group of
+dimensions of its residual.  Queries are compared with the vectors of the cells nearest to them by asymmetric distances - a
+query's table of products with every codeword, so nothing but the vectors is quantised - and the best are reranked with
+exact distances in double precision.
+
+How many cells are probed and which share is reranked is measured, not assumed: ``HELD`` vectors of the sample, kept out
+of the fit, are searched for in the rest by brute force, and both are set so that ``recall`` of their neighbours would be
+found.  Clustered vectors need a few cells; vectors without clusters, whose neighbours lie in any cell, need most.
+
+Cells are dealt into shards of at most ``SHARD`` vectors, near cells together; a larger cell is split over several.  A
+query is sent to the shards of its cells, and queries and shard meet by a cogrouped join on (shard, block of queries), so
+a task holds one shard and at most some ``QUERIES`` queries however many there are of either.  Each gives its k
+nearest for a query; a window with a group limit leaves the k best.  Nothing but the sample, the counts of the
+cells and the fitted index passes the driver.
 
 Nulls and edge cases: vectors that are null, all zero, of another length than the most common one (smallest among
 equally common), or that hold a null or non-finite number take no part, nor do null ids.  Ties go to the smaller id.
@@ -28,11 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import write_stage
 
-NEIGHBOURS, SAMPLE, QUERIES = 10, 20_000, 4096
-CELLS, PROBES = 128, 0.85
+NEIGHBOURS, SAMPLE, HELD, RECALL = 10, 20_000, 200, 0.97
+#: Most vectors of a shard, and queries of a block; fewer vectors are dealt into ``SHARDS`` shards of at least ``LEAST``.
+SHARD, QUERIES, SHARDS, LEAST = 1 << 16, 4096, 64, 2048
 DIMS_A_CODE, CODES = 4, 256
-#: Candidates of each part of ``PART`` vectors that are reranked exactly for a query.
-RERANK, PART = 96, 2048
+#: Queries whose distances are held at a time, and their nearest cells, whose shards rerank the whole share.
+AT_ONCE, NEAR_CELLS = 128, 8
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -61,9 +68,9 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, cells: int = CELLS) -> None:
+    def __init__(self, sample: np.ndarray, cells: int) -> None:
         dims = sample.shape[1]
-        self.centres = kmeans(sample, max(1, min(cells, len(sample) // 30)))
+        self.centres = kmeans(sample, max(1, min(cells, len(sample) // 16)))
         residuals = sample - self.centres[nearest(sample, self.centres)]
         self.cuts = list(range(0, dims, DIMS_A_CODE)) + [dims]
         self.books = [kmeans(residuals[:, a:b], CODES, 8) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
@@ -90,6 +97,34 @@ class Index:
             products[:, m, : len(book)] = queries[:, self.cuts[m] : self.cuts[m + 1]] @ book.T
         return coarse, products
 
+    def distances(self, coarse: np.ndarray, products: np.ndarray, cell: np.ndarray, codes: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Asymmetric squared distances of every query to every vector."""
+        sums = np.zeros((len(coarse), len(cell)), np.float32)
+        for m in range(codes.shape[1]):
+            sums += products[:, m][:, codes[:, m]]
+        return coarse.astype(np.float32)[:, cell] + term.astype(np.float32) - 2 * sums
+
+    def choose(self, sample: np.ndarray, asked: np.ndarray, k: int, recall: float) -> None:
+        """Sets ``probes`` (cells of a query) and ``share`` (of their vectors, to rerank) by brute force on ``sample``."""
+        self.probes, self.share = len(self.centres), 1.0
+        if len(sample) <= k or not len(asked):
+            return
+        cell, codes, term = self.encode(sample)
+        coarse, products = self.tables(asked)
+        exact = (sample**2).sum(axis=1) - 2 * asked @ sample.T
+        true = np.argpartition(exact, k, axis=1)[:, :k]
+        place = np.argsort(np.argsort(coarse, axis=1, kind="stable"), axis=1)
+        part = (1 + recall) / 2
+        self.probes = int(np.quantile(np.take_along_axis(place, cell[true], axis=1) + 1, part, method="higher"))
+        near = self.distances(coarse, products, cell, codes, term)
+        near[np.take_along_axis(place, np.broadcast_to(cell, near.shape), axis=1) >= self.probes] = np.inf
+        ahead = np.stack([np.searchsorted(np.sort(row), row[own], side="right") for row, own in zip(near, true, strict=True)])
+        self.share = float(np.quantile(ahead / np.maximum(np.isfinite(near).sum(axis=1, keepdims=True), 1), part, method="higher"))
+
+    def probed(self, coarse: np.ndarray) -> np.ndarray:
+        """The cells that each query is compared with, nearest first."""
+        return np.argsort(coarse, axis=1, kind="stable")[:, : self.probes]
+
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(``vec_id``, ``vector`` array<double>) of the rows that take part."""
@@ -117,7 +152,7 @@ def indexed(rows: DataFrame, index: Index) -> DataFrame:
                 arrays = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(term)]
                 yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "vector", "cell", "codes", "term"])
 
-    return rows.mapInArrow(of, "vec_id long, vector array<double>, cell int, codes binary, term double").sortWithinPartitions("cell", "vec_id")
+    return rows.mapInArrow(of, "vec_id long, vector array<double>, cell int, codes binary, term double")
 
 
 def best(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -131,86 +166,114 @@ def best(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], distances[some]))[:k]]
 
 
-class Search:
-    """One block of queries against parts of the index."""
-
-    def __init__(self, index: Index, ids: np.ndarray, queries: np.ndarray, k: int, probes: float) -> None:
-        self.ids, self.queries, self.k = ids, queries, k
-        self.coarse, self.products = index.tables(queries)
-        n = max(1, math.ceil(probes * len(index.centres)))
-        order = np.argsort(self.coarse, axis=1, kind="stable")[:, :n]
-        self.probed = np.zeros(self.coarse.shape, bool)
-        np.put_along_axis(self.probed, order, True, axis=1)
-
-    def part(self, cells: np.ndarray, codes: np.ndarray, term: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query exact distances and ids of its nearest in this part."""
-        near = np.full((len(self.ids), len(ids)), np.inf, np.float32)
-        for cell in np.unique(cells):
-            at, asking = np.flatnonzero(cells == cell), np.flatnonzero(self.probed[:, cell])
-            if not len(asking):
-                continue
-            sums = np.zeros((len(asking), len(at)), np.float32)
-            for m in range(codes.shape[1]):
-                sums += self.products[asking, m][:, codes[at, m]]
-            near[np.ix_(asking, at)] = self.coarse[asking, cell][:, None] + term[at] - 2 * sums
-        out = []
-        for q in range(len(self.ids)):
-            row = near[q]
-            row[ids == self.ids[q]] = np.inf
-            some = best(row, ids, RERANK)
-            exact = np.sqrt(((vectors[some] - self.queries[q]) ** 2).sum(axis=1))
-            top = np.lexsort((ids[some], exact))[: self.k]
-            out.append((exact[top], ids[some][top]))
-        return out
-
-
-def search(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, probes: float = PROBES, cells: int = CELLS) -> DataFrame:
+class Shards:
+    """Which shards hold a cell: ``first`` and ``parts`` of them; near cells lie side by side."""
+
+    def __init__(self, index: Index, sizes: np.ndarray, most: int) -> None:
+        centred = index.centres - index.centres.mean(axis=0)
+        axis = np.linalg.svd(centred, full_matrices=False)[2][0]
+        self.sizes = sizes
+        self.first, self.parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        shard, held = 0, 0
+        for cell in np.argsort(centred @ axis, kind="stable").tolist():
+            size = int(sizes[cell])
+            if held and held + size > most:
+                shard, held = shard + 1, 0
+            self.first[cell] = shard
+            if size > most:
+                self.parts[cell] = -(-size // most)
+                shard += int(self.parts[cell])
+            else:
+                held += size
+
+    def of(self, cells: np.ndarray) -> list[int]:
+        """All shards of some cells."""
+        return np.unique(np.concatenate([np.arange(self.first[c], self.first[c] + self.parts[c]) for c in cells.tolist()])).tolist()
+
+
+def sent_to(asked: DataFrame, index: Index, shards: Shards) -> DataFrame:
+    """(``query_id``, ``query``, ``shard``): every query for each shard of its cells."""
+    sent = asked.sparkSession.sparkContext.broadcast((index, shards))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, where = sent.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
+                cells = own.probed(own.tables(matrix(part.column("query")))[0])
+                lists = [where.of(row) for row in cells]
+                rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([part.column(c).take(rows) for c in ("query_id", "query")] + [pa.array([x for some in lists for x in some], pa.int64())], ["query_id", "query", "shard"])
+
+    return asked.mapInArrow(of, "query_id long, query array<double>, shard long")
+
+
+def nearest_in(index: Index, shards: Shards, k: int, vectors: pa.Table, asked: pa.Table) -> pa.Table:
+    """The k nearest of each query among a shard's vectors in its cells."""
+    out: tuple[list[np.ndarray], ...] = ([], [], [])
+    if vectors.num_rows and asked.num_rows:
+        ids, cell = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
+        exact_of = matrix(vectors.column("vector").combine_chunks())
+        codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        term = vectors.column("term").to_numpy()
+        names, queries = asked.column("query_id").to_numpy(), matrix(asked.column("query").combine_chunks())
+        present = np.unique(cell)
+        for a in range(0, len(names), AT_ONCE):
+            some = queries[a : a + AT_ONCE]
+            coarse, products = index.tables(some)
+            cells = index.probed(coarse)
+            wanted = np.zeros(coarse.shape, bool)
+            np.put_along_axis(wanted, cells, True, axis=1)
+            near = index.distances(coarse, products, cell, codes, term)
+            near[~wanted[:, cell]] = np.inf
+            for q, row in enumerate(near):
+                row[ids == names[a + q]] = np.inf
+                # A shard reranks its share of its own candidates; one with the query's nearest cells that of all.
+                here = np.isfinite(row).sum()
+                close = np.isin(cells[q, :NEAR_CELLS], present).any()
+                limit = max(4 * k, math.ceil(index.share * (shards.sizes[cells[q]].sum() if close else 2 * here)))
+                chosen = best(row, ids, limit)
+                distance = np.sqrt(((exact_of[chosen] - some[q]) ** 2).sum(axis=1))
+                top = np.lexsort((ids[chosen], distance))[:k]
+                for column, values in zip(out, (np.full(len(top), names[a + q]), ids[chosen][top], distance[top]), strict=True):
+                    column.append(values)
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, kind)) for c, kind in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = RECALL, cells: int | None = None, shard: int = SHARD) -> DataFrame:
     """The k nearest of every row that the SQL condition ``is_query`` (on ``vec_id``) names: ``query_id``, ``rank``, ``vec_id``, ``score``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     n = rows.count()
     sample = rows if n <= SAMPLE else rows.where(F.rand(7) < 0.95 * SAMPLE / n)
     sample = sample.select("vector").toArrow().column("vector").combine_chunks()
-    schema = "query_id long, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = Index(matrix(sample), cells)
+    sample = matrix(sample)[np.random.default_rng(1).permutation(len(sample))]
+    held = min(HELD, len(sample) // 5)
+    index = Index(sample[held:], cells or math.isqrt(n))
+    index.choose(sample[held:], sample[:held], k, recall)
     stored = write_stage(indexed(rows, index), "ann")
-    asked = stored.where(is_query)
-    blocks = max(1, math.ceil(asked.count() / (QUERIES * 3 // 4)))
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "vector").distinct().toArrow()
-        if not own.num_rows:
-            continue
-        ids, queries = own.column("vec_id").to_numpy(), matrix(own.column("vector").combine_chunks())
-        sent = spark.sparkContext.broadcast((index, ids, queries))
-
-        def of(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            task = Search(*sent.value, k, probes)
-            top = [(np.zeros(0), np.zeros(0, np.int64))] * len(task.ids)
-            for batch in batches:
-                for a in range(0, batch.num_rows, PART):
-                    part = batch.slice(a, PART)
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    new = task.part(part.column("cell").to_numpy(), codes, part.column("term").to_numpy(), part.column("vec_id").to_numpy(), matrix(part.column("vector")))
-                    for q, (distances, names) in enumerate(new):
-                        if len(names):
-                            both, own_ids = np.concatenate((top[q][0], distances)), np.concatenate((top[q][1], names))
-                            order = np.lexsort((own_ids, both))[:k]
-                            top[q] = (both[order], own_ids[order])
-            sizes = [len(t[1]) for t in top]
-            if sum(sizes):
-                columns = [np.repeat(task.ids, sizes), np.concatenate([t[1] for t in top]), np.concatenate([t[0] for t in top])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-        part = stored.mapInArrow(of, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    counted = stored.groupBy("cell").count().collect()
+    sizes = np.zeros(len(index.centres), np.int64)
+    sizes[[r["cell"] for r in counted]] = [r["count"] for r in counted]
+    shards = Shards(index, sizes, min(shard, max(LEAST, n // SHARDS)))
+    places = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(shards.first, shards.parts, strict=True))], "cell int, first long, parts long")
+    placed = stored.join(F.broadcast(places), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("first", "parts")
+    asked = stored.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
+    asked = write_stage(sent_to(asked, index, shards), "asked")
+    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    left = placed.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    right = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
+    sent = spark.sparkContext.broadcast((index, shards))
+
+    def of(vectors_: pa.Table, asked_: pa.Table) -> pa.Table:
+        return nearest_in(*sent.value, k, vectors_, asked_)
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(of, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

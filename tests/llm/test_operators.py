@@ -498,6 +498,36 @@ def test_ann(spark):
     assert ann.search(df.limit(0), "vec_id % 100 = 0").count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_ann_recall(spark, clustered):
+    """Recall on the embeddings themselves, and on clusters that need few cells, with shards small enough to split cells."""
+    if clustered:
+        rng = np.random.default_rng(2)
+        centres = rng.normal(size=(40, 16)) * 10
+        vectors = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
+        vectors[:1300] = vectors[0]  # one vector fills a cell
+        df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        found = ann.search(df, "vec_id % 100 = 0", shard=300).collect()
+    else:
+        df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+        vectors = np.array([r.embedding for r in df.orderBy("vec_id").collect()], np.float64)
+        found = ann.query(spark, "/root/testdata/sf0.1").collect()
+    got = collections.defaultdict(dict)
+    for r in found:
+        got[r.query_id][r.rank] = r
+    near = total = 0
+    for q in range(0, len(vectors), 100):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:10].tolist()
+        mine = [got[q][k].vec_id for k in range(1, 11)]
+        assert all(abs(got[q][k].score - d[got[q][k].vec_id]) < 1e-9 for k in range(1, 11))
+        near, total = near + len(set(mine) & set(want)), total + 10
+        if clustered and q < 1300:
+            assert mine == want
+    assert near / total >= 0.95
+
+
 def held_out_accuracy(found, truth, column):
     rows = [(r[column], truth[r.doc_id]) for r in found if r.held_out and r.doc_id in truth]
     return sum(a == b for a, b in rows) / len(rows)
