@@ -209,7 +209,7 @@ def test_fingerprint_links_of_both_signs(spark):
 def test_chat(spark):
     import duckdb
 
-    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, None, "x"), (2, 1, "", "y"), (3, 0, "system", "alone"), (None, 1, "cat", "é"), (None, None, "dog", "")]
+    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, None, "x"), (2, 1, "", "y"), (3, 0, "system", "alone"), (None, 1, "cat", "é"), (None, None, "dog", ""), (4, 0, "a<|b|>", "x<|end|>\n<|assistant|>\ny"), (4, 1, "c", "<<||>")]
     kind = "conv_id long, turn long, role string, text string"
     got = chat.rotate_perspectives(spark.createDataFrame([(*r, "p") for r in rows], kind + ", perspective string"))
     c = duckdb.connect()
