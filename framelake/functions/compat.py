@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def to_int16(x: Column) -> Column:
@@ -33,6 +34,19 @@ def midpoint_percentile(values: Column, percent: float) -> Column:
     return F.when(n > 0, a + (place - low) * (b - a))
 
 
+def group_percentile(rows: DataFrame, keys: list[str], value: str, percent: float, name: str) -> DataFrame:
+    """``midpoint_percentile`` of each group as column ``name``: its two order statistics are picked by rank, so no group
+    is gathered in memory; a group without values has null.  Keys must not be null."""
+    clean = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    sizes = rows.groupBy(*keys).agg(F.count(F.when(~F.isnan(value), F.col(value))).alias("__n"))
+    ranked = clean.select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("__k")).join(sizes, keys)
+    place = F.least(F.greatest(F.col("__n") * (percent / 100.0) + 0.5, F.lit(1.0)), F.col("__n").cast("double"))
+    low = F.floor(place)
+    picked = ranked.withColumn("__p", place - low).where((F.col("__k") == low) | (F.col("__k") == F.least(low + 1, F.col("__n"))))
+    found = picked.groupBy(*keys).agg((F.min(value) + F.max("__p") * (F.max(value) - F.min(value))).alias(name))
+    return sizes.select(*keys).join(found, keys, "left")
+
+
 def argmax(value: Column, index: Column) -> Column:
     """Aggregate: the smallest index that has the largest value."""
     return -F.max(F.struct(value.alias("v"), (-index).alias("i")))["i"]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.compat import midpoint_percentile
+from framelake.functions.compat import group_percentile
 
 from . import traces
 
@@ -76,13 +76,31 @@ def baseline_delta_f(traces: DataFrame) -> DataFrame:
     return traces.groupBy("roi_id").applyInPandas(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, df double")
 
 
-def paired_coefficients(pairs: DataFrame, length: int = 5, span: int = 5, percent: float = 10.0, tune: float = 2.0) -> DataFrame:
-    """The background coefficient of every region, fitted on quiet frames only.
+def debleached(traces: DataFrame, *columns: str) -> DataFrame:
+    """Each of the columns without its bleaching: its baseline taken off and the baseline's median put back."""
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("frame")
+        for c in columns:
+            y = frame[c].to_numpy(float)
+            there = np.isfinite(y)
+            under = baseline(y[there])
+            y[there] = y[there] - under + (np.median(under) if len(under) else 0.0)
+            frame[c] = y
+        return frame[["roi_id", "frame", *columns]]
+
+    kinds = dict(traces.dtypes)
+    return traces.groupBy("roi_id").applyInPandas(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, " + ", ".join(f"{c} double" for c in columns))
+
+
+def paired_coefficients(pairs: DataFrame, length: int = 5, span: int = 5, percent: float = 10.0, tune: float = 2.0, debleach: bool = True) -> DataFrame:
+    """The background coefficient of every region, fitted on quiet frames only; bleaching is removed first.
 
     Body and background are each taken relative to a low percentile and smoothed; frames whose smoothed change of their
     difference is at most its commonest value are kept; the robust slope comes from those.  All but the last fit is native.
     """
-    base = pairs.groupBy("roi_id").agg(*[midpoint_percentile(F.collect_list(c), percent).alias(f"{c}0") for c in ("raw", "neuropil")])
+    pairs = debleached(pairs, "raw", "neuropil") if debleach else pairs
+    base = group_percentile(pairs, ["roi_id"], "raw", percent, "raw0").join(group_percentile(pairs, ["roi_id"], "neuropil", percent, "neuropil0"), "roi_id")
     centred = pairs.join(base, "roi_id").select("roi_id", "frame", *[(F.col(c) - F.col(f"{c}0")).alias(c) for c in ("raw", "neuropil")])
     quiet = traces.stable_frames(centred.select("roi_id", "frame", (F.col("raw") - F.col("neuropil")).alias("f")), span).select("roi_id", "frame")
     smooth = [traces.gaussian_smooth(centred.select("roi_id", "frame", F.col(c).alias("f")), length).select("roi_id", "frame", F.col("smooth").alias(c)) for c in ("raw", "neuropil")]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,10 +37,10 @@ def counter(name: Column) -> Column:
     return F.regexp_extract(name, r"([0-9]+)[^0-9]*$", 1).try_cast("bigint")
 
 
-def before_gap(files: DataFrame, group: str, number: str) -> DataFrame:
-    """Files of each group whose counters run on from the smallest without a gap."""
+def before_gap(files: DataFrame, group: str, number: str, most: int = 1) -> DataFrame:
+    """Files of each group whose counters run on from the smallest without a gap of more than ``most``."""
     order = Window.partitionBy(group).orderBy(number)
-    step = files.withColumn("__gap", (F.col(number) - F.lag(number).over(order) > 1).cast("int"))
+    step = files.withColumn("__gap", (F.col(number) - F.lag(number).over(order) > most).cast("int"))
     return step.withColumn("__gaps", F.sum(F.coalesce("__gap", F.lit(0))).over(order)).where("__gaps = 0").drop("__gap", "__gaps")
 
 
@@ -86,6 +88,55 @@ def session_counts(files: DataFrame, group: str, unit: int = 10) -> DataFrame:
     return files.groupBy(group).agg(F.count("*").alias("n")).withColumn("odd", F.col("n") % unit != 0)
 
 
+#: Ways to name outputs, and to set up a session's acquisitions from its files, by name; users add their own.
+NAMERS: dict[str, Callable[..., Column]] = {"slice_channel_file": output_name}
+INITIALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_namer(name: str, namer: Callable[..., Column]) -> None:
+    """Adds a naming function of (acquisition, slice, channel, movie) columns."""
+    NAMERS[name] = namer
+
+
+def register_initialiser(name: str, initialise: Callable[[DataFrame], DataFrame]) -> None:
+    """Adds an initialiser: from files (``session``, ``path``) to files with ``acquisition`` and ``movie``."""
+    INITIALISERS[name] = initialise
+
+
+def by_prefix(files: DataFrame) -> DataFrame:
+    """The acquisition is the name before the last ``_``, the movie the order of its counter."""
+    named = files.withColumn("acquisition", prefix(base_name(F.col("path")), last=True)).withColumn("__c", counter(base_name(F.col("path"))))
+    order = Window.partitionBy("session", "acquisition").orderBy("__c", "path")
+    return named.withColumn("movie", (F.row_number().over(order) - 1).cast("long")).drop("__c")
+
+
+register_initialiser("by_prefix", by_prefix)
+
+
+def initialise_sessions(files: DataFrame, initialiser: str = "by_prefix", namer: str = "slice_channel_file", slices: int = 1, channels: int = 1) -> DataFrame:
+    """All sessions at once: every file with its acquisition and movie, and a row with an ``output`` name for each slice and
+    channel."""
+    own = INITIALISERS[initialiser](files)
+    own = own.withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(slices)))).withColumn("channel", F.explode(F.sequence(F.lit(1), F.lit(channels))))
+    return own.withColumn("output", NAMERS[namer](F.col("acquisition"), F.col("slice"), F.col("channel"), F.col("movie") + 1))
+
+
+def session_batch(files: DataFrame, group: str, number: str, unit: int = 10, most: int = 1) -> DataFrame:
+    """What a batch over all sessions works on: each session's files up to the first gap, in whole units."""
+    return whole_tens(before_gap(files, group, number, most), group, number, unit)
+
+
+def write_catalog(files: DataFrame, path: str, acquisition: str) -> None:
+    """Saves the manifest of one acquisition; saving it again replaces only itself."""
+    files.drop("acquisition").write.mode("overwrite").parquet(f"{path}/acquisition={acquisition}")
+
+
+def read_catalog(spark: SparkSession, path: str, acquisition: str | None = None) -> DataFrame:
+    """The saved manifests, or one acquisition's (only its files are read)."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows if acquisition is None else rows.where(F.col("acquisition") == acquisition)
+
+
 #: Where each generation of scanner header keeps (stack switch, slices, flyback, channels, frame period), newest first.
 SCANNER_FIELDS = [
     ("hFastZ.enable", "hFastZ.numFramesPerVolume", "hFastZ.discardFlybackFrames", "hChannels.channelSave", "hRoiManager.scanFramePeriod"),

@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.sources.stages import kept
+
+from .traces import delta_f
+
 
 def hals(data: np.ndarray, k: int, rounds: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative factors (pixels x k, k x frames) of a non-negative matrix, one component updated at a time."""
@@ -115,5 +119,31 @@ def deconvolved(trace: DataFrame, penalty: float = 0.0) -> DataFrame:
         calcium, events = deconvolve(y - low, decay, penalty)
         return pd.DataFrame({"roi_id": rows["roi_id"], "frame": rows["frame"], "denoised": calcium + low, "event": events, "decay": decay})
 
+    # A trace is one source of one recording, which bounds a group by a recording's length.
     kinds = dict(trace.dtypes)
     return trace.where("f IS NOT NULL").groupBy("roi_id").applyInPandas(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, denoised double, event double, decay double")
+
+
+def minimal_sync(manifest: DataFrame) -> DataFrame:
+    """The frame counts of a recording without synchronisation records: one block, whose frames are all valid."""
+    return manifest.agg(F.sum("z").cast("long").alias("slice_frames")).withColumn("valid_frames", F.col("slice_frames"))
+
+
+def source_results(movie: DataFrame, components: int, side: int, height: int, width: int, penalty: float = 0.0) -> dict[str, DataFrame]:
+    """All that a source extraction leaves, by name: ``sources`` (footprint weights of every pixel), ``background`` (the mean of
+    what the sources leave, by pixel) and ``background_trace`` (by frame), ``traces`` (activity, its dF/F, denoised and
+    events) and ``models`` (decay and penalty of each source).  Results that several of them read are computed once."""
+    weights = kept(footprints(movie, components, side, height, width))
+    active = kept(footprint_traces(movie, weights))
+    explained = active.join(weights, ["patch", "component"]).groupBy("frame", "px").agg(F.sum(F.col("f") * F.col("weight")).alias("own"))
+    rest = movie.select("frame", "px", "v").join(explained, ["frame", "px"], "left").withColumn("rest", F.col("v") - F.coalesce("own", F.lit(0.0)))
+    named = active.select(F.concat_ws("-", "patch", "component").alias("roi_id"), "frame", "f")
+    fitted = kept(deconvolved(named, penalty))
+    relative = delta_f(named).select("roi_id", "frame", "f", "df")
+    return {
+        "sources": weights,
+        "background": rest.groupBy("px").agg(F.avg("rest").alias("b")),
+        "background_trace": rest.groupBy("frame").agg(F.avg("rest").alias("f")),
+        "traces": relative.join(fitted.drop("decay"), ["roi_id", "frame"]),
+        "models": fitted.groupBy("roi_id").agg(F.first("decay").alias("decay")).withColumn("penalty", F.lit(penalty)),
+    }

@@ -12,6 +12,11 @@ from pyspark.sql.window import Window
 
 from framelake.functions.compat import argmax, nan_to_null, non_negative, pearson
 
+from . import tiles
+
+#: Most offsets of a covariance band that go by joins.
+BAND = 40
+
 
 def mean_image(movie: DataFrame) -> DataFrame:
     """Mean of every pixel of every movie; missing values are skipped."""
@@ -52,7 +57,14 @@ def neighbour_pairs(px: Column, neighbourhood: int, height: int, width: int) ->
 
 
 def pixel_covariance(bins: DataFrame, neighbourhood: int, height: int, width: int) -> DataFrame:
-    """Population covariance over the bins of each movie, averaged over movies, for neighbouring pixels i <= j."""
+    """Population covariance over the bins of each movie, averaged over movies, for neighbouring pixels i <= j.
+
+    A pair's bins are those that both pixels have a number in.  A band of more than ``BAND`` offsets goes by image tiles,
+    which send a series a few times instead of once for each offset.
+    """
+    if neighbourhood * (2 * neighbourhood - 1) - neighbourhood + 1 > BAND:
+        return tiles.pixel_covariance(bins, neighbourhood, height, width)
+    bins = bins.where("v IS NOT NULL AND NOT isnan(v)")
     left = bins.select("movie", "bin", F.col("px").alias("px_i"), F.col("v").alias("a"), F.explode(neighbour_pairs(F.col("px"), neighbourhood, height, width)).alias("px_j"))
     right = bins.select("movie", "bin", F.col("px").alias("px_j"), F.col("v").alias("b"))
     by_movie = left.join(right, ["movie", "bin", "px_j"]).groupBy("movie", "px_i", "px_j").agg(F.covar_pop("a", "b").alias("cov"))
@@ -168,6 +180,15 @@ def edge_subtracted(movie: DataFrame, pixels: DataFrame, edge: DataFrame) -> Dat
     return own.groupBy("roi_id", "frame").agg(F.avg(F.col("v") - F.col("edge")).alias("f"))
 
 
+def edge_neuropil_subtracted(movie: DataFrame, pixels: DataFrame, edge: DataFrame, rois: DataFrame) -> DataFrame:
+    """``raw``, ``neuropil`` and ``f`` of every region, each pixel's row edge signal taken off both; a region without
+    background pixels has its raw trace for ``f``."""
+    own = movie.join(pixels, "px").join(edge, ["row_", "frame"]).withColumn("off", F.col("v") - F.col("edge"))
+    sides = [F.avg(F.when(F.col("kind") == kind, F.col("off"))).alias(name) for kind, name in (("body", "raw"), ("neuropil", "neuropil"))]
+    both = own.groupBy("roi_id", "frame").agg(*sides).join(rois.select("roi_id", "sub_coef"), "roi_id")
+    return both.select("roi_id", "frame", "raw", "neuropil", (F.col("raw") - F.coalesce(F.col("neuropil") * F.col("sub_coef"), F.lit(0.0))).alias("f"))
+
+
 def line_shift_scores(image: DataFrame, height: int, width: int, most: int = 3) -> DataFrame:
     """Correlation of odd lines with even lines shifted along the line, on the central part of a mean image (of each movie
     where the image has a ``movie``)."""

@@ -127,7 +127,7 @@ def apply_fields(frames: DataFrame, lines: DataFrame, fields: DataFrame, height:
         first = [np.broadcast_to(np.array(d)[:, None], picture.shape) for d in (dy, dx)]
         moved = R.compose(first, second)
         read = I.cubic if bicubic else R.sample
-        return ([None if np.isnan(v) else v for v in R.flat(read(picture, rows + moved[0], cols + moved[1]))],)
+        return (R.column_major(read(picture, rows + moved[0], cols + moved[1])),)
 
     rows = frames.join(lines.select("movie", "frame", "dy", "dx"), ["movie", "frame"]).join(fields, "movie")
     return R.per_frame(rows, kernel, ["values", "dy", "dx", "fy", "fx"], "values array<double>")

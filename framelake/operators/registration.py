@@ -13,15 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.sources.stages import kept
+
+from .images import cubic
+
 
 def image(values, height: int) -> np.ndarray:
     """A column-major array as an image."""
     return np.asarray(values, np.float64).reshape(-1, height).T
 
 
-def flat(picture: np.ndarray) -> list[float]:
+def column_major(picture: np.ndarray) -> np.ndarray:
     """An image as a column-major array."""
-    return picture.T.reshape(-1).tolist()
+    return picture.T.reshape(-1)
+
+
+def flat(picture: np.ndarray) -> list[float]:
+    """An image as a column-major list."""
+    return column_major(picture).tolist()
 
 
 def subpixel_shift(reference: np.ndarray, frame: np.ndarray, upsample: int = 50) -> tuple[float, float]:
@@ -57,8 +66,10 @@ def warp(picture: np.ndarray, d_rows: np.ndarray | float, d_cols: np.ndarray | f
 
 
 def compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One displacement field that warps like ``first`` and then ``second``: first read at second's places, plus second."""
-    return tuple(np.nan_to_num(warp(f, *second)) + s for f, s in zip(first, second, strict=True))
+    """One displacement field that warps like ``first`` and then ``second``: first read (by cubics) at second's places, plus
+    second."""
+    rows, cols = np.mgrid[: first[0].shape[0], : first[0].shape[1]].astype(float)
+    return tuple(np.nan_to_num(cubic(f, rows + second[0], cols + second[1])) + s for f, s in zip(first, second, strict=True))
 
 
 def line_basis(height: int, spans: int) -> np.ndarray:
@@ -69,12 +80,13 @@ def line_basis(height: int, spans: int) -> np.ndarray:
 
 def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
     """Displacements of every line (rows, columns) and the final correlation: Gauss-Newton on knots of a linear spline,
-    with a ridge of 1e-4 times the squared median of the reference, stopped when the correlation stops rising."""
+    with a ridge of 1e-4 times the squared median of the reference, stopped when a round raises the correlation by less than
+    5e-4."""
     basis = line_basis(reference.shape[0], spans)
     start = subpixel_shift(reference, frame, 10)
     p = [np.full(spans + 1, -s) for s in start]
     ridge = 1e-4 * max(np.median(reference) ** 2, 1e-6) * np.eye(spans + 1)
-    best = (-np.inf, p)
+    best, before = (-np.inf, p), -np.inf
     for k in range(rounds):
         moved = warp(frame, (basis @ p[0])[:, None], (basis @ p[1])[:, None])
         ok = ~np.isnan(moved)
@@ -82,8 +94,9 @@ def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4,
         r = np.corrcoef(filled.ravel(), reference.ravel())[0, 1] if filled.std() and reference.std() else 0.0
         if r > best[0]:
             best = (r, [q.copy() for q in p])
-        if k >= 5 and r < best[0] + 5e-4 and r < best[0]:
+        if k >= 5 and r < before + 5e-4:
             break
+        before = r
         slopes = np.gradient(filled)
         off = reference - filled
         for axis in (0, 1):
@@ -93,14 +106,32 @@ def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4,
     return basis @ best[1][0], basis @ best[1][1], float(best[0])
 
 
+def views(column: pa.Array) -> list:
+    """A column's values; lists of numbers as arrays over the column's own memory, missing numbers as not a number."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    values = column.values.to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy()
+    there = column.is_valid().to_pylist()
+    return [values[a:b] if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), there, strict=True)]
+
+
+def column_of(values: tuple) -> pa.Array:
+    """Results as a column; arrays become lists, in which what is not a number is missing."""
+    if not isinstance(values[0], np.ndarray):
+        return pa.array(values)
+    ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), from_pandas=True))
+
+
 def per_frame(frames: DataFrame, kernel: Callable[..., tuple], inputs: list[str], schema: str, keep: tuple[str, ...] = ("movie", "frame")) -> DataFrame:
     """Rows of a kernel that maps the ``inputs`` of each row to a tuple of new columns."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kernel(*row) for row in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
+            rows = [kernel(*row) for row in zip(*(views(batch.column(c)) for c in inputs), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in zip(*rows, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(column_of, zip(*rows, strict=True))], names)
 
     kinds = dict(frames.dtypes)
     whole = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " + schema
@@ -148,8 +179,7 @@ def apply_shifts(frames: DataFrame, shifts: DataFrame, height: int) -> DataFrame
     """Frames moved by their shifts; places from outside are null."""
 
     def kernel(values, dy, dx):
-        moved = warp(image(values, height), -dy, -dx)
-        return ([None if np.isnan(v) else v for v in flat(moved)],)
+        return (column_major(warp(image(values, height), -dy, -dx)),)
 
     return per_frame(frames.join(shifts, ["movie", "frame"]), kernel, ["values", "dy", "dx"], "values array<double>", ("movie", "frame"))
 
@@ -159,7 +189,7 @@ def line_shifts(frames: DataFrame, references: DataFrame, height: int, spans: in
 
     def kernel(values, reference):
         dy, dx, r = line_displacement(image(reference, height), np.sqrt(np.maximum(image(values, height), 0)), spans)
-        return dy.tolist(), dx.tolist(), r
+        return dy, dx, r
 
     return per_frame(frames.join(references, "movie"), kernel, ["values", "reference"], "dy array<double>, dx array<double>, r double")
 
@@ -168,8 +198,7 @@ def apply_line_shifts(frames: DataFrame, shifts: DataFrame, height: int) -> Data
     """Frames resampled along their lines' displacements."""
 
     def kernel(values, dy, dx):
-        moved = warp(image(values, height), np.array(dy)[:, None], np.array(dx)[:, None])
-        return ([None if np.isnan(v) else v for v in flat(moved)],)
+        return (column_major(warp(image(values, height), dy[:, None], dx[:, None])),)
 
     return per_frame(frames.join(shifts.select("movie", "frame", "dy", "dx"), ["movie", "frame"]), kernel, ["values", "dy", "dx"], "values array<double>")
 
@@ -182,7 +211,41 @@ STRATEGIES: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]]
 }
 
 
-def correct_motion(frames: DataFrame, height: int, width: int, strategy: str = "full_frame") -> DataFrame:
-    """Corrected frames by a named strategy, on each movie's own mean image."""
+def register_strategy(name: str, identify: Callable[..., DataFrame], apply: Callable[..., DataFrame] = apply_shifts) -> None:
+    """Adds a strategy of one's own: ``identify(frames, references, height, width)`` gives rows of (``movie``, ``frame``) with
+    what ``apply(frames, shifts, height)`` reads."""
+    STRATEGIES[name] = (identify, apply)
+
+
+def movie_shifts(frames: DataFrame, reference_movie: int, height: int, upsample: int = 50) -> DataFrame:
+    """Shift (``movie``, ``my``, ``mx``) of each movie's mean image onto the reference movie's; 0 for that movie itself."""
+    px = frames.select("movie", F.posexplode("values").alias("px", "v"))
+    means = px.groupBy("movie", "px").agg(F.avg("v").alias("m"))
+    means = means.groupBy("movie").agg(F.transform(F.sort_array(F.collect_list(F.struct("px", "m"))), lambda s: s["m"]).alias("image"))
+    target = means.where(F.col("movie") == reference_movie).select(F.col("image").alias("target"))
+
+    def kernel(movie, picture, target):
+        if movie == reference_movie:
+            return 0.0, 0.0
+        mine, other = np.nan_to_num(image(picture, height)), np.nan_to_num(image(target, height))
+        return subpixel_shift(other, mine, upsample)
+
+    # The reference is one row.
+    return per_frame(means.crossJoin(F.broadcast(target)), kernel, ["movie", "image", "target"], "my double, mx double", ("movie",))
+
+
+def correct_motion(frames: DataFrame, height: int, width: int, strategy: str = "full_frame", reference_movie: int | None = None) -> DataFrame:
+    """Corrected frames by a named strategy, on each movie's own mean image; with ``reference_movie`` the shift of a
+    movie's corrected mean onto that movie's is added to its frames' shifts, and frames are resampled once."""
     identify, apply = STRATEGIES[strategy]
-    return apply(frames, identify(frames, reference_images(frames), height, width), height)
+    shifts = identify(frames, reference_images(frames), height, width)
+    if reference_movie is None:
+        return apply(frames, shifts, height)
+    shifts = kept(shifts)
+    between = movie_shifts(apply(frames, shifts, height), reference_movie, height)
+    both = shifts.join(between, "movie")
+    if apply is apply_shifts:
+        total = {"dy": F.col("dy") + F.col("my"), "dx": F.col("dx") + F.col("mx")}
+    else:  # displacements of lines say where a pixel is read, so they go the other way
+        total = {"dy": F.transform("dy", lambda d: d - F.col("my")), "dx": F.transform("dx", lambda d: d - F.col("mx"))}
+    return apply(frames, both.withColumns(total).drop("my", "mx"), height)

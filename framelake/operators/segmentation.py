@@ -34,12 +34,21 @@ def cuts(weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen * np.where(signs == 0, 1, signs) / (values[keep] + 0.01), values[keep]
 
 
-def l1_clusters(points: np.ndarray, k: int, rounds: int = 100, seed: int = 0) -> np.ndarray:
-    """K-medians under the L1 distance; starts are the points farthest from the median on each axis, then random ones."""
+def l1_clusters(points: np.ndarray, k: int, rounds: int = 100, seed: int = 0, replicates: int = 10) -> np.ndarray:
+    """K-medians under the L1 distance; starts are the points farthest from the median on each axis.  Where more are
+    needed, random ones are added ``replicates`` times, and the clusters of the least summed distance are kept."""
     rng = np.random.default_rng(seed)
     far = np.abs(points - np.median(points, axis=0)).argmax(axis=0)
     starts = list(dict.fromkeys(far.tolist()))[:k]
-    starts += [int(i) for i in rng.permutation(len(points)) if i not in starts][: k - len(starts)]
+    if len(starts) == min(k, len(points)):
+        return k_medians(points, starts, rounds)[0]
+    others = np.setdiff1d(np.arange(len(points)), starts)
+    tries = [k_medians(points, starts + rng.permutation(others)[: k - len(starts)].tolist(), rounds) for _ in range(replicates)]
+    return min(tries, key=lambda found: found[1])[0]
+
+
+def k_medians(points: np.ndarray, starts: list[int], rounds: int) -> tuple[np.ndarray, float]:
+    """Cluster of every point, and the summed distance to the centres."""
     centres, own = points[starts].copy(), np.zeros(len(points), int)
     for _ in range(rounds):
         new = np.abs(points[:, None] - centres[None]).sum(axis=2).argmin(axis=1)
@@ -49,7 +58,7 @@ def l1_clusters(points: np.ndarray, k: int, rounds: int = 100, seed: int = 0) ->
         for c in range(len(centres)):
             if (own == c).any():
                 centres[c] = np.median(points[own == c], axis=0)
-    return own
+    return own, float(np.abs(points - centres[own]).sum())
 
 
 def silhouette(points: np.ndarray, own: np.ndarray) -> float:

@@ -16,25 +16,28 @@ from pyspark.sql import functions as F
 
 
 def tiled_series(bins: DataFrame, neighbourhood: int, height: int, width: int, side: int, splits: int) -> DataFrame:
-    """(``tile``, ``part``, ``movie``, ``px``, ``series``): bins of each pixel in order, for every tile that needs them."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("bin", "v"))), lambda s: s["v"])
-    series = bins.groupBy("movie", "px").agg(ordered.alias("series"))
+    """(``tile``, ``part``, ``movie``, ``px``, ``bins``, ``series``): each pixel's bins and their values, for every tile
+    that needs them."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("bin").cast("long").alias("bin"), F.col("v").cast("double").alias("v"))))
+    series = bins.where("v IS NOT NULL AND NOT isnan(v)").groupBy("movie", "px").agg(ordered.alias("s"))
+    series = series.select("movie", "px", F.col("s.bin").alias("bins"), F.col("s.v").alias("series"))
     row, col, halo, down = F.col("px") % height, F.floor(F.col("px") / height), neighbourhood - 1, -(-height // side)
     # Own pixels reach rows on both sides and columns to the right.
     last = F.least(F.floor((row + halo) / side), F.lit(down - 1))
     rows = F.explode(F.sequence(F.floor(F.greatest(row - halo, F.lit(0)) / side), last)).alias("tr")
-    placed = series.select("movie", "px", "series", rows)
+    placed = series.select("movie", "px", "bins", "series", rows)
     cols = F.explode(F.sequence(F.floor(F.greatest(col - halo, F.lit(0)) / side), F.floor(col / side))).alias("tc")
-    placed = placed.select("movie", "px", "series", "tr", cols)
-    return placed.select((F.col("tr") + F.col("tc") * down).cast("int").alias("tile"), F.pmod(F.xxhash64("movie"), F.lit(splits)).cast("int").alias("part"), "movie", "px", "series")
+    placed = placed.select("movie", "px", "bins", "series", "tr", cols)
+    return placed.select((F.col("tr") + F.col("tc") * down).cast("int").alias("tile"), F.pmod(F.xxhash64("movie"), F.lit(splits)).cast("int").alias("part"), "movie", "px", "bins", "series")
 
 
 def pixel_covariance(bins: DataFrame, neighbourhood: int, height: int, width: int, side: int = 32, splits: int = 16) -> DataFrame:
     """The same rows as ``movie.pixel_covariance``: (``px_i``, ``px_j``, ``cov``) of neighbours i <= j.
 
+    Values are placed by their bins, so that a pair's covariance is over the bins that both have; pixels may lack any.
     Movies of a tile are dealt to ``splits`` parts and added up one at a time, so a task holds one movie of one tile and
-    one matrix of own by halo pixels (35 MB at side 32 and neighbourhood 23), whatever the number of movies.  A pixel
-    that a movie lacks has no part in that movie's average.  No bins give no rows.
+    a few matrices of own by halo pixels (35 MB each at side 32 and neighbourhood 23), whatever the number of movies.  A
+    pair without a common bin in a movie has no part in that movie's average.  No bins give no rows.
     """
     down = -(-height // side)
 
@@ -56,37 +59,43 @@ def pixel_covariance(bins: DataFrame, neighbourhood: int, height: int, width: in
             self.own, self.around, self.band = places(tile)
             self.total, self.count = np.zeros(self.band.shape), np.zeros(self.band.shape, np.int32)
 
-        def add(self, px: np.ndarray, values: np.ndarray) -> None:
-            centred = values - values.mean(axis=1, keepdims=True)
-            data, there = np.zeros((len(self.around), centred.shape[1])), np.zeros(len(self.around), bool)
-            at = np.searchsorted(self.around, px)
-            data[at], there[at] = centred, True
+        def add(self, px: np.ndarray, bins: list[np.ndarray], values: list[np.ndarray]) -> None:
+            every, column = np.unique(np.concatenate(bins), return_inverse=True)
+            row = np.repeat(np.searchsorted(self.around, px), [len(b) for b in bins])
+            data, there = np.zeros((len(self.around), len(every))), np.zeros((len(self.around), len(every)))
+            data[row, column] = np.concatenate([v - v.mean() for v in values])
+            there[row, column] = 1
             mine = np.searchsorted(self.around, self.own)
-            self.total += data[mine] @ data.T / centred.shape[1]
-            self.count += there[mine][:, None] & there[None]
+            shared = there[mine] @ there.T
+            some = np.maximum(shared, 1)
+            # Means are over the common bins: nought for pixels that have all of each other's.
+            cov = data[mine] @ data.T / some - (data[mine] @ there.T / some) * (there[mine] @ data.T / some)
+            self.total += np.where(shared > 0, cov, 0)
+            self.count += shared > 0
 
         def rows(self) -> pa.RecordBatch:
             i, j = np.nonzero(self.band & (self.count > 0))
             return pa.RecordBatch.from_arrays([pa.array(self.own[i].astype(np.int32)), pa.array(self.around[j].astype(np.int32)), pa.array(self.total[i, j]), pa.array(self.count[i, j].astype(np.int64))], ["px_i", "px_j", "s", "n"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, sums, px, series = None, None, None, [], []
+        key, group, sums, px, bins_, series = None, None, None, [], [], []
         for batch in batches:
-            lists = batch.column("series")
+            lists, numbers = batch.column("series"), batch.column("bins")
             for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "part", "movie", "px")), strict=True)):
                 if row[:3] != group:
                     if px:
-                        sums.add(np.array(px), np.stack(series))
-                    px, series = [], []
+                        sums.add(np.array(px), bins_, series)
+                    px, bins_, series = [], [], []
                     if row[:2] != key:
                         if sums is not None:
                             yield sums.rows()
                         key, sums = row[:2], Sums(row[0])
                     group = row[:3]
                 px.append(row[3])
+                bins_.append(numbers[k].values.to_numpy(zero_copy_only=False))
                 series.append(lists[k].values.to_numpy(zero_copy_only=False))
         if px:
-            sums.add(np.array(px), np.stack(series))
+            sums.add(np.array(px), bins_, series)
             yield sums.rows()
 
     dealt = tiled_series(bins, neighbourhood, height, width, side, splits).repartition("tile", "part").sortWithinPartitions("tile", "part", "movie", "px")

@@ -1,14 +1,25 @@
-"""Operators on traces (``roi_id``, ``frame``, ``f``): windows, percentiles, frame filters, dF/F.  All native."""
+"""Operators on traces (``roi_id``, ``frame``, ``f``): windows, percentiles, frame filters, dF/F.
+
+All are native but the running percentile, whose windows are partitioned in Arrow tasks.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from framelake.functions.compat import gaussian_weights, midpoint_percentile
+from framelake.functions.compat import gaussian_weights, group_percentile
+
+#: Frames of a trace that a task takes at a time, and window values that it holds at a time.
+BLOCK, HELD = 4096, 4_000_000
+
 
 def series() -> WindowSpec:
     """The frames of each trace in order."""
@@ -37,12 +48,47 @@ def gaussian_smooth(trace: DataFrame, length: int, edges: str = "same") -> DataF
 def running_percentile(trace: DataFrame, length: int, percent: float) -> DataFrame:
     """Order statistic of a centred window; the first and last frames take the nearest full window's value."""
     half, nth = length // 2, min(math.ceil(length * percent / 100), length - 1)
-    window = F.collect_list("f").over(series().rowsBetween(-half, length - 1 - half))
-    whole = Window.partitionBy("roi_id")
-    raw = trace.select("roi_id", "frame", "f", F.try_element_at(F.sort_array(window), F.lit(nth + 1)).alias("raw"), F.count("*").over(whole).alias("n"))
-    low, high = (F.max(F.when(F.col("frame") == at, F.col("raw"))).over(whole) for at in (F.lit(length), F.col("n") - length - 1))
-    value = F.when(F.col("frame") < length, low).when(F.col("frame") >= F.col("n") - length, high).otherwise(F.col("raw"))
-    return raw.where(F.col("n") > 2 * length).select("roi_id", "frame", value.alias("running"))
+    sizes = trace.groupBy("roi_id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * length)
+    rows = trace.select("roi_id", "frame", F.col("f").cast("double").alias("f"), (F.row_number().over(series()) - 1).cast("long").alias("k")).join(sizes, "roi_id")
+    # A block of a trace gets the frames around it as well, so that a task never holds more than a block.
+    blocks = F.sequence(F.greatest(F.expr(f"(k - {length - 1 - half}) div {BLOCK}"), F.lit(0).cast("long")), F.expr(f"least(k + {half}, n - 1) div {BLOCK}"))
+    dealt = rows.withColumn("block", F.explode(blocks)).repartition("roi_id", "block").sortWithinPartitions("roi_id", "block", "k")
+    kinds = dict(trace.dtypes)
+
+    def found(rows: pa.Table) -> list[pa.RecordBatch]:
+        values = rows.column("f").to_numpy().copy()  # missing ones are not a number, which sorts last
+        out = np.full(len(values), np.nan)
+        if len(values) >= length:
+            windows = np.lib.stride_tricks.sliding_window_view(values, length)
+            step = max(HELD // length, 1)
+            for a in range(0, len(windows), step):
+                out[half + a : half + a + min(step, len(windows) - a)] = np.partition(windows[a : a + step], nth, axis=1)[:, nth]
+        own = rows.column("k").to_numpy() // BLOCK == rows.column("block").to_numpy()
+        part = rows.append_column("raw", pa.array(out, from_pandas=True)).filter(pa.array(own))
+        return part.select(["roi_id", "frame", "k", "n", "raw"]).combine_chunks().to_batches()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # Within a block k counts up by one; at the next block it does not.
+            k = batch.column("k").to_numpy()
+            cuts = np.flatnonzero((np.diff(k) != 1) | (np.diff(batch.column("block").to_numpy()) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                piece = batch.slice(a, b - a)
+                if not piece.num_rows:
+                    continue
+                if held and (held[-1].column("k")[-1].as_py() + 1 != k[a] or held[-1].column("block")[-1] != piece.column("block")[0]):
+                    yield from found(pa.Table.from_batches(held))
+                    held = []
+                held.append(piece)
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    raw = dealt.mapInArrow(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, k long, n long, raw double")
+    ends = raw.where((F.col("k") == length) | (F.col("k") == F.col("n") - length - 1)).groupBy("roi_id")
+    ends = ends.agg(*[F.max(F.when(F.col("k") == at, F.col("raw"))).alias(name) for name, at in (("low", F.lit(length)), ("high", F.col("n") - length - 1))])
+    value = F.when(F.col("k") < length, F.col("low")).when(F.col("k") >= F.col("n") - length, F.col("high")).otherwise(F.col("raw"))
+    return raw.join(ends, "roi_id").select("roi_id", "frame", value.alias("running"))
 
 
 def running_max(trace: DataFrame, length: int) -> DataFrame:
@@ -53,7 +99,7 @@ def running_max(trace: DataFrame, length: int) -> DataFrame:
 def block_percentile(trace: DataFrame, length: int, percent: float) -> DataFrame:
     """Percentile of each block of frames, over the frames there are."""
     keyed = trace.withColumn("block", F.expr(f"frame div {length}"))
-    return keyed.groupBy("roi_id", "block").agg(midpoint_percentile(F.collect_list("f"), percent).alias("threshold"))
+    return group_percentile(keyed, ["roi_id", "block"], "f", percent, "threshold")
 
 
 def stable_frames(trace: DataFrame, span: int) -> DataFrame:
@@ -83,7 +129,7 @@ def reinsert_frames(values: DataFrame, full: DataFrame) -> DataFrame:
 
 def delta_f(trace: DataFrame, percent: float = 10.0) -> DataFrame:
     """(f - F0) / F0 with F0 a low percentile of the trace."""
-    base = trace.groupBy("roi_id").agg(midpoint_percentile(F.collect_list("f"), percent).alias("f0"))
+    base = group_percentile(trace, ["roi_id"], "f", percent, "f0")
     return trace.join(base, "roi_id").withColumn("df", F.try_divide(F.col("f") - F.col("f0"), F.col("f0")))
 
 

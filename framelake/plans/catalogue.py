@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.compat import gaussian_weights, midpoint_percentile, tidy, to_int16
+from framelake.functions.tables import register_table_functions
 from framelake.operators import catalog as C
 from framelake.operators import movie as M
 from framelake.operators import segmentation as G
@@ -34,7 +35,7 @@ cov AS (SELECT px_i, px_j, avg(c) AS cov FROM (SELECT a.movie, px_i, px_j, covar
   JOIN bins a ON a.px = px_i JOIN bins b ON b.px = px_j AND b.movie = a.movie AND b.bin = a.bin GROUP BY ALL) GROUP BY ALL),
 cor AS (SELECT px_i, px_j, CASE WHEN px_i = px_j THEN 1.0 ELSE greatest(least(cov / sqrt(a.v * b.v), 1.0), -1.0) END AS r FROM cov
   JOIN (SELECT px_i AS p, cov AS v FROM cov WHERE px_i = px_j) a ON a.p = px_i JOIN (SELECT px_i AS p, cov AS v FROM cov WHERE px_i = px_j) b ON b.p = px_j)"""
-STIM = """stim AS (SELECT vec_id AS key_frame, label AS target FROM embeddings WHERE vec_id % 25 = 10)"""
+STIM = """stim AS (SELECT e.vec_id AS key_frame, e.label AS target FROM embeddings e LEFT JOIN embeddings b ON b.vec_id = e.vec_id - 1 WHERE e.label IS DISTINCT FROM b.label)"""
 
 
 def hazen(column: str, percent: float) -> str:
@@ -172,6 +173,14 @@ def edge_subtracted(spark, sf):
     return rounded(M.edge_subtracted(movie, V.roi_pixels(spark), M.edge_signal(movie, M.edge_columns(movie))), "f")
 
 
+@register("edge_neuropil_subtracted", f"""WITH {EDGE}, sides AS (SELECT roi_id, frame, avg(v - edge) FILTER (kind = 'body') AS raw, avg(v - edge) FILTER (kind = 'neuropil') AS neuropil
+FROM movie JOIN roi_px USING (px) JOIN edge USING (row_, frame) GROUP BY ALL)
+SELECT roi_id, frame, {r6('raw')} AS raw, {r6('neuropil')} AS neuropil, {r6('raw - coalesce(neuropil * sub_coef, 0)')} AS f FROM sides JOIN roi USING (roi_id)""")
+def edge_neuropil_subtracted(spark, sf):
+    movie = V.movie(spark, sf)
+    return rounded(M.edge_neuropil_subtracted(movie, V.roi_pixels(spark), M.edge_signal(movie, M.edge_columns(movie)), V.rois(spark)), "raw", "neuropil", "f")
+
+
 @register("line_shift_score", f"""WITH {MOVIE}, img AS (SELECT px, row_, col_ - 2 AS c, avg(v) AS m FROM movie WHERE row_ BETWEEN 2 AND 5 AND col_ BETWEEN 2 AND 5 GROUP BY ALL)
 SELECT CAST(s AS INTEGER) AS shift, {r6('corr(a.m, b.m)')} AS score FROM range(-3, 4) t(s), img a JOIN img b ON b.row_ = a.row_ + 1 AND a.row_ % 2 = 0 WHERE ((b.c + s) % 4 + 4) % 4 = a.c GROUP BY s""")
 def line_shift_score(spark, sf):
@@ -345,6 +354,20 @@ def before_gap(spark, sf):
     return C.before_gap(V.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
+@register("session_batch", "WITH g AS (SELECT o_custkey, o_orderkey, coalesce(CAST(o_orderkey - lag(o_orderkey) OVER w > 2000 AS INTEGER), 0) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), s AS (SELECT *, sum(gap) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS gaps FROM g), k AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM s WHERE gaps = 0) SELECT o_custkey, o_orderkey FROM k WHERE k <= n // 2 * 2")
+def session_batch(spark, sf):
+    """Sessions are customers; counters are orders, a gap is more than 2000 apart."""
+    return C.session_batch(V.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 2, 2000)
+
+
+@register("initialised_sessions", """WITH f AS (SELECT p_brand AS session, p_type || '_' || CAST(p_partkey AS VARCHAR) AS path, p_type AS acquisition, p_partkey FROM part),
+m AS (SELECT *, row_number() OVER (PARTITION BY session, acquisition ORDER BY p_partkey, path) - 1 AS movie FROM f)
+SELECT session, path, acquisition, movie, CAST(c AS INTEGER) AS channel, printf('%s_Slice01_Channel%02d_File%03d.tif', acquisition, CAST(c AS INTEGER), CAST(movie + 1 AS INTEGER)) AS output FROM m, range(1, 3) r(c)""")
+def initialised_sessions(spark, sf):
+    files = V.table(spark, sf, "part").select(F.col("p_brand").alias("session"), F.concat_ws("_", "p_type", F.col("p_partkey").cast("string")).alias("path"))
+    return C.initialise_sessions(files, channels=2).drop("slice")
+
+
 @register("output_names", "SELECT p_partkey, printf('%s_Slice%02d_Channel%02d_File%03d.tif', p_brand, CAST(p_size % 4 + 1 AS INTEGER), CAST(p_size % 2 + 1 AS INTEGER), CAST(p_size AS INTEGER)) AS name FROM part")
 def output_names(spark, sf):
     size = F.col("p_size")
@@ -395,6 +418,29 @@ def band_offsets(spark, sf):
     return M.band_offsets(spark, NH).select(F.col("dcol").cast("int"), F.col("drow").cast("int"))
 
 
+@register("band_offsets_sql", "SELECT CAST(k AS INTEGER) AS dcol, CAST(o AS INTEGER) AS drow FROM range(0, 3) a(k), range(-2, 3) b(o) WHERE k > 0 OR o >= 0")
+def band_offsets_sql(spark, sf):
+    """The band by the SQL table function."""
+    register_table_functions(spark)
+    return spark.sql(f"SELECT dcol, drow FROM band_offsets({NH})")
+
+
+@register("neighbour_pixels_sql", f"WITH {MOVIE}, p AS (SELECT DISTINCT px FROM movie) SELECT px, CAST(px + r + 8 * c AS INTEGER) AS neighbour FROM p, range(-1, 2) a(r), range(-1, 2) b(c) WHERE px % 8 + r BETWEEN 0 AND 7 AND px // 8 + c BETWEEN 0 AND 7")
+def neighbour_pixels_sql(spark, sf):
+    """Square neighbourhoods by the SQL table function."""
+    register_table_functions(spark)
+    V.movie(spark, sf).select("px").distinct().createOrReplaceTempView("framelake_pixels")
+    return spark.sql(f"SELECT px, neighbour FROM framelake_pixels, LATERAL neighbour_pixels(px, 1, {H}, {WIDTH})")
+
+
+@register("event_window_sql", f"WITH {MOVIE}, {STIM} SELECT key_frame, CAST(o AS INTEGER) AS lag, key_frame + o AS frame FROM stim, range(-3, 7) t(o)")
+def event_window_sql(spark, sf):
+    """Frames around events by the SQL table function."""
+    register_table_functions(spark)
+    V.stimuli(spark, sf).createOrReplaceTempView("framelake_stimuli")
+    return spark.sql("SELECT key_frame, lag, frame FROM framelake_stimuli, LATERAL event_window(key_frame, -3, 6)")
+
+
 SEEDS = """seeds AS (SELECT CAST(i AS INTEGER) AS seed, (i % 4) * 2 + 0.5 AS sr, (i // 4) * 2 + 0.5 AS sc FROM range(16) r(i)),
 discs AS (SELECT seed, CAST(i AS INTEGER) AS px FROM seeds, range(64) p(i) WHERE (i % 8 - sr) ** 2 + (i // 8 - sc) ** 2 < 4)"""
 
@@ -444,7 +490,7 @@ def overview_image(spark, sf):
     return rounded(M.overview(anatomy, activity), "red", "green", "blue")
 
 
-@register("stimulus_frames", "WITH s AS (SELECT vec_id // 50 AS block, vec_id % 50 AS frame, label FROM embeddings WHERE vec_id % 25 = 10), b AS (SELECT vec_id // 50 AS block, count(*) AS frames FROM embeddings GROUP BY ALL), o AS (SELECT block, sum(frames) OVER (ORDER BY block) - frames AS start FROM b) SELECT block, CAST(start + frame AS BIGINT) AS key_frame FROM s JOIN o USING (block) WHERE label = 3")
+@register("stimulus_frames", f"WITH {STIM}, s AS (SELECT key_frame // 50 AS block, key_frame % 50 AS frame, target AS label FROM stim), b AS (SELECT vec_id // 50 AS block, count(*) AS frames FROM embeddings GROUP BY ALL), o AS (SELECT block, sum(frames) OVER (ORDER BY block) - frames AS start FROM b) SELECT block, CAST(start + frame AS BIGINT) AS key_frame FROM s JOIN o USING (block) WHERE label = 3")
 def stimulus_frames(spark, sf):
     rows = V.frames(spark, sf)
     stimuli = V.stimuli(spark, sf).select(F.expr(f"key_frame div {V.FILE_FRAMES}").alias("block"), (F.col("key_frame") % V.FILE_FRAMES).alias("frame"), "target")

@@ -60,8 +60,8 @@ def numbers_rounded(df: DataFrame) -> DataFrame:
 
 
 def strategy(name: str) -> Query:
-    """Corrected frames by a strategy on each movie's own image."""
-    return lambda spark, sf: R.correct_motion(frames(spark, sf), H, WIDTH, name)
+    """Corrected frames by a strategy, all brought onto the first movie."""
+    return lambda spark, sf: R.correct_motion(frames(spark, sf), H, WIDTH, name, reference_movie=0)
 
 
 def recording(name: str) -> Query:
@@ -120,6 +120,8 @@ KERNELS: dict[str, Query] = {
     "paired_coefficient": lambda spark, sf: B.paired_coefficients(traces(spark, sf)),
     "source_footprints": lambda spark, sf: E.footprints(V.movie(spark, sf), 2, 4, H, WIDTH),
     "source_traces": source_traces,
+    "source_results": lambda spark, sf: E.source_results(V.movie(spark, sf), 2, 4, H, WIDTH)["traces"],
+    "source_background": lambda spark, sf: E.source_results(V.movie(spark, sf), 2, 4, H, WIDTH)["background"],
     "deconvolution": lambda spark, sf: E.deconvolved(V.trace(spark, sf)),
     "baseline_delta_f": lambda spark, sf: B.baseline_delta_f(traces(spark, sf)),
 } | {f"motion_{name}": strategy(name) for name in R.STRATEGIES} | {f"motion_{name}": recording(name) for name in N.RECORDING_STRATEGIES}

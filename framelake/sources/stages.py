@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from ``spark.checkpoint.dir`` (a temporary folder where it is unset, as in tests)."""
+    """``df`` computed once and read back from ``spark.checkpoint.dir`` (on a local master only, as in tests, a folder of our
+    own where it is unset)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="framelake-"))
     return df.checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,14 @@ from pyspark.sql.window import Window
 
 # Fixed values of the TIFF 6.0 format: tags, and sizes of the field types that matter here.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 279, 339
-SIZES = {3: ("H", 2), 4: ("I", 4)}
-#: Scanner settings stand in the first bytes of a stack.
-HEADER_BYTES = 1 << 16
+SIZES = {2: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+DESCRIPTION = 270
+#: Frames of a pixel in one row of the pixel-major store.
+BLOCK = 4096
 
 
-def pages(data: bytes) -> Iterator[np.ndarray]:
-    """Images of a stack in turn."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]:
+    """(byte order, tags) of the images of a stack in turn; text is a tuple of its bytes."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -35,38 +37,53 @@ def pages(data: bytes) -> Iterator[np.ndarray]:
                 place = at + 10 + 12 * k
                 where = place if size * count <= 4 else struct.unpack_from(order + "I", data, place)[0]
                 tags[tag] = struct.unpack_from(f"{order}{count}{letter}", data, where)
+        yield order, tags
+        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+
+
+def pages(data: bytes, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, image) of the images of a stack, or of the wanted ones only: the others' pixels are not touched."""
+    for number, (order, tags) in enumerate(directories(data)):
+        if wanted is not None and number not in wanted:
+            continue
         if tags.get(COMPRESSION, (1,))[0] != 1:
             raise ValueError("compressed TIFF is not supported")
         kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
         strips = b"".join(data[a : a + c] for a, c in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-        yield np.frombuffer(strips, f"{order}{kind}{tags[BITS][0] // 8}").reshape(tags[HEIGHT][0], tags[WIDTH][0])
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+        yield number, np.frombuffer(strips, f"{order}{kind}{tags[BITS][0] // 8}").reshape(tags[HEIGHT][0], tags[WIDTH][0])
 
 
-def stack_bytes(images: list[np.ndarray]) -> bytes:
-    """A stack of 16-bit images as a file."""
+def stack_bytes(images: list[np.ndarray], description: str = "") -> bytes:
+    """A stack of 16-bit images as a file, the description behind the first one's pixels."""
+    text = description.encode("latin-1") + b"\0"
     out = bytearray(b"II*\0" + struct.pack("<I", 8))
     for k, picture in enumerate(images):
         pixels = np.ascontiguousarray(picture, "<i2").tobytes()
         tags = [(WIDTH, picture.shape[1]), (HEIGHT, picture.shape[0]), (BITS, 16), (COMPRESSION, 1), (262, 1), (OFFSETS, 0), (277, 1), (278, picture.shape[0]), (COUNTS, len(pixels)), (FORMAT, 2)]
+        own = text if description and not k else b""
+        if own:
+            tags.insert(5, (DESCRIPTION, len(own)))
         start = len(out)
         data = start + 2 + 12 * len(tags) + 4
-        after = data + len(pixels) if k + 1 < len(images) else 0
+        after = data + len(pixels) + len(own) if k + 1 < len(images) else 0
         out += struct.pack("<H", len(tags))
         for tag, value in tags:
-            out += struct.pack("<HHII", tag, 4, 1, data if tag == OFFSETS else value)
-        out += struct.pack("<I", after) + pixels
+            out += struct.pack("<HHII", tag, 2, value, data + len(pixels)) if tag == DESCRIPTION else struct.pack("<HHII", tag, 4, 1, data if tag == OFFSETS else value)
+        out += struct.pack("<I", after) + pixels + own
     return bytes(out)
 
 
-def read_stacks(spark: SparkSession, path: str) -> DataFrame:
-    """(``path``, ``frame_in_movie``, ``height``, ``width``, ``values`` column-major) of every page of every stack."""
+def read_stacks(spark: SparkSession, path: str, frames: list[int] | None = None) -> DataFrame:
+    """(``path``, ``frame_in_movie``, ``height``, ``width``, ``values`` column-major) of every page of every stack, or of
+    the given frames of each: single frames by number, as a mean image or a viewer asks for them.  A filter on ``path``
+    leaves out whole files."""
+    wanted = None if frames is None else set(frames)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for k, picture in enumerate(pages(content)):
+                for k, picture in pages(content, wanted):
                     columns = [[name], [k], [picture.shape[0]], [picture.shape[1]], [picture.T.reshape(-1).astype(np.float64).tolist()]]
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:4]), pa.array(columns[4])], ["path", "frame_in_movie", "height", "width", "values"])
 
@@ -82,9 +99,24 @@ def number_files(frames: DataFrame) -> DataFrame:
 
 
 def write_pixel_major(movie: DataFrame, path: str) -> None:
-    """The pixel-major store: one row per pixel with its series in frame order, clustered by pixel for pruning."""
-    series = movie.groupBy("px").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("series"))
-    series.repartitionByRange("px").sortWithinPartitions("px").write.mode("overwrite").parquet(path)
+    """The pixel-major store: a row for each pixel and block of ``BLOCK`` frames, with its ``frames`` and ``series`` in order,
+    clustered by pixel and block for pruning.  A row is bounded however long a recording is."""
+    blocks = movie.withColumn("block", F.expr(f"frame div {BLOCK}")).groupBy("px", "block").agg(F.sort_array(F.collect_list(F.struct("frame", "v"))).alias("s"))
+    series = blocks.select("px", "block", F.col("s.frame").alias("frames"), F.col("s.v").alias("series"))
+    series.repartitionByRange("px", "block").sortWithinPartitions("px", "block").write.mode("overwrite").parquet(path)
+
+
+def read_pixels(spark: SparkSession, path: str, pixels: list[int] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(``px``, ``frame``, ``v``) of some pixels and a range of frames of the pixel-major store; only their blocks are read."""
+    rows = spark.read.parquet(path)
+    if pixels is not None:
+        rows = rows.where(F.col("px").isin(pixels))
+    if first is not None:
+        rows = rows.where(F.col("block") >= first // BLOCK)
+    if last is not None:
+        rows = rows.where(F.col("block") <= last // BLOCK)
+    out = rows.select("px", F.explode(F.arrays_zip("frames", "series")).alias("s")).select("px", F.col("s.frames").alias("frame"), F.col("s.series").alias("v"))
+    return out.where(F.lit(True) & (F.lit(first is None) | (F.col("frame") >= F.lit(first))) & (F.lit(last is None) | (F.col("frame") <= F.lit(last))))
 
 
 def write_corrected(frames: DataFrame, path: str) -> None:
@@ -92,16 +124,24 @@ def write_corrected(frames: DataFrame, path: str) -> None:
     frames.write.mode("overwrite").partitionBy("slice", "channel", "movie").parquet(path)
 
 
-def append_bins(bins: DataFrame, path: str) -> None:
-    """Bins behind those that a store has already: their numbers go on from its highest ``bin``."""
+def append_bins(bins: DataFrame, path: str, batch: str | None = None) -> None:
+    """Bins behind those that a store has already: their numbers go on from its highest ``bin``.
+
+    A ``batch`` that is appended again, as a retried one is, replaces only itself and keeps its numbers' start.  Batches are
+    for one writer at a time.
+    """
     spark = bins.sparkSession
+    batch = uuid.uuid4().hex if batch is None else batch
     try:
-        end = spark.read.parquet(path).agg(F.max("bin")).first()[0]
+        others = spark.read.option("basePath", path).parquet(path)
+        own = others.where(F.col("batch") == batch).agg(F.min("first")).first()[0]
+        end = own - 1 if own is not None else others.agg(F.max("bin")).first()[0]
     except AnalysisException as missing:  # the first append finds no store
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         end = None
-    bins.withColumn("bin", F.col("bin") + F.lit(0 if end is None else end + 1)).write.mode("append").parquet(path)
+    start = F.lit(0 if end is None else end + 1).cast("long")
+    bins.withColumns({"bin": F.col("bin") + start, "first": start}).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_covariance(covariance: DataFrame, path: str, **settings: int) -> None:
@@ -120,8 +160,16 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
     A list in brackets counts its items; true and false are 1 and 0.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEADER_BYTES).alias("head"))
-    lines = F.expr("regexp_extract_all(decode(head, 'ISO-8859-1'), '([A-Za-z][A-Za-z0-9_.]*) *= *([^\\r\\n\\u0000]+)', 0)")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Text tags that fit in four bytes stand in the directory, longer ones anywhere in the file.
+            heads = ["".join(map(chr, next(directories(content), ("", {}))[1].get(DESCRIPTION, ()))) for content in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.string())], ["path", "head"])
+
+    files = files.mapInArrow(of, "path string, head string")
+    lines = F.expr("regexp_extract_all(head, '([A-Za-z][A-Za-z0-9_.]*) *= *([^\\r\\n\\u0000]+)', 0)")
     each = files.select("path", F.explode(lines).alias("line"))
     name = F.regexp_replace(F.trim(F.element_at(F.split("line", "=", 2), 1)), "^(scanimage|state)\\.", "")
     text = F.lower(F.trim(F.element_at(F.split("line", "=", 2), 2)))

@@ -59,5 +59,7 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key frames and targets of stimuli."""
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 10").select(F.col("vec_id").alias("key_frame"), F.col("label").alias("target"))
+    """Key frames and targets of stimuli: every frame whose label is another than the frame's before."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key_frame"), F.col("label").alias("target"))
+    before = rows.select((F.col("key_frame") + 1).alias("key_frame"), F.col("target").alias("was"), F.lit(True).alias("there"))
+    return rows.join(before, "key_frame", "left").where(F.col("there").isNull() | ~F.col("target").eqNullSafe(F.col("was"))).select("key_frame", "target")

@@ -1,21 +1,26 @@
 """The batch job processor as a stream: a watched folder of job files, a stage machine, a manifest and a log.
 
 A streaming query with a checkpoint owns its input, so a job is claimed once without renaming files.  Results are
-appended to a manifest; a stage that the manifest has is skipped, so a replayed batch does no work twice.
+appended to a manifest; a stage that the manifest has is skipped, so a replayed batch does no work twice.  A stage that
+raises fails the jobs of its batch, not the stream: they get the stage's state and the error's text.  While a stop file
+is there, jobs are returned (state ``jobs``) instead of worked on.
 """
 
 from __future__ import annotations
 
+import socket
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 JOB = "job_id long, acquisition string"
-MANIFEST = "job_id long, stage string, state string, batch long"
+MANIFEST = "job_id long, stage string, state string, batch long, message string, host string, at timestamp"
 #: A stage gets the jobs that still need it and returns (job_id, ok).
 Stage = Callable[[DataFrame], DataFrame]
+RETURNED = "returned"
 
 
 def watch(spark: SparkSession, folder: str, most: int = 1) -> DataFrame:
@@ -33,32 +38,63 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
 
 
-def run_batch(jobs: DataFrame, batch: int, path: str, stages: Sequence[tuple[str, Stage, bool]]) -> None:
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file exists, on any store that Spark can read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def record(found: DataFrame, stage: str, batch: int, path: str) -> None:
+    """Appends (``job_id``, ``state``, ``message``) rows to the manifest, with host and time."""
+    rest = [F.lit(stage).alias("stage"), "state", F.lit(batch).cast("long").alias("batch"), "message", F.lit(socket.gethostname()).alias("host"), F.current_timestamp().alias("at")]
+    found.select("job_id", *rest).write.mode("append").parquet(path)
+
+
+def run_batch(jobs: DataFrame, batch: int, path: str, stages: Sequence[tuple[str, Stage, bool]], stop: str | None = None) -> None:
     """Runs the stages in turn; a failed job leaves a stage that must succeed (third value) for the error state."""
     spark = jobs.sparkSession
     alive = jobs.select("job_id", "acquisition").distinct()
     for name, stage, must in stages:
+        if stop is not None and there(spark, stop):
+            record(alive.select("job_id", F.lit("jobs").alias("state"), F.lit("stopped").alias("message")), RETURNED, batch, path)
+            return
         done = manifest(spark, path).where((F.col("stage") == name) & (F.col("state") == "done")).select("job_id").distinct()
-        found = stage(alive.join(done, "job_id", "left_anti")).select("job_id", "ok")
-        state = F.when(F.col("ok"), "done").otherwise("error" if must else "logged")
-        found.select("job_id", F.lit(name).alias("stage"), state.alias("state"), F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(path)
+        waiting, bad = alive.join(done, "job_id", "left_anti"), F.lit("error" if must else "logged")
+        try:
+            found = stage(waiting).select("job_id", F.when(F.col("ok"), "done").otherwise(bad).alias("state"), F.lit(None).cast("string").alias("message"))
+            record(found, name, batch, path)
+        except Exception as error:  # whatever a stage raises is its jobs' error
+            record(waiting.select("job_id", bad.alias("state"), F.lit(str(error)[:1000]).alias("message")), name, batch, path)
         if must:
             failed = manifest(spark, path).where((F.col("stage") == name) & (F.col("state") == "error") & (F.col("batch") == batch)).select("job_id")
             alive = alive.join(failed, "job_id", "left_anti")
 
 
-def process(jobs: DataFrame, path: str, checkpoint: str, stages: Sequence[tuple[str, Stage, bool]], poll: str | None = None) -> StreamingQuery:
+def process(jobs: DataFrame, path: str, checkpoint: str, stages: Sequence[tuple[str, Stage, bool]], poll: str | None = None, stop: str | None = None) -> StreamingQuery:
     """Starts the processor: until the folder is drained, or polling at an interval such as ``60 seconds``."""
-    writer = jobs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: run_batch(df, batch, path, stages))
+    writer = jobs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: run_batch(df, batch, path, stages, stop))
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
 
 
 def job_states(entries: DataFrame, stages: int) -> DataFrame:
-    """Where each job stands: ``error`` once a stage failed, ``done`` when all stages ended, else ``inProgress``."""
-    counted = entries.groupBy("job_id").agg(F.max((F.col("state") == "error").cast("int")).alias("bad"), F.count_distinct(F.when(F.col("state") != "error", F.col("stage"))).alias("n"))
-    return counted.select("job_id", F.when(F.col("bad") == 1, "error").when(F.col("n") >= stages, "done").otherwise("inProgress").alias("state"))
+    """Where each job stands: ``error`` once a stage failed, ``done`` when all stages ended, ``jobs`` when it was returned
+    last, else ``inProgress``."""
+    own = F.col("stage") != RETURNED
+    last = F.max_by("stage", F.struct("batch", "at"))
+    counted = entries.groupBy("job_id").agg(
+        F.max((F.col("state") == "error").cast("int")).alias("bad"), F.count_distinct(F.when(own & (F.col("state") != "error"), F.col("stage"))).alias("n"), last.alias("last"),
+    )
+    state = F.when(F.col("bad") == 1, "error").when(F.col("n") >= stages, "done").when(F.col("last") == RETURNED, "jobs").otherwise("inProgress")
+    return counted.select("job_id", state.alias("state"))
+
+
+def again(jobs: DataFrame, entries: DataFrame, stages: int) -> DataFrame:
+    """Jobs that were returned, to be put into the watched folder anew."""
+    return jobs.join(job_states(entries, stages).where("state = 'jobs'").select("job_id"), "job_id", "left_semi")
 
 
 def log_lines(entries: DataFrame) -> DataFrame:
-    """Tab-separated log lines of a manifest."""
-    return entries.select("job_id", F.concat_ws("\t", F.col("batch").cast("string"), "stage", "state").alias("line"))
+    """Tab-separated log lines of a manifest, numbered for each job: time, host, batch, stage, state, message."""
+    parts = [F.date_format("at", "yyyy-MM-dd HH:mm:ss"), "host", F.col("batch").cast("string"), "stage", "state", F.coalesce("message", F.lit(""))]
+    order = Window.partitionBy("job_id").orderBy("at", "batch", "stage")
+    return entries.select("job_id", F.row_number().over(order).alias("turn"), F.concat_ws("\t", *parts).alias("line"))

@@ -119,11 +119,14 @@ def test_tiff_round_trip(spark, tmp_path):
     for r in rows:
         want = stacks[r.path.rpartition("/")[2]][r.frame_in_movie]
         assert (np.array(r["values"]).reshape(7, 5).T == want).all()
+    some = tiff.read_stacks(spark, str(tmp_path), [2, 0]).collect()
+    assert sorted((r.path[-6:-4], r.frame_in_movie) for r in some) == [("a0", 0), ("a0", 2), ("a1", 0)]
 
 
 def test_pixel_major_store_prunes(spark, tmp_path):
     rows = [(f, p, float(f * 10 + p)) for f in range(4) for p in range(6)]
     tiff.write_pixel_major(spark.createDataFrame(rows, "frame long, px int, v double"), str(tmp_path / "px"))
+    assert sorted((r.frame, r.v) for r in tiff.read_pixels(spark, str(tmp_path / "px"), [3], 1, 2).collect()) == [(1, 13.0), (2, 23.0)]
     got = spark.read.parquet(str(tmp_path / "px")).where("px = 3")
     assert got.first().series == [3.0, 13.0, 23.0, 33.0]
     assert "PushedFilters: [IsNotNull(px), EqualTo(px,3)]" in got._jdf.queryExecution().toString()
@@ -143,3 +146,30 @@ def test_jobs_once(spark, tmp_path):
     entries = J.manifest(spark, out)
     assert entries.where("state = 'done'").groupBy("job_id", "stage").count().where("count > 1").count() == 0
     assert {r.job_id: r.state for r in J.job_states(entries, 2).collect()} == {0: "done", 1: "error", 2: "done"}
+
+
+def test_jobs_that_raise_or_are_stopped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    inbox, out = tmp_path / "jobs", str(tmp_path / "manifest")
+    inbox.mkdir()
+    for k in range(3):
+        (inbox / f"{k}.json").write_text(json.dumps({"job_id": k, "acquisition": f"a{k}"}))
+
+    def motion(jobs):
+        if jobs.where("job_id = 1").count():
+            raise ValueError("no such file")
+        if jobs.where("job_id = 2").count():
+            (tmp_path / "stop").touch()
+        return jobs.select("job_id", F.lit(True).alias("ok"))
+
+    stages = [("motion", motion, True), ("nmf", lambda d: d.select("job_id", F.lit(True).alias("ok")), False)]
+    J.process(J.watch(spark, str(inbox)), out, str(tmp_path / "cp"), stages, stop=str(tmp_path / "stop")).awaitTermination()
+    entries = J.manifest(spark, out)
+    states = {r.job_id: r.state for r in J.job_states(entries, 2).collect()}
+    assert states[1] in ("error", "jobs") and states[2] == "jobs" and states[0] in ("done", "jobs")
+    assert states[1] != "error" or "no such file" in entries.where("job_id = 1 and state = 'error'").first().message
+    lines = [r.line for r in J.log_lines(entries).collect()]
+    assert len(lines) == entries.count() and all(line.count("\t") == 5 for line in lines)
+    jobs = spark.createDataFrame([(k, f"a{k}") for k in range(3)], J.JOB)
+    assert {r.job_id for r in J.again(jobs, entries, 2).collect()} == {k for k, s in states.items() if s == "jobs"}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelake.operators import baseline as B
 from framelake.operators import catalog as C
 from framelake.operators import extraction as X
 from framelake.operators import images as I
@@ -223,11 +224,41 @@ def test_footprints_and_traces(spark):
         assert len(f) == 40 and np.corrcoef(f, act[k])[0, 1] > 0.999
 
 
+def test_source_results_add_up(spark):
+    """Background and sources explain the movie's mean; traces have a decay and events for every source and frame."""
+    rng = np.random.default_rng(8)
+    act = rng.gamma(0.4, 3, (2, 60))
+    rows = [(f, r + 4 * c, 5.0 + float(act[c // 2, f])) for f in range(60) for r in range(4) for c in range(4)]
+    movie = spark.createDataFrame(rows, "frame long, px int, v double")
+    found = X.source_results(movie, 2, 4, 4, 4)
+    weights, background = found["sources"].toPandas(), found["background"].toPandas().set_index("px")["b"]
+    traces = found["traces"].toPandas()
+    mean = traces.groupby("roi_id")["f"].mean()
+    own = weights.assign(m=[w * mean[f"{p}-{c}"] for p, c, w in weights[["patch", "component", "weight"]].itertuples(index=False)]).groupby("px")["m"].sum()
+    want = movie.groupBy("px").avg("v").toPandas().set_index("px")["avg(v)"]
+    assert all(abs(background[px] + own.get(px, 0.0) - want[px]) < 1e-9 for px in want.index)
+    assert len(traces) == 2 * 60 and (traces["event"] >= 0).all() and found["models"].count() == 2
+    assert X.minimal_sync(spark.createDataFrame([(0, 4), (1, 6)], "movie int, z long")).first().asDict() == {"slice_frames": 10, "valid_frames": 10}
+
+
+def test_replicates_find_the_better_clusters():
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(c, 0.1, (12, 2)) for c in ((0, 0), (5, 5), (0.0, 5), (5, 0), (2.5, 2.5))])
+    cost = lambda own: sum(np.abs(points[own == c] - np.median(points[own == c], axis=0)).sum() for c in np.unique(own))
+    one, ten = G.l1_clusters(points, 5, replicates=1), G.l1_clusters(points, 5)
+    assert cost(ten) <= cost(one) and len(np.unique(ten)) == 5
+
+
 def test_stores(spark, tmp_path):
     bins = spark.createDataFrame([(b, p, float(b)) for b in range(3) for p in range(2)], "bin long, px int, v double")
     for _ in range(2):
         tiff.append_bins(bins, str(tmp_path / "bins"))
     assert sorted(r.bin for r in spark.read.parquet(str(tmp_path / "bins")).select("bin").distinct().collect()) == list(range(6))
+    # A batch that is tried again replaces itself and keeps its numbers.
+    for _ in range(2):
+        tiff.append_bins(bins, str(tmp_path / "more"), "a")
+        tiff.append_bins(bins, str(tmp_path / "more"), "b")
+    assert sorted((r.batch, r.bin) for r in spark.read.parquet(str(tmp_path / "more")).where("px = 0").collect()) == [("a", 0), ("a", 1), ("a", 2), ("b", 3), ("b", 4), ("b", 5)]
     tiff.write_covariance(spark.createDataFrame([(0, 1, 2.0)], "px_i int, px_j int, cov double"), str(tmp_path / "cov"), neighbourhood=3, bin=8)
     assert spark.read.parquet(str(tmp_path / "cov/settings")).first().asDict() == {"neighbourhood": 3, "bin": 8}
     for v in (1, 2, 2):
@@ -236,12 +267,93 @@ def test_stores(spark, tmp_path):
 
 
 def test_headers(spark, tmp_path):
-    data = tiff.stack_bytes([np.zeros((2, 3), np.int16)]) + b"SI4.fastZEnable = true\nSI4.stackNumSlices = 4\nSI4.fastZDiscardFlybackFrames = 1\nSI4.channelsSave = [1;2]\nSI4.scanFramePeriod = 0.05\nSI4.name = 'x'\n"
+    text = "SI4.fastZEnable = true\nSI4.stackNumSlices = 4\nSI4.fastZDiscardFlybackFrames = 1\nSI4.channelsSave = [1;2]\nSI4.scanFramePeriod = 0.05\nSI4.name = 'x'\n"
+    # Behind the pixels, and past the first hundred thousand bytes.
+    data = tiff.stack_bytes([np.zeros((300, 400), np.int16), np.ones((2, 3), np.int16)], "note = none\n" * 20_000 + text)
     (tmp_path / "a.tif").write_bytes(data)
     got = C.scanner_layout(tiff.read_headers(spark, str(tmp_path / "*.tif"))).first()
     assert (got.stack, got.channels, got.slices, got.flyback, got.period) == (True, 2, 4, 1, 0.05)
 
 
+def test_catalog_is_saved_and_loaded(spark, tmp_path):
+    files = spark.createDataFrame([("s", f"/x/run_{k:03d}.tif") for k in (2, 1, 10)], "session string, path string")
+    rows = C.initialise_sessions(files)
+    assert sorted((r.acquisition, r.movie, r.output) for r in rows.collect()) == [("run", k, f"run_Slice01_Channel01_File{k + 1:03d}.tif") for k in range(3)]
+    for _ in range(2):
+        C.write_catalog(rows, str(tmp_path / "c"), "run")
+    C.write_catalog(rows.limit(1), str(tmp_path / "c"), "other")
+    assert C.read_catalog(spark, str(tmp_path / "c"), "run").count() == 3 and C.read_catalog(spark, str(tmp_path / "c")).count() == 4
+
+
+def test_own_extensions(spark):
+    from pyspark.sql import functions as F
+
+    C.register_namer("plain", lambda a, s, c, m: F.format_string("%s-%d", a, m))
+    C.register_initialiser("one", lambda files: files.withColumns({"acquisition": F.lit("a"), "movie": F.lit(4)}))
+    R.register_strategy("still", lambda f, r, h, w: f.select("movie", "frame", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")))
+    files = spark.createDataFrame([("s", "p")], "session string, path string")
+    assert C.initialise_sessions(files, "one", "plain").first().output == "a-5"
+    frames = spark.createDataFrame([(0, 0, [1.0, 2.0, 3.0, 4.0])], "movie long, frame long, values array<double>")
+    try:
+        assert R.correct_motion(frames, 2, 2, "still").first()["values"] == [1.0, 2.0, 3.0, 4.0]
+    finally:
+        del R.STRATEGIES["still"]
+
+
+@pytest.mark.parametrize("strategy", ["full_frame", "segment_consensus", "within_frame"])
+def test_movies_are_brought_onto_the_reference_movie(spark, strategy):
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[:48, :48].astype(float)
+    spots = rng.uniform(10, 38, (25, 2))
+    scene = lambda dy, dx: 10 + 100 * sum(np.exp(-((y - a - dy) ** 2 + (x - b - dx) ** 2) / 8) for a, b in spots)
+    drift = {0: (0.0, 0.0), 1: (2.0, -1.5)}
+    rows = [(m, 4 * m + k, R.flat(scene(dy + rng.uniform(-0.5, 0.5), dx + rng.uniform(-0.5, 0.5)))) for m, (dy, dx) in drift.items() for k in range(4)]
+    frames = spark.createDataFrame(rows, "movie long, frame long, values array<double>")
+    means = {}
+    for reference in (None, 0):
+        fixed = R.correct_motion(frames, 48, 48, strategy, reference).collect()
+        stacks = {m: np.array([R.image([np.nan if v is None else v for v in r["values"]], 48) for r in fixed if r.movie == m]).mean(axis=0)[8:40, 8:40] for m in drift}
+        means[reference] = np.corrcoef(stacks[0].ravel(), stacks[1].ravel())[0, 1]
+    assert means[0] > 0.995 and means[0] > means[None]
+
+
+def test_group_percentile_and_running_percentile_against_brute_force(spark, monkeypatch):
+    from framelake.functions import compat
+    from framelake.operators import traces as W
+
+    rng = np.random.default_rng(4)
+    rows = [(g, k, None if rng.random() < 0.1 else float(rng.integers(0, 30))) for g, n in ((1, 40), (2, 1), (3, 17)) for k in range(n)] + [(4, 0, None), (5, 0, float("nan")), (5, 1, 2.0)]
+    df = spark.createDataFrame(rows, "g int, k int, v double")
+    for percent in (0.0, 10.0, 37.0, 100.0):
+        got = {r.g: r.p for r in compat.group_percentile(df, ["g"], "v", percent, "p").collect()}
+        for g in range(1, 6):
+            v = sorted(x for a, _, x in rows if a == g and x is not None and x == x)
+            place = min(max(len(v) * percent / 100 + 0.5, 1), len(v))
+            low = int(place)
+            want = v[low - 1] + (place - low) * (v[min(low, len(v) - 1)] - v[low - 1]) if v else None
+            assert (got[g] is None) == (want is None) and (want is None or abs(got[g] - want) < 1e-12)
+    monkeypatch.setattr(W, "BLOCK", 16)
+    trace = {r: rng.normal(size=n) for r, n in ((0, 100), (1, 23), (2, 10), (3, 64))}
+    df = spark.createDataFrame([(r, k, float(v)) for r, t in trace.items() for k, v in enumerate(t)], "roi_id long, frame long, f double")
+    for length, percent in ((5, 30), (8, 10), (11, 100)):
+        got = {(r.roi_id, r.frame): r.running for r in W.running_percentile(df, length, percent).collect()}
+        nth = min(-(-length * percent // 100), length - 1)
+        want = {}
+        for r, t in trace.items():
+            if len(t) > 2 * length:
+                raw = lambda k: np.sort(t[k - length // 2 : k - length // 2 + length])[nth]  # noqa: B023, E731
+                want |= {(r, k): raw(min(max(k, length), len(t) - length - 1)) for k in range(len(t))}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_debleached_trace_is_level(spark):
+    k = np.arange(600)
+    y = 50 + 30 * np.exp(-np.linspace(-1, 1, 600)) + np.random.default_rng(0).normal(0, 0.5, 600)
+    df = spark.createDataFrame([(0, int(i), float(v), float(v)) for i, v in zip(k, y)], "roi_id int, frame long, raw double, neuropil double")
+    out = B.debleached(df, "raw", "neuropil").toPandas().sort_values("frame")["raw"].to_numpy()
+    assert abs(np.polyfit(k, out, 1)[0]) < 2e-3 and abs(out.std() - 0.5) < 0.5
+
+
 def test_files_are_numbered_without_a_self_join(spark):
     rows = [(p, k) for p, n in (("b", 2), ("a", 3), ("c", 1)) for k in range(n)]
     got = tiff.number_files(spark.createDataFrame(rows, "path string, frame_in_movie long"))
@@ -252,7 +364,8 @@ def test_files_are_numbered_without_a_self_join(spark):
 def test_tiled_covariance_equals_the_native_one(spark, side, neighbourhood):
     rng = np.random.default_rng(9)
     h, w = 10, 7
-    rows = [(m, b, p, float(rng.normal() + p % 3 * b)) for m, n in ((0, 6), (1, 4)) for b in range(n) for p in range(h * w) if (m, p) != (1, 20)]
+    rows = [(m, b, p, float(rng.normal() + p % 3 * b)) for m, n in ((0, 6), (1, 4)) for b in range(n) for p in range(h * w) if (m, p) != (1, 20) and rng.random() > 0.05]
+    rows = [(m, b, p, None if k % 37 == 0 else v) for k, (m, b, p, v) in enumerate(rows)]
     bins = spark.createDataFrame(rows, "movie long, bin long, px int, v double")
     got, want = ({(r.px_i, r.px_j): r["cov"] for r in f(bins).collect()} for f in (lambda b: T.pixel_covariance(b, neighbourhood, h, w, side, 2), lambda b: M.pixel_covariance(b, neighbourhood, h, w)))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
