@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -37,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Stages written since each ``run_stage`` that is under way began.
+SCOPES: list[list[DataFrame]] = []
+
+
 def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files that survive executors."""
     spark = df.sparkSession
@@ -44,6 +48,21 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     WRITTEN[out] = path
+    if SCOPES:
+        SCOPES[-1].append(out)
+    return out
+
+
+def run_stage(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, written; the stages that it wrote on the way are deleted then."""
+    SCOPES.append([])
+    try:
+        out = write_stage(make(), name)
+    finally:
+        passing = SCOPES.pop()
+    for df in passing:
+        if df is not out:
+            drop_stage(df)
     return out
 
 
