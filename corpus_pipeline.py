@@ -1,15 +1,17 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
 Each stage reads all that its predecessor kept; ``run`` writes every stage to the shared folder, so a lost executor
-costs one stage's work at most.
+costs one stage's work at most.  A stage's files, and those it wrote on the way, are deleted once its successor is written.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import decontaminate, packing, quality, secrets, simhash
-from framelake.llm.common import write_stage
+from framelake.llm.common import drop_stage, run_stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = write_stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, run_stage(partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
