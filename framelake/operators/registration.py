@@ -172,7 +172,7 @@ def segment_shifts(frames: DataFrame, references: DataFrame, height: int, width:
 def reject_unrealistic(shifts: DataFrame, most: float = 10.0) -> DataFrame:
     """Shifts beyond ``most`` pixels on either axis become 0."""
     wild = (F.abs("dy") > most) | (F.abs("dx") > most)
-    return shifts.withColumn("dy", F.when(wild, 0.0).otherwise(F.col("dy"))).withColumn("dx", F.when(wild, 0.0).otherwise(F.col("dx")))
+    return shifts.withColumns({c: F.when(wild, 0.0).otherwise(F.col(c)) for c in ("dy", "dx")})
 
 
 def apply_shifts(frames: DataFrame, shifts: DataFrame, height: int) -> DataFrame:
