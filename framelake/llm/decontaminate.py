@@ -36,6 +36,21 @@ BLOCK_WORDS = 200_000
 #: Keeps 0-9, a-z and all bytes of code points above 127; lower-cases A-Z; anything else is a space.
 NORMAL = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
+#: What the contract query gives, in DuckDB's SQL: windows of words, joined.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') AS s FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) u(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+found AS (SELECT rid, k, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT d.rid, d.w, sizes.n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes)),
+hits AS (SELECT rid, k, n, item FROM found JOIN windows USING (n, s)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, k, n FROM hits), unnest(range(k, k + n)) u(p) GROUP BY rid),
+named AS (SELECT rid, list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)) AS items FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
 
 def words_of(text: bytes) -> list[bytes]:
     """The normalised words of a text."""

@@ -48,6 +48,21 @@ LEVELS = (K, 128)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = 255  # no byte of UTF-8
 
+#: What the contract query gives, in DuckDB's SQL: the hexadecimal text of every window (cut from blocks of 100 places, since
+#: places in a long text are slow to reach), counted by its MD5.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT rid, b * 100 AS head, substring(h, 200 * b + 1, 1000) AS part FROM (SELECT rid, h, unnest(range(0, len(h) // 200 + 1)) AS b FROM d)),
+places AS (SELECT rid, head + k AS pos, substring(part, 2 * k + 1, 2) AS byte, CASE WHEN len(part) >= 2 * k + 800 THEN md5_number(substring(part, 2 * k + 1, 800)) END AS s
+  FROM (SELECT rid, head, part, unnest(range(0, least(len(part) // 2, 100))) AS k FROM blocks)),
+often AS (SELECT s FROM places WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+marked AS (SELECT rid, pos, byte, coalesce(max(CASE WHEN often.s IS NOT NULL THEN pos END) OVER (PARTITION BY rid ORDER BY pos) > pos - 400, false) AS gone FROM places LEFT JOIN often USING (s)),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY pos), false) AS first FROM marked),
+totals AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (NOT gone) AS kept FROM edges GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN totals USING (rid)
+"""
+
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""

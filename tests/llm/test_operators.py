@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from framelake.llm import ann, chat, decontaminate, langid, packing, quality, repeats, secrets, simhash, toxicity
+from framelake.llm import ann, chat, decontaminate, langid, packing, quality, registry, repeats, secrets, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, anchor long, __y int"
@@ -721,6 +721,20 @@ def test_a_repeated_id_is_one_labelled_row(spark):
     assert labelled_sample(docs, labels, "label", 10).count() == 2
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = registry.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
