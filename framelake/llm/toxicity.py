@@ -46,7 +46,7 @@ FAIRNESS = 2.0
 #: Identity terms and substitutes that are looked for, substitutes of a term, and counterfactuals of a row.
 TERMS, SUBSTITUTES, CHOICES, TURNS = 128, 1024, 4, 2
 #: A term's tie to the label, and the most that a substitute's may be, in standard errors.
-TIED, FREE = 1.5, 1.0
+TIED, FREE = 2.5, 1.0
 BINS = 64
 
 

@@ -631,6 +631,31 @@ def test_neutral_mentions_are_left_alone(spark):
     assert flagged[1] < 0.5 * flagged[0] and caught[1] > 0.9
 
 
+def test_scores_are_sums_of_features():
+    weights = {b"idiot": 2.0, b"3:idi": 0.5, b"4:idio": -0.25, b"5:unuse": 9.0, b"nice": -1.0}
+    scorer = toxicity.Scorer(weights, -0.75)
+    for text in ("An IDIOT, nice idiotic nice", "idi idio", "", "é idiot\u00a0x", "unused unuse"):
+        words = set(re.sub(r"[^0-9a-z\x80-\xff]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode().decode("latin-1")).encode("latin-1").split())
+        assert scorer.logit(text.encode()) == pytest.approx(-0.75 + sum(weights.get(f, 0.0) for f in toxicity.features(words)))
+
+
+def test_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(2)
+    y = (rng.random(60) < 0.5).astype(float)
+    own = [np.flatnonzero(rng.random(4) < (0.6 if t else 0.4)) for t in y]
+    other = [[np.flatnonzero(rng.random(4) < 0.5)] if rng.random() < 0.3 else [] for _ in y]
+
+    def loss(w, b):
+        p = np.array([toxicity.sigmoid(b + w[f].sum()) for f in own])
+        gaps = [(p[k] - toxicity.sigmoid(b + w[f].sum())) ** 2 / len(rows) for k, rows in enumerate(other) for f in rows]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + 2.0 * sum(gaps) / len(y) + 5e-5 / 2 * (w**2).sum()
+
+    w, b = toxicity.fit(y, own, other, 4, fairness=2.0)
+    least = loss(w, b)
+    for _ in range(200):
+        assert loss(w + rng.normal(0, 0.05, 4), b + rng.normal(0, 0.05)) > least - 1e-5
+
+
 def test_swaps():
     swap = toxicity.swaps([("a", "b", "c")])
     assert toxicity.swapped({b"x"}, swap) is None and toxicity.swapped({b"a", b"x"}, swap) == {b"b", b"x"} and toxicity.swapped({b"a", b"x"}, swap, 1) == {b"c", b"x"}
