@@ -391,7 +391,6 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP,
     k, *deeper = levels or (*(k for k in LEVELS if k < length), length)
     often, mixed = repeated_items(texts, length, k)
     sizes = mixed.groupBy("anchor").agg(F.count("*").alias("size")).where(F.lit(bool(deeper)) & (F.col("size") > group))
-    sizes = write_stage(sizes, "large")
     wanted = representatives(mixed.join(sizes, "anchor", "left"), F.col("size").isNotNull())
     stretches = write_stage(stretches_of(texts, wanted, length), "stretches")
     keys = [F.col("doc_id").alias("r_id"), F.col("own").alias("r_own"), F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")]
@@ -400,7 +399,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP,
     names = ["anchor", "whole", "check"]
     twice = single.where("mixed").join(mixed.where("copies > 1").select(*names), names, "left_semi").select(*keys)
     found = alike.unionByName(twice).unionByName(repeats_in_groups(stretches.where("not large"), length))
-    if not sizes.isEmpty():
+    if deeper and not stretches.where("large").isEmpty():
         again = stretches.where("large").drop("anchor", "large")
         found = found.unionByName(repeated_ranges(again, length, group, tuple(deeper)))
     return found
