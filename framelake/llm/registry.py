@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, packing, quality, repeats, secrets, simhash, toxicity
+from . import ann, chat, decontaminate, langid, lexical, packing, quality, repeats, secrets, simhash, toxicity
 
 MODULES = {
     "op1_packing": packing,
@@ -15,6 +15,7 @@ MODULES = {
     "op8_ann": ann,
     "op9_decontamination": decontaminate,
     "op10_repeats": repeats,
+    "op11_lexical": lexical,
 }
 
 
