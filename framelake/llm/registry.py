@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, lexical, packing, quality, repeats, secrets, sharding, simhash, toxicity
+from . import ann, chat, decontaminate, langid, lexical, packing, quality, repeats, secrets, sharding, simhash, toxicity, variants
 
 MODULES = {
     "op1_packing": packing,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_decontamination": decontaminate,
     "op10_repeats": repeats,
     "op11_lexical": lexical,
+    "op12_variants": variants,
     "op13_sharding": sharding,
 }
 
