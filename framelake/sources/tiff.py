@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,42 +15,90 @@ from pyspark.sql.window import Window
 
 # Fixed values of the TIFF 6.0 format: tags, and sizes of the field types that matter here.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 279, 339
-SIZES = {2: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+SIZES = {2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}
 DESCRIPTION = 270
+#: Bytes of a directory that one read fetches; a longer directory takes a second read.
+DIRECTORY_READ = 512
 #: Frames of a pixel in one row of the pixel-major store.
 BLOCK = 4096
 
+#: Rows of frames from stacks.
+FRAME_ROWS = "path string, frame_in_movie long, height int, width int, values array<double>"
+#: Reads ``n`` bytes (fewer at the end of the file) from a place.
+Read = Callable[[int, int], bytes]
+Tags = dict[int, tuple[int, ...]]
 
-def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]:
-    """(byte order, tags) of the images of a stack in turn; text is a tuple of its bytes."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+
+def directories(read: Read, wanted: Callable[[int], bool] | None = None, stop: int | None = None) -> Iterator[tuple[int, str, Tags]]:
+    """(number, byte order, tags) of the wanted images of a stack in turn, up to number ``stop``; text is a tuple of its bytes.
+
+    Of an image that is not wanted only the directory itself is read, for the place of the next one.  Both the classic
+    format and the one with 64-bit places are read.
+    """
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    kind = struct.unpack_from(order + "H", head, 2)[0] if order is not None and len(head) >= 8 else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    while at:
-        n = struct.unpack_from(order + "H", data, at)[0]
-        tags: dict[int, tuple[int, ...]] = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in SIZES:
-                letter, size = SIZES[kind]
-                place = at + 10 + 12 * k
-                where = place if size * count <= 4 else struct.unpack_from(order + "I", data, place)[0]
-                tags[tag] = struct.unpack_from(f"{order}{count}{letter}", data, where)
-        yield order, tags
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-
-
-def pages(data: bytes, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, image) of the images of a stack, or of the wanted ones only: the others' pixels are not touched."""
-    for number, (order, tags) in enumerate(directories(data)):
-        if wanted is not None and number not in wanted:
-            continue
-        if tags.get(COMPRESSION, (1,))[0] != 1:
-            raise ValueError("compressed TIFF is not supported")
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
-        strips = b"".join(data[a : a + c] for a, c in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-        yield number, np.frombuffer(strips, f"{order}{kind}{tags[BITS][0] // 8}").reshape(tags[HEIGHT][0], tags[WIDTH][0])
+    wide = kind == 43
+    count_of, place_of, entry = (f"{order}Q", f"{order}Q", 20) if wide else (f"{order}H", f"{order}I", 12)
+    leading, inline = struct.calcsize(count_of), struct.calcsize(place_of)
+    at = struct.unpack_from(place_of, head, 8 if wide else 4)[0]
+    number = 0
+    while at and (stop is None or number < stop):
+        block = read(at, DIRECTORY_READ)
+        n = struct.unpack_from(count_of, block, 0)[0]
+        if (size := leading + entry * n + inline) > len(block):
+            block = read(at, size)
+        if wanted is None or wanted(number):
+            tags: Tags = {}
+            for k in range(n):
+                start = leading + entry * k
+                tag, what, count = struct.unpack_from(f"{order}HH{place_of[1:]}", block, start)
+                if what in SIZES:
+                    letter, width = SIZES[what]
+                    place = start + entry - inline
+                    held = block[place : place + inline] if width * count <= inline else read(struct.unpack_from(place_of, block, place)[0], width * count)
+                    tags[tag] = struct.unpack_from(f"{order}{count}{letter}", held, 0)
+            yield number, order, tags
+        at = struct.unpack_from(place_of, block, leading + entry * n)[0]
+        number += 1
+
+
+def pixels(read: Read, order: str, tags: Tags) -> np.ndarray:
+    """An image from its strips; strips that lie end to end are read at once."""
+    if tags.get(COMPRESSION, (1,))[0] != 1:
+        raise ValueError("compressed TIFF is not supported")
+    runs: list[list[int]] = []
+    for a, c in zip(tags[OFFSETS], tags[COUNTS], strict=True):
+        if runs and sum(runs[-1]) == a:
+            runs[-1][1] += c
+        else:
+            runs.append([a, c])
+    kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
+    strips = b"".join(read(a, c) for a, c in runs)
+    return np.frombuffer(strips, f"{order}{kind}{tags[BITS][0] // 8}").reshape(tags[HEIGHT][0], tags[WIDTH][0])
+
+
+def from_bytes(data: bytes) -> Read:
+    """Reads of a file that is in memory."""
+    return lambda at, n: data[at : at + n]
+
+
+def pages(read: Read, wanted: Callable[[int], bool] | None = None, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, image) of the images of a stack, or of the wanted ones only: the others' pixels are not read."""
+    for number, order, tags in directories(read, wanted, stop):
+        yield number, pixels(read, order, tags)
+
+
+def frame_batch(found: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+    """(path, number, image) as an Arrow batch of frame rows, values column-major; pixels are never Python objects."""
+    sizes = np.array([picture.size for _, _, picture in found])
+    values = np.concatenate([picture.T.reshape(-1) for _, _, picture in found]).astype(np.float64, copy=False)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
+    shapes = [pa.array([picture.shape[k] for _, _, picture in found], pa.int32()) for k in (0, 1)]
+    names, numbers = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())
+    return pa.RecordBatch.from_arrays([names, numbers, *shapes, lists], ["path", "frame_in_movie", "height", "width", "values"])
 
 
 def stack_bytes(images: list[np.ndarray], description: str = "") -> bytes:
@@ -77,17 +125,16 @@ def read_stacks(spark: SparkSession, path: str, frames: list[int] | None = None)
     """(``path``, ``frame_in_movie``, ``height``, ``width``, ``values`` column-major) of every page of every stack, or of
     the given frames of each: single frames by number, as a mean image or a viewer asks for them.  A filter on ``path``
     leaves out whole files."""
-    wanted = None if frames is None else set(frames)
+    wanted, stop = (None, None) if frames is None else (set(frames).__contains__, max(frames, default=-1) + 1)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for k, picture in pages(content, wanted):
-                    columns = [[name], [k], [picture.shape[0]], [picture.shape[1]], [picture.T.reshape(-1).astype(np.float64).tolist()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:4]), pa.array(columns[4])], ["path", "frame_in_movie", "height", "width", "values"])
+                for k, picture in pages(from_bytes(content), wanted, stop):
+                    yield frame_batch([(name, k, picture)])
 
-    return files.mapInArrow(of, "path string, frame_in_movie long, height int, width int, values array<double>")
+    return files.mapInArrow(of, FRAME_ROWS)
 
 
 def number_files(frames: DataFrame) -> DataFrame:
@@ -155,6 +202,13 @@ def write_snapshot(regions: DataFrame, path: str, version: int) -> None:
     regions.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def description(read: Read) -> str:
+    """The description of a stack's first image; a text that fits in its directory stands there, a longer one anywhere."""
+    for _, _, tags in directories(read, stop=1):
+        return "".join(map(chr, tags.get(DESCRIPTION, ())))
+    return ""
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """(``path``, ``fields``): the ``name = number`` lines of each stack's description tag, for ``catalog.scanner_layout``.
 
@@ -164,13 +218,16 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Text tags that fit in four bytes stand in the directory, longer ones anywhere in the file.
-            heads = ["".join(map(chr, next(directories(content), ("", {}))[1].get(DESCRIPTION, ()))) for content in batch.column("content").to_pylist()]
+            heads = [description(from_bytes(content)) for content in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.string())], ["path", "head"])
 
-    files = files.mapInArrow(of, "path string, head string")
+    return header_fields(files.mapInArrow(of, "path string, head string"))
+
+
+def header_fields(heads: DataFrame) -> DataFrame:
+    """(``path``, ``fields``) of descriptions (``path``, ``head``)."""
     lines = F.expr("regexp_extract_all(head, '([A-Za-z][A-Za-z0-9_.]*) *= *([^\\r\\n\\u0000]+)', 0)")
-    each = files.select("path", F.explode(lines).alias("line"))
+    each = heads.select("path", F.explode(lines).alias("line"))
     name = F.regexp_replace(F.trim(F.element_at(F.split("line", "=", 2), 1)), "^(scanimage|state)\\.", "")
     text = F.lower(F.trim(F.element_at(F.split("line", "=", 2), 2)))
     items = F.size(F.filter(F.split(F.regexp_replace(text, r"[\[\]]", ""), r"[\s;,]+"), lambda s: s != ""))
