@@ -126,6 +126,28 @@ def session_batch(files: DataFrame, group: str, number: str, unit: int = 10, mos
     return whole_tens(before_gap(files, group, number, most), group, number, unit)
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(``path``, ``length``, ``modified``) of all files below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def discover(spark: SparkSession, folder: str, mouse: str = "[A-Z]{2}[0-9]{3}", date: str = "[0-9]{6}", movie: str = r"[A-Z]{2}[0-9]{3}_.*[0-9]{3}_[0-9]{3}\.tif") -> DataFrame:
+    """Movies of a folder tree ``.../<mouse>/<date>/<movie>``: ``session`` and ``acquisition`` (``<mouse>_<date>``), ``path``,
+    ``name``, ``length`` in bytes, ``modified``, and ``movie``, the place among the acquisition's names.
+
+    The tree is listed by Spark on any store that it knows, and no file is opened.  Folders and names must match the patterns
+    as a whole, so notes, processed files and other folders are left out.
+    """
+    files = listed(spark, folder)
+    parts = F.split("path", "/")
+    named = files.select("*", F.element_at(parts, -1).alias("name"), F.try_element_at(parts, F.lit(-2)).alias("__date"), F.try_element_at(parts, F.lit(-3)).alias("__mouse"))
+    named = named.where(F.col("name").rlike(f"^(?:{movie})$") & F.col("__date").rlike(f"^(?:{date})$") & F.col("__mouse").rlike(f"^(?:{mouse})$"))
+    named = named.withColumn("acquisition", F.concat_ws("_", "__mouse", "__date")).withColumn("session", F.col("acquisition")).drop("__date", "__mouse")
+    order = Window.partitionBy("acquisition").orderBy("name", "path")
+    return named.withColumn("movie", (F.row_number().over(order) - 1).cast("long"))
+
+
 def write_catalog(files: DataFrame, path: str, acquisition: str) -> None:
     """Saves the manifest of one acquisition; saving it again replaces only itself."""
     files.drop("acquisition").write.mode("overwrite").parquet(f"{path}/acquisition={acquisition}")

@@ -11,12 +11,12 @@ from framelake.operators import catalog as C
 from framelake.operators import movie as M
 from framelake.operators import registration as R
 from framelake.operators import segmentation as G
-from framelake.sources import tiff
+from framelake.sources import stack, tiff
 from framelake.sources import views as V
 from framelake.sources.stages import new_folder
 from framelake.streaming import jobs as J
 
-from .catalogue import BINS, COV, MANIFEST, MOVIE, NH, ROI, H, WIDTH, covariance, r6, register, rounded
+from .catalogue import BINS, COV, MANIFEST, MOVIE, NH, ROI, STIM, H, WIDTH, covariance, r6, register, rounded
 
 
 @register("pixel_store_read", f"WITH {MOVIE} SELECT px, frame, v FROM movie WHERE px IN (3, 12, 40) AND frame BETWEEN 10 AND 79")
@@ -117,3 +117,83 @@ def seed_neighbourhood_correlations(spark, sf):
     """Stored correlations within three seeds' squares."""
     seeds = spark.createDataFrame([(18,), (27,), (0,)], "px int")
     return rounded(G.seed_neighbourhoods(M.pixel_correlation(covariance(spark, sf)), seeds, 3, H, WIDTH), "r")
+
+
+def written_stacks(spark, sf, folder: str):
+    """The recording as stacks of 16-bit pages, ten thousand to one, a file for each movie; and its files."""
+    rows = V.frames(spark, sf).withColumns({"values": F.transform("values", lambda v: v * 10000), "height": F.lit(H), "width": F.lit(WIDTH)})
+    stack.write_stacks(rows.withColumn("file", F.format_string("m%05d.tif", "movie")), folder)
+
+
+def movie_of(path):
+    """The number in a stack's name."""
+    return C.counter(C.base_name(path)).alias("movie")
+
+
+def read_exploded(rows):
+    """Pixel rows of frame rows from stacks."""
+    return rows.select(movie_of(F.col("path")), "frame_in_movie", F.posexplode("values").alias("px", "v"))
+
+
+@register("stack_frames", f"WITH {MOVIE} SELECT movie, frame_in_movie, px, round(v * 10000) + 0.0 AS v FROM movie WHERE frame_in_movie IN (3, 17, 40) AND movie % 10 = 7")
+def stack_frames(spark, sf):
+    """Three frames of some movies, read from image stacks by pushed filters on path and frame."""
+    folder = new_folder(spark, "stacks")
+    written_stacks(spark, sf, folder)
+    rows = stack.read_frames(spark, folder, [3, 17, 40])
+    return read_exploded(rows.where(F.col("path").endswith("7.tif")))
+
+
+@register("stack_mean_images", f"WITH {MOVIE} SELECT movie, px, {r6('avg(round(v * 10000))')} AS mean FROM movie GROUP BY ALL")
+def stack_mean_images(spark, sf):
+    """Mean image of every movie, read from image stacks by ranges of pages."""
+    folder = new_folder(spark, "stacks")
+    written_stacks(spark, sf, folder)
+    pages = stack.read_frames(spark, folder, partition_bytes=1 << 13)
+    return rounded(M.mean_image(read_exploded(pages)).select("movie", "px", F.col("mean")), "mean")
+
+
+@register("stack_event_mean", f"WITH {MOVIE}, {STIM} SELECT CAST(o AS INTEGER) AS offset, px, {r6('avg(round(v * 10000))')} AS mean, count(*) AS n FROM stim, range(-3, 7) t(o) JOIN movie ON frame = key_frame + o GROUP BY o, px")
+def stack_event_mean(spark, sf):
+    """Event-triggered mean of which only the frames around events are read, from the stacks that hold them."""
+    folder = new_folder(spark, "stacks")
+    written_stacks(spark, sf, folder)
+    manifest, windows = V.manifest(V.frames(spark, sf)), M.event_window(V.stimuli(spark, sf), -3, 6)
+    paths = C.listed(spark, folder).select("path", movie_of(F.col("path")))
+    near = M.frame_to_file(windows.select("frame").distinct(), manifest).select(F.col("file").alias("movie"), F.col("frame_in_file").alias("frame_in_movie"))
+    pages = read_exploded(stack.read_pages(near.join(paths, "movie")))
+    shown = pages.join(manifest, "movie").select((F.col("frame_start") + F.col("frame_in_movie")).alias("frame"), "px", "v")
+    return rounded(M.event_triggered_mean(shown, V.stimuli(spark, sf), -3, 6), "mean")
+
+
+SESSIONS = """names AS (SELECT movie, printf('AM%03d', 100 + movie % 3) AS mouse, printf('2401%02d', 1 + (movie // 3) % 2) AS day,
+  CASE WHEN movie % 7 = 6 THEN printf('AM100_Slice01_File%03d.tif', movie) ELSE printf('AM%03d_run001_%03d.tif', 100 + movie % 3, movie) END AS name, movie % 4 + 1 AS slices FROM (SELECT DISTINCT movie FROM movie)),
+sessions AS (SELECT mouse || '_' || day AS acquisition, name, slices, CAST(row_number() OVER (PARTITION BY mouse, day ORDER BY name) - 1 AS BIGINT) AS place FROM names WHERE movie % 7 <> 6)"""
+
+
+def written_sessions(spark, sf, folder: str) -> None:
+    """Movies as stacks in folders by mouse and day, some under names that are no recording's, each with a scanner header."""
+    movie = F.col("movie")
+    mouse, run = F.format_string("AM%03d", 100 + movie % 3), F.format_string("AM%03d_run001_%03d.tif", 100 + movie % 3, movie)
+    name = F.when(movie % 7 == 6, F.format_string("AM100_Slice01_File%03d.tif", movie)).otherwise(run)
+    file = F.concat_ws("/", mouse, F.format_string("2401%02d", 1 + F.expr("movie div 3") % 2), name)
+    text = F.format_string("SI4.fastZEnable = true\nSI4.stackNumSlices = %d\nSI4.channelsSave = [1;2]\nSI4.scanFramePeriod = 0.%02d\n", movie % 4 + 1, movie % 4 + 1)
+    rows = V.frames(spark, sf).withColumns({"file": file, "description": text, "height": F.lit(H), "width": F.lit(WIDTH)})
+    stack.write_stacks(rows.where("frame_in_movie < 3"), folder)
+
+
+@register("discovered_sessions", f"WITH {MOVIE}, {SESSIONS} SELECT acquisition, name, place AS movie FROM sessions")
+def discovered_sessions(spark, sf):
+    """Recordings found in a folder tree by patterns of its folders and names."""
+    folder = new_folder(spark, "tree")
+    written_sessions(spark, sf, folder)
+    return C.discover(spark, folder).select("acquisition", "name", "movie")
+
+
+@register("session_headers", f"WITH {MOVIE}, {SESSIONS} SELECT acquisition, name, CAST(slices AS INTEGER) AS slices, CAST(2 AS INTEGER) AS channels, {r6('slices / 100.0')} AS period FROM sessions WHERE place = 0")
+def session_headers(spark, sf):
+    """Scanner layout of each acquisition, of which only the header of the first file is read."""
+    folder = new_folder(spark, "tree")
+    written_sessions(spark, sf, folder)
+    layout = C.scanner_layout(tiff.header_fields(stack.first_headers(C.discover(spark, folder).select("acquisition", "path"))))
+    return rounded(layout.select("acquisition", C.base_name(F.col("path")).alias("name"), "slices", "channels", "period"), "period")

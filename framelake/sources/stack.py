@@ -188,18 +188,20 @@ class StackWriter(DataSourceArrowWriter):
         moves: list[tuple[str, str]] = []
         sink: PageSink | None = None
         for batch in iterator:
-            columns = [batch.column(self.names.index(c)) for c in ("file", "height", "width")]
+            columns = [batch.column(self.names.index(c)).to_pylist() for c in ("file", "height", "width")]
+            texts = batch.column(self.names.index("description")).to_pylist() if "description" in self.names else [None] * batch.num_rows
             values = batch.column(self.names.index("values"))
-            for k, (name, height, width) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+            for k, (name, height, width, text) in enumerate(zip(*columns, texts, strict=True)):
                 if sink is None or sink.name != name:
                     if sink is not None:
                         sink.close()
                     moves.append((f"{scratch}/{len(moves)}", f"{folder}/{name}"))
-                    sink = PageSink(name, system.open_output_stream(moves[-1][0]))
+                    sink = PageSink(name, system.open_output_stream(moves[-1][0]), text)
                 pixels = values[k].values.to_numpy(zero_copy_only=False).reshape(width, height).T
                 if np.issubdtype(self.kind, np.integer):
                     limits = np.iinfo(self.kind)
-                    pixels = np.clip(np.rint(np.nan_to_num(pixels)), limits.min, limits.max)
+                    # Half away from zero, as ``compat.to_int16`` does.
+                    pixels = np.clip(np.trunc(np.nan_to_num(pixels) + np.copysign(0.5, pixels)), limits.min, limits.max)
                 sink.add(np.ascontiguousarray(pixels, self.kind))
         if sink is not None:
             sink.close()
@@ -214,6 +216,8 @@ class StackWriter(DataSourceArrowWriter):
         if self.overwrite:
             for path, _ in files_of(self.path):
                 system.delete_file(opened(path)[1])
+        for below in {b.rpartition("/")[0] for _, b in moves} - {folder}:
+            system.create_dir(below)
         for a, b in moves:
             system.move(a, b)
         system.delete_dir(f"{folder}/_writing-{self.job}")
@@ -227,8 +231,9 @@ class StackWriter(DataSourceArrowWriter):
 class PageSink:
     """One stack being written: a page's directory and pixels follow when it is known whether another page comes."""
 
-    def __init__(self, name: str, out: pa.NativeFile) -> None:
+    def __init__(self, name: str, out: pa.NativeFile, text: str | None = None) -> None:
         self.name, self.out, self.at = name, out, 16
+        self.text = b"" if text is None else text.encode("latin-1", "replace") + b"\0"
         self.waiting: np.ndarray | None = None
         self.out.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16))
 
@@ -248,11 +253,19 @@ class PageSink:
             (tiff.WIDTH, picture.shape[1]), (tiff.HEIGHT, picture.shape[0]), (tiff.BITS, 8 * picture.itemsize), (tiff.COMPRESSION, 1), (262, 1),
             (tiff.OFFSETS, 0), (277, 1), (278, picture.shape[0]), (tiff.COUNTS, picture.nbytes), (tiff.FORMAT, kind),
         ]
+        text, self.text = self.text, b""  # the first page has it
+        if text:
+            tags.insert(5, (tiff.DESCRIPTION, len(text)))
         data = self.at + 8 + 20 * len(tags) + 8
-        after = data + picture.nbytes
+        after = data + picture.nbytes + (len(text) if len(text) > 8 else 0)
         out = [struct.pack("<Q", len(tags))]
-        out += [struct.pack("<HHQQ", tag, 16, 1, data if tag == tiff.OFFSETS else value) for tag, value in tags]
-        self.out.write(b"".join([*out, struct.pack("<Q", after if more else 0), picture.tobytes()]))
+        for tag, value in tags:
+            if tag == tiff.DESCRIPTION:  # up to eight bytes stand in the directory itself
+                place = struct.pack("<Q", data + picture.nbytes) if value > 8 else text.ljust(8, b"\0")
+                out.append(struct.pack("<HHQ", tag, 2, value) + place)
+            else:
+                out.append(struct.pack("<HHQQ", tag, 16, 1, data if tag == tiff.OFFSETS else value))
+        self.out.write(b"".join([*out, struct.pack("<Q", after if more else 0), picture.tobytes(), text if len(text) > 8 else b""]))
         self.at = after
 
 
@@ -303,11 +316,34 @@ def read_frames(spark: SparkSession, path: str, frames: list[int] | None = None,
     return rows if frames is None else rows.where(F.col("frame_in_movie").isin(frames))
 
 
+def read_pages(wanted: DataFrame, block: int = 256) -> DataFrame:
+    """Frame rows of single pages: ``wanted`` has rows (``path``, ``frame_in_movie``) with full paths, pages beyond a
+    stack's end have no row.  Wanted pages are dealt out by file and range of pages, so a hot file is read by many tasks,
+    and a task reads its pages in order."""
+    keyed = wanted.select("path", F.col("frame_in_movie").cast("long")).where("frame_in_movie >= 0").distinct()
+    dealt = keyed.repartition("path", F.expr(f"frame_in_movie div {block}")).sortWithinPartitions("path", "frame_in_movie")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages: dict[str, set[int]] = {}
+            for path, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pages.setdefault(path, set()).add(number)
+            for path, numbers in pages.items():
+                system, inner, _ = opened(path)
+                with system.open_input_file(inner) as file:
+                    for number, picture in tiff.pages(reads_of(file), numbers.__contains__, max(numbers) + 1):
+                        yield tiff.frame_batch([(path, number, picture)])
+
+    return dealt.mapInArrow(of, tiff.FRAME_ROWS)
+
+
 def write_stacks(frames: DataFrame, path: str, file_col: str = "file", pixels: str = "<i2") -> None:
-    """Frame rows (``values`` column-major, ``height``, ``width``, ``frame_in_movie``) as one stack for each file name."""
+    """Frame rows (``values`` column-major, ``height``, ``width``, ``frame_in_movie``) as one stack for each file name, which
+    may name folders below ``path``.  A file's first page gets the ``description`` of its row, where there is such a column."""
     register(frames.sparkSession)
     rows = frames.withColumn("file", F.col(file_col)).repartition("file").sortWithinPartitions("file", "frame_in_movie")
-    rows.select("file", "height", "width", F.col("values").cast("array<double>").alias("values")).write.format(FORMAT).mode("append").option("pixels", pixels).save(path)
+    text = ["description"] if "description" in frames.columns else []
+    rows.select("file", "height", "width", *text, F.col("values").cast("array<double>").alias("values")).write.format(FORMAT).mode("append").option("pixels", pixels).save(path)
 
 
 def first_headers(files: DataFrame) -> DataFrame:

@@ -225,12 +225,13 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_fields(heads: DataFrame) -> DataFrame:
-    """(``path``, ``fields``) of descriptions (``path``, ``head``)."""
+    """``fields`` of descriptions in ``head``, beside the other columns, which tell the stacks apart."""
     lines = F.expr("regexp_extract_all(head, '([A-Za-z][A-Za-z0-9_.]*) *= *([^\\r\\n\\u0000]+)', 0)")
-    each = heads.select("path", F.explode(lines).alias("line"))
+    each = heads.select("*", F.explode(lines).alias("line"))
     name = F.regexp_replace(F.trim(F.element_at(F.split("line", "=", 2), 1)), "^(scanimage|state)\\.", "")
     text = F.lower(F.trim(F.element_at(F.split("line", "=", 2), 2)))
     items = F.size(F.filter(F.split(F.regexp_replace(text, r"[\[\]]", ""), r"[\s;,]+"), lambda s: s != ""))
     number = F.when(text.startswith("["), items.cast("double")).when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
-    known = each.select("path", name.alias("k"), number.alias("v")).where("v IS NOT NULL").groupBy("path", "k").agg(F.max("v").alias("v"))
-    return known.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
+    rest = [c for c in heads.columns if c != "head"]
+    known = each.select(*rest, name.alias("k"), number.alias("v")).where("v IS NOT NULL").groupBy(*rest, "k").agg(F.max("v").alias("v"))
+    return known.groupBy(*rest).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
