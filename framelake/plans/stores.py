@@ -14,6 +14,7 @@ from framelake.operators import segmentation as G
 from framelake.sources import stack, tiff
 from framelake.sources import views as V
 from framelake.sources.stages import new_folder
+from framelake.streaming import bins as B
 from framelake.streaming import jobs as J
 
 from .catalogue import BINS, COV, MANIFEST, MOVIE, NH, ROI, STIM, H, WIDTH, covariance, r6, register, rounded
@@ -197,3 +198,14 @@ def session_headers(spark, sf):
     written_sessions(spark, sf, folder)
     layout = C.scanner_layout(tiff.header_fields(stack.first_headers(C.discover(spark, folder).select("acquisition", "path"))))
     return rounded(layout.select("acquisition", C.base_name(F.col("path")).alias("name"), "slices", "channels", "period"), "period")
+
+
+@register("streamed_bins", f"WITH {BINS}, per AS (SELECT movie, count(DISTINCT bin) AS n FROM bins GROUP BY movie), first AS (SELECT movie, coalesce(sum(n) OVER (ORDER BY movie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM per) SELECT CAST(k + bin AS BIGINT) AS bin, px, {r6('v / 8')} AS v FROM bins JOIN first USING (movie)")
+def streamed_bins(spark, sf):
+    """Bin means of a recording that arrives in pieces, out of order and partly twice, by a stream that is stopped between."""
+    folder, frames = new_folder(spark, "frames"), B.with_lengths(V.frames(spark, sf), "r")
+    early = (F.col("movie") + F.col("frame_in_movie")) % 3 == 0
+    for part in (frames.where(early), frames.where(~early | (F.col("frame_in_movie") < 5))):
+        part.repartition(3).write.mode("append").parquet(f"{folder}/in")
+        B.store_bins(B.watch(spark, f"{folder}/in"), 8, f"{folder}/store", f"{folder}/checkpoint", tile=32).awaitTermination()
+    return rounded(B.read_bins(spark, f"{folder}/store", 32).select("bin", "px", "v"), "v")
