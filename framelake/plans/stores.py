@@ -209,3 +209,25 @@ def streamed_bins(spark, sf):
         part.repartition(3).write.mode("append").parquet(f"{folder}/in")
         B.store_bins(B.watch(spark, f"{folder}/in"), 8, f"{folder}/store", f"{folder}/checkpoint", tile=32).awaitTermination()
     return rounded(B.read_bins(spark, f"{folder}/store", 32).select("bin", "px", "v"), "v")
+
+
+@register("shared_jobs", "SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'error' ELSE 'done' END AS state, CAST(CASE WHEN o_orderstatus <> 'P' THEN 2 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END AS BIGINT) AS entries FROM orders")
+def shared_jobs(spark, sf):
+    """Orders as jobs of two processors on one folder, each worked on once; failed ones of odd numbers are put in anew and cured."""
+    folder = new_folder(spark, "shared")
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("acquisition"))
+    orders.repartition(6, "job_id").write.json(f"{folder}/inbox")
+
+    def run(healthy, *names):
+        motion = lambda jobs: jobs.select("job_id", (F.lit(healthy) | (F.col("acquisition") != "P")).alias("ok"))
+        stages = [("motion", motion, True), ("extraction", lambda jobs: jobs.select("job_id", F.lit(True).alias("ok")), True)]
+        running = [J.process(J.watch(spark, f"{folder}/inbox", 2), f"{folder}/manifest", f"{folder}/{n}", stages, claims=f"{folder}/claims") for n in names]
+        for query in running:
+            query.awaitTermination()
+
+    run(False, "first", "second")
+    failed = J.job_states(J.manifest(spark, f"{folder}/manifest"), 2).where("state = 'error' AND job_id % 2 = 1")
+    orders.join(failed.select("job_id"), "job_id", "left_semi").write.mode("append").json(f"{folder}/inbox")
+    run(True, "first")
+    entries = J.manifest(spark, f"{folder}/manifest")
+    return J.job_states(entries, 2).join(entries.groupBy("job_id").agg(F.count("*").alias("entries")), "job_id")
