@@ -170,10 +170,15 @@ def save_region(regions: DataFrame, body: list[int], neuropil: list[int], group:
     return regions.unionByName(new)
 
 
+def covered_regions(labels: DataFrame, mask: DataFrame) -> DataFrame:
+    """(``label``, ``n``, ``hits``): the pixels of every region of a label image, and those that a mask has too."""
+    inside = labels.join(mask.select("px").distinct().withColumn("hit", F.lit(1)), "px", "left")
+    return inside.groupBy("label").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+
+
 def swallowed(labels: DataFrame, mask: DataFrame) -> DataFrame:
     """Regions of a label image that a new mask would cover completely."""
-    inside = labels.join(mask.select("px").distinct().withColumn("hit", F.lit(1)), "px", "left")
-    return inside.groupBy("label").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).where("n = hits").select("label")
+    return covered_regions(labels, mask).where("n = hits").select("label")
 
 
 def split_cluster(clusters: DataFrame, pairs: DataFrame, cluster: int) -> DataFrame:

@@ -22,9 +22,9 @@ H, WIDTH, NH = V.HEIGHT, V.WIDTH, 3
 MOVIE = """movie AS (SELECT vec_id AS frame, vec_id // 50 AS movie, vec_id % 50 AS frame_in_movie, CAST(i - 1 AS INTEGER) AS px,
   CAST((i - 1) % 8 AS INTEGER) AS row_, CAST((i - 1) // 8 AS INTEGER) AS col_, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i))"""
 MANIFEST = MOVIE + """, manifest AS (SELECT movie, count(DISTINCT frame) AS z, min(frame) AS frame_start, max(frame) AS frame_end FROM movie GROUP BY movie)"""
-ROI = MOVIE + """, roi_px AS (SELECT DISTINCT CAST((row_ // 4) * 2 + col_ // 4 AS INTEGER) AS roi_id,
-  CASE WHEN row_ % 4 IN (1, 2) AND col_ % 4 IN (1, 2) THEN 'body' ELSE 'neuropil' END AS kind, px FROM movie),
-roi AS (SELECT DISTINCT roi_id, roi_id % 9 + 1 AS grp, 0.1 * roi_id + CAST(0.5 AS DOUBLE) AS sub_coef FROM roi_px),
+ROI = MOVIE + """, active AS (SELECT px, row_, col_, CAST((row_ // 4) * 2 + col_ // 4 AS INTEGER) AS roi_id, round(stddev_samp(v), 9) AS act FROM movie GROUP BY px, row_, col_),
+roi_px AS (SELECT roi_id, CASE WHEN row_number() OVER (PARTITION BY roi_id ORDER BY act DESC, px) <= 4 THEN 'body' ELSE 'neuropil' END AS kind, px, act FROM active),
+roi AS (SELECT roi_id, roi_id % 9 + 1 AS grp, round(avg(act) FILTER (kind = 'neuropil') / avg(act) FILTER (kind = 'body'), 6) AS sub_coef FROM roi_px GROUP BY roi_id),
 traces AS (SELECT roi_id, frame, avg(v) FILTER (kind = 'body') AS raw, avg(v) FILTER (kind = 'neuropil') AS neuropil FROM movie JOIN roi_px USING (px) GROUP BY ALL)"""
 TRACE = """trace AS (SELECT user_id AS roi_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value AS f, event_type FROM events)"""
 BINS = MOVIE + """, bins AS (SELECT movie, frame_in_movie // 8 AS bin, px, sum(v) AS v FROM movie GROUP BY ALL HAVING count(*) = 8)"""
@@ -143,18 +143,18 @@ def frame_to_file(spark, sf):
 
 @register("roi_trace", f"WITH {ROI} SELECT roi_id, frame, {r6('raw')} AS raw, {r6('neuropil')} AS neuropil FROM traces")
 def roi_trace(spark, sf):
-    return rounded(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark)), "raw", "neuropil")
+    return rounded(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark, sf)), "raw", "neuropil")
 
 
 @register("neuropil_subtracted", f"WITH {ROI} SELECT roi_id, frame, {r6('raw - sub_coef * neuropil')} AS f FROM traces JOIN roi USING (roi_id)")
 def neuropil_subtracted(spark, sf):
-    found = M.subtract_background(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark)), V.rois(spark))
+    found = M.subtract_background(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark, sf)), V.rois(spark, sf))
     return rounded(found.select("roi_id", "frame", "f"), "f")
 
 
 @register("roi_group_filter", f"WITH {ROI} SELECT roi_id, grp, px FROM roi JOIN roi_px USING (roi_id) WHERE grp IN (1, 3)")
 def roi_group_filter(spark, sf):
-    return V.rois(spark).where(F.col("grp").isin(1, 3)).join(V.roi_pixels(spark), "roi_id").select("roi_id", "grp", "px")
+    return V.rois(spark, sf).where(F.col("grp").isin(1, 3)).join(V.roi_pixels(spark, sf), "roi_id").select("roi_id", "grp", "px")
 
 
 EDGE = ROI + """, prof AS (SELECT col_, avg(v) AS m FROM movie GROUP BY col_), gaps AS (SELECT col_, row_number() OVER (ORDER BY m, col_) AS k, m - lag(m) OVER (ORDER BY m, col_) AS gap FROM prof),
@@ -170,7 +170,7 @@ def edge_signal(spark, sf):
 @register("edge_subtracted", f"WITH {EDGE} SELECT roi_id, frame, {r6('avg(v - edge)')} AS f FROM movie JOIN roi_px USING (px) JOIN edge USING (row_, frame) WHERE kind = 'body' GROUP BY roi_id, frame")
 def edge_subtracted(spark, sf):
     movie = V.movie(spark, sf)
-    return rounded(M.edge_subtracted(movie, V.roi_pixels(spark), M.edge_signal(movie, M.edge_columns(movie))), "f")
+    return rounded(M.edge_subtracted(movie, V.roi_pixels(spark, sf), M.edge_signal(movie, M.edge_columns(movie))), "f")
 
 
 @register("edge_neuropil_subtracted", f"""WITH {EDGE}, sides AS (SELECT roi_id, frame, avg(v - edge) FILTER (kind = 'body') AS raw, avg(v - edge) FILTER (kind = 'neuropil') AS neuropil
@@ -178,7 +178,7 @@ FROM movie JOIN roi_px USING (px) JOIN edge USING (row_, frame) GROUP BY ALL)
 SELECT roi_id, frame, {r6('raw')} AS raw, {r6('neuropil')} AS neuropil, {r6('raw - coalesce(neuropil * sub_coef, 0)')} AS f FROM sides JOIN roi USING (roi_id)""")
 def edge_neuropil_subtracted(spark, sf):
     movie = V.movie(spark, sf)
-    return rounded(M.edge_neuropil_subtracted(movie, V.roi_pixels(spark), M.edge_signal(movie, M.edge_columns(movie)), V.rois(spark)), "raw", "neuropil", "f")
+    return rounded(M.edge_neuropil_subtracted(movie, V.roi_pixels(spark, sf), M.edge_signal(movie, M.edge_columns(movie)), V.rois(spark, sf)), "raw", "neuropil", "f")
 
 
 @register("line_shift_score", f"""WITH {MOVIE}, img AS (SELECT px, row_, col_ - 2 AS c, avg(v) AS m FROM movie WHERE row_ BETWEEN 2 AND 5 AND col_ BETWEEN 2 AND 5 GROUP BY ALL)
@@ -203,7 +203,7 @@ def set_bin_avg(spark, sf):
 
 @register("response_matrix", f"WITH {ROI}, {STIM} SELECT target, roi_id, {r6('greatest(avg(raw) FILTER (o > 0) - avg(raw) FILTER (o < 0), 0)')} AS response FROM stim, range(-5, 6) t(o) JOIN traces ON frame = key_frame + o GROUP BY target, roi_id")
 def response_matrix(spark, sf):
-    traces = M.region_traces(V.movie(spark, sf), V.roi_pixels(spark)).select("roi_id", "frame", F.col("raw").alias("f"))
+    traces = M.region_traces(V.movie(spark, sf), V.roi_pixels(spark, sf)).select("roi_id", "frame", F.col("raw").alias("f"))
     return rounded(M.response_matrix(traces, V.stimuli(spark, sf), 5, 5), "response")
 
 
@@ -219,18 +219,18 @@ def frame_mean_trace(spark, sf):
 
 @register("label_image", f"WITH {ROI}, o AS (SELECT roi_id, px FROM roi_px UNION SELECT roi_id + 1, px FROM roi_px WHERE px % 3 = 0) SELECT px, CAST(max(roi_id) AS INTEGER) AS label FROM o GROUP BY px")
 def label_image(spark, sf):
-    own = V.roi_pixels(spark).select("roi_id", "px")
+    own = V.roi_pixels(spark, sf).select("roi_id", "px")
     return M.latest_label(own.unionByName(own.where("px % 3 = 0").withColumn("roi_id", F.col("roi_id") + 1)))
 
 
 @register("roi_centroid", f"WITH {ROI} SELECT roi_id, CAST(round(avg(px % 8)) AS INTEGER) AS row_, CAST(round(avg(px // 8)) AS INTEGER) AS col_ FROM roi_px WHERE kind = 'body' GROUP BY roi_id")
 def roi_centroid(spark, sf):
-    return M.centroids(V.roi_pixels(spark), H)
+    return M.centroids(V.roi_pixels(spark, sf), H)
 
 
 @register("roi_boundary", f"WITH {ROI}, n AS (SELECT roi_id, px, unnest([CASE WHEN px % 8 > 0 THEN px - 1 ELSE -1 END, CASE WHEN px % 8 < 7 THEN px + 1 ELSE -1 END, CASE WHEN px >= 8 THEN px - 8 ELSE -1 END, CASE WHEN px < 56 THEN px + 8 ELSE -1 END]) AS q FROM roi_px) SELECT DISTINCT n.roi_id, n.px FROM n LEFT JOIN roi_px r ON r.roi_id = n.roi_id AND r.px = q WHERE r.px IS NULL")
 def roi_boundary(spark, sf):
-    return M.boundary(V.roi_pixels(spark), H, WIDTH)
+    return M.boundary(V.roi_pixels(spark, sf), H, WIDTH)
 
 
 @register("frame_totals", f"WITH {MANIFEST} SELECT movie, z, CAST(sum(z) OVER (ORDER BY movie) AS BIGINT) AS frames_so_far FROM manifest")
@@ -407,22 +407,26 @@ def pixel_histogram(spark, sf):
 
 @register("set_operations", f"WITH {ROI} SELECT 'union' AS op, count(*) AS n FROM (SELECT px FROM roi_px WHERE roi_id < 2 UNION SELECT px FROM roi_px WHERE px % 2 = 0) UNION ALL SELECT 'intersect', count(*) FROM (SELECT px FROM roi_px WHERE roi_id < 2 INTERSECT SELECT px FROM roi_px WHERE px % 2 = 0) UNION ALL SELECT 'except', count(*) FROM (SELECT px FROM roi_px WHERE roi_id < 2 EXCEPT SELECT px FROM roi_px WHERE px % 2 = 0)")
 def set_operations(spark, sf):
-    a, b = (V.roi_pixels(spark).where(c).select("px") for c in ("roi_id < 2", "px % 2 = 0"))
+    a, b = (V.roi_pixels(spark, sf).where(c).select("px") for c in ("roi_id < 2", "px % 2 = 0"))
     parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b).distinct()}
     counts = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, d in parts.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@register("band_offsets", "SELECT CAST(k AS INTEGER) AS dcol, CAST(o AS INTEGER) AS drow FROM range(0, 3) a(k), range(-2, 3) b(o) WHERE k > 0 OR o >= 0")
+@register("band_offsets", f"WITH {COV} SELECT CAST(dcol AS INTEGER) AS dcol, CAST(drow AS INTEGER) AS drow, count(*) AS n, {r6('avg(cov)', 9)} AS cov FROM cov JOIN offs ON px_j // 8 - px_i // 8 = dcol AND px_j % 8 - px_i % 8 = drow GROUP BY dcol, drow")
 def band_offsets(spark, sf):
-    return M.band_offsets(spark, NH).select(F.col("dcol").cast("int"), F.col("drow").cast("int"))
+    """Mean covariance over the image for each offset of the stored band."""
+    band = covariance(spark, sf).select("*", (F.expr(f"px_j div {H}") - F.expr(f"px_i div {H}")).cast("int").alias("dcol"), (F.col("px_j") % H - F.col("px_i") % H).alias("drow"))
+    found = band.join(M.band_offsets(spark, NH), ["dcol", "drow"]).groupBy("dcol", "drow").agg(F.count("*").alias("n"), F.avg("cov").alias("cov"))
+    return rounded(found.select(F.col("dcol").cast("int"), F.col("drow").cast("int"), "n", "cov"), "cov", digits=9)
 
 
-@register("band_offsets_sql", "SELECT CAST(k AS INTEGER) AS dcol, CAST(o AS INTEGER) AS drow FROM range(0, 3) a(k), range(-2, 3) b(o) WHERE k > 0 OR o >= 0")
+@register("band_offsets_sql", f"WITH {COV} SELECT CAST(dcol AS INTEGER) AS dcol, CAST(drow AS INTEGER) AS drow, count(*) AS n FROM (SELECT DISTINCT row_, col_ FROM movie), offs WHERE row_ + drow BETWEEN 0 AND 7 AND col_ + dcol BETWEEN 0 AND 7 GROUP BY dcol, drow")
 def band_offsets_sql(spark, sf):
-    """The band by the SQL table function."""
+    """How many of the recording's pixels have a partner at each offset of the band, by the SQL table function."""
     register_table_functions(spark)
-    return spark.sql(f"SELECT dcol, drow FROM band_offsets({NH})")
+    V.movie(spark, sf).select("row_", "col_").distinct().createOrReplaceTempView("framelake_pixels")
+    return spark.sql(f"SELECT dcol, drow, count(*) AS n FROM framelake_pixels, LATERAL band_offsets({NH}) WHERE row_ + drow BETWEEN 0 AND {H - 1} AND col_ + dcol BETWEEN 0 AND {WIDTH - 1} GROUP BY dcol, drow")
 
 
 @register("neighbour_pixels_sql", f"WITH {MOVIE}, p AS (SELECT DISTINCT px FROM movie) SELECT px, CAST(px + r + 8 * c AS INTEGER) AS neighbour FROM p, range(-1, 2) a(r), range(-1, 2) b(c) WHERE px % 8 + r BETWEEN 0 AND 7 AND px // 8 + c BETWEEN 0 AND 7")
@@ -445,9 +449,11 @@ SEEDS = """seeds AS (SELECT CAST(i AS INTEGER) AS seed, (i % 4) * 2 + 0.5 AS sr,
 discs AS (SELECT seed, CAST(i AS INTEGER) AS px FROM seeds, range(64) p(i) WHERE (i % 8 - sr) ** 2 + (i // 8 - sc) ** 2 < 4)"""
 
 
-@register("seed_discs", f"WITH {SEEDS} SELECT seed, px FROM discs")
+@register("seed_discs", f"WITH {SEEDS}, {MOVIE} SELECT seed, px, {r6('avg(v)')} AS mean FROM discs JOIN movie USING (px) GROUP BY seed, px")
 def seed_discs(spark, sf):
-    return G.seed_discs(spark, 2, 2.0, H, WIDTH)
+    """Mean image around every seed of a grid."""
+    discs = G.seed_discs(spark, 2, 2.0, H, WIDTH)
+    return rounded(V.movie(spark, sf).join(discs, "px").groupBy("seed", "px").agg(F.avg("v").alias("mean")), "mean")
 
 
 @register("seed_covariance", f"WITH {BINS}, {SEEDS}, pairs AS (SELECT a.seed, a.px AS px_i, b.px AS px_j FROM discs a JOIN discs b ON a.seed = b.seed AND a.px <= b.px), c AS (SELECT a.movie, a.px AS px_i, b.px AS px_j, covar_pop(a.v, b.v) AS c FROM (SELECT DISTINCT px_i, px_j FROM pairs) JOIN bins a ON a.px = px_i JOIN bins b ON b.px = px_j AND b.movie = a.movie AND b.bin = a.bin GROUP BY ALL) SELECT seed, px_i, px_j, {r6('avg(c)')} AS cov FROM pairs JOIN c USING (px_i, px_j) GROUP BY seed, px_i, px_j")
@@ -455,10 +461,11 @@ def seed_covariance(spark, sf):
     return rounded(G.seed_covariance(M.bin_frames(V.movie(spark, sf), 8), G.seed_discs(spark, 2, 2.0, H, WIDTH)), "cov")
 
 
-@register("nearest_seed", "SELECT CAST(i AS INTEGER) AS px, CAST(least((i % 8) // 3, 2) + 3 * least((i // 8) // 3, 2) AS INTEGER) AS seed FROM range(64) r(i)")
+@register("nearest_seed", f"WITH {MOVIE}, own AS (SELECT frame, v, CAST(least(row_ // 3, 2) + 3 * least(col_ // 3, 2) AS INTEGER) AS seed FROM movie) SELECT seed, frame, count(*) AS n, {r6('avg(v)')} AS mean FROM own GROUP BY seed, frame")
 def nearest_seed(spark, sf):
-    px = spark.range(H * WIDTH).select(F.col("id").cast("int").alias("px"))
-    return px.select("px", G.nearest_seed(F.col("px") % H, F.floor(F.col("px") / H), 3, H, WIDTH).alias("seed"))
+    """Mean of the pixels nearest to each grid seed, in every frame."""
+    rows = V.movie(spark, sf).withColumn("seed", G.nearest_seed(F.col("row_"), F.col("col_"), 3, H, WIDTH))
+    return rounded(rows.groupBy("seed", "frame").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), "mean")
 
 
 @register("movie_correlations", f"WITH {MOVIE}, {SEEDS}, pairs AS (SELECT a.seed, a.px AS px_i, b.px AS px_j FROM discs a JOIN discs b ON a.seed = b.seed AND a.px <= b.px) SELECT seed, px_i, px_j, round(corr(a.v, b.v), 6) + 0.0 AS r FROM pairs JOIN movie a ON a.px = px_i JOIN movie b ON b.px = px_j AND b.frame = a.frame GROUP BY seed, px_i, px_j")
@@ -466,15 +473,16 @@ def movie_correlations(spark, sf):
     return rounded(G.movie_correlations(V.movie(spark, sf), G.seed_discs(spark, 2, 2.0, H, WIDTH)), "r")
 
 
-@register("polygon_region", "SELECT CAST(i AS INTEGER) AS px FROM range(64) r(i) WHERE i % 8 + i // 8 > 4.5 AND i % 8 < 6.5 AND i // 8 < 5.5")
+@register("polygon_region", f"WITH {MOVIE} SELECT frame, count(*) AS n, {r6('avg(v)')} AS mean FROM movie WHERE row_ + col_ > 4.5 AND row_ < 6.5 AND col_ < 5.5 GROUP BY frame")
 def polygon_region(spark, sf):
-    px = spark.range(H * WIDTH).select(F.col("id").cast("int").alias("px"))
-    return px.where(G.inside_polygon(F.col("px") % H, F.floor(F.col("px") / H), [(-1.0, 5.5), (6.5, 5.5), (6.5, -2.0)]))
+    """Mean within a polygon in every frame."""
+    inside = V.movie(spark, sf).where(G.inside_polygon(F.col("row_"), F.col("col_"), [(-1.0, 5.5), (6.5, 5.5), (6.5, -2.0)]))
+    return rounded(inside.groupBy("frame").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), "mean")
 
 
 @register("region_movie", f"WITH {ROI}, c AS (SELECT roi_id, CAST(round(avg(px % 8)) AS INTEGER) AS r, CAST(round(avg(px // 8)) AS INTEGER) AS c FROM roi_px WHERE kind = 'body' GROUP BY roi_id) SELECT roi_id, frame, row_, col_, v FROM movie JOIN c ON row_ BETWEEN greatest(r - 2, 0) AND least(r + 2, 7) AND col_ BETWEEN greatest(c.c - 2, 0) AND least(c.c + 2, 7)")
 def region_movie(spark, sf):
-    return G.region_movie(V.movie(spark, sf), G.region_window(V.roi_pixels(spark), 2, H, WIDTH))
+    return G.region_movie(V.movie(spark, sf), G.region_window(V.roi_pixels(spark, sf), 2, H, WIDTH))
 
 
 @register("display_intensity", f"WITH {MOVIE} SELECT frame, px, {r6('sqrt(greatest(v, 0))')} AS root, {r6('pow(greatest(v, 0), 0.25)')} AS gamma FROM movie")
@@ -561,10 +569,13 @@ def merge_clusters(spark, sf):
     return G.merge_clusters(V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("px"), (F.col("o_orderkey") % 5).cast("int").alias("cluster")), 0, 2)
 
 
-@register("swallowed_regions", f"WITH {ROI}, l AS (SELECT px, max(roi_id) AS label FROM roi_px GROUP BY px) SELECT label FROM l GROUP BY label HAVING count(*) = count(*) FILTER (px % 8 < 5)")
+@register("swallowed_regions", f"WITH {ROI}, l AS (SELECT px, max(roi_id) AS label FROM roi_px GROUP BY px), big AS (SELECT px FROM active WHERE row_ < 5 OR act > (SELECT avg(act) FROM active)) SELECT label, count(*) AS n, count(*) FILTER (px IN (SELECT px FROM big)) AS hits FROM l GROUP BY label HAVING count(*) FILTER (px IN (SELECT px FROM big)) >= 10")
 def swallowed_regions(spark, sf):
-    mask = spark.range(H * WIDTH).select(F.col("id").cast("int").alias("px")).where(F.col("px") % H < 5)
-    return G.swallowed(M.latest_label(V.roi_pixels(spark)), mask)
+    """Regions that a mask of active pixels covers by ten pixels or more."""
+    pixels = V.roi_pixels(spark, sf)
+    mean = pixels.agg(F.avg("act").alias("mean"))
+    mask = pixels.crossJoin(F.broadcast(mean)).where((F.col("px") % H < 5) | (F.col("act") > F.col("mean")))  # one row
+    return G.covered_regions(M.latest_label(pixels), mask).where("hits >= 10")
 
 
 @register("line_shift_applied", f"WITH {MOVIE} SELECT frame, row_, CAST(CASE WHEN row_ % 2 = 1 THEN (col_ + movie % 3 + 8) % 8 ELSE col_ END AS INTEGER) AS col_, v FROM movie")
@@ -587,13 +598,13 @@ def first_occurrences(spark, sf):
 
 @register("region_edits", f"WITH {ROI} SELECT CASE WHEN roi_id > 1 THEN roi_id - 1 ELSE roi_id END AS id, CASE WHEN roi_id = 3 THEN 7 ELSE grp END AS grp, {r6('CASE WHEN roi_id = 0 THEN sub_coef + 0.05 ELSE sub_coef END')} AS sub_coef FROM roi WHERE roi_id <> 1")
 def region_edits(spark, sf):
-    regions = V.rois(spark).withColumnRenamed("roi_id", "id")
+    regions = V.rois(spark, sf).withColumnRenamed("roi_id", "id")
     return rounded(G.nudge_coefficient(G.relabel_region(G.delete_region(regions, 1, renumber=True), 2, 7), 0, 0.05), "sub_coef")
 
 
 @register("label_cleared", f"WITH {ROI} SELECT px, max(roi_id) AS label FROM roi_px GROUP BY px HAVING max(roi_id) <> 2")
 def label_cleared(spark, sf):
-    return G.clear_labels(M.latest_label(V.roi_pixels(spark)), 2)
+    return G.clear_labels(M.latest_label(V.roi_pixels(spark, sf)), 2)
 
 
 def queries() -> dict[str, Query]:

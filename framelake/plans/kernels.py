@@ -39,7 +39,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf: str) -> DataFrame:
     """Region traces with their background taken off."""
-    return M.subtract_background(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark)), V.rois(spark))
+    return M.subtract_background(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark, sf)), V.rois(spark, sf))
 
 
 def with_reference(kernel: Callable[..., DataFrame], *more) -> Query:

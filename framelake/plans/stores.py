@@ -72,7 +72,7 @@ def saved_catalog(spark, sf):
 @register("region_snapshots", f"WITH {ROI} SELECT roi_id, grp, {r6('2 * sub_coef')} AS sub_coef FROM roi")
 def region_snapshots(spark, sf):
     """The second version of the region table, written twice."""
-    folder, rois = new_folder(spark, "regions"), V.rois(spark)
+    folder, rois = new_folder(spark, "regions"), V.rois(spark, sf)
     for version in (1, 2, 2):
         tiff.write_snapshot(rois.withColumn("sub_coef", version * F.col("sub_coef")), folder, version)
     return rounded(spark.read.parquet(folder).where("version = 2").select("roi_id", "grp", "sub_coef"), "sub_coef")

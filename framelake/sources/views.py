@@ -38,17 +38,22 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("movie").agg(F.count_distinct("frame").alias("z"), F.min("frame").alias("frame_start"), F.max("frame").alias("frame_end"))
 
 
-def roi_pixels(spark: SparkSession) -> DataFrame:
-    """Pixels of four square regions: an inner body and the surrounding background."""
-    px = spark.range(HEIGHT * WIDTH).select(F.col("id").cast("int").alias("px"))
-    px = px.withColumn("r", F.col("px") % HEIGHT).withColumn("c", F.expr(f"px div {HEIGHT}"))
-    inner = (F.col("r") % 4).isin(1, 2) & (F.col("c") % 4).isin(1, 2)
-    return px.select(F.expr("cast((r div 4) * 2 + c div 4 as int)").alias("roi_id"), F.when(inner, "body").otherwise("neuropil").alias("kind"), "px")
-
-
-def rois(spark: SparkSession) -> DataFrame:
-    """Group and background coefficient of every region."""
-    return roi_pixels(spark).select("roi_id").distinct().select("roi_id", (F.col("roi_id") % 9 + 1).alias("grp"), (F.col("roi_id") * 0.1 + 0.5).alias("sub_coef"))
+def roi_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the regions, with their activity ``act`` (sample deviation over all frames): in each quarter of the image
+    the four most active ones are the body of a region and the others its background."""
+    act = F.round(F.stddev_samp("v"), 9)
+    px = movie(spark, sf_dir).groupBy("px", "row_", "col_").agg(act.alias("act"))
+    px = px.withColumn("roi_id", F.expr(f"cast((row_ div {HEIGHT // 2}) * 2 + col_ div {WIDTH // 2} as int)"))
+    order = Window.partitionBy("roi_id").orderBy(F.desc("act"), "px")  # a row for each pixel of a quarter
+    kind = F.when(F.row_number().over(order) <= 4, "body").otherwise("neuropil")
+    return px.select("roi_id", kind.alias("kind"), "px", "act")
+
+
+def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and background coefficient of every region; the latter is its background's mean activity over its body's."""
+    mean = {k: F.avg(F.when(F.col("kind") == k, F.col("act"))) for k in ("body", "neuropil")}
+    found = roi_pixels(spark, sf_dir).groupBy("roi_id").agg(F.round(mean["neuropil"] / mean["body"], 6).alias("sub_coef"))
+    return found.select("roi_id", (F.col("roi_id") % 9 + 1).alias("grp"), "sub_coef")
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
