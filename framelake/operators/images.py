@@ -24,6 +24,23 @@ def high_pass(picture: np.ndarray, sigma: float) -> np.ndarray:
     return picture / (blur(picture, sigma) + 1e-2)
 
 
+def interior_strips(picture: np.ndarray, margin: int) -> np.ndarray:
+    """The image with its outer ``margin`` lines on every side replaced by those just within, in their order; corners come
+    from within on both axes."""
+    if margin < 1 or min(picture.shape) < 4 * margin:
+        return picture
+    out = picture.copy()
+    for view in (out, out.T):
+        view[:margin] = view[margin : 2 * margin]
+        view[-margin:] = view[-2 * margin : -margin]
+    return out
+
+
+def halved(picture: np.ndarray) -> np.ndarray:
+    """Every other pixel of the slightly blurred image."""
+    return blur(picture, 0.8)[::2, ::2]
+
+
 def flatten_luminance(picture: np.ndarray, sigma: float) -> np.ndarray:
     """The image over its local mean, 0 where that is not finite."""
     with np.errstate(divide="ignore", invalid="ignore"):

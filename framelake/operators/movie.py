@@ -235,6 +235,37 @@ def frame_totals(files: DataFrame) -> DataFrame:
     return files.select("movie", "z", F.sum("z").over(order).alias("frames_so_far"))
 
 
+def sync_totals(files: DataFrame) -> DataFrame:
+    """(``block``, ``slice``, ``slice_frames``, ``valid_frames``) of a recording's files (``block``, ``movie``, ``slice``, ``z``).
+
+    ``slice_frames`` are a slice's frames up to the last file of a block, by the files' order, whichever block they are of;
+    ``valid_frames`` of a block are the least increment over its slices since the block before, times slices + 1 when the
+    recording has several slices.  One row for each file and slice, so windows are small.
+    """
+    order = Window.partitionBy("slice").orderBy("movie").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = files.withColumn("so_far", F.sum("z").over(order))
+    ends = so_far.groupBy("block", "slice").agg(F.max_by("so_far", "movie").alias("slice_frames"))
+    step = F.col("slice_frames") - F.coalesce(F.lag("slice_frames").over(Window.partitionBy("slice").orderBy("block")), F.lit(0))
+    steps = ends.withColumn("step", step)
+    slices = files.agg(F.count_distinct("slice").alias("slices"))
+    valid = steps.groupBy("block").agg(F.min("step").alias("least")).crossJoin(F.broadcast(slices))  # one row
+    valid = valid.select("block", (F.col("least") * F.when(F.col("slices") > 1, F.col("slices") + 1).otherwise(1)).alias("valid_frames"))
+    return ends.join(valid, "block").select("block", "slice", "slice_frames", "valid_frames")
+
+
+def synchronised_frames(frames: DataFrame, totals: DataFrame) -> DataFrame:
+    """Frames (``slice``, ``frame`` counted within their slice) that all slices of their block have, with their ``block``: a
+    block's frames are those after the slice frames of the block before, and the least count over slices is kept."""
+    slices = F.count("*").over(Window.partitionBy("block"))
+    low = F.coalesce(F.lag("slice_frames").over(Window.partitionBy("slice").orderBy("block")), F.lit(0))
+    kept = F.col("valid_frames") / F.when(slices > 1, slices + 1).otherwise(1)
+    spans = totals.select("block", "slice", low.alias("low"), F.least(F.col("slice_frames"), low + kept).cast("long").alias("high"))
+    # A span meets its frames by their hundreds, so this is an equi-join.
+    dealt = spans.where("high > low").select("*", F.explode(F.expr("sequence(low div 100, (high - 1) div 100)")).alias("part"))
+    keyed = frames.withColumn("part", F.expr("frame div 100"))
+    return keyed.join(dealt, ["slice", "part"]).where("frame >= low AND frame < high").drop("part", "low", "high")
+
+
 def sync_info(counts: DataFrame) -> DataFrame:
     """Per block the valid frames: the least over slices, times slices + 1 when there are several."""
     k = F.count("*")

@@ -76,22 +76,34 @@ def affine_register(reference: np.ndarray, picture: np.ndarray, rounds: int = 30
     return best
 
 
-def demons(reference: np.ndarray, picture: np.ndarray, smooth: float = 5.0, rounds: int = 60, margin: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Dense displacements that read ``picture`` into ``reference`` (Thirion 1998) on images over their local means, the field
-    smoothed each round; the outer ``margin`` of the field is replaced by the nearest interior values."""
-    a, b = (I.high_pass(np.maximum(np.nan_to_num(p), 0), max(p.shape) / 8) for p in (reference, picture))
-    field = [np.zeros(a.shape), np.zeros(a.shape)]
-    slopes = np.gradient(a)
-    steep = slopes[0] ** 2 + slopes[1] ** 2
-    for _ in range(rounds):
-        moved = R.warp(b, *field)
-        off = np.where(np.isnan(moved), 0.0, a - moved)
-        power = steep + off**2
-        push = np.divide(off, power, out=np.zeros_like(off), where=power > 1e-12)
-        field = [I.blur(f + push * s, smooth) for f, s in zip(field, slopes, strict=True)]
-    edge = [int(np.ceil(margin * n)) for n in a.shape]
-    inner = [f[edge[0] : a.shape[0] - edge[0], edge[1] : a.shape[1] - edge[1]] for f in field]
-    return tuple(np.pad(f, [(e, e) for e in edge], mode="edge") for f in inner)
+def demons(reference: np.ndarray, picture: np.ndarray, smooth: float = 5.0, rounds: int = 60, margin: float = 0.05, levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Dense displacements that read ``picture`` into ``reference`` (Thirion 1998) on images over their local means.
+
+    Earlier corrections leave a dark border on ``picture``; its outer ``margin`` is replaced by the strips just within, so that
+    the border does not pull at the field.  The field starts on images halved ``levels`` - 1 times (as long as a side keeps 32
+    pixels), and is smoothed in every round.
+    """
+    inner = I.interior_strips(np.nan_to_num(picture), round(margin * min(picture.shape)))  # before the local means, which spread it
+    pyramid = [tuple(I.high_pass(np.maximum(np.nan_to_num(p), 0), max(p.shape) / 8) for p in (reference, inner))]
+    while len(pyramid) < levels and min(pyramid[-1][0].shape) >= 64:
+        pyramid.append(tuple(map(I.halved, pyramid[-1])))
+    field: list[np.ndarray] | None = None
+    for a, b in reversed(pyramid):
+        rows, cols = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+        if field is None:
+            field = [np.zeros(a.shape), np.zeros(a.shape)]
+        else:
+            coarse = field[0].shape
+            field = [2 * R.sample(f, np.minimum(rows / 2, coarse[0] - 1), np.minimum(cols / 2, coarse[1] - 1)) for f in field]
+        slopes = np.gradient(a)
+        steep = slopes[0] ** 2 + slopes[1] ** 2
+        for _ in range(rounds):
+            moved = R.warp(b, *field)
+            off = np.where(np.isnan(moved), 0.0, a - moved)
+            power = steep + off**2
+            push = np.divide(off, power, out=np.zeros_like(off), where=power > 1e-12)
+            field = [I.blur(f + push * s, smooth) for f, s in zip(field, slopes, strict=True)]
+    return field[0], field[1]
 
 
 def mean_images(frames: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Operators on traces (``roi_id``, ``frame``, ``f``): windows, percentiles, frame filters, dF/F.
 
-All are native but the running percentile, whose windows are partitioned in Arrow tasks.
+All are native but the running percentile, whose windows slide in Arrow tasks.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 from framelake.functions.compat import gaussian_weights, group_percentile
 
-#: Frames of a trace that a task takes at a time, and window values that it holds at a time.
-BLOCK, HELD = 4096, 4_000_000
+#: Frames of a trace that a task takes at a time.
+BLOCK = 4096
 
 
 def series() -> WindowSpec:
@@ -45,50 +46,76 @@ def gaussian_smooth(trace: DataFrame, length: int, edges: str = "same") -> DataF
     return out.withColumn("last", last).where((F.col("frame") >= half) & (F.col("frame") <= F.col("last") - (length - 1 - half))).drop("last")
 
 
+def sliding_order(values: np.ndarray, starts: np.ndarray, length: int, nth: int) -> np.ndarray:
+    """The value of rank ``nth`` in each window ``values[start : start + length]``; ``starts`` never go back.
+
+    The windows slide over the values' ranks, kept as a sorted list: a step removes what left and adds what came by binary
+    search.  What is not a number ranks last.
+    """
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    ranks, found = rank.tolist(), np.empty(len(starts), np.int64)
+    held: list[int] = []
+    low = high = 0
+    for k, start in enumerate(starts.tolist()):
+        if start >= high:
+            held, low, high = sorted(ranks[start : start + length]), start, start + length
+        while low < start:
+            del held[bisect_left(held, ranks[low])]
+            low += 1
+        while high < start + length:
+            insort(held, ranks[high])
+            high += 1
+        found[k] = held[nth]
+    return values[order[found]]
+
+
 def running_percentile(trace: DataFrame, length: int, percent: float) -> DataFrame:
     """Order statistic of a centred window; the first and last frames take the nearest full window's value."""
     half, nth = length // 2, min(math.ceil(length * percent / 100), length - 1)
-    sizes = trace.groupBy("roi_id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * length)
-    rows = trace.select("roi_id", "frame", F.col("f").cast("double").alias("f"), (F.row_number().over(series()) - 1).cast("long").alias("k")).join(sizes, "roi_id")
-    # A block of a trace gets the frames around it as well, so that a task never holds more than a block.
-    blocks = F.sequence(F.greatest(F.expr(f"(k - {length - 1 - half}) div {BLOCK}"), F.lit(0).cast("long")), F.expr(f"least(k + {half}, n - 1) div {BLOCK}"))
+    n = F.count("*").over(Window.partitionBy("roi_id"))
+    rows = trace.select("roi_id", "frame", F.col("f").cast("double").alias("f"), (F.row_number().over(series()) - 1).cast("long").alias("k"), n.alias("n")).where(F.col("n") > 2 * length)
+    # A block of a trace gets the frames of its windows as well, so that a task never holds more than a block.
+    own, last = F.expr(f"k div {BLOCK}"), F.expr(f"(n - 1) div {BLOCK}")
+    first_centre, last_centre = F.greatest(F.col("k") - (length - 1 - half), F.lit(length)), F.least(F.col("k") + half, F.col("n") - length - 1)
+    low = F.when(first_centre <= length, F.lit(0)).otherwise(F.floor(first_centre / BLOCK)).cast("long")
+    high = F.when(last_centre >= F.col("n") - length - 1, last).otherwise(F.floor(last_centre / BLOCK)).cast("long")
+    blocks = F.sequence(F.least(low, own), F.greatest(high, own))
     dealt = rows.withColumn("block", F.explode(blocks)).repartition("roi_id", "block").sortWithinPartitions("roi_id", "block", "k")
     kinds = dict(trace.dtypes)
 
-    def found(rows: pa.Table) -> list[pa.RecordBatch]:
-        values = rows.column("f").to_numpy().copy()  # missing ones are not a number, which sorts last
-        out = np.full(len(values), np.nan)
-        if len(values) >= length:
-            windows = np.lib.stride_tricks.sliding_window_view(values, length)
-            step = max(HELD // length, 1)
-            for a in range(0, len(windows), step):
-                out[half + a : half + a + min(step, len(windows) - a)] = np.partition(windows[a : a + step], nth, axis=1)[:, nth]
-        own = rows.column("k").to_numpy() // BLOCK == rows.column("block").to_numpy()
-        part = rows.append_column("raw", pa.array(out, from_pandas=True)).filter(pa.array(own))
-        return part.select(["roi_id", "frame", "k", "n", "raw"]).combine_chunks().to_batches()
+    def found(k: np.ndarray, n: int, block: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(k // BLOCK == block)
+        starts = np.searchsorted(k, np.clip(k[own], length, n - length - 1) - half)
+        return own, sliding_order(f, starts, length, nth)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
         for batch in batches:
-            # Within a block k counts up by one; at the next block it does not.
-            k = batch.column("k").to_numpy()
-            cuts = np.flatnonzero((np.diff(k) != 1) | (np.diff(batch.column("block").to_numpy()) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                piece = batch.slice(a, b - a)
-                if not piece.num_rows:
-                    continue
-                if held and (held[-1].column("k")[-1].as_py() + 1 != k[a] or held[-1].column("block")[-1] != piece.column("block")[0]):
-                    yield from found(pa.Table.from_batches(held))
-                    held = []
-                held.append(piece)
-        if held:
-            yield from found(pa.Table.from_batches(held))
-
-    raw = dealt.mapInArrow(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, k long, n long, raw double")
-    ends = raw.where((F.col("k") == length) | (F.col("k") == F.col("n") - length - 1)).groupBy("roi_id")
-    ends = ends.agg(*[F.max(F.when(F.col("k") == at, F.col("raw"))).alias(name) for name, at in (("low", F.lit(length)), ("high", F.col("n") - length - 1))])
-    value = F.when(F.col("k") < length, F.col("low")).when(F.col("k") >= F.col("n") - length, F.col("high")).otherwise(F.col("raw"))
-    return raw.join(ends, "roi_id").select("roi_id", "frame", value.alias("running"))
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            out, held = whole_blocks(held, False)
+            if out is not None:
+                yield from out
+        if held is not None and held.num_rows:
+            yield from whole_blocks(held, True)[0]
+
+    def whole_blocks(rows: pa.Table, ended: bool) -> tuple[list[pa.RecordBatch] | None, pa.Table]:
+        """What the blocks that are complete give, and the rows of the last one, which may go on."""
+        k, n, block = (rows.column(c).to_numpy() for c in ("k", "n", "block"))
+        # Within a block k counts up; at the next one, of this trace or another, the block or k goes back or the block changes.
+        cuts = np.flatnonzero((np.diff(k) <= 0) | (np.diff(block) != 0)) + 1
+        if not ended and not len(cuts):
+            return None, rows
+        edges = [0, *cuts.tolist(), *([len(k)] if ended else [])]
+        f = rows.column("f").to_numpy()  # missing ones are not a number
+        parts = [(a, *found(k[a:b], int(n[a]), int(block[a]), f[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        where = pa.array(np.concatenate([a + own for a, own, _ in parts]))
+        running = pa.array(np.concatenate([v for _, _, v in parts]), from_pandas=True)
+        out = rows.select(["roi_id", "frame"]).take(where).append_column("running", running).combine_chunks()
+        return out.to_batches(), rows.slice(edges[-1])
+
+    return dealt.mapInArrow(of, f"roi_id {kinds['roi_id']}, frame {kinds['frame']}, running double")
 
 
 def running_max(trace: DataFrame, length: int) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framelake.functions.compat import gaussian_weights, midpoint_percentile, tidy, to_int16
 from framelake.functions.tables import register_table_functions
 from framelake.operators import catalog as C
 from framelake.operators import movie as M
 from framelake.operators import segmentation as G
+from framelake.operators import splines as L
 from framelake.operators import tiles as T
 from framelake.operators import traces as W
 from framelake.sources import views as V
@@ -244,6 +246,44 @@ def sync_info(spark, sf):
     return M.sync_info(rows)
 
 
+SLICES = MOVIE + """, files AS (SELECT movie, movie // 3 % 4 AS block, slice, n - CASE WHEN movie % 5 = slice THEN 2 ELSE 0 END AS z FROM (SELECT movie, frame_in_movie % 3 AS slice, count(DISTINCT frame) AS n FROM movie GROUP BY ALL)),
+cum AS (SELECT *, sum(z) OVER (PARTITION BY slice ORDER BY movie) AS so_far FROM files), ends AS (SELECT block, slice, arg_max(so_far, movie) AS slice_frames FROM cum GROUP BY ALL),
+steps AS (SELECT *, slice_frames - coalesce(lag(slice_frames) OVER (PARTITION BY slice ORDER BY block), 0) AS step FROM ends),
+totals AS (SELECT block, slice, slice_frames, min(step) OVER (PARTITION BY block) * 4 AS valid_frames FROM steps)"""
+
+
+def slice_files(spark, sf):
+    """Files of three interleaved slices in blocks that come back, some with frames missing at the end."""
+    rows = V.frames(spark, sf).select("movie", "frame", (F.col("frame_in_movie") % 3).alias("slice")).withColumn("block", F.expr("movie div 3 % 4"))
+    counted = rows.groupBy("block", "movie", "slice").agg(F.count("*").alias("n"))
+    return counted.select("block", "movie", "slice", (F.col("n") - F.when(F.col("movie") % 5 == F.col("slice"), 2).otherwise(0)).alias("z"))
+
+
+@register("sync_totals", f"WITH {SLICES} SELECT block, slice, CAST(slice_frames AS BIGINT) AS slice_frames, CAST(valid_frames AS BIGINT) AS valid_frames FROM totals")
+def sync_totals(spark, sf):
+    """Frames of each slice up to the end of each block, and the frames that all slices of a block have."""
+    return M.sync_totals(slice_files(spark, sf))
+
+
+@register("synchronised_frames", f"""WITH {SLICES}, spans AS (SELECT block, slice, coalesce(lag(slice_frames) OVER (PARTITION BY slice ORDER BY block), 0) AS low, slice_frames, valid_frames // 4 AS n FROM totals),
+f AS (SELECT slice, row_number() OVER (PARTITION BY slice ORDER BY frame) - 1 AS frame FROM (SELECT DISTINCT frame, frame_in_movie % 3 AS slice FROM movie))
+SELECT block, slice, count(*) AS n, CAST(min(frame) AS BIGINT) AS first, CAST(max(frame) AS BIGINT) AS last FROM f JOIN spans USING (slice) WHERE frame >= low AND frame < least(slice_frames, low + n) GROUP BY block, slice""")
+def synchronised_frames(spark, sf):
+    """Of each slice's frames those that all slices of the block have."""
+    order = Window.partitionBy("slice").orderBy("frame")
+    rows = V.frames(spark, sf).select("frame", (F.col("frame_in_movie") % 3).alias("slice"))
+    own = rows.select("slice", (F.row_number().over(order) - 1).cast("long").alias("frame"))
+    found = M.synchronised_frames(own, M.sync_totals(slice_files(spark, sf)))
+    return found.groupBy("block", "slice").agg(F.count("*").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+
+
+@register("spline_products", f"WITH {TRACE}, p AS (SELECT roi_id, f, frame // 10 AS i, (frame % 10) / 10.0 AS u FROM trace WHERE frame < 200), b AS (SELECT roi_id, f, CAST(i + k AS INTEGER) AS j, [(1 - u) ** 3, 3 * u ** 3 - 6 * u ** 2 + 4, -3 * u ** 3 + 3 * u ** 2 + 3 * u + 1, u ** 3][k + 1] / 6 AS b FROM p, range(4) r(k)) SELECT roi_id, j, {r6('sum(b * f)')} AS by FROM b GROUP BY roi_id, j")
+def spline_products(spark, sf):
+    """The transposed cubic basis with a knot each ten frames, times every trace."""
+    rows = V.trace(spark, sf).where("frame < 200")
+    return rounded(L.products(rows, "roi_id", "frame", "f", [10.0 * (k - 3) for k in range(27)], 3)[0], "by")
+
+
 @register("difference", f"WITH {TRACE} SELECT roi_id, frame, {r6('f - lag(f) OVER (PARTITION BY roi_id ORDER BY frame)')} AS d FROM trace")
 def difference(spark, sf):
     return rounded(W.difference(V.trace(spark, sf)).select("roi_id", "frame", "d"), "d")

@@ -17,10 +17,15 @@ from framelake.operators import images as I
 from framelake.operators import movie as M
 from framelake.operators import nonrigid as N
 from framelake.operators import registration as R
+from framelake.operators import scan as S
 from framelake.operators import segmentation as G
+from framelake.operators import splines as L
 from framelake.sources import views as V
+from framelake.sources.stages import kept
 
 H, WIDTH = V.HEIGHT, V.WIDTH
+#: Knots of the traces' splines: one each ten frames, whose domain is 0 to 200.
+KNOTS = [10.0 * (k - 3) for k in range(27)]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -101,7 +106,33 @@ def source_traces(spark: SparkSession, sf: str) -> DataFrame:
     return E.footprint_traces(movie, E.footprints(movie, 2, 4, H, WIDTH))
 
 
+def scan_motion(spark: SparkSession, sf: str) -> DataFrame:
+    """Knots of every frame's motion at the scan's own timing."""
+    rows = frames(spark, sf)
+    return S.scan_motions(rows, R.reference_images(rows), H, WIDTH, accept=0.0)
+
+
+def scan_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames with their pixels scattered to where they were recorded, holes filled."""
+    rows = frames(spark, sf)
+    return S.apply_scan_motions(rows, scan_motion(spark, sf), H, WIDTH)
+
+
+def spline_smoothed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trace and its slope by a penalised cubic spline with a knot each ten frames."""
+    rows = V.trace(spark, sf)
+    weights = kept(L.fit(rows, "roi_id", "frame", "f", KNOTS, 3, 0.7))
+    turned, inner = L.slope(weights, "roi_id", KNOTS, 3)
+    values = L.evaluate(rows, weights, "roi_id", "frame", KNOTS, 3).select("roi_id", "frame", F.col("value").alias("smooth"))
+    return values.join(L.evaluate(rows, turned, "roi_id", "frame", inner, 2).select("roi_id", "frame", F.col("value").alias("slope")), ["roi_id", "frame"])
+
+
 KERNELS: dict[str, Query] = {
+    "spline_smoothed": spline_smoothed,
+    "source_models": lambda spark, sf: E.source_results(V.movie(spark, sf), 2, 4, H, WIDTH)["models"],
+    "source_models_second_order": lambda spark, sf: E.source_models(M.region_traces(V.movie(spark, sf), V.roi_pixels(spark, sf)).select("roi_id", "frame", F.col("raw").alias("f")), 2).drop("frames"),
+    "scan_motion": scan_motion,
+    "scan_corrected": scan_corrected,
     "subpixel_shift": with_reference(R.frame_shifts, H),
     "segment_shift": with_reference(R.segment_shifts, H, WIDTH),
     "block_shift": with_reference(N.block_shifts, H, 2),

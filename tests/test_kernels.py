@@ -238,6 +238,9 @@ def test_source_results_add_up(spark):
     want = movie.groupBy("px").avg("v").toPandas().set_index("px")["avg(v)"]
     assert all(abs(background[px] + own.get(px, 0.0) - want[px]) < 1e-9 for px in want.index)
     assert len(traces) == 2 * 60 and (traces["event"] >= 0).all() and found["models"].count() == 2
+    totals = spark.createDataFrame([(0, 0, 30, 60), (0, 1, 20, 60), (1, 0, 60, 90), (1, 1, 50, 90)], "block int, slice int, slice_frames long, valid_frames long")
+    fewer = X.source_results(movie, 2, 4, 4, 4, totals=totals)["traces"].select("frame").distinct().collect()
+    assert {r.frame for r in fewer} == {*range(20), *range(30, 60)}
     assert X.minimal_sync(spark.createDataFrame([(0, 4), (1, 6)], "movie int, z long")).first().asDict() == {"slice_frames": 10, "valid_frames": 10}
 
 
