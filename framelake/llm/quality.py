@@ -1,9 +1,14 @@
 """Quality scoring by co-training a text-content view and a page-metadata view.
 
 The content view measures the text (character classes, repetition of words and lines, word lengths); the metadata view
-knows the source, the language and the recorded length.  Each view is a logistic classifier.  Over ``ROUNDS`` rounds
-each labels every unlabelled row that it is sure of, and these pseudo-labels join the other view's training set: the
-pseudo-labels of a class weigh ``PSEUDO`` times the labelled rows of that class together, however many they are.  Both
+knows the source, the language and the recorded length in quarter octaves.  Each view is a logistic classifier.  Over
+``ROUNDS`` rounds each labels the unlabelled rows that it is surest of, and these pseudo-labels join the other view's
+training set.  What is surest is a share of each class: a view orders all unlabelled rows by its calibrated score, and its
+top and bottom parts, ``SHARE`` times as large as the classes are among the labelled rows, are its good and bad ones, ties
+taken whole.  So a view that separates little teaches as well, but only what it knows: a pseudo-label is the calibrated
+probability, not a bare 0 or 1, and it weighs by how far it is from the share of good rows.  Those of a class weigh at most
+``PSEUDO`` times the labelled rows of that class together, however many they are.  Newton steps take the upper bound of
+the pseudo-labels' curvature, so they never overshoot where a sure view is told otherwise.  ``history`` says how many rows each view labelled in each round.  Both
 views are then calibrated on labelled rows that neither learned from (a fifth, by id hash), and a logistic combination
 of the calibrated log-odds scores every document.
 
@@ -33,14 +38,16 @@ from pyspark.sql import types as T
 from .common import beside, drop_stage, fold_of, slices, text_column, texts_of, write_stage
 from .learners import HELD_OUT, fit_dense, labelled_sample, sigmoid, sums_of
 
-SAMPLE, ROUNDS, CONFIDENT, PSEUDO = 12_000, 3, 0.97, 0.3
+SAMPLE, ROUNDS, SHARE, PSEUDO = 12_000, 3, 0.5, 0.3
+#: Calibrated log-odds are counted in so many bins of equal width from -``WIDEST`` to ``WIDEST``.
+BINS, WIDEST = 4096, 24.0
 #: Newton steps of a view in a round; they go on from the round before.
 STEPS = 2
 #: One labelled row in so many calibrates.
 CALIBRATE = 5
 THRESHOLD = 0.5
 METADATA = {"source": "string", "lang": "string", "n_chars": "double"}
-SOURCES, LANGS = 64, 16
+SOURCES, LANGS, LENGTHS = 64, 16, 97
 #: The class of every byte: lower case, upper case, digit, blank, line end, stop or comma, "!" or "?", "|", other ASCII, beyond ASCII.
 CLASSES = np.full(256, 8, np.uint8)
 for _codes, _class in ((range(97, 123), 0), (range(65, 91), 1), (range(48, 58), 2), ((32, 9), 3), ((10, 13), 4), (b".,", 5), (b"!?", 6), (b"|", 7), (range(128, 256), 9)):
@@ -66,12 +73,12 @@ def content(text: bytes) -> list[float]:
 def metadata(source: str | None, lang: str | None, n_chars: float | None) -> list[int]:
     """The slots of source, language and recorded length in the metadata view."""
     size = np.log2(1 + max(n_chars or 0, 0)) if n_chars is not None and np.isfinite(n_chars) else 0
-    return [zlib.crc32(f"s{source}".encode()) % SOURCES, SOURCES + zlib.crc32(f"l{lang}".encode()) % LANGS, SOURCES + LANGS + int(min(size, 24) // 2)]
+    return [zlib.crc32(f"s{source}".encode()) % SOURCES, SOURCES + zlib.crc32(f"l{lang}".encode()) % LANGS, SOURCES + LANGS + int(4 * min(size, 24))]
 
 
 def one_hot(slots: np.ndarray) -> np.ndarray:
     """Rows of slots as rows of zeros and ones."""
-    out = np.zeros((len(slots), SOURCES + LANGS + 13))
+    out = np.zeros((len(slots), SOURCES + LANGS + LENGTHS))
     np.put_along_axis(out, slots.reshape(-1, 3), 1, axis=1)
     return out
 
@@ -127,45 +134,104 @@ class View:
         return self.slope * self.logit(x) + self.shift
 
 
-def sure(p: np.ndarray) -> np.ndarray:
-    """1 where a score is surely good, 0 where surely bad, else -1."""
-    return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+#: A view's cuts: rows in bins up to the first are bad, from the second on good.
+Cuts = tuple[int, int]
 
 
-def pseudo_counts(free: DataFrame, content_view: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, pseudo-label, rows) of the unlabelled rows that the content view is sure of: as many as metadata has values."""
-    sent = free.sparkSession.sparkContext.broadcast(content_view)
+def bins_of(logits: np.ndarray) -> np.ndarray:
+    """The bins of calibrated log-odds."""
+    return np.clip((logits + WIDEST) * (BINS / (2 * WIDEST)), 0, BINS - 1).astype(np.int64)
+
+
+def cuts_of(counts: np.ndarray, prior: float, share: float = SHARE) -> Cuts:
+    """The cuts at which the parts below and above have ``share`` of the rows that each class would have; a bin is taken whole,
+    the outermost ones always.  Where the parts would meet, as for a view that gives one score to nearly all, the middle
+    stays unlabelled."""
+    filled = np.flatnonzero(counts)
+    if len(filled) < 2:
+        return -1, BINS
+    below = np.cumsum(counts)
+    total = below[-1]
+    low = max(int(filled[0]), int(np.searchsorted(below, share * (1 - prior) * total, side="right")) - 1)
+    above = total - below + counts
+    high = min(int(filled[-1]), int(np.flatnonzero(above <= share * prior * total)[0]) if (above <= share * prior * total).any() else BINS)
+    if low >= high:
+        low, high = int(filled[0]), int(filled[-1])
+    return low, high
+
+
+def sure(logits: np.ndarray, cuts: Cuts) -> np.ndarray:
+    """1 where a row is among the surely good, 0 among the surely bad, else -1."""
+    at = bins_of(logits)
+    return np.where(at >= cuts[1], 1, np.where(at <= cuts[0], 0, -1))
+
+
+def reliability(p: np.ndarray, label: np.ndarray, prior: float) -> np.ndarray:
+    """How far a pseudo-label's probability is from the prior, 0 to 1."""
+    return np.clip(np.where(label == 1, (p - prior) / max(1 - prior, 1e-9), (prior - p) / max(prior, 1e-9)), 0.0, 1.0)
+
+
+def score_counts(free: DataFrame, views: tuple[View, View]) -> np.ndarray:
+    """For each view the unlabelled rows by bin of their calibrated log-odds."""
+    sent = free.sparkSession.sparkContext.broadcast(views)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * BINS, np.int64)
         for batch in batches:
             if batch.num_rows:
-                label = sure(sigmoid(sent.value.calibrated(matrix(batch.column("a")))))
-                slots = matrix(batch.column("m"))[label >= 0].astype(np.int64)
-                values, n = np.unique(np.column_stack((slots, label[label >= 0])), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in values.T.reshape(4, -1)), pa.array(n, pa.int64())], list("abcyn"))
+                for k, x in enumerate((matrix(batch.column("a")), one_hot(matrix(batch.column("m")).astype(np.int64)))):
+                    total[k * BINS : (k + 1) * BINS] += np.bincount(bins_of(sent.value[k].calibrated(x)), minlength=BINS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
+
+    summed = free.select("a", "m").mapInArrow(of, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * BINS, np.int64)
+    out[summed.column("k").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(2, BINS)
 
-    found = free.select("a", "m").mapInArrow(of, "a long, b long, c long, y long, n long").groupBy("a", "b", "c", "y").agg(F.sum("n").alias("n")).toArrow()
-    columns = [found.column(c).to_numpy() for c in "abcyn"]
-    return np.column_stack(columns[:3]), columns[3].astype(np.float64), columns[4].astype(np.float64)
 
+def pseudo_counts(free: DataFrame, content_view: View, cuts: Cuts, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, class, mean probability, weight, rows) of the unlabelled rows that the content view is sure of: as many as
+    metadata has values."""
+    sent = free.sparkSession.sparkContext.broadcast((content_view, cuts, prior))
 
-def pseudo_sums(free: DataFrame, content_view: View, metadata_view: View, w: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """For bad and good pseudo-labels of the metadata view: rows, gradient and curvature of the content view at ``w``."""
-    sent = free.sparkSession.sparkContext.broadcast((content_view, metadata_view, w))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view, at, share = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                logits = view.calibrated(matrix(batch.column("a")))
+                label = sure(logits, at)
+                some = label >= 0
+                slots, p = matrix(batch.column("m"))[some].astype(np.int64), sigmoid(logits[some])
+                weight = reliability(p, label[some], share)
+                values, where, n = np.unique(np.column_stack((slots, label[some])), axis=0, return_inverse=True, return_counts=True)
+                sums = [pa.array(np.bincount(where.reshape(-1), v, len(values))) for v in (weight * p, weight)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in values.T.reshape(4, -1)), *sums, pa.array(n, pa.int64())], list("abcypwn"))
+
+    found = free.select("a", "m").mapInArrow(of, "a long, b long, c long, y long, p double, w double, n long")
+    found = found.groupBy("a", "b", "c", "y").agg(F.sum("p").alias("p"), F.sum("w").alias("w"), F.sum("n").alias("n")).toArrow()
+    columns = [found.column(c).to_numpy() for c in "abcypwn"]
+    return np.column_stack(columns[:3]), columns[3], columns[4] / np.maximum(columns[5], 1e-12), columns[5], columns[6].astype(np.float64)
+
+
+def pseudo_sums(free: DataFrame, content_view: View, metadata_view: View, cuts: Cuts, prior: float, w: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For the bad and good rows of the metadata view: how many, gradient and bounded curvature of the content view at ``w``."""
+    sent = free.sparkSession.sparkContext.broadcast((content_view, metadata_view, cuts, prior, w))
     size = len(w)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, other, at = sent.value
+        own, other, parts, share, at = sent.value
         total = np.zeros((2, 1 + size + size * size))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            label = sure(sigmoid(other.calibrated(one_hot(matrix(batch.column("m")).astype(np.int64)))))
+            logits = other.calibrated(one_hot(matrix(batch.column("m")).astype(np.int64)))
+            label, p = sure(logits, parts), sigmoid(logits)
             z = own.design(matrix(batch.column("a")))
             for y in (0, 1):
-                mine = z[label == y]
-                gradient, curve = sums_of(mine, np.full(len(mine), float(y)), at)
-                total[y] += np.concatenate(([len(mine)], gradient, curve.reshape(-1)))
+                mine = label == y
+                gradient, curve = bounded_sums(z[mine], p[mine], at, reliability(p[mine], label[mine], share))
+                total[y] += np.concatenate(([mine.sum()], gradient, curve.reshape(-1)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["k", "v"])
 
     summed = free.select("a", "m").mapInArrow(of, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
@@ -185,6 +251,8 @@ class CoTrained:
     def __init__(self) -> None:
         self.views: tuple[View, View] | None = None
         self.combine = np.zeros(3)
+        #: For each round the bad and good rows that the content view and the metadata view labelled.
+        self.history: list[dict[str, tuple[int, int]]] = []
 
     def learn(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, kept: np.ndarray, free: DataFrame | None, rounds: int = ROUNDS) -> CoTrained:
         """Co-trains on labelled views (``kept`` rows calibrate), exchanging pseudo-labels of the unlabelled ones: ``free``
@@ -204,21 +272,25 @@ class CoTrained:
                 view.calibrate(x[kept], y[kept])
 
         calibrate()
+        prior = float(y[fit].mean())
         for _ in range(rounds if free is not None else 0):
-            slots, label, n = pseudo_counts(free, first)
-            own, design = second.design(both[1][fit]), second.design(one_hot(slots))
-            weight = n * sum(per_class[c] * (label == c) / max(n[label == c].sum(), 1) for c in (0, 1))
             labelling = copy.deepcopy((first, second))
+            cuts = [cuts_of(c, prior) for c in score_counts(free, labelling)]
+            slots, label, target, weight, n = pseudo_counts(free, first, cuts[0], prior)
+            taught = [n[label == c].sum() for c in (0, 1)]
+            own, design = second.design(both[1][fit]), second.design(one_hot(slots))
+            weight = weight * sum(per_class[c] * (label == c) / max(taught[c], 1) for c in (0, 1))
             for _ in range(STEPS):
                 # The weights are on the rows of the design, once in the gradient and once in the curvature.
-                sums = [sums_of(own, y[fit], second.w), weighted_sums(design, label, second.w, weight)]
+                sums = [sums_of(own, y[fit], second.w), bounded_sums(design, target, second.w, weight)]
                 second.step(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1])
-            own = first.design(both[0][fit])
+            own, rows = first.design(both[0][fit]), [0.0, 0.0]
             for _ in range(STEPS):
                 gradient, curve = sums_of(own, y[fit], first.w)
-                for c, (rows, more, bend) in enumerate(pseudo_sums(free, *labelling, first.w)):
-                    gradient, curve = gradient + per_class[c] / max(rows, 1) * more, curve + per_class[c] / max(rows, 1) * bend
+                for c, (rows[c], more, bend) in enumerate(pseudo_sums(free, *labelling, cuts[1], prior, first.w)):
+                    gradient, curve = gradient + per_class[c] / max(rows[c], 1) * more, curve + per_class[c] / max(rows[c], 1) * bend
                 first.step(gradient, curve)
+            self.history.append({"content": tuple(map(int, taught)), "metadata": tuple(map(int, rows))})
             calibrate()
         x = np.column_stack([v.calibrated(view[held]) for v, view in zip(self.views, both, strict=True)])
         self.combine = fit_dense(x, y[held], l2=1.0)
@@ -233,10 +305,9 @@ class CoTrained:
         return sigmoid(np.column_stack(own) @ self.combine[:2] + self.combine[2]), sigmoid(own[0]), sigmoid(own[1])
 
 
-def weighted_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``sums_of`` with a weight for each row."""
-    p = sigmoid(z @ w)
-    return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+def bounded_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient at ``w`` with a weight for each row, and the curvature's upper bound, a quarter of the squares."""
+    return z.T @ (weight * (sigmoid(z @ w) - y)), (z * (0.25 * weight)[:, None]).T @ z
 
 
 def measured(rows: DataFrame, *carried: str) -> DataFrame:

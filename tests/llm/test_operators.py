@@ -35,6 +35,10 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def fold(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4
+
+
 def pairs(df):
     return [(r.doc_id, r.text or "") for r in df.collect()]
 
@@ -723,19 +727,73 @@ def test_co_training_uses_every_sure_row(spark):
     model = quality.train(docs, labels)
     alone = quality.train(docs, labels, rounds=0)
     assert np.abs(model.views[0].w - alone.views[0].w).max() > 1e-3
+    assert len(model.history) == quality.ROUNDS and all(min(n) > 0 for h in model.history for n in h.values())
     # The sums over tasks are those of one pass over all rows.
     free = quality.measured(quality.inputs(docs, "doc_id", "text"), "doc_id")
     table = free.toArrow()
     a, m = (quality.matrix(table.column(c).combine_chunks()) for c in "am")
-    label = quality.sure(quality.sigmoid(alone.views[1].calibrated(quality.one_hot(m.astype(int)))))
-    got = quality.pseudo_sums(free, *alone.views, alone.views[0].w)
+    logits = [alone.views[0].calibrated(a), alone.views[1].calibrated(quality.one_hot(m.astype(int)))]
+    counts = quality.score_counts(free, alone.views)
+    assert all((counts[k] == np.bincount(quality.bins_of(v), minlength=quality.BINS)).all() for k, v in enumerate(logits))
+    cuts = [quality.cuts_of(c, 0.5) for c in counts]
+    label = quality.sure(logits[1], cuts[1])
+    got = quality.pseudo_sums(free, *alone.views, cuts[1], 0.5, alone.views[0].w)
     for c in (0, 1):
-        z = alone.views[0].design(a[label == c])
-        gradient, curve = quality.sums_of(z, np.full(len(z), float(c)), alone.views[0].w)
+        z, p = alone.views[0].design(a[label == c]), quality.sigmoid(logits[1][label == c])
+        far = np.clip((p - 0.5 if c else 0.5 - p) / 0.5, 0, 1)
+        gradient, curve = z.T @ (far * (quality.sigmoid(z @ alone.views[0].w) - p)), 0.25 * (z * far[:, None]).T @ z
         assert got[c][0] == len(z) and np.allclose(got[c][1], gradient, atol=1e-6) and np.allclose(got[c][2], curve, atol=1e-6)
-    slots, y, n = quality.pseudo_counts(free, alone.views[0])
-    label = quality.sure(quality.sigmoid(alone.views[0].calibrated(a)))
-    assert sorted(zip(map(tuple, slots.tolist()), y, n)) == sorted((k[:3], k[3], v) for k, v in collections.Counter((*map(int, r), float(c)) for r, c in zip(m, label) if c >= 0).items())
+    slots, y, p, w, n = quality.pseudo_counts(free, alone.views[0], cuts[0], 0.5)
+    label = quality.sure(logits[0], cuts[0])
+    want = collections.defaultdict(list)
+    for r, c, v in zip(m, label, quality.sigmoid(logits[0])):
+        if c >= 0:
+            want[(*map(int, r), int(c))].append(v)
+    assert len(slots) == len(want)
+    for r, c, v, f, k in zip(slots.tolist(), y.tolist(), p, w, n):
+        mine = np.array(want[(*r, c)])
+        far = np.clip((mine - 0.5 if c else 0.5 - mine) / 0.5, 0, 1)
+        assert len(mine) == k and abs(far.sum() - f) < 1e-9 and abs((far * mine).sum() - f * v) < 1e-9
+
+
+def test_surest_parts_of_a_view():
+    rng = np.random.default_rng(2)
+    counts = np.zeros(quality.BINS, np.int64)
+    counts[rng.integers(1000, 3000, 500)] = rng.integers(1, 50, 500).max()
+    total, prior = counts.sum(), 0.8
+    low, high = quality.cuts_of(counts, prior)
+    # The parts are as large as they may be, a bin taken whole; one more bin would be too much.
+    assert counts[: low + 1].sum() <= 0.5 * 0.2 * total < counts[: low + 1].sum() + counts.max()
+    assert counts[high:].sum() <= 0.5 * 0.8 * total < counts[high:].sum() + counts.max()
+    # A view of two scores teaches both; one of a single score nothing.
+    two = np.zeros(quality.BINS, np.int64)
+    two[[5, 9]] = 10, 1000
+    low, high = quality.cuts_of(two, 0.9)
+    assert 5 <= low < 9 and high == 9
+    two[5] = 0
+    assert quality.cuts_of(two, 0.9) == (-1, quality.BINS)
+
+
+def test_both_views_teach_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    assert len(model.history) == quality.ROUNDS and all(min(n) > 100 for h in model.history for n in h.values()), model.history
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    found = quality.score(docs, model).collect()
+    held = [(truth[r.doc_id], r) for r in found if r.doc_id in truth and quality.HELD_OUT == fold(r.doc_id)]
+    assert np.mean([(r.score >= 0.5) == (y == 1) for y, r in held]) > 0.985
+    # Scores by the formula, from the views' own parameters.
+    table = quality.measured(quality.inputs(docs.limit(300), "doc_id", "text"), "doc_id").toArrow()
+    a, m = (quality.matrix(table.column(c).combine_chunks()) for c in "am")
+    byid = {r.doc_id: r for r in found}
+    for k, doc_id in enumerate(table.column("doc_id").to_pylist()):
+        odds = []
+        for view, x in zip(model.views, (np.concatenate((a[k], a[k] ** 2)), quality.one_hot(m[k : k + 1].astype(int))[0])):
+            z = np.clip((x - view.mean) / view.scale, -8, 8)
+            odds.append(view.slope * min(max(z @ view.w[:-1] + view.w[-1], -20), 20) + view.shift)
+        want = 1 / (1 + math.exp(-(odds[0] * model.combine[0] + odds[1] * model.combine[1] + model.combine[2])))
+        assert abs(byid[doc_id].score - want) < 1e-6
 
 
 def test_a_repeated_id_is_one_labelled_row(spark):
