@@ -1,12 +1,17 @@
 """Benchmark decontamination with a generalised suffix automaton of normalised test items.
 
 The words of all test items of a block go into one suffix automaton over word numbers.  Training words stream through
-it: the automaton keeps the longest match that ends at each word, a match of a full window (13 words, or a whole
-shorter item) hits its words, and the suffix links lead from the match to the state of the window itself, which knows
-the items that contain it.  Words that no test item has reset the match, so only runs of known words are streamed.
+it: the automaton keeps the longest match that ends at each word, however long, a match of a full window (13 words, or a
+whole shorter item) hits its words, and every state knows the window that ends it, which knows the items that contain
+it.  Words that no test item has reset the match, so only runs of known words are streamed.
+
+Hit words that touch make a span, which has the length of its longest match and the largest share of an item that it
+holds.  ``decontaminate`` leaves out documents by the share of their words that are hit; ``remove_spans`` keeps documents
+and cuts out the spans whose longest match or whose share of an item is beyond a limit.
 
 The automaton is sent to the tasks, so its size is bounded: items are dealt into blocks of at most ``BLOCK_WORDS``
-words (an item longer than that is cut into parts that overlap by a window).  One block is one pass over the documents
+words (an item longer than that is cut into parts that overlap by a window; a match across parts has the length of its longer
+piece, and a share is of a part).  One block is one pass over the documents
 in which nothing is shuffled and no document leaves its task.  With more blocks every pass reads the documents and puts
 out the hits alone, by a digest of the text; they are merged and joined with the documents once, at the end.
 
@@ -18,6 +23,7 @@ names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,8 @@ from .common import beside, slices, text_column, texts_of, write_stage
 WINDOW = 13
 #: A document is contaminated when hit words are at least one in this many.
 COVERAGE = 20
+#: A span is cut out when its longest match has so many words, or when it holds so large a share of an item.
+LENGTH_LIMIT, SHARE_LIMIT = 20, 0.8
 #: Words of test items in one automaton: two states a word, so some 200 MB in a task at the very most.
 BLOCK_WORDS = 200_000
 #: Keeps 0-9, a-z and all bytes of code points above 127; lower-cases A-Z; anything else is a space.
@@ -65,10 +73,13 @@ class Automaton:
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.windows: dict[int, set[str]] = {}
-        self.short: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.windows: dict[int, set[int]] = {}
+        self.short: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        #: The ids and lengths of items, by their place.
+        self.names = [item for item, _ in items]
+        self.sizes = [len(words) for _, words in items]
         coded = []
-        for item, words in items:
+        for item, (_, words) in enumerate(items):
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
             if len(ids) >= window:
                 coded.append((item, ids))
@@ -76,10 +87,11 @@ class Automaton:
                 for i in ids:
                     last = self._extend(last, i)
             elif ids:
-                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), set()).update(named(item))
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), set()).add(item)
+        self.window_of = self._window_states()
         for item, ids in coded:
-            for _, state in self.matches(ids):
-                self.windows.setdefault(state, set()).update(named(item))
+            for _, _, state in self.matches(ids):
+                self.windows.setdefault(state, set()).add(item)
         self.least = min([window, *self.short])
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
@@ -111,8 +123,18 @@ class Automaton:
         self.link[new] = self._split(at, word) if at >= 0 else 0
         return new
 
-    def matches(self, ids: list[int]) -> Iterator[tuple[int, int]]:
-        """(index of a window's last word, state of that window) for every window of the items in ``ids``."""
+    def _window_states(self) -> list[int]:
+        """For each state the one of the last full window of its strings: the ancestor that holds that length."""
+        out = [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            if self.length[state] >= self.window:
+                up = self.link[state]
+                out[state] = state if self.length[up] < self.window else out[up]
+        return out
+
+    def matches(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(index of the last word, longest match that ends there, state of its last window) of every match in ``ids`` of a
+        window or more."""
         state = matched = 0
         for i, word in enumerate(ids):
             while state and word not in self.next[state]:
@@ -121,47 +143,56 @@ class Automaton:
             if word in self.next[state]:
                 state, matched = self.next[state][word], matched + 1
             if matched >= self.window:
-                while self.length[self.link[state]] >= self.window:
-                    state = self.link[state]
-                matched = min(matched, self.length[state])
-                yield i, state
+                yield i, matched, self.window_of[state]
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit word ranges (start, end) and the items whose windows occur."""
+    def scan(self, words: list[bytes]) -> tuple[list[Span], set[str]]:
+        """The spans of hit words, and the items whose windows occur."""
         get = self.number.get
         known = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (known > 0).view(np.int8), [0]))))
         starts, ends = edges[::2], edges[1::2]
         long = ends - starts >= self.least
-        spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        found: list[tuple[int, int, int, set[int]]] = []
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             ids = known[a:b].tolist()
             if b - a >= self.window:
-                for i, state in self.matches(ids):
-                    spans.append((a + i + 1 - self.window, a + i + 1))
-                    items |= self.windows[state]
+                found += [(a + i + 1 - self.window, a + i + 1, matched, self.windows[state]) for i, matched, state in self.matches(ids)]
             for size, wanted in self.short.items():
                 for i in range(b - a - size + 1):
                     if (got := wanted.get(tuple(ids[i : i + size]))) is not None:
-                        spans.append((a + i, a + i + size))
-                        items |= got
-        return merged(spans), items
-
-
-def named(item: str | None) -> tuple[str, ...]:
-    """An item's id, where it has one."""
-    return () if item is None else (item,)
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching ranges made one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
+                        found.append((a + i, a + i + size, size, got))
+        return self._spans(found), {self.names[k] for _, _, _, items in found for k in items if self.names[k] is not None}
+
+    def _spans(self, found: list[tuple[int, int, int, set[int]]]) -> list[Span]:
+        """Windows (start, end, longest match there, items) as spans."""
+        out: list[Span] = []
+        held: dict[int, tuple[int, int]] = {}  # for each item of the span its hit words and the end of the last ones
+        for start, end, matched, items in sorted(found, key=lambda w: w[:2]):
+            if not out or start > out[-1][1]:
+                out.append((start, end, 0, 0.0))
+                held = {}
+            first, last, longest, share = out[-1]
+            for k in items:
+                words, upto = held.get(k, (0, 0))
+                held[k] = (words + end - max(start, upto), max(end, upto))
+                share = max(share, min(1.0, held[k][0] / self.sizes[k]))
+            out[-1] = (first, max(last, end), max(longest, matched), share)
+        return out
+
+
+#: Hit words (start, end), the longest match within, the largest share of an item.
+Span = tuple[int, int, int, float]
+
+
+def merged(spans: list[Span]) -> list[Span]:
+    """Spans of several blocks of items: overlapping or touching ones made one."""
+    out: list[Span] = []
+    for a, b, longest, share in sorted(spans):
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            first, last, other, held = out[-1]
+            out[-1] = (first, max(last, b), max(other, longest), max(held, share))
         else:
-            out.append((a, b))
+            out.append((a, b, longest, share))
     return out
 
 
@@ -184,16 +215,23 @@ def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = B
         yield block
 
 
-SPANS, ITEMS = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+FIELDS = (("start", T.LongType()), ("end", T.LongType()), ("longest", T.LongType()), ("share", T.DoubleType()))
+SPANS, ITEMS = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in FIELDS])), T.ArrayType(T.StringType())
+SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("longest", pa.int64()), ("share", pa.float64())]))
+
 
+def span_column(spans: list[list[Span]]) -> pa.Array:
+    """Spans of several texts as a column."""
+    return pa.array([[dict(zip(("start", "end", "longest", "share"), s, strict=True)) for s in own] for own in spans], SPAN_ARROW)
 
-def pairs(flat: list[int]) -> list[tuple[int, int]]:
-    """Flat ranges as pairs."""
-    return list(zip(flat[::2], flat[1::2], strict=True))
+
+def span_rows(column: pa.Array) -> list[list[Span]]:
+    """A column of spans as tuples."""
+    return [[(s["start"], s["end"], s["longest"], s["share"]) for s in own or ()] for own in column.to_pylist()]
 
 
 def scan_block(rows: DataFrame, automaton: Automaton, keep: str) -> DataFrame:
-    """``keep``, ``n_words``, ``spans`` (flat word ranges) and ``items`` (sorted ids) of every row of (``keep``, ``text``)."""
+    """``keep``, ``n_words``, ``spans`` (of words) and ``items`` (sorted ids) of every row of (``keep``, ``text``)."""
     sent = rows.sparkSession.sparkContext.broadcast(automaton)
     schema = T.StructType([rows.schema[keep], T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
 
@@ -204,9 +242,9 @@ def scan_block(rows: DataFrame, automaton: Automaton, keep: str) -> DataFrame:
                 words = words_of(text)
                 found, names = sent.value.scan(words)
                 n.append(len(words))
-                spans.append([x for s in found for x in s])
+                spans.append(found)
                 items.append(sorted(names))
-            new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            new = [pa.array(n, pa.int64()), span_column(spans), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([part.column(keep), *new], schema.names)
 
     return rows.select(keep, "text").mapInArrow(of, schema)
@@ -221,9 +259,9 @@ def with_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             n = [len(words_of(t)) for t in texts_of(part, "text")]
-            spans = [[x for s in merged(pairs(flat or [])) for x in s] for flat in part.column("spans").to_pylist()]
+            spans = [merged(own) for own in span_rows(part.column("spans"))]
             items = [names or [] for names in part.column("items").to_pylist()]
-            new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            new = [pa.array(n, pa.int64()), span_column(spans), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([part.column("row"), *new], schema.names)
 
     return joined.mapInArrow(of, schema)
@@ -244,8 +282,7 @@ def scan(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             new = write_stage(new.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits")
             hits = new if hits is None else hits.unionByName(new)
         found = with_hits(rows, hits)
-    signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda s, x: s + x)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     found = found.select("row", "n_words", n_hit.alias("n_hit"), F.col("spans").alias("hit_spans"), "items")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words")))
 
@@ -261,6 +298,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return scan(beside(docs, text_col), benchmark, **limits).where(~F.col("contaminated")).select("row.*")
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_limit: int = LENGTH_LIMIT, share_limit: float = SHARE_LIMIT, **limits: int) -> DataFrame:
+    """``docs`` with every span cut out of its text whose longest match has ``length_limit`` words or that holds
+    ``share_limit`` of an item; what stands between the words of a span goes with it.  Other texts and columns stay."""
+    far = F.filter("hit_spans", lambda s: (s["longest"] >= length_limit) | (s["share"] >= share_limit))
+    found = scan(beside(docs, text_col), benchmark, **limits).select("row", F.col("row").getField(text_col).cast("string").alias("text"), far.alias("spans"))
+    schema = T.StructType([found.schema["row"], T.StructField("cut", T.StringType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column("text").to_pylist(), span_rows(batch.column("spans"))
+            cut = [without(t, own) if own else t for t, own in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.string())], schema.names)
+
+    kept = [F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return found.mapInArrow(of, schema).select(*kept)
+
+
+def without(text: str, spans: list[Span]) -> str:
+    """A text without some spans of its words."""
+    data = text.encode()
+    places = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(NORMAL))]
+    out, at = [], 0
+    for start, end, *_ in spans:
+        out.append(data[at : places[start][0]])
+        at = places[end - 1][1]
+    return b"".join([*out, data[at:]]).decode()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Contract query of operator 9."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

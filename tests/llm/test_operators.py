@@ -374,6 +374,66 @@ def brute_contamination(items, text):
     return len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
+def brute_spans(items, text, window=13):
+    """(start, end, longest, share) of every run of hit words, by comparing all places with all items."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, own = low(text), [low(t) for _, t in items]
+    hits, longest = [], {}
+    for k, v in enumerate(own):
+        size = min(window, len(v))
+        at = collections.defaultdict(list)
+        for j in range(len(v) - size + 1 if v else 0):
+            at[tuple(v[j : j + size])].append(j)
+        for i in range(len(w) - size + 1 if v else 0):
+            for j in at.get(tuple(w[i : i + size]), ()):
+                hits.append((i, i + size, k))
+                n = size
+                while i - (n - size) > 0 and j - (n - size) > 0 and w[i - (n - size) - 1] == v[j - (n - size) - 1]:
+                    n += 1
+                longest[i + size] = max(longest.get(i + size, 0), n)
+    spans = []
+    for a, b, k in sorted(hits):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b, collections.defaultdict(set)])
+        spans[-1][2][k] |= set(range(a, b))
+    return [(a, b, max(n for e, n in longest.items() if a < e <= b), max(len(x) / len(own[k]) for k, x in by.items())) for a, b, by in spans]
+
+
+@pytest.mark.parametrize("block", [400_000, 60])
+def test_decontamination_spans(spark, block):
+    rng = np.random.default_rng(3)
+    words = list("abcdef")
+    items = [(k, " ".join(rng.choice(words, n))) for k, n in enumerate([6, 13, 20, 40, 55, 14])] + [(9, None)]
+    texts = [" ".join(rng.choice(words + ["zz"], n)) for n in (0, 30, 300)]
+    for _ in range(12):
+        parts = []
+        for _ in range(4):
+            _, t = items[rng.integers(0, 6)]
+            v = t.split()
+            a = rng.integers(0, len(v))
+            parts += [*v[a : a + rng.integers(1, 40)], *rng.choice(["zz", "Y", "é"], rng.integers(0, 3))]
+        texts.append(", ".join(parts).upper() + " .")
+    docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)] + [(99, None, 6)], "doc_id long, text string, spans int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [(s.start, s.end, s.longest, round(s.share, 9)) for s in r.hit_spans] for r in decontaminate.contamination(docs, bench, block_words=block).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == [(*s[:3], round(min(1, s[3]), 9)) for s in brute_spans(items, t)], k
+    assert got[99] == [] and any(s[2] > 13 for v in got.values() for s in v)
+    for length, share in ((20, 0.8), (14, 2.0), (1000, 0.5), (1000, 2.0)):
+        cut = {r.doc_id: (r.text, r.spans) for r in decontaminate.remove_spans(docs, bench, length_limit=length, share_limit=share, block_words=block).collect()}
+        assert cut[99] == (None, 6)
+        for k, t in enumerate(texts):
+            found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+            gone = [s for s in got[k] if s[2] >= length or s[3] >= share]
+            want, at = "", 0
+            for a, b, *_ in gone:
+                want, at = want + t[at : found[a][0]], found[b - 1][1]
+            assert cut[k] == (want + t[at:], 5)
+
+
 @pytest.mark.parametrize("block", [400_000, 30])
 def test_decontamination(spark, awkward, empty, block):
     rng = np.random.default_rng(1)
