@@ -1,10 +1,13 @@
 """Secret scanning with structural confirmation.
 
 Base candidates are assignments to secret-like names, access key ids and long hexadecimal runs.  Structural
-confirmation looks further: base64 (both alphabets, one run or lines of equal width) and hexadecimal candidates (either
-case) are decoded, and reported when the bytes parse throughout as a private key - DER whose nested lengths all add up and
-whose fields are those of an RSA, DSA, EC, PKCS#8 or encrypted PKCS#8 key, or the fields of an OpenSSH key file - or when
-a signed token's header and claims are JSON with an algorithm.  Public keys, certificates and signatures have other
+confirmation looks further: base64 (both alphabets) and hexadecimal candidates (either case), in one run or in lines that
+may be indented or joined by an escaped line end, are decoded, and reported when the bytes parse throughout as a private
+key - DER whose nested lengths all add up and whose fields are those of an RSA, DSA, EC, PKCS#8 or encrypted PKCS#8 key
+and belong together (a modulus is its primes' product, a public value the power of the private one, an EC key as long as
+its curve asks), or the fields of an OpenSSH key file - or when a signed token's header and claims are JSON with an
+algorithm.  A key may begin anywhere in a run: its first bytes are looked for at every place, its fields' lengths are
+followed without decoding what lies between, and only what fits is decoded.  Public keys, certificates and signatures have other
 fields and are not reported.  Confirmed spans are added; base ones stay.
 
 Spans are (kind, start, end) in code points, end exclusive, of the whole match.  A scan is one pass over each row in
@@ -19,6 +22,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,14 +42,27 @@ KINDS = ("assign", "access", "hex", "token", "armour", "der", "ssh")
 #: Runs of token characters; a signed token is three parts of one.
 TOKEN = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)*+")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/]+={0,2})")
-URL_BASE64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
+#: What stands between the lines of one block: a line end, real or escaped, and indentation.
+LINE_END = re.compile(r"(?<=[A-Za-z0-9+/_-])[ \t]{0,64}(?:\r?\n|(?:\\r)?\\n)[ \t]{0,64}(?=[A-Za-z0-9+/_-])")
+RUN64, RUN16 = re.compile(r"[A-Za-z0-9+/_-]*"), re.compile(r"[0-9A-Fa-f]*")
+#: The first characters of a sequence (of a long, a middle or a short length) whose first field is a version of 0 or 1, or a
+#: sequence that begins with an object identifier, in base64 and in hexadecimal.
+_ANY, _LOW = "[A-Za-z0-9+/_-]", "[AEIMQUYcgkosw048]"
+START64 = re.compile(
+    f"M(?=I[I-L]{_ANY}{_ANY}[AQgw]IBA|I[E-H]{_ANY}AgE[AB]|[A-H]{_LOW}CAQ|I[I-L]{_ANY}{_ANY}[DTjz][AB]{_ANY}B[g-v]|I[E-H]{_ANY}M[A-H]{_LOW}G|[A-H]{_LOW}w{_ANY}[AQgw][YZab])|b3BlbnNzaC1rZXktdjE"
+)
+START16 = re.compile(r"30(?=(?:[0-7][0-9A-Fa-f]|81[0-9A-Fa-f]{2}|82[0-9A-Fa-f]{4})(?:02010[01]|30[0-7][0-9A-Fa-f]06))|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]7631")
+#: Keys have no more bytes than this.
+LONGEST = 1 << 16
 # How keys begin (DER's sequence tag, OpenSSH's name), and the object identifiers of encrypted PKCS#8.
 SEQUENCE, INTEGER, OCTETS, OBJECT_ID = 0x30, 0x02, 0x04, 0x06
 OPENSSH = b"openssh-key-v1\x00"
 ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
+RSA_IDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+DSA_ID, EC_ID = bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
+#: Bytes of the private values of curves: 25519 and 448 for signing and agreement; then the prime curves.
+EDWARDS = {bytes.fromhex(k): n for k, n in (("2b6570", 32), ("2b6571", 57), ("2b656e", 32), ("2b656f", 56))}
+CURVES = {bytes.fromhex(k): n for k, n in (("2a8648ce3d030107", 32), ("2b81040022", 48), ("2b81040023", 66), ("2b81040021", 28), ("2a8648ce3d030101", 24), ("2b8104000a", 32))}
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-")
 REDACTED = "[REDACTED]"
 
@@ -106,24 +123,82 @@ def well_formed(data: bytes) -> list[tuple[int, int, int]] | None:
     return fields
 
 
+def numbers(data: bytes, fields: list[tuple[int, int, int]]) -> list[int]:
+    """The values of integer fields."""
+    return [int.from_bytes(data[a:b], "big", signed=True) for _, a, b in fields]
+
+
+def is_rsa(data: bytes, fields: list[tuple[int, int, int]]) -> bool:
+    """Version, modulus, exponents, primes and the primes' own exponents, which must belong together."""
+    if [t for t, _, _ in fields] not in ([INTEGER] * 9, [INTEGER] * 9 + [SEQUENCE]):
+        return False
+    version, n, e, d, p, q, dp, dq, _ = numbers(data, fields[:9])
+    if version != len(fields) - 9 or min(n, e, d, p, q) < 3:
+        return False
+    return (n == p * q if version == 0 else n % (p * q) == 0) and e * dp % (p - 1) == 1 and e * dq % (q - 1) == 1
+
+
+def is_dsa(data: bytes, fields: list[tuple[int, int, int]]) -> bool:
+    """Version 0, p, q, g, the public and the private value."""
+    if [t for t, _, _ in fields] != [INTEGER] * 6:
+        return False
+    version, p, q, g, y, x = numbers(data, fields)
+    return version == 0 and 1 < q < p and (p - 1) % q == 0 and 1 < g < p and 0 < x < q and pow(g, x, p) == y
+
+
+def is_ec(data: bytes, fields: list[tuple[int, int, int]], curve: bytes | None = None) -> bool:
+    """Version 1 and a private value as long as its curve asks; a key by itself names its curve or has its public point."""
+    tags = [t for t, _, _ in fields]
+    if tags[:2] != [INTEGER, OCTETS] or numbers(data, fields[:1]) != [1] or any(t not in (0xA0, 0xA1) for t in tags[2:]):
+        return False
+    size, point = fields[1][2] - fields[1][1], False
+    for tag, a, b in fields[2:]:
+        inner = elements(data, a, b)
+        if not inner or len(inner) != 1:
+            return False
+        kind, c, d = inner[0]
+        if tag == 0xA0 and kind == OBJECT_ID:
+            curve = data[c:d]
+        if tag == 0xA1:
+            # Unused bits, then 4 and both coordinates, or 2 or 3 and one.
+            point = kind == 3 and data[c : c + 2] in (b"\0\x04", b"\0\2", b"\0\3") and d - c in (2 * size + 2, size + 2)
+            if not point:
+                return False
+    return (curve is not None or point) and CURVES.get(curve, size) == size and 16 <= size <= 80
+
+
+def is_wrapped(data: bytes, fields: list[tuple[int, int, int]]) -> bool:
+    """PKCS#8: version, algorithm, and a key of that algorithm."""
+    tags = [t for t, _, _ in fields]
+    if tags[:3] != [INTEGER, SEQUENCE, OCTETS] or numbers(data, fields[:1])[0] not in (0, 1) or any(t not in (0xA0, 0xA1, 0x81) for t in tags[3:]):
+        return False
+    named = elements(data, fields[1][1], fields[1][2])
+    if not named or named[0][0] != OBJECT_ID:
+        return False
+    name, inner = data[named[0][1] : named[0][2]], data[fields[2][1] : fields[2][2]]
+    own = well_formed(inner)
+    if name in RSA_IDS:
+        return own is not None and is_rsa(inner, own)
+    if name == EC_ID:
+        return own is not None and len(named) == 2 and is_ec(inner, own, data[named[1][1] : named[1][2]])
+    if name in EDWARDS:
+        return inner[:1] == bytes([OCTETS]) and der_length(inner, 0) == (2, len(inner)) and len(inner) == EDWARDS[name] + 2
+    if name == DSA_ID:
+        values = elements(inner, 0, len(inner))
+        return bool(values) and [t for t, _, _ in values] == [INTEGER] and numbers(inner, values)[0] > 0
+    return len(inner) >= 16  # an algorithm that is not known here
+
+
 def is_der_key(data: bytes) -> bool:
     """A private key in DER: RSA, DSA, EC, PKCS#8 or encrypted PKCS#8."""
     fields = well_formed(data)
     if not fields:
         return False
-    tags = [tag for tag, _, _ in fields]
-    version = int.from_bytes(data[fields[0][1] : fields[0][2]], "big") if tags[0] == INTEGER else None
-    if tags[0] == SEQUENCE:
+    if fields[0][0] == SEQUENCE:
         named = elements(data, fields[0][1], fields[0][2])
-        return tags == [SEQUENCE, OCTETS] and bool(named) and named[0][0] == OBJECT_ID and data[named[0][1] : named[0][2]].startswith(ENCRYPTED)
-    if set(tags) == {INTEGER}:
-        return version in (0, 1) and len(tags) == 9 or version == 0 and len(tags) == 6
-    if tags[:2] == [INTEGER, OCTETS]:
-        return version == 1 and fields[1][1] < fields[1][2] and all(t in (0xA0, 0xA1) for t in tags[2:])
-    if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and version in (0, 1):
-        named = elements(data, fields[1][1], fields[1][2])
-        return bool(named) and named[0][0] == OBJECT_ID and fields[2][1] < fields[2][2] and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
-    return False
+        locked = [t for t, _, _ in fields] == [SEQUENCE, OCTETS] and fields[1][1] < fields[1][2]
+        return locked and bool(named) and named[0][0] == OBJECT_ID and data[named[0][1] : named[0][2]].startswith(ENCRYPTED)
+    return is_rsa(data, fields) or is_dsa(data, fields) or is_ec(data, fields) or is_wrapped(data, fields)
 
 
 def ssh_fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
@@ -193,33 +268,115 @@ def signed_tokens(text: str) -> Iterator[tuple[str, int, int]]:
             skip = max(skip - 1, 0)
 
 
-def keys_in_base64(text: str) -> Iterator[tuple[str, int, int]]:
-    """Keys in base64: a run with the lines of its width that follow, as far as the key's own length asks, or a run alone.
+class Flat:
+    """A text whose block lines are joined, and where its characters stand in the text."""
+
+    def __init__(self, text: str) -> None:
+        pieces, self.starts, self.shifts, at, size = [], [0], [0], 0, 0
+        for m in LINE_END.finditer(text):
+            pieces.append(text[at : m.start()])
+            size += m.start() - at
+            at = m.end()
+            self.starts.append(size)
+            self.shifts.append(at - size)
+        self.text = "".join([*pieces, text[at:]]) if pieces else text
+        #: In the common base64 alphabet.
+        self.plain = self.text.replace("-", "+").replace("_", "/")
+
+    def place(self, at: int) -> int:
+        """Where a character of the joined text stands."""
+        return at + self.shifts[bisect_right(self.starts, at) - 1]
+
+
+class Window:
+    """The bytes that characters from some place on stand for, decoded where they are asked for."""
+
+    def __init__(self, plain: str, at: int, end: int, hexadecimal: bool) -> None:
+        self.plain, self.at, self.end, self.hexadecimal = plain, at, end, hexadecimal
+        self.size = (end - at) // 2 if hexadecimal else (end - at) * 3 // 4
+        self.head = self._decoded(0, min(48, self.size))  # most of what is asked for
+
+    def _decoded(self, start: int, stop: int) -> bytes:
+        if self.hexadecimal:
+            return bytes.fromhex(self.plain[self.at + 2 * start : self.at + 2 * stop])
+        first = start // 3
+        part = self.plain[self.at + 4 * first : min(self.at + 4 * -(-stop // 3), self.end)]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        return binascii.a2b_base64(part + "=" * (-len(part) % 4))[start - 3 * first : stop - 3 * first]
+
+    def read(self, start: int, stop: int) -> bytes:
+        """Bytes ``start`` to ``stop``, or as many as there are."""
+        stop = min(stop, self.size)
+        if stop <= len(self.head):
+            return self.head[start:stop]
+        return self._decoded(start, stop) if start < stop else b""
+
+    def characters(self, size: int) -> int:
+        """Where the characters of so many bytes end."""
+        return self.at + (2 * size if self.hexadecimal else -(-size * 4 // 3))
+
+    def header(self, at: int) -> tuple[int, int, int] | None:
+        """(tag, content start, content end) of the DER element at a byte."""
+        head = self.read(at, at + 6)
+        content = der_length(head, 0) if len(head) > 1 else None
+        return (head[0], at + content[0], at + content[1]) if content else None
+
+    def der_size(self) -> int | None:
+        """How many bytes a sequence here has, where it ends within and its fields' lengths add up to its own."""
+        outer = self.header(0)
+        if outer is None or outer[0] != SEQUENCE or outer[2] > min(self.size, LONGEST):
+            return None
+        at, fields = outer[1], 0
+        while at < outer[2]:
+            field = self.header(at)
+            if field is None or field[2] > outer[2] or fields == 12:
+                return None
+            at, fields = field[2], fields + 1
+        return outer[2] if fields > 1 else None
+
+    def ssh_size(self) -> int | None:
+        """How many bytes an OpenSSH key here has: three fields, a number of keys, these and the private part."""
+        at = len(OPENSSH)
+        for _ in range(3):
+            at += 4 + int.from_bytes(self.read(at, at + 4), "big")
+            if at > min(self.size, LONGEST):
+                return None
+        keys = int.from_bytes(self.read(at, at + 4), "big")
+        at += 4
+        if not 1 <= keys <= 16:
+            return None
+        for _ in range(keys + 1):
+            at += 4 + int.from_bytes(self.read(at, at + 4), "big")
+            if at > min(self.size, LONGEST):
+                return None
+        return at
+
 
-    The lines of a group that is no key are looked at one by one only, so that no line is joined over and over."""
-    done = 0
-    for m in BASE64.finditer(text):
-        if m[0][0] not in "Mb":
+def keys_in(flat: Flat, hexadecimal: bool) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64 or hexadecimal, wherever in a run they begin; one within another is not looked for."""
+    text, run = flat.text, RUN16 if hexadecimal else RUN64
+    end = done = 0
+    for m in (START16 if hexadecimal else START64).finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if at >= end:
+            end = run.match(text, at).end()
+        window = Window(flat.plain, at, end, hexadecimal)
+        der = m[0][0] in "M3"
+        size = window.der_size() if der else window.ssh_size()
+        if size is None:
+            continue
+        stop = window.characters(size)
+        if not hexadecimal and set(text[at:stop]) & set("+/") and set(text[at:stop]) & set("-_"):
             continue
-        lines, ends = [m[0]], [m.end()]
-        if m.start() >= done and "=" not in m[0]:
-            outer = der_length(decoded(m[0][:12]) or b"", 0)
-            # A DER key names its length; OpenSSH's goes on to the last line of the group.
-            left = -(-outer[1] * 4 // 3) - len(m[0]) if m[0][0] == "M" and outer else len(text)
-            while left > 0 and (more := NEXT_LINE.match(text, ends[-1])) and len(more[1]) <= len(m[0]):
-                lines.append(more[1])
-                ends.append(more.end())
-                left -= len(more[1])
-                if len(more[1]) < len(m[0]) or "=" in more[1]:
-                    break
-            done = ends[-1]
-        for n in sorted({len(lines), max(len(lines) - 1, 1), 1}, reverse=True):
-            if kind := is_key(decoded("".join(lines[:n]))):
-                yield kind, m.start(), ends[n - 1]
-                break
-    for m in URL_BASE64.finditer(text):
-        if m[0][0] in "Mb" and ("-" in m[0] or "_" in m[0]) and (kind := is_key(decoded(m[0]))):
-            yield kind, m.start(), m.end()
+        if kind := is_key(window.read(0, size)):
+            done = stop
+            last = flat.place(stop - 1) + 1
+            while not hexadecimal and (stop - at) % 4 and text[stop : stop + 1] == "=" and stop - done < 2:
+                stop, last = stop + 1, last + 1
+            yield kind, flat.place(at), last
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -239,12 +396,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         for m in ARMOUR.finditer(text):
             if is_key(decoded("".join(m[2].split()))):
                 armour.append(("armour", m.start(), m.end()))
-    for m in ANY_HEX.finditer(text):
-        # 30 is DER's sequence, 6f the first letter of OpenSSH's name.
-        if len(m[0]) % 2 == 0 and m[0][:2].lower() in ("30", "6f") and (kind := is_key(bytes.fromhex(m[0]))):
-            found.append((kind, m.start(), m.end()))
+    flat = Flat(text)
+    found += keys_in(flat, True)
     at = 0
-    for span in keys_in_base64(text):
+    for span in keys_in(flat, False):
         while at < len(armour) and armour[at][2] <= span[1]:
             at += 1
         if at == len(armour) or span[1] < armour[at][1]:
