@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold_of, slices, text_column
+from .common import bounded_sample, drop_stage, fold_of, slices, text_column, write_stage
 
 BITS, ORDER = 6, 4
 SYMBOLS = 1 << BITS
@@ -118,15 +118,20 @@ def lower_order(codes: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.where(total > 0, smooth, tail).reshape(-1)
 
 
+def check_size(langs: int, codes: int) -> None:
+    """An error where so many languages and distinct grams make a model that is too large to send."""
+    size = langs * 4 * (codes + 2 * SYMBOLS**3)
+    if size > MOST_BYTES:
+        raise ValueError(f"{langs} languages make a model of {size} bytes, more than {MOST_BYTES}: clean the language column")
+
+
 class Model:
     """All languages' models; ``fit`` gets (code, count) of each language."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
         every = np.unique(np.concatenate([c for c, _ in counts.values()])) if counts else np.zeros(0, np.int64)
-        size = len(self.langs) * 4 * (len(every) + 2 * SYMBOLS**3)
-        if size > MOST_BYTES:
-            raise ValueError(f"{len(self.langs)} languages make a model of {size} bytes, more than {MOST_BYTES}: clean the language column")
+        check_size(len(self.langs), len(every))
         hashed = every.astype(np.uint32) * HASH
         order = np.argsort(hashed)
         self.hashes = hashed[order]
@@ -220,7 +225,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     name = F.col(id_col).cast("string")
     held = F.coalesce(F.pmod(F.xxhash64(name), F.lit(CALIBRATE)) == 0, F.lit(False)) & name.isNotNull()
     rows = rows.select(name.alias("id"), held.alias("held"), F.col(lang_col).cast("string").alias("lang"), text_column(text_col).alias("text"))
-    table = count_grams(rows.select("lang", "held", "text")).toArrow()
+    counted = write_stage(count_grams(rows.select("lang", "held", "text")), "grams")
+    # Known before anything is sent: a dirty language column must not fill the driver.
+    size = counted.agg(F.count_distinct("lang").alias("langs"), F.count_distinct("code").alias("codes")).first()
+    check_size(size.langs, size.codes)
+    table = counted.toArrow()
+    drop_stage(counted)
     langs, apart, codes, n = (table.column(c).to_numpy() for c in ("lang", "held", "code", "n"))
     rest, every = {}, {}
     for lang in sorted(set(langs.tolist())):
