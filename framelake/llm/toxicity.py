@@ -7,7 +7,10 @@ identity terms are swapped: a term that only happens to stand beside insults can
 not flagged.
 
 Identity terms come from the training texts, whatever their language: words that stand in toxic rows more often than in
-others, yet have most of their mentions in others.  Each is swapped for words that are interchangeable with it in
+others, yet have most of their mentions in others.  Thousands of words are looked at, so a term's tie to the label must
+hold against all of them: the threshold is the least one at which chance is expected to give no more than ``FALSE_SHARE``
+of the words beyond it (Benjamini and Hochberg 1995), and all words beyond it are terms, none where labels and words are
+independent.  Each is swapped for words that are interchangeable with it in
 context - those without a tie to the label whose neighbouring words are most like its own.  ``identity`` may give groups of
 terms instead, swapped for each other.  A term that stands beside one of its substitutes is swapped for another.  A
 scorer tells its ``terms`` and how many rows had a ``counterfactuals``.
@@ -22,6 +25,7 @@ gives no rows.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from zlib import crc32
@@ -43,10 +47,12 @@ LEAST_Z = 2.8
 THRESHOLD = 0.3
 #: What a squared change of score under a swap weighs against the logistic loss.
 FAIRNESS = 2.0
-#: Identity terms and substitutes that are looked for, substitutes of a term, and counterfactuals of a row.
-TERMS, SUBSTITUTES, CHOICES, TURNS = 128, 1024, 4, 2
-#: A term's tie to the label, and the most that a substitute's may be, in standard errors.
-TIED, FREE = 2.5, 1.0
+#: The most frequent words that may be substitutes, substitutes of a term, and counterfactuals of a row.
+SUBSTITUTES, CHOICES, TURNS = 1024, 4, 2
+#: The share of identity terms that may be there by chance.
+FALSE_SHARE = 0.05
+#: The most that a substitute's tie to the label may be, in standard errors.
+FREE = 1.0
 BINS = 64
 
 
@@ -153,10 +159,24 @@ def contexts(sample: DataFrame, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def tied(candidates: DataFrame, share: float = FALSE_SHARE) -> float:
+    """The least tie ``z``, in hundredths, at which so few of the candidates beyond it are expected by chance."""
+    steps = F.when(F.col("z").isNotNull(), F.least(F.floor(F.col("z") * 100), F.lit(4000))).cast("int")
+    counts = candidates.groupBy(steps.alias("step")).agg(F.count("*").alias("n")).collect()  # at most 4001 steps above 0
+    every = sum(r.n for r in counts)
+    beyond, found = 0, math.inf
+    for r in sorted((r for r in counts if r.step is not None and r.step > 0), key=lambda r: -r.step):
+        beyond += r.n
+        if every * 0.5 * math.erfc(r.step / 100 / math.sqrt(2)) <= share * beyond:
+            found = r.step / 100
+    return found
+
+
 def derived_swaps(sample: DataFrame, counted: DataFrame, positives: int, negatives: int) -> dict[bytes, list[bytes]]:
     """Identity terms of the sample, each with the words that are most interchangeable with it in context."""
     words = counted.where(F.locate(":", F.col("feature").cast("string")) == 0).withColumn("z", tie(positives, negatives))
-    terms = words.where((F.col("z") >= TIED) & (F.col("other") > F.col("toxic")) & (F.col("toxic") >= LEAST_DOCUMENTS)).orderBy(F.desc("z"), "feature").limit(TERMS)
+    candidates = words.where((F.col("other") > F.col("toxic")) & (F.col("toxic") >= LEAST_DOCUMENTS))
+    terms = candidates.where(F.col("z") >= tied(candidates)).orderBy(F.desc("z"), "feature")
     free = words.where((F.abs("z") < FREE) & (F.col("other") >= LEAST_DOCUMENTS)).orderBy(F.desc("other"), "feature").limit(SUBSTITUTES)
     names, others = ([bytes(r.feature) for r in some.select("feature").collect()] for some in (terms, free))
     if not names or not others:

@@ -792,8 +792,8 @@ def test_toxicity(spark, awkward, empty):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     scorer = toxicity.train(docs, labels)
-    # Counterfactuals exist in these texts, and they matter.
-    assert scorer.counterfactuals > 50 and len(scorer.terms) > 5
+    # Counterfactuals exist in these texts, and they matter; terms are the few words whose tie is more than chance gives.
+    assert scorer.counterfactuals > 50 and len(scorer.terms) > 2
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [(r.score >= 0.3, truth[r.doc_id], r.score) for r in toxicity.score(docs, scorer).orderBy("doc_id").collect() if r.doc_id in truth and fold(r.doc_id) == 2]
     caught = sum(p and t for p, t, _ in held) / sum(t for _, t, _ in held)
@@ -808,6 +808,41 @@ def test_toxicity(spark, awkward, empty):
     assert {round(r.score, 6) for r in toxicity.score(awkward, none).collect()} == {0.0}
 
 
+def test_identity_terms_are_no_chance(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(1500):
+        # Some words are frequent; labels have nothing to do with any.
+        found = rng.choice(vocabulary, 60, p=np.arange(3000, 0, -1) / (3000 * 3001 / 2))
+        rows.append((k, " ".join(found), int(rng.random() < 0.2)))
+    kind = "doc_id long, text string, toxic int"
+    docs = spark.createDataFrame(rows, kind)
+    assert toxicity.train(docs, docs).terms == []
+    # A word that is in most toxic rows and in more of the others is one, and only that.
+    rows = [(k, t + (" group" if rng.random() < (0.8 if y else 0.3) else ""), y) for k, t, y in rows]
+    docs = spark.createDataFrame(rows, kind)
+    assert toxicity.train(docs, docs).terms == [b"group"]
+
+
+def test_threshold_against_the_definition(spark):
+    rng = np.random.default_rng(12)
+    z = np.concatenate((rng.normal(size=4000), rng.normal(4.5, 0.5, 12)))
+    got = toxicity.tied(spark.createDataFrame([(float(v),) for v in z], "z double"))
+    p = np.sort([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
+    passed = np.flatnonzero(p <= 0.05 * np.arange(1, len(z) + 1) / len(z))
+    assert abs((z >= got).sum() - (passed.max() + 1)) <= 1
+    assert toxicity.tied(spark.createDataFrame([(0.5,), (None,)], "z double")) == math.inf
+
+
+def test_a_dirty_language_column_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "some words of text", f"l{k}") for k in range(40)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_BYTES", 30 << 20)
+    monkeypatch.setattr(langid, "Model", None)  # nothing is collected or built before
+    with pytest.raises(ValueError, match="clean the language column"):
+        langid.train(docs)
+
+
 def test_counterfactual_term_loses_weight():
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 0.4).astype(float)
