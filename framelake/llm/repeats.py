@@ -3,9 +3,11 @@
 A suffix array of a whole corpus fits no machine, so suffixes are dealt out by content first.  Every window of LENGTH
 bytes chooses an anchor: the smallest of its K-byte hashes, leftmost among equals.  Equal windows choose equal anchors
 at equal places, so a repeat is found by comparing only windows with one anchor hash.  Consecutive windows of one
-anchor form an item, the stretch of text under them; items are some 185 windows long.
+anchor hash form an item, the stretch of text under them; items are some 185 windows long, and at most as long as an
+anchor can serve, so a text of one letter has few items too.
 
-* Items whose anchor hash occurs once have no repeats; they are dropped by a count that combines before the shuffle.
+* Items whose anchor hash occurs once have no repeats; they are dropped by a count that combines before the shuffle.  An
+  item in which the hash stands at several places, as in periodic text, may repeat itself and counts twice.
 * Items that are equal as a whole (by a 128-bit digest of their bytes) are one leaf of their anchor's tree, which occurs
   as often as they do: a leaf of more than one occurrence repeats to its full depth.  One of them represents them.
 * The text of the distinct items of an anchor meets in one task.  There windows that no other equals are left out, and
@@ -101,16 +103,20 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def items(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor hash) of every item of texts that lie end to end in ``data``."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    """(document, first window, windows, anchor hash, whether it stands at several places) of every item of texts that lie
+    end to end in ``data``."""
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    reach = length - k + 1
     for at in range(0, max(len(data) - length + 1, 0), PIECE):
         part = data[at : at + PIECE + length - 1]
         h = hashes(part, k)
         packed = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
-        best = sliding_min(packed, length - k + 1)
+        best = sliding_min(packed, reach)
         valid = np.zeros(len(best) + 1, bool)
         cut = np.zeros(len(best) + 1, bool)
-        cut[1:-1] = best[1:] != best[:-1]
+        moved = best[1:] != best[:-1]
+        value = h[(best & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        cut[1:-1] = value[1:] != value[:-1]
         first = max(int(np.searchsorted(offsets, at, side="right")) - 1, 0)
         for a, b in zip(offsets[first:-1].tolist(), offsets[first + 1 :].tolist(), strict=True):
             if a >= at + len(best):
@@ -120,11 +126,18 @@ def items(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int =
                 valid[lo:hi] = True
                 cut[lo] = cut[hi] = True
         places = np.flatnonzero(cut)
+        # Where the anchor moves on to an equal one, the item goes on, but for no more windows than one anchor serves.
+        sizes = np.diff(np.concatenate((places, [len(best)])))
+        if (sizes > reach).any():
+            more = [np.arange(a + reach, a + n, reach) for a, n in zip(places[sizes > reach].tolist(), sizes[sizes > reach].tolist(), strict=True)]
+            cut[np.concatenate(more)] = True
+            places = np.flatnonzero(cut)
         starts = places[valid[places]]
+        moves = np.concatenate(([0], np.cumsum(moved), [moved.sum()]))  # how often the anchor has moved up to a window
         sizes = np.diff(np.concatenate((places, [len(best)])))[valid[places]]
-        anchors = (best[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        again = moves[starts + sizes - 1] > moves[starts]
         docs = np.searchsorted(offsets, starts + at, side="right") - 1
-        for column, values in zip(out, (docs, starts + at - offsets[docs], sizes, h[anchors]), strict=True):
+        for column, values in zip(out, (docs, starts + at - offsets[docs], sizes, value[starts], again), strict=True):
             column.append(values)
     return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
 
@@ -288,15 +301,15 @@ def keyed(kind: T.DataType, *fields: tuple[str, T.DataType]) -> T.StructType:
 
 def item_table(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Items of all texts: their text's keys and ``copies``, ``anchor``, ``whole`` and ``check`` (together a 128-bit
-    digest of the item's bytes), first window in the row, windows."""
+    digest of the item's bytes), first window in the row, windows, and whether the anchor stands ``again`` within."""
     longs = [(name, T.LongType()) for name in ("copies", "anchor", "whole", "check", "lo")]
-    schema = keyed(texts.schema["doc_id"].dataType, *longs, ("n", T.IntegerType()))
+    schema = keyed(texts.schema["doc_id"].dataType, *longs, ("n", T.IntegerType()), ("again", T.BooleanType()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for part in slices(batches, "text", PIECE):
             data, offsets = utf8(part.column("text"))
-            docs, lo, n, anchors = items(data, offsets, length, k)
+            docs, lo, n, anchors, again = items(data, offsets, length, k)
             begin = offsets[docs] + lo
             view = memoryview(data)
             whole = b"".join([digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)])
@@ -304,7 +317,7 @@ def item_table(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             where = pa.array(docs.astype(np.int64))
             keys = [part.column(name).take(where) for name in ("doc_id", "own", "base", "copies")]
             lo = lo + keys[2].to_numpy()
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(anchors.view(np.int64)), pa.array(whole), pa.array(check), pa.array(lo, pa.int64()), pa.array(n, pa.int32())], schema.names)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(anchors.view(np.int64)), pa.array(whole), pa.array(check), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(again.astype(bool))], schema.names)
 
     return texts.mapInArrow(of, schema)
 
@@ -369,10 +382,11 @@ def repeated_items(texts: DataFrame, length: int = LENGTH, k: int = K) -> tuple[
     anchors' distinct items: ``first`` (text's keys, ``lo``, ``n``) and ``copies``.  Both are written."""
     table = write_stage(item_table(texts, length, k), "items")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "check") for f in (F.min, F.max)]
-    often = table.groupBy("anchor").agg(F.sum("copies").alias("times"), *ends).where("times > 1")
+    times = F.sum(F.col("copies") + F.col("again").cast("long"))
+    often = table.groupBy("anchor").agg(times.alias("times"), F.max("again").alias("again"), *ends).where("times > 1")
     # Counts are written before the join, so that both of its sides are plain exchanges and a hot anchor can be split.
-    often = write_stage(often.select("anchor", F.expr("min_whole <> max_whole OR min_check <> max_check").alias("mixed")), "counted")
-    often = write_stage(table.join(often, "anchor"), "repeated")
+    often = write_stage(often.select("anchor", F.expr("again OR min_whole <> max_whole OR min_check <> max_check").alias("mixed")), "counted")
+    often = write_stage(table.drop("again").join(often, "anchor"), "repeated")
     drop_stage(table)
     mixed = often.where("mixed").groupBy("anchor", "whole", "check").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "own", "base", "lo", "n")).alias("first"))
     return often, write_stage(mixed, "distinct")

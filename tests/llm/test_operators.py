@@ -544,6 +544,23 @@ def test_repeats(spark, awkward, empty, group):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_periodic_texts(spark):
+    """Texts in which the anchor stands at many places: few items, and windows that repeat within one are found."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: "".join(rng.choice(list("klmnopqrst "), n))
+    texts = ["z" * n for n in (400, 401, 800)] + [noise(70) + "y" * 500 + noise(90), "ab" * 300, noise(500) + "abc" * 250 + noise(30), noise(37) * 40, noise(333) * 3, noise(800), "=" * 399, noise(600) + "-" * 405]
+    rows = list(enumerate(texts))
+    cover = brute_repeats([t.encode() for t in texts], repeats.LENGTH)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (2048, 2):
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(df, group=group).collect()}
+        assert got == {k: (int(m.sum()), int((np.diff(np.concatenate(([0], m.view(np.int8)))) == 1).sum())) for k, m in enumerate(cover)}
+    data = np.full(3_000_000, 97, np.uint8)
+    assert len(repeats.items(data, np.array([0, len(data)]))[0]) < 10_000
+    long = spark.createDataFrame([(1, "a" * 3_000_000), (2, noise(1000))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(long).collect()} == {1: 3_000_000, 2: 0}
+
+
 def test_maximal_repeats():
     rng = np.random.default_rng(2)
     shared = bytes(rng.integers(97, 100, 60).astype(np.uint8))
