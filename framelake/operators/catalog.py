@@ -62,6 +62,15 @@ def register_files(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return found.select("path").distinct().join(manifest.select("path"), "path", "left_anti")
 
 
+def attach_corrected(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """A manifest (``slice``, ``channel``, ``movie``, ``path``) with corrected files (``slice``, ``channel``, ``path``) put in:
+    a channel's files in the order of their names are its movies, in place of those that it had."""
+    order = Window.partitionBy("slice", "channel").orderBy(base_name(F.col("path")), "path")
+    new = found.select("slice", "channel", "path").distinct().withColumn("movie", (F.row_number().over(order) - 1).cast("long"))
+    kept = manifest.join(new.select("slice", "channel", "movie"), ["slice", "channel", "movie"], "left_anti")
+    return kept.select("slice", "channel", "movie", "path").unionByName(new.select("slice", "channel", "movie", "path"))
+
+
 def processing_order(files: DataFrame, reference: int) -> DataFrame:
     """Files with the reference movie first and the others in order."""
     return files.withColumn("turn", F.when(F.col("movie") == reference, 0).otherwise(F.col("movie") + 1))

@@ -189,14 +189,36 @@ def edge_neuropil_subtracted(movie: DataFrame, pixels: DataFrame, edge: DataFram
     return both.select("roi_id", "frame", "raw", "neuropil", (F.col("raw") - F.coalesce(F.col("neuropil") * F.col("sub_coef"), F.lit(0.0))).alias("f"))
 
 
+def central_sides(height: int, width: int, percent: int = 15) -> tuple[int, int]:
+    """Rows and columns to cut off on each side, an even number of them, so that odd lines stay odd."""
+    return tuple(2 * (-(-percent * n // 100) // 2) for n in (height, width))
+
+
+def central_crop(rows: DataFrame, height: int, width: int, percent: int = 15) -> DataFrame:
+    """Pixels of the central part of the image: an even number of lines and columns is cut off on every side."""
+    top, side = central_sides(height, width, percent)
+    return rows.where((F.col("row_") >= top) & (F.col("row_") < height - top) & (F.col("col_") >= side) & (F.col("col_") < width - side))
+
+
+def side_trim(rows: DataFrame, width: int, share: float = 0.1) -> DataFrame:
+    """Pixels without the columns, counted from 1, below ``share`` or above 1 - ``share`` of the width."""
+    at = F.col("col_") + 1
+    return rows.where((at >= share * width) & (at <= (1 - share) * width))
+
+
+def clip_blank(rows: DataFrame, width: int, first: float = 50 / 512, last: float = 470 / 512) -> DataFrame:
+    """Pixels between the blank edges that old scanners leave: columns, counted from 1, of these shares of the width."""
+    at = F.col("col_") + 1
+    return rows.where((at >= round(first * width)) & (at <= round(last * width)))
+
+
 def line_shift_scores(image: DataFrame, height: int, width: int, most: int = 3) -> DataFrame:
     """Correlation of odd lines with even lines shifted along the line, on the central part of a mean image (of each movie
     where the image has a ``movie``)."""
     key = ["movie"] if "movie" in image.columns else []
-    top, side = (2 * (-(-15 * n // 100) // 2) for n in (height, width))
+    _, side = central_sides(height, width)
     n = width - 2 * side
-    inner = image.where((F.col("row_") >= top) & (F.col("row_") < height - top) & (F.col("col_") >= side) & (F.col("col_") < width - side))
-    inner = inner.select(*key, "row_", (F.col("col_") - side).alias("c"), "mean")
+    inner = central_crop(image, height, width).select(*key, "row_", (F.col("col_") - side).alias("c"), "mean")
     odd = inner.where(F.col("row_") % 2 == 0).select(*key, "row_", "c", F.col("mean").alias("a"))
     even = inner.where(F.col("row_") % 2 == 1).select(*key, (F.col("row_") - 1).alias("row_"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"), F.col("c").alias("c0"), F.col("mean").alias("b"))
     even = even.withColumn("c", F.pmod(F.col("c0") + F.col("shift"), F.lit(n)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framelake.sources.stages import kept
 
-from .images import cubic
+from .images import cubic, flatten_luminance
 
 
 def image(values, height: int) -> np.ndarray:
@@ -33,12 +33,17 @@ def flat(picture: np.ndarray) -> list[float]:
     return column_major(picture).tolist()
 
 
-def subpixel_shift(reference: np.ndarray, frame: np.ndarray, upsample: int = 50) -> tuple[float, float]:
+def subpixel_shift(reference: np.ndarray, frame: np.ndarray, upsample: int = 50, radius: float | None = None) -> tuple[float, float]:
     """(rows, columns) by which to move ``frame`` onto ``reference``: the peak of their cross-correlation, first on whole
-    pixels, then on a grid of 1 / upsample by a matrix Fourier transform within 1.5 pixels (Guizar-Sicairos 2008)."""
+    pixels (within ``radius``, where one is given), then on a grid of 1 / upsample by a matrix Fourier transform within 1.5
+    pixels (Guizar-Sicairos 2008)."""
     a, b = np.fft.fft2(reference - reference.mean()), np.fft.fft2(frame - frame.mean())
     product = a * np.conj(b)
-    peak = np.unravel_index(np.abs(np.fft.ifft2(product)).argmax(), product.shape)
+    strength = np.abs(np.fft.ifft2(product))
+    if radius is not None:
+        far = [np.abs(np.fft.fftfreq(n, 1 / n)) for n in product.shape]
+        strength = np.where(np.hypot(far[0][:, None], far[1][None]) <= radius, strength, -1.0)
+    peak = np.unravel_index(strength.argmax(), product.shape)
     start = [p - n if p > n // 2 else p for p, n in zip(peak, product.shape, strict=True)]
     fine = np.arange(-int(1.5 * upsample), int(1.5 * upsample) + 1) / upsample
     rows, cols = start[0] + fine, start[1] + fine
@@ -78,12 +83,12 @@ def line_basis(height: int, spans: int) -> np.ndarray:
     return np.maximum(1 - np.abs(at[:, None] - np.arange(spans + 1)[None]), 0)
 
 
-def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4, rounds: int = 50, damping: float = 1.0, radius: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Displacements of every line (rows, columns) and the final correlation: Gauss-Newton on knots of a linear spline,
     with a ridge of 1e-4 times the squared median of the reference, stopped when a round raises the correlation by less than
-    5e-4."""
+    5e-4.  ``damping`` scales the steps, ``radius`` bounds the shift that they start from."""
     basis = line_basis(reference.shape[0], spans)
-    start = subpixel_shift(reference, frame, 10)
+    start = subpixel_shift(reference, frame, 10, radius)
     p = [np.full(spans + 1, -s) for s in start]
     ridge = 1e-4 * max(np.median(reference) ** 2, 1e-6) * np.eye(spans + 1)
     best, before = (-np.inf, p), -np.inf
@@ -102,7 +107,7 @@ def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4,
         for axis in (0, 1):
             slope = slopes[axis] * ok
             weight = (slope**2).sum(axis=1)
-            p[axis] = p[axis] + np.linalg.solve((basis * weight[:, None]).T @ basis + ridge, basis.T @ (off * slope).sum(axis=1))
+            p[axis] = p[axis] + damping * np.linalg.solve((basis * weight[:, None]).T @ basis + ridge, basis.T @ (off * slope).sum(axis=1))
     return basis @ best[1][0], basis @ best[1][1], float(best[0])
 
 
@@ -184,11 +189,12 @@ def apply_shifts(frames: DataFrame, shifts: DataFrame, height: int) -> DataFrame
     return per_frame(frames.join(shifts, ["movie", "frame"]), kernel, ["values", "dy", "dx"], "values array<double>", ("movie", "frame"))
 
 
-def line_shifts(frames: DataFrame, references: DataFrame, height: int, spans: int = 4) -> DataFrame:
-    """Within-frame displacement of every line: ``dy`` and ``dx`` arrays, and the correlation reached."""
+def line_shifts(frames: DataFrame, references: DataFrame, height: int, spans: int = 4, damping: float = 1.0, radius: float | None = None) -> DataFrame:
+    """Within-frame displacement of every line: ``dy`` and ``dx`` arrays, and the correlation reached.  The older form has
+    16 spans, undamped steps and a radius of 10."""
 
     def kernel(values, reference):
-        dy, dx, r = line_displacement(image(reference, height), np.sqrt(np.maximum(image(values, height), 0)), spans)
+        dy, dx, r = line_displacement(image(reference, height), np.sqrt(np.maximum(image(values, height), 0)), spans, damping=damping, radius=radius)
         return dy, dx, r
 
     return per_frame(frames.join(references, "movie"), kernel, ["values", "reference"], "dy array<double>, dx array<double>, r double")
@@ -203,11 +209,22 @@ def apply_line_shifts(frames: DataFrame, shifts: DataFrame, height: int) -> Data
     return per_frame(frames.join(shifts.select("movie", "frame", "dy", "dx"), ["movie", "frame"]), kernel, ["values", "dy", "dx"], "values array<double>")
 
 
+def flattened_frames(frames: DataFrame, height: int, sigma: float | None = None) -> DataFrame:
+    """Frames over their local mean, 0 where that is not finite; by default the mean reaches over a twelfth of the height."""
+    reach = round(height / 12) if sigma is None else sigma
+
+    def kernel(values):
+        return (column_major(flatten_luminance(image(values, height), reach)),)
+
+    return per_frame(frames, kernel, ["values"], "values array<double>")
+
+
 #: Motion strategies by name: how frames and references give shifts, and how shifts apply.
 STRATEGIES: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]] = {
     "full_frame": (lambda f, r, h, w: frame_shifts(f, r, h), apply_shifts),
     "segment_consensus": (segment_shifts, apply_shifts),
     "within_frame": (lambda f, r, h, w: line_shifts(f, r, h), apply_line_shifts),
+    "within_frame_fine": (lambda f, r, h, w: line_shifts(f, r, h, 16, 1.0, 10.0), apply_line_shifts),
 }
 
 

@@ -247,6 +247,14 @@ def inside_polygon(row: Column, col: Column, corners: list[tuple[float, float]])
     return crossed % 2 == 1
 
 
+def clamped_seeds(seeds: DataFrame, neighbourhood: int, height: int, width: int) -> DataFrame:
+    """Seeds (``row_``, ``col_``) within the image, moved in as far as their neighbourhood needs; others are left out."""
+    margin = neighbourhood // 2
+    inside = seeds.where((F.col("row_") >= 0) & (F.col("row_") < height) & (F.col("col_") >= 0) & (F.col("col_") < width))
+    moved = {c: F.least(F.greatest(F.col(c), F.lit(margin)), F.lit(n - 1 - margin)) for c, n in (("row_", height), ("col_", width))}
+    return inside.withColumns(moved)
+
+
 def seed_grid(spark: SparkSession, step: int, height: int, width: int) -> DataFrame:
     """(``seed``, ``row_``, ``col_``): centres of a grid of squares of ``step`` pixels, column by column."""
     down, across = round(height / step), round(width / step)

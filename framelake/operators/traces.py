@@ -123,8 +123,12 @@ def running_max(trace: DataFrame, length: int) -> DataFrame:
     return trace.withColumn("running", F.max("f").over(series().rowsBetween(-(length // 2), length - 1 - length // 2)))
 
 
-def block_percentile(trace: DataFrame, length: int, percent: float) -> DataFrame:
-    """Percentile of each block of frames, over the frames there are."""
+def block_percentile(trace: DataFrame, length: int, percent: float, padded: bool = False) -> DataFrame:
+    """Percentile of each block of frames, over the frames there are; ``padded`` fills a trace's last block up with zeros."""
+    if padded:
+        ends = trace.groupBy("roi_id").agg((F.max("frame") + 1).alias("n")).where(F.col("n") % length > 0)
+        rest = ends.select("roi_id", F.explode(F.expr(f"sequence(n, (n div {length} + 1) * {length} - 1)")).alias("frame"), F.lit(0.0).alias("f"))
+        trace = trace.select("roi_id", "frame", "f").unionByName(rest.withColumn("frame", F.col("frame").cast(trace.schema["frame"].dataType)))
     keyed = trace.withColumn("block", F.expr(f"frame div {length}"))
     return group_percentile(keyed, ["roi_id", "block"], "f", percent, "threshold")
 

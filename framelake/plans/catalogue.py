@@ -308,6 +308,29 @@ def running_max(spark, sf):
     return rounded(W.running_max(V.trace(spark, sf), 6).select("roi_id", "frame", "running"), "running")
 
 
+@register("padded_block_percentile", f"WITH {TRACE}, n AS (SELECT roi_id, max(frame) + 1 AS n FROM trace GROUP BY roi_id), p AS (SELECT roi_id, frame, f FROM trace UNION ALL SELECT roi_id, unnest(range(n, (n // 16 + 1) * 16)), 0.0 FROM n WHERE n % 16 > 0) SELECT roi_id, frame // 16 AS block, {r6(hazen('f', 10))} AS threshold FROM p GROUP BY roi_id, frame // 16")
+def padded_block_percentile(spark, sf):
+    """Block percentiles with the last block of a trace filled up with zeros."""
+    return rounded(W.block_percentile(V.trace(spark, sf), 16, 10, padded=True), "threshold")
+
+
+@register("central_region", f"WITH {MOVIE} SELECT frame, {r6('avg(v) FILTER (row_ BETWEEN 2 AND 5 AND col_ BETWEEN 2 AND 5)')} AS centre, {r6('avg(v) FILTER (col_ + 1 >= 0.8 AND col_ + 1 <= 7.2)')} AS trimmed, {r6('avg(v) FILTER (col_ + 1 BETWEEN 1 AND 7)')} AS clipped FROM movie GROUP BY frame")
+def central_region(spark, sf):
+    """Frame means over the central part, without the sides, and between the blank edges."""
+    movie = V.movie(spark, sf)
+    parts = {"centre": M.central_crop(movie, H, WIDTH), "trimmed": M.side_trim(movie, WIDTH), "clipped": M.clip_blank(movie, WIDTH)}
+    means = [rows.groupBy("frame").agg(F.avg("v").alias(name)) for name, rows in parts.items()]
+    return rounded(means[0].join(means[1], "frame").join(means[2], "frame"), *parts)
+
+
+@register("clamped_seeds", f"WITH {MOVIE}, top AS (SELECT movie, arg_max(px, abs(v)) AS px FROM movie GROUP BY movie) SELECT movie, least(greatest(px % 8 - 1, 1), 6) AS row_, least(greatest(px // 8 - 1, 1), 6) AS col_ FROM top WHERE px % 8 >= 1 AND px // 8 >= 1")
+def clamped_seeds(spark, sf):
+    """Seeds one up and left of each movie's strongest pixel, moved in for a neighbourhood of three; those outside are no seeds."""
+    top = V.movie(spark, sf).groupBy("movie").agg(F.max_by("px", F.abs("v")).alias("px"))
+    seeds = top.select("movie", (F.col("px") % H - 1).alias("row_"), (F.expr(f"px div {H}") - 1).cast("int").alias("col_"))
+    return G.clamped_seeds(seeds, 3, H, WIDTH)
+
+
 @register("block_percentile", f"WITH {TRACE} SELECT roi_id, frame // 16 AS block, {r6(hazen('f', 10))} AS threshold FROM trace GROUP BY roi_id, frame // 16")
 def block_percentile(spark, sf):
     return rounded(W.block_percentile(V.trace(spark, sf), 16, 10), "threshold")

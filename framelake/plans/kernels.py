@@ -138,6 +138,8 @@ KERNELS: dict[str, Query] = {
     "block_shift": with_reference(N.block_shifts, H, 2),
     "line_displacement": with_reference(R.line_shifts, H),
     "scan_line_displacement": with_reference(N.scan_line_shifts, H),
+    "line_displacement_fine": with_reference(R.line_shifts, H, 16, 1.0, 10.0),
+    "luminance_flattened": lambda spark, sf: R.flattened_frames(frames(spark, sf), H),
     "recursive_mean": lambda spark, sf: N.recursive_mean(frames(spark, sf), H),
     "affine_field": lambda spark, sf: N.movie_fields(N.mean_images(frames(spark, sf)), 0, H, WIDTH, nonrigid=False),
     "demons_field": lambda spark, sf: N.movie_fields(N.mean_images(frames(spark, sf)), 0, H, WIDTH, smooth=1.0),

@@ -231,3 +231,28 @@ def shared_jobs(spark, sf):
     run(True, "first")
     entries = J.manifest(spark, f"{folder}/manifest")
     return J.job_states(entries, 2).join(entries.groupBy("job_id").agg(F.count("*").alias("entries")), "job_id")
+
+
+@register("file_states", f"WITH {MOVIE}, m AS (SELECT DISTINCT movie FROM movie) SELECT printf('m%05d.tif', movie) AS name, CASE WHEN movie % 3 = 0 THEN 'duplicate' WHEN movie % 3 = 1 THEN 'new' ELSE 'missing' END AS state FROM m UNION ALL SELECT printf('m%05d.tif', movie), 'duplicate' FROM m WHERE movie % 6 = 1 UNION ALL SELECT 'checkpoint.parquet', 'invalid'")
+def file_states(spark, sf):
+    """Files to be registered: some are known, some are named twice, some are not there, and one is no stack."""
+    folder = new_folder(spark, "register")
+    written_stacks(spark, sf, folder)
+    V.table(spark, sf, "region").coalesce(1).write.parquet(f"{folder}/other")
+    other = C.listed(spark, f"{folder}/other").select("path", F.lit("checkpoint.parquet").alias("name")).limit(1)
+    files = C.listed(spark, folder).where(F.col("path").endswith(".tif")).select("path", C.base_name(F.col("path")).alias("name"), movie_of(F.col("path")))
+    gone = F.when(F.col("movie") % 3 == 2, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path")
+    named = files.select(gone, "name", "movie")
+    asked = named.unionByName(named.where("movie % 6 = 1")).select("path").unionByName(other.select("path"))
+    found = stack.file_states(asked, files.where("movie % 3 = 0").select("path"))
+    return found.join(named.select("path", "name").unionByName(other), "path").select("name", "state")
+
+
+@register("attached_files", f"WITH {MANIFEST} SELECT CAST(movie % 2 AS INTEGER) AS slice, CAST(0 AS INTEGER) AS channel, CAST(row_number() OVER (PARTITION BY movie % 2 ORDER BY 9999 - movie) - 1 AS BIGINT) AS movie, printf('new/m%05d.tif', 9999 - movie) AS path FROM manifest UNION ALL SELECT 2, 0, movie, printf('old/m%05d.tif', movie) FROM manifest")
+def attached_files(spark, sf):
+    """Corrected files put into a manifest after the fact, two of its three slices."""
+    files = V.manifest(V.frames(spark, sf)).select("movie")
+    old = files.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("slice"), F.lit(0).alias("channel"), "movie")
+    old = old.where("slice = 2 OR movie < 2").withColumn("path", F.format_string("old/m%05d.tif", "movie"))
+    new = files.select((F.col("movie") % 2).cast("int").alias("slice"), F.lit(0).alias("channel"), F.format_string("new/m%05d.tif", 9999 - F.col("movie")).alias("path"))
+    return C.attach_corrected(old, new)

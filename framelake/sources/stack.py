@@ -362,3 +362,29 @@ def first_headers(files: DataFrame) -> DataFrame:
 
     kind = firsts.schema["acquisition"].dataType.simpleString()
     return firsts.mapInArrow(of, f"acquisition {kind}, path string, head string")
+
+
+def file_states(paths: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``state`` of each of the paths: ``duplicate`` where the manifest has it or an earlier row did, else ``missing``,
+    ``invalid`` (there, but no stack), or ``new``.  Of a file its first directory is read."""
+    once = paths.groupBy("path").agg(F.count("*").alias("n")).join(manifest.select("path", F.lit(True).alias("had")).distinct(), "path", "left")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = []
+            for path in batch.column("path").to_pylist():
+                system, inner, _ = opened(path)
+                state = "missing"
+                if system.get_file_info(inner).type == fs.FileType.File:
+                    with system.open_input_file(inner) as file:
+                        try:
+                            state = "new" if next(tiff.directories(reads_of(file), stop=1), None) else "invalid"
+                        except (ValueError, struct.error, KeyError):
+                            state = "invalid"
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string())], ["path", "n", "had", "found"])
+
+    seen = once.mapInArrow(of, "path string, n long, had boolean, found string")
+    turn = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    each = seen.select("path", "had", "found", turn.alias("turn"))
+    return each.select("path", "turn", F.when(F.col("had") | ((F.col("turn") > 1) & (F.col("found") == "new")), "duplicate").otherwise(F.col("found")).alias("state"))

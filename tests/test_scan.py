@@ -148,3 +148,35 @@ def test_an_artificial_border_does_not_move_the_interior_field():
     want = (-2.0 * np.sin(x / 20), -1.5 * np.cos(y / 24))
     off = np.hypot(*(f - w for f, w in zip(bordered, want)))[inner]
     assert off.mean() < 0.6 and off.mean() <= np.hypot(*(f - w for f, w in zip(N.demons(base, dark, levels=1), want)))[inner].mean() + 0.02
+
+
+def test_peaks_beyond_the_radius_are_not_taken():
+    rng = np.random.default_rng(8)
+    base = template(rng, 64, 64)
+    frame = np.roll(base, (20, 0), axis=(0, 1))
+    assert abs(R.subpixel_shift(base, frame, 10)[0] + 20) < 0.2
+    got = R.subpixel_shift(base, frame, 10, 10.0)
+    assert np.hypot(*got) < 12
+    assert R.subpixel_shift(base, np.roll(base, 3, axis=0), 10, 10.0)[0] == R.subpixel_shift(base, np.roll(base, 3, axis=0), 10)[0]
+
+
+def test_fine_lines_follow_a_fine_warp():
+    rng = np.random.default_rng(9)
+    picture = template(rng, 112, 112)
+    rows, cols = np.mgrid[:96, :96].astype(float)
+    bend = 1.5 * np.sin(np.arange(96) / 96 * 6 * np.pi)
+    frame = R.sample(picture, rows + 8 + bend[:, None], cols + 8 + 0.5 * bend[:, None])
+    reference = picture[8:104, 8:104]
+    coarse, fine = R.line_displacement(reference, frame), R.line_displacement(reference, frame, 16, damping=1.0, radius=10.0)
+    assert fine[2] > coarse[2]
+    # The frame is read at its place less the bend, as lines move together.
+    assert np.abs(fine[0][8:-8] + np.interp(np.arange(96) - fine[0], np.arange(96), bend)[8:-8]).mean() < 0.4
+
+
+def test_luminance_by_definition(spark):
+    rng = np.random.default_rng(10)
+    frame = rng.random((24, 18)) + 0.5
+    frame[:, 9:] *= 20
+    table = spark.createDataFrame([(0, 0, R.flat(frame))], "movie long, frame long, values array<double>")
+    got = R.image(R.flattened_frames(table, 24).first()["values"], 24)
+    assert np.allclose(got, frame / I.blur(frame, 2)) and abs(got[:, :5].mean() / got[:, -5:].mean() - 1) < 0.2
