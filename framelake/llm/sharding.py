@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import beside, text_column, write_stage
+from .common import beside, drop_stage, text_column, write_stage
 
 SHARDS = 8
 #: A group of at least one in this many of all bytes is an item of its own; lighter groups are bundled up to that weight.
@@ -158,7 +158,12 @@ def numbered(rows: DataFrame) -> DataFrame:
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", finest: int = FINEST) -> DataFrame:
     """Per row: ``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot``."""
     rows = write_stage(sized(docs, id_col, text_col), "sized")
-    return numbered(GroupShards(rows, shards, finest).of(rows).drop("digest"))
+    found = GroupShards(rows, shards, finest)
+    placed = numbered(found.of(rows).drop("digest"))
+    # The placed rows are written, so what they came from is not read any more.
+    drop_stage(found.groups)
+    drop_stage(rows)
+    return placed
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", finest: int = FINEST) -> DataFrame:

@@ -86,7 +86,7 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 def light_edges(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``word``, ``n``, ``d``, ``c``, ``h``) of every light edge on a word's way: the characters before it, its own and
-    the heavy child's; and (``prefix``, ``h``) of all nodes with children, the heavy child's character."""
+    the heavy child's; and (``prefix``, ``h``, ``children``) of all nodes with children, written."""
     steps = vocabulary.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("d"))
     steps = steps.withColumns({"prefix": F.expr("substring(word, 1, d)"), "c": F.expr("substring(word, d + 1, 1)")})
     below = steps.groupBy("prefix", "c").agg(F.count("*").alias("below"))
@@ -97,11 +97,12 @@ def light_edges(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     near_root = steps.where(F.col("d") <= TOP_DEPTH).join(top, "prefix")
     deeper = steps.where(F.col("d") > TOP_DEPTH).join(forks.where(F.length("prefix") > TOP_DEPTH), "prefix")
     light = near_root.unionByName(deeper).where("c <> h").select("word", "n", "d", "c", "h")
-    return light, heavy.select("prefix", "h")
+    return light, heavy
 
 
-def neighbours(vocabulary: DataFrame) -> DataFrame:
-    """(``word``, ``n_near``, ``best``) of every word with a near word: how many, and (-n, word) of its first by count."""
+def neighbours(vocabulary: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(``word``, ``n_near``, ``best``) of every word with a near word: how many, and (-n, word) of its first by count; and
+    the stages that it reads."""
     edges, heavy = light_edges(vocabulary)
     light = write_stage(edges, "light")
     before, after = "substring(word, 1, d)", "substring(word, d + 2)"
@@ -124,7 +125,7 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     holes = holes.where(F.size("own") > 1).select("own", F.posexplode("own").alias("k", "one"))
     best = F.when(F.col("k") == 0, F.col("own")[1]).otherwise(F.col("own")[0])
     found = found.unionByName(holes.select(F.col("one.w").alias("word"), (F.size("own") - 1).cast("long").alias("near"), best.alias("best")))
-    return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
+    return found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best")), [light, heavy]
 
 
 def follow(forms: DataFrame) -> DataFrame:
@@ -143,18 +144,23 @@ def follow(forms: DataFrame) -> DataFrame:
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LENGTH, count: int = LEAST_COUNT, times: int = TIMES, typo: int = TYPO) -> DataFrame:
     """Per word: ``word``, ``n``, ``n_near``, ``form``, ``form_n`` and ``root``."""
     vocabulary = write_stage(words(docs, id_col, text_col, least, count, typo), "words")
-    return group_words(vocabulary, times)
+    found = group_words(vocabulary, times)
+    drop_stage(vocabulary)
+    return found
 
 
 def group_words(vocabulary: DataFrame, times: int = TIMES) -> DataFrame:
     """As ``variants``, for a table of distinct words with their counts (``word``, ``n``)."""
-    near = vocabulary.join(neighbours(vocabulary), "word", "left")
+    found, passing = neighbours(vocabulary)
+    near = vocabulary.join(found, "word", "left")
     large = -F.col("best.m") >= times * F.col("n")
     formed = near.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(large, F.col("best.w")).alias("form"), F.when(large, -F.col("best.m")).alias("form_n"),
     )
     formed = write_stage(formed, "formed")
+    for stage in passing:
+        drop_stage(stage)
     roots = follow(formed.where("form IS NOT NULL"))
     return formed.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
 
