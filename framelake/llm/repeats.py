@@ -8,12 +8,14 @@ anchor can serve, so a text of one letter has few items too.
 
 * Items whose anchor hash occurs once have no repeats; they are dropped by a count that combines before the shuffle.  An
   item in which the hash stands at several places, as in periodic text, may repeat itself and counts twice.
-* Items that are equal as a whole (by a 128-bit digest of their bytes) are one leaf of their anchor's tree, which occurs
-  as often as they do: a leaf of more than one occurrence repeats to its full depth.  One of them represents them.
-* The text of the distinct items of an anchor meets in one task.  There windows that no other equals are left out, and
+* Items that are equal as a whole (by a 128-bit digest of their bytes) are put into their anchor's tree once, with their
+  number: the suffixes of such an item are leaves that occur as often.  What the tree says of it is joined back to all.
+* The text of the distinct items of an anchor meets in one task.  There windows that occur once are left out, and
   an enhanced suffix array over the rest (prefix doubling, common-prefix lengths from the doubled ranks, the byte to the
   left) is scanned with a stack.  It gives the common-prefix intervals, and an interval of depth >= LENGTH whose suffixes
   have different bytes to the left is a maximal repeat: all its occurrences are put out, not just neighbours in the array.
+  A leaf of more than one occurrence at the head of its item is one too, to its full depth.  Every range that is removed
+  is read from these intervals; those of one item that touch are merged before they leave the task.
 * An anchor with more than ``GROUP`` distinct items would fill a task.  Its items are dealt out anew by anchors of more
   bytes, chosen within their windows by the same rule, level by level (``LEVELS``).  An anchor of the last level is a
   whole window, so a group there is the occurrences of one window, and any group ends small or as one leaf.
@@ -49,6 +51,9 @@ GROUP = 2048
 LEVELS = (K, 128)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = 255  # no byte of UTF-8
+FAR = 1 << 40  # beyond any place in a stretch
+#: What tells an item's bytes: its anchor and the two halves of its digest.
+ITEM = ["anchor", "whole", "check"]
 
 #: What the contract query gives, in DuckDB's SQL: the hexadecimal text of every window (cut from blocks of 100 places, since
 #: places in a long text are slow to reach), counted by its MD5.
@@ -147,11 +152,13 @@ class SuffixBlock:
 
     Only windows that occur twice at least (by a rolling hash, so some others may stay) take part: the runs of them are
     cut out, which loses nothing, since every later window under a common prefix is such a window too.  A suffix has
-    its place ``starts`` in the array's text, the stretch ``owner`` and the place in it ``inside``.
+    its place ``starts`` in the array's text, the stretch ``owner`` and the place in it ``inside``.  A stretch that stands
+    for several equal ones (``copies``) takes part as a whole; its suffixes are leaves that occur as often.
     """
 
-    def __init__(self, stretches: list[bytes], length: int = LENGTH) -> None:
+    def __init__(self, stretches: list[bytes], length: int = LENGTH, copies: np.ndarray | None = None) -> None:
         self.length = length
+        self.several = np.zeros(len(stretches), bool) if copies is None else copies > 1
         whole = bytes([END]).join(stretches)
         sizes = np.array([len(s) for s in stretches], np.int64)
         first = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
@@ -173,7 +180,7 @@ class SuffixBlock:
         self._sort(data, n, int(bytes_.max(initial=0)))
 
     def _runs(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretch, first window, windows) of the runs of windows whose hash occurs more than once."""
+        """(stretch, first window, windows) of the runs of windows that occur more than once, by their hash or as copies."""
         windows = np.maximum(sizes - self.length + 1, 0)
         owner = np.repeat(np.arange(len(sizes)), windows)
         none = np.zeros(0, np.int64)
@@ -183,9 +190,9 @@ class SuffixBlock:
         own = hashes(data, self.length)[first[owner] + inside]
         ordered = np.sort(own)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(twice):
-            return none, none, none
-        again = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+        again = self.several[owner]
+        if len(twice):
+            again |= twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
         joined = again[1:] & again[:-1] & (owner[1:] == owner[:-1])
         heads = np.flatnonzero(again & ~np.concatenate(([False], joined)))
         tails = np.flatnonzero(again & ~np.concatenate((joined, [False])))
@@ -236,6 +243,9 @@ class SuffixBlock:
 
     def intervals(self) -> Iterator[tuple[int, np.ndarray]]:
         """(depth, suffixes) of every common-prefix interval that is a maximal repeat; suffixes index ``starts``."""
+        # Copies of a stretch go apart at its ends alone, so a leaf of several is maximal at the head and nowhere else.
+        for leaf in np.flatnonzero((self.inside == 0) & self.several[self.owner]).tolist():
+            yield int(self.remaining[leaf]), np.array([leaf])
         deep = np.concatenate(([False], self.common >= self.length, [False]))
         edges = np.flatnonzero(deep[1:] != deep[:-1])
         lows, highs = edges[::2], edges[1::2]  # a run is suffixes low..high of the array
@@ -268,17 +278,23 @@ class SuffixBlock:
                 stack[-1][2] = None
 
 
-def covered(block: SuffixBlock) -> tuple[np.ndarray, np.ndarray]:
-    """For each stretch the ranges that its maximal repeats cover, as (places in ``starts``, lengths).
+def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges, ordered by owner and start, with those of one owner that touch or overlap made one."""
+    if not len(owner):
+        return owner, start, stop
+    ends = np.maximum.accumulate(owner * FAR + stop)
+    heads = np.flatnonzero(np.concatenate(([True], owner[1:] * FAR + start[1:] > ends[:-1])))
+    tails = np.append(heads[1:] - 1, len(ends) - 1)
+    return owner[heads], start[heads], ends[tails] - owner[heads] * FAR
 
-    Intervals close inside out, so a suffix's first interval is its deepest; the wider ones cover no more of it.
-    """
+
+def covered(block: SuffixBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, stop) of the ranges that maximal repeats cover, merged."""
     deepest = np.zeros(len(block.starts), np.int64)
     for depth, suffixes in block.intervals():
-        new = suffixes[deepest[suffixes] < depth]
-        deepest[new] = depth
+        deepest[suffixes] = np.maximum(deepest[suffixes], depth)
     where = np.flatnonzero(deepest)
-    return where, deepest[where]
+    return merged(block.owner[where], block.inside[where], block.inside[where] + deepest[where])
 
 
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -323,43 +339,43 @@ def item_table(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
 
 def stretches_of(texts: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The text under representatives, as texts of their own: ``base`` is their first byte; also ``anchor`` and ``large``."""
-    listed = wanted.groupBy("r_id", "r_own", "r_base").agg(F.collect_list(F.struct("anchor", "lo", "n", "copies", "large")).alias("wanted"))
+    """The text under representatives, as texts of their own: ``base`` is their first byte; also what they are in ``ITEM``
+    and ``large``."""
+    fields = [*ITEM, "lo", "n", "copies", "large"]
+    listed = wanted.groupBy("r_id", "r_own", "r_base").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     joined = texts.join(listed, same_text(texts, listed)).select("doc_id", "own", "base", "text", "wanted")
-    schema = keyed(texts.schema["doc_id"].dataType, ("copies", T.LongType()), ("text", T.BinaryType()), ("anchor", T.LongType()), ("large", T.BooleanType()))
+    longs = [(name, T.LongType()) for name in ITEM]
+    schema = keyed(texts.schema["doc_id"].dataType, ("copies", T.LongType()), ("text", T.BinaryType()), *longs, ("large", T.BooleanType()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
-            bases = part.column("base").to_pylist()
-            for k, (text, wanted_) in enumerate(zip(texts_of(part, "text"), part.column("wanted").to_pylist(), strict=True)):
-                for w in wanted_:
-                    at = w["lo"] - bases[k]
-                    for column, value in zip(out, (k, w["lo"], w["copies"], text[at : at + w["n"] + length - 1], w["anchor"], w["large"]), strict=True):
-                        column.append(value)
-            where = pa.array(out[0], pa.int64())
-            keys = [part.column(name).take(where) for name in ("doc_id", "own")]
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))], schema.names)
+            lists = part.column("wanted")
+            own = pa.array(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)))
+            items_ = dict(zip(fields, lists.flatten().flatten(), strict=True))
+            keys = {name: part.column(name).take(own) for name in ("doc_id", "own", "base")}
+            head = items_["lo"].to_numpy() - keys["base"].to_numpy()
+            texts_ = texts_of(part, "text")
+            cut = [texts_[k][a:b] for k, a, b in zip(own.to_pylist(), head.tolist(), (head + items_["n"].to_numpy() + length - 1).tolist(), strict=True)]
+            columns = {**keys, **items_, "base": items_["lo"], "text": pa.array(cut, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[name] for name in schema.names], schema.names)
 
     return joined.mapInArrow(of, schema)
 
 
 def repeats_in_groups(stretches: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Ranges of single items (``copies`` = 1) covered by maximal repeats within their anchor's group."""
-    kind = stretches.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("r_id", kind), T.StructField("r_own", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-    grouped = stretches.drop("large").repartition("anchor").sortWithinPartitions("anchor")
+    """Ranges of items (``ITEM``, ``start`` and ``stop`` from the item's head) covered by the maximal repeats of their group."""
+    schema = T.StructType([T.StructField(name, T.LongType()) for name in (*ITEM, "start", "stop")])
+    grouped = stretches.select(*ITEM, "copies", "text").repartition("anchor").sortWithinPartitions(*ITEM)
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        block = SuffixBlock(batch.column("text").to_pylist(), length)
-        where, sizes = covered(block)
-        owner = block.owner[where]
-        single = batch.column("copies").to_numpy()[owner] == 1
-        where, sizes, owner = where[single], sizes[single], owner[single]
-        start = batch.column("base").to_numpy()[owner] + block.inside[where]
+        # Repeated rows bring a representative more than once; its copies count them.
+        kinds = np.stack([batch.column(name).to_numpy() for name in ITEM])
+        new = np.concatenate(([True], (kinds[:, 1:] != kinds[:, :-1]).any(axis=0)))
+        batch = batch.filter(pa.array(new))
+        block = SuffixBlock(batch.column("text").to_pylist(), length, batch.column("copies").to_numpy())
+        owner, start, stop = covered(block)
         rows = pa.array(owner)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("own").take(rows), pa.array(start), pa.array(start + sizes)], schema.names)
+        return pa.RecordBatch.from_arrays([*(batch.column(name).take(rows) for name in ITEM), pa.array(start), pa.array(stop)], schema.names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -378,8 +394,8 @@ def repeats_in_groups(stretches: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_items(texts: DataFrame, length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """Items whose anchor occurs again, with ``mixed`` where its items differ; and the representatives of the mixed
-    anchors' distinct items: ``first`` (text's keys, ``lo``, ``n``) and ``copies``.  Both are written."""
+    """Items whose anchor occurs again, with ``mixed`` where its items differ; and the representatives of the distinct
+    ones: ``first`` (text's keys, ``lo``, ``n``), ``copies`` and ``mixed``.  Both are written."""
     table = write_stage(item_table(texts, length, k), "items")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "check") for f in (F.min, F.max)]
     times = F.sum(F.col("copies") + F.col("again").cast("long"))
@@ -388,35 +404,31 @@ def repeated_items(texts: DataFrame, length: int = LENGTH, k: int = K) -> tuple[
     often = write_stage(often.select("anchor", F.expr("again OR min_whole <> max_whole OR min_check <> max_check").alias("mixed")), "counted")
     often = write_stage(table.drop("again").join(often, "anchor"), "repeated")
     drop_stage(table)
-    mixed = often.where("mixed").groupBy("anchor", "whole", "check").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "own", "base", "lo", "n")).alias("first"))
-    return often, write_stage(mixed, "distinct")
+    distinct = often.groupBy(*ITEM).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "own", "base", "lo", "n")).alias("first"), F.max("mixed").alias("mixed"))
+    return often, write_stage(distinct, "distinct")
 
 
-def representatives(mixed: DataFrame, large: Column) -> DataFrame:
+def representatives(distinct: DataFrame, large: Column) -> DataFrame:
     """What ``stretches_of`` takes."""
     keys = [F.col(f"first.{name}").alias(alias) for name, alias in (("doc_id", "r_id"), ("own", "r_own"), ("base", "r_base"), ("lo", "lo"), ("n", "n"))]
-    return mixed.select("anchor", *keys, "copies", large.alias("large"))
+    return distinct.select(*ITEM, *keys, "copies", large.alias("large"))
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP, levels: tuple[int, ...] | None = None) -> DataFrame:
-    """Byte ranges of ``texts`` (as from ``row_keys``) covered by repeats: ``r_id``, ``r_own``, ``start``, ``stop``.
-
-    Texts with more than one copy have their ranges already; they only show what else repeats."""
+    """Byte ranges of ``texts`` (as from ``row_keys``) covered by repeats: ``r_id``, ``r_own``, ``r_base``, ``start``, ``stop``."""
     k, *deeper = levels or (*(k for k in LEVELS if k < length), length)
-    often, mixed = repeated_items(texts, length, k)
-    sizes = mixed.groupBy("anchor").agg(F.count("*").alias("size")).where(F.lit(bool(deeper)) & (F.col("size") > group))
-    wanted = representatives(mixed.join(sizes, "anchor", "left"), F.col("size").isNotNull())
+    often, distinct = repeated_items(texts, length, k)
+    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("size")).where(F.lit(bool(deeper)) & (F.col("size") > group))
+    wanted = representatives(distinct.join(sizes, "anchor", "left"), F.col("size").isNotNull())
     stretches = write_stage(stretches_of(texts, wanted, length), "stretches")
-    keys = [F.col("doc_id").alias("r_id"), F.col("own").alias("r_own"), F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop")]
-    single = often.where("copies = 1")
-    alike = single.where("not mixed").select(*keys)
-    names = ["anchor", "whole", "check"]
-    twice = single.where("mixed").join(mixed.where("copies > 1").select(*names), names, "left_semi").select(*keys)
-    found = alike.unionByName(twice).unionByName(repeats_in_groups(stretches.where("not large"), length))
+    found = repeats_in_groups(stretches.where("not large"), length)
     if deeper and not stretches.where("large").isEmpty():
-        again = stretches.where("large").drop("anchor", "large")
-        found = found.unionByName(repeated_ranges(again, length, group, tuple(deeper)))
-    return found
+        split = write_stage(stretches.where("large").drop("large").dropDuplicates(ITEM), "split")
+        below = repeated_ranges(split.drop(*ITEM), length, group, tuple(deeper))
+        below = below.join(split.select(*ITEM, "doc_id", "own", "base"), same_text(split, below))
+        found = found.unionByName(below.select(*ITEM, (F.col("start") - F.col("base")).alias("start"), (F.col("stop") - F.col("base")).alias("stop")))
+    keys = [F.col(name).alias(f"r_{alias}") for name, alias in (("doc_id", "id"), ("own", "own"), ("base", "base"))]
+    return often.join(found, ITEM).select(*keys, (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop")).alias("stop"))
 
 
 def without(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -434,7 +446,7 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes that stay) and its SHA-256."""
     rows = row_keys(docs, id_col, text_col)
-    ranges = repeated_ranges(rows, length, group).groupBy("r_id", "r_own").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = repeated_ranges(rows, length, group).groupBy("r_id", "r_own").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     same = rows["doc_id"].eqNullSafe(ranges["r_id"]) & (rows["own"] == ranges["r_own"])
     joined = rows.join(ranges, same, "left").select("doc_id", "text", "ranges")
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
@@ -458,8 +470,8 @@ def repeat_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     Inside an item the byte to the left is known, so a window there counts only if it has other bytes to the left in
     other items of its anchor; equal items are looked at once.  The head of an item always counts.
     """
-    often, mixed = repeated_items(rows, length)
-    stretches = stretches_of(rows, representatives(mixed, F.lit(False)), length).select("anchor", "text")
+    often, distinct = repeated_items(rows, length)
+    stretches = stretches_of(rows, representatives(distinct.where("mixed"), F.lit(False)), length).select("anchor", "text")
     names = ["anchor", "whole", "window", "at", "left"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
