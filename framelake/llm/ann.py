@@ -10,11 +10,12 @@ How many cells are probed and which share is reranked is measured, not assumed:
 of the fit, are searched for in the rest by brute force, and both are set so that ``recall`` of their neighbours would be
 found.  Clustered vectors need a few cells; vectors without clusters, whose neighbours lie in any cell, need most.
 
-Cells are dealt into shards of at most ``SHARD`` vectors, near cells together; a larger cell is split over several.  A
-query is sent to the shards of its cells, and queries and shard meet by a cogrouped join on (shard, block of queries), so
-a task holds one shard and at most some ``QUERIES`` queries however many there are of either.  Each gives its k
-nearest for a query; a window with a group limit leaves the k best.  Nothing but the sample, the counts of the
-cells and the fitted index passes the driver.
+Cells are dealt into shards of at most ``SHARD`` vectors and ``SHARD_BYTES``, near cells together; a larger cell is split
+over several.  A query is stored once, with the list of its shards, and sent to them.  Both kinds of rows are shuffled by
+shard and sorted, a shard's vectors ahead of its queries, so that a task holds the vectors of one shard and lets the
+queries stream by, however many they are; a shard is sent a second time only for every ``QUERIES`` of them, so that a
+shard which all ask does not stay one task.  Each gives its k nearest for a query; a window with a group limit leaves the
+k best.  Nothing but the sample, the counts of the cells and the fitted index passes the driver.
 
 Nulls and edge cases: vectors that are null, all zero, of another length than the most common one (smallest among
 equally common), or that hold a null or non-finite number take no part, nor do null ids.  Ties go to the smaller id.
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import write_stage
 
 NEIGHBOURS, SAMPLE, HELD, RECALL = 10, 20_000, 200, 0.97
-#: Most vectors of a shard, and queries of a block; fewer vectors are dealt into ``SHARDS`` shards of at least ``LEAST``.
-SHARD, QUERIES, SHARDS, LEAST = 1 << 16, 4096, 64, 2048
+#: Most vectors of a shard and their bytes; fewer vectors are dealt into ``SHARDS`` shards of at least ``LEAST``.
+SHARD, SHARD_BYTES, SHARDS, LEAST = 1 << 16, 1 << 26, 64, 2048
+#: Queries that pass by one copy of a shard.
+QUERIES = 1 << 18
 DIMS_A_CODE, CODES = 4, 256
 #: Queries whose distances are held at a time, and their nearest cells, whose shards rerank the whole share.
 AT_ONCE, NEAR_CELLS = 128, 8
@@ -192,7 +195,7 @@ class Shards:
 
 
 def sent_to(asked: DataFrame, index: Index, shards: Shards) -> DataFrame:
-    """(``query_id``, ``query``, ``shard``): every query for each shard of its cells."""
+    """``asked`` (``vec_id``, ``vector``) with ``shards``, the list of the shards of each query's cells."""
     sent = asked.sparkSession.sparkContext.broadcast((index, shards))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,48 +203,69 @@ def sent_to(asked: DataFrame, index: Index, shards: Shards) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(a, AT_ONCE)
-                cells = own.probed(own.tables(matrix(part.column("query")))[0])
-                lists = [where.of(row) for row in cells]
-                rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-                yield pa.RecordBatch.from_arrays([part.column(c).take(rows) for c in ("query_id", "query")] + [pa.array([x for some in lists for x in some], pa.int64())], ["query_id", "query", "shard"])
-
-    return asked.mapInArrow(of, "query_id long, query array<double>, shard long")
-
-
-def nearest_in(index: Index, shards: Shards, k: int, vectors: pa.Table, asked: pa.Table) -> pa.Table:
-    """The k nearest of each query among a shard's vectors in its cells."""
-    out: tuple[list[np.ndarray], ...] = ([], [], [])
-    if vectors.num_rows and asked.num_rows:
-        ids, cell = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
-        exact_of = matrix(vectors.column("vector").combine_chunks())
-        codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        term = vectors.column("term").to_numpy()
-        names, queries = asked.column("query_id").to_numpy(), matrix(asked.column("query").combine_chunks())
-        present = np.unique(cell)
-        for a in range(0, len(names), AT_ONCE):
-            some = queries[a : a + AT_ONCE]
-            coarse, products = index.tables(some)
-            cells = index.probed(coarse)
-            wanted = np.zeros(coarse.shape, bool)
-            np.put_along_axis(wanted, cells, True, axis=1)
-            near = index.distances(coarse, products, cell, codes, term)
-            near[~wanted[:, cell]] = np.inf
-            for q, row in enumerate(near):
-                row[ids == names[a + q]] = np.inf
-                # A shard reranks its share of its own candidates; one with the query's nearest cells that of all.
-                here = np.isfinite(row).sum()
-                close = np.isin(cells[q, :NEAR_CELLS], present).any()
-                limit = max(4 * k, math.ceil(index.share * (shards.sizes[cells[q]].sum() if close else 2 * here)))
-                chosen = best(row, ids, limit)
-                distance = np.sqrt(((exact_of[chosen] - some[q]) ** 2).sum(axis=1))
-                top = np.lexsort((ids[chosen], distance))[:k]
-                for column, values in zip(out, (np.full(len(top), names[a + q]), ids[chosen][top], distance[top]), strict=True):
-                    column.append(values)
-    kinds = (np.int64, np.int64, np.float64)
-    return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, kind)) for c, kind in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score"])
-
-
-def search(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = RECALL, cells: int | None = None, shard: int = SHARD) -> DataFrame:
+                cells = own.probed(own.tables(matrix(part.column("vector")))[0])
+                lists = pa.array([where.of(row) for row in cells], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["vec_id", "vector", "shards"])
+
+    return asked.mapInArrow(of, "vec_id long, vector array<double>, shards array<long>")
+
+
+class Held:
+    """The vectors of one shard, as the queries that pass by need them."""
+
+    def __init__(self, vectors: pa.Table) -> None:
+        self.ids, self.cell = vectors.column("vec_id").to_numpy(), vectors.column("cell").to_numpy()
+        self.exact = matrix(vectors.column("vector").combine_chunks())
+        self.codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.term = vectors.column("term").to_numpy()
+        self.present = np.unique(self.cell)
+
+    def nearest(self, index: Index, shards: Shards, k: int, names: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
+        """The k nearest of each query among the vectors in its cells."""
+        out: tuple[list[np.ndarray], ...] = ([], [], [])
+        coarse, products = index.tables(queries)
+        cells = index.probed(coarse)
+        wanted = np.zeros(coarse.shape, bool)
+        np.put_along_axis(wanted, cells, True, axis=1)
+        near = index.distances(coarse, products, self.cell, self.codes, self.term)
+        near[~wanted[:, self.cell]] = np.inf
+        for q, row in enumerate(near):
+            row[self.ids == names[q]] = np.inf
+            # A shard reranks its share of its own candidates; one with the query's nearest cells that of all.
+            here = np.isfinite(row).sum()
+            close = np.isin(cells[q, :NEAR_CELLS], self.present).any()
+            limit = max(4 * k, math.ceil(index.share * (shards.sizes[cells[q]].sum() if close else 2 * here)))
+            chosen = best(row, self.ids, limit)
+            distance = np.sqrt(((self.exact[chosen] - queries[q]) ** 2).sum(axis=1))
+            top = np.lexsort((self.ids[chosen], distance))[:k]
+            for column, values in zip(out, (np.full(len(top), names[q]), self.ids[chosen][top], distance[top]), strict=True):
+                column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+
+
+def stream_past(index: Index, shards: Shards, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k nearest within each shard, from rows sorted by ``shard`` and ``block`` with vectors ahead of queries."""
+    at, vectors, held = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(name).to_numpy() for name in ("shard", "block", "asks")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            part, (shard, block, asks) = batch.slice(a, b - a), keys[:, a].tolist()
+            if at != (shard, block):
+                at, vectors, held = (shard, block), [], None
+            if not asks:
+                vectors.append(part)
+                continue
+            if held is None and vectors:
+                held, vectors = Held(pa.Table.from_batches(vectors)), []
+            for c in range(0, part.num_rows if held else 0, AT_ONCE):
+                some = part.slice(c, AT_ONCE)
+                yield held.nearest(index, shards, k, some.column("vec_id").to_numpy(), matrix(some.column("vector")))
+
+
+def search(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = RECALL, cells: int | None = None, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """The k nearest of every row that the SQL condition ``is_query`` (on ``vec_id``) names: ``query_id``, ``rank``, ``vec_id``, ``score``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -258,20 +282,20 @@ def search(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col
     counted = stored.groupBy("cell").count().collect()
     sizes = np.zeros(len(index.centres), np.int64)
     sizes[[r["cell"] for r in counted]] = [r["count"] for r in counted]
-    shards = Shards(index, sizes, min(shard, max(LEAST, n // SHARDS)))
+    most = min(shard, SHARD_BYTES // (8 * sample.shape[1]) + 1, max(LEAST, n // SHARDS))
+    shards = Shards(index, sizes, most)
     places = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(shards.first, shards.parts, strict=True))], "cell int, first long, parts long")
     placed = stored.join(F.broadcast(places), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("first", "parts")
-    asked = stored.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
-    asked = write_stage(sent_to(asked, index, shards), "asked")
-    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-    left = placed.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    right = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
+    asked = write_stage(sent_to(stored.where(is_query).select("vec_id", "vector").distinct(), index, shards), "asked")
+    asked = asked.withColumn("shard", F.explode("shards")).drop("shards")
+    # One row for each shard that is asked: fewer than vectors by thousands.
+    blocks = write_stage(asked.groupBy("shard").agg(F.ceil(F.count("*") / queries).alias("blocks")), "blocks")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = placed.join(blocks, "shard").withColumn("block", block).withColumn("asks", F.lit(0)).drop("blocks")
+    right = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).withColumn("asks", F.lit(1)).drop("blocks")
     sent = spark.sparkContext.broadcast((index, shards))
-
-    def of(vectors_: pa.Table, asked_: pa.Table) -> pa.Table:
-        return nearest_in(*sent.value, k, vectors_, asked_)
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(of, "query_id long, vec_id long, score double")
+    rows = left.unionByName(right, allowMissingColumns=True).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
+    found = rows.mapInArrow(lambda batches: stream_past(*sent.value, k, batches), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -561,6 +561,17 @@ def test_periodic_texts(spark):
     assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(long).collect()} == {1: 3_000_000, 2: 0}
 
 
+def test_copies_are_leaves():
+    """A stretch that stands for several is covered whole by its leaf; one that stands for itself by what it shares."""
+    rng = np.random.default_rng(8)
+    shared = bytes(rng.integers(97, 123, 60).astype(np.uint8))
+    texts = [b"1" + shared + b"2", shared[10:] + b"4", b"567" + shared]
+    block = repeats.SuffixBlock(texts, 40, np.array([3, 1, 1]))
+    assert (62, [0]) in [(n, block.owner[s].tolist()) for n, s in block.intervals()]
+    assert list(zip(*(c.tolist() for c in repeats.covered(block)))) == [(0, 0, 62), (1, 0, 50), (2, 3, 63)]
+    assert list(repeats.SuffixBlock(texts[:1], 40).intervals()) == []
+
+
 def test_maximal_repeats():
     rng = np.random.default_rng(2)
     shared = bytes(rng.integers(97, 100, 60).astype(np.uint8))
@@ -648,7 +659,7 @@ def test_ann_recall(spark, clustered):
         vectors = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
         vectors[:1300] = vectors[0]  # one vector fills a cell
         df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-        found = ann.search(df, "vec_id % 100 = 0", shard=300).collect()
+        found = ann.search(df, "vec_id % 100 = 0", shard=300, queries=7).collect()
     else:
         df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
         vectors = np.array([r.embedding for r in df.orderBy("vec_id").collect()], np.float64)
