@@ -141,7 +141,7 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
-def discover(spark: SparkSession, folder: str, mouse: str = "[A-Z]{2}[0-9]{3}", date: str = "[0-9]{6}", movie: str = r"[A-Z]{2}[0-9]{3}_.*[0-9]{3}_[0-9]{3}\.tif") -> DataFrame:
+def discover(spark: SparkSession, folder: str, mouse: str = "[A-Z]{2}[0-9]{3}", date: str = "[0-9]{6}", movie: str = r"[A-Z]{2}[0-9]{3}_.*[0-9]{3}_[0-9]{3,}\.tif") -> DataFrame:
     """Movies of a folder tree ``.../<mouse>/<date>/<movie>``: ``session`` and ``acquisition`` (``<mouse>_<date>``), ``path``,
     ``name``, ``length`` in bytes, ``modified``, and ``movie``, the place among the acquisition's names.
 

@@ -278,6 +278,16 @@ def test_headers(spark, tmp_path):
     assert (got.stack, got.channels, got.slices, got.flyback, got.period) == (True, 2, 4, 1, 0.05)
 
 
+def test_discovery_keeps_file_numbers_of_more_than_three_digits(spark, tmp_path):
+    folder = tmp_path / "AM100" / "240101"
+    folder.mkdir(parents=True)
+    names = ["AM100_run001_002.tif", "AM100_run001_1000.tif", "AM100_run001_12345.tif"]
+    for name in [*names, "AM100_run001_12.tif", "AM100_Slice01_File1000.tif"]:
+        (folder / name).write_bytes(b"x")
+    found = C.discover(spark, str(tmp_path)).orderBy("name").select("name", "movie").collect()
+    assert [tuple(r) for r in found] == [(n, k) for k, n in enumerate(names)]
+
+
 def test_catalog_is_saved_and_loaded(spark, tmp_path):
     files = spark.createDataFrame([("s", f"/x/run_{k:03d}.tif") for k in (2, 1, 10)], "session string, path string")
     rows = C.initialise_sessions(files)
