@@ -1,4 +1,7 @@
-"""Small image helpers for the kernels that Spark runs on one image of a movie or one frame at a time."""
+"""Small image helpers for the kernels that Spark runs on one image of a movie, one frame, or a stack of images of one size.
+
+Where a function says so, ``picture`` may be a stack (images x rows x columns), of which each image is treated by itself.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,14 @@ import numpy as np
 
 
 def blur(picture: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian smoothing, the edge repeated outside."""
+    """Separable Gaussian smoothing, the edge repeated outside; of stacks too."""
     if sigma <= 0:
         return picture
     reach = int(3 * sigma + 0.5)
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weights /= weights.sum()
-    for axis in (0, 1):
-        padded = np.pad(picture, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+    for axis in (picture.ndim - 2, picture.ndim - 1):
+        padded = np.pad(picture, [(reach, reach) if a == axis else (0, 0) for a in range(picture.ndim)], mode="edge")
         windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=axis)
         picture = windows @ weights
     return picture
@@ -26,19 +29,19 @@ def high_pass(picture: np.ndarray, sigma: float) -> np.ndarray:
 
 def interior_strips(picture: np.ndarray, margin: int) -> np.ndarray:
     """The image with its outer ``margin`` lines on every side replaced by those just within, in their order; corners come
-    from within on both axes."""
-    if margin < 1 or min(picture.shape) < 4 * margin:
+    from within on both axes.  Of stacks too."""
+    if margin < 1 or min(picture.shape[-2:]) < 4 * margin:
         return picture
     out = picture.copy()
-    for view in (out, out.T):
-        view[:margin] = view[margin : 2 * margin]
-        view[-margin:] = view[-2 * margin : -margin]
+    for view in (out, out.swapaxes(-1, -2)):
+        view[..., :margin, :] = view[..., margin : 2 * margin, :]
+        view[..., -margin:, :] = view[..., -2 * margin : -margin, :]
     return out
 
 
 def halved(picture: np.ndarray) -> np.ndarray:
-    """Every other pixel of the slightly blurred image."""
-    return blur(picture, 0.8)[::2, ::2]
+    """Every other pixel of the slightly blurred image; of stacks too."""
+    return blur(picture, 0.8)[..., ::2, ::2]
 
 
 def flatten_luminance(picture: np.ndarray, sigma: float) -> np.ndarray:
@@ -48,23 +51,36 @@ def flatten_luminance(picture: np.ndarray, sigma: float) -> np.ndarray:
     return np.where(np.isfinite(out), out, 0.0)
 
 
+def in_stack(picture: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The index that leads places of each image of a stack; none for one image."""
+    return () if picture.ndim == 2 else (np.arange(len(picture))[:, None, None],)
+
+
 def cubic(picture: np.ndarray, rows: np.ndarray, cols: np.ndarray, fill: float = np.nan) -> np.ndarray:
-    """Bicubic values (Keys 1981, a = -1/2) of an image at real places; ``fill`` outside."""
-    h, w = picture.shape
+    """Bicubic values (Keys 1981, a = -1/2) of an image at real places; ``fill`` outside.  Of stacks too."""
+    return cubics([picture], rows, cols, fill)[0]
+
+
+def cubics(pictures: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, fill: float = np.nan) -> list[np.ndarray]:
+    """``cubic`` of several images of one size at the same places."""
+    h, w = pictures[0].shape[-2:]
     inside = (rows >= 0) & (rows <= h - 1) & (cols >= 0) & (cols <= w - 1)
     r, c = np.clip(rows, 0, h - 1), np.clip(cols, 0, w - 1)
     r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
+    steps = range(-1, 3)
 
     def weight(t: np.ndarray) -> np.ndarray:
         t = np.abs(t)
         return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
 
-    out = np.zeros(r.shape)
-    for i in range(-1, 3):
-        line = np.clip(r0 + i, 0, h - 1)
-        part = sum(weight(c - c0 - j) * picture[line, np.clip(c0 + j, 0, w - 1)] for j in range(-1, 3))
-        out += weight(r - r0 - i) * part
-    return np.where(inside, out, fill)
+    down, across = [weight(r - r0 - i) for i in steps], [weight(c - c0 - j) for j in steps]
+    lines, places = [np.clip(r0 + i, 0, h - 1) for i in steps], [np.clip(c0 + j, 0, w - 1) for j in steps]
+    found = []
+    for picture in pictures:
+        lead = in_stack(picture)
+        out = sum(d * sum(a * picture[(*lead, line, place)] for a, place in zip(across, places, strict=True)) for d, line in zip(down, lines, strict=True))
+        found.append(np.where(inside, out, fill))
+    return found
 
 
 def equalise(picture: np.ndarray, tiles: int = 8, clip: float = 0.01, bins: int = 256) -> np.ndarray:

@@ -24,54 +24,68 @@ from . import registration as R
 
 
 def affine_displacement(matrix: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements (rows, columns) of a 2 x 3 matrix that acts on places counted from the image centre."""
+    """Displacements (rows, columns) of a 2 x 3 matrix, or of each of several, that acts on places counted from the image
+    centre."""
     y, x = np.mgrid[:height, :width].astype(float)
     y, x = y - (height - 1) / 2, x - (width - 1) / 2
-    return matrix[0, 0] * y + matrix[0, 1] * x + matrix[0, 2] - y, matrix[1, 0] * y + matrix[1, 1] * x + matrix[1, 2] - x
+    m = matrix[..., None, None]
+    return m[..., 0, 0, :, :] * y + m[..., 0, 1, :, :] * x + m[..., 0, 2, :, :] - y, m[..., 1, 0, :, :] * y + m[..., 1, 1, :, :] * x + m[..., 1, 2, :, :] - x
 
 
-def mutual_information(a: np.ndarray, b: np.ndarray, bins: int = 32) -> float:
-    """Mutual information of two images where both have values; every pixel is spread linearly over two bins."""
+def mutual_information(a: np.ndarray, b: np.ndarray, bins: int = 32) -> np.ndarray:
+    """Mutual information of each image of a stack with the other stack's where both have values; every pixel is spread
+    linearly over two bins."""
     ok = np.isfinite(a) & np.isfinite(b)
-    if ok.sum() < 16:
-        return -np.inf
-    places = []
-    for v in (a[ok], b[ok]):
-        wide = np.ptp(v)
-        places.append((v - v.min()) / wide * (bins - 1) if wide > 0 else np.zeros(len(v)))
-    low = [np.minimum(p.astype(int), bins - 2) for p in places]
-    part = [p - q for p, q in zip(places, low, strict=True)]
-    joint = np.zeros(bins * bins)
+    enough = ok.sum(axis=(1, 2)) >= 16
+    low, part = [], []
+    for v in (a, b):
+        least, most = (f(np.where(ok, v, end), axis=(1, 2))[:, None, None] for f, end in ((np.min, np.inf), (np.max, -np.inf)))
+        wide = np.where(enough[:, None, None], most - least, 0.0)
+        place = np.zeros(v.shape)
+        np.divide(v - least, wide, out=place, where=ok & (wide > 0))
+        place = place * (bins - 1)
+        low.append(np.minimum(place.astype(int), bins - 2))
+        part.append(place - low[-1])
+    own = np.arange(len(a))[:, None, None] * bins
+    joint = np.zeros(len(a) * bins * bins)
     for i in (0, 1):
         for j in (0, 1):
-            weight = (part[0] if i else 1 - part[0]) * (part[1] if j else 1 - part[1])
-            joint += np.bincount((low[0] + i) * bins + low[1] + j, weight, bins * bins)
-    p = joint.reshape(bins, bins) / joint.sum()
-    apart = p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)
+            weight = (part[0] if i else 1 - part[0]) * (part[1] if j else 1 - part[1]) * ok
+            joint += np.bincount(((own + low[0] + i) * bins + low[1] + j).ravel(), weight.ravel(), len(joint))
+    joint = joint.reshape(len(a), -1)
+    p = (joint / np.where(enough, joint.sum(axis=1), 1.0)[:, None]).reshape(len(a), bins, bins)
+    apart = p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)
     some = p > 0
-    return float((p[some] * np.log(p[some] / apart[some])).sum())
+    terms = p[some] * np.log(p[some] / apart[some])
+    return np.where(enough, [t.sum() for t in np.split(terms, np.cumsum(some.sum(axis=(1, 2)))[:-1])], -np.inf)
 
 
 def affine_register(reference: np.ndarray, picture: np.ndarray, rounds: int = 300, seed: int = 0) -> np.ndarray:
     """The 2 x 3 matrix that reads ``picture`` into the place of ``reference``: starts at the whole-frame shift and climbs
     mutual information with a seeded (1+1) evolution strategy whose step grows on success and shrinks on failure."""
-    h, w = reference.shape
-    dy, dx = R.subpixel_shift(reference, picture, 10)
-    best = np.array([[1.0, 0.0, -dy], [0.0, 1.0, -dx]])
+    return affine_registers(reference[None], picture[None], rounds, seed)[0]
+
+
+def affine_registers(references: np.ndarray, pictures: np.ndarray, rounds: int = 300, seed: int = 0) -> np.ndarray:
+    """``affine_register`` of every image of a stack; all draw the same steps, and one that has stopped leaves the rounds."""
+    n, h, w = references.shape
+    best = np.tile(np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]), (n, 1, 1))
+    best[:, 0, 2], best[:, 1, 2] = (-s for s in R.subpixel_shifts(references, pictures, 10))
     scale = np.array([[2 / h, 2 / w, 1.0], [2 / h, 2 / w, 1.0]])
 
-    def score(matrix: np.ndarray) -> float:
-        return mutual_information(reference, R.warp(picture, *affine_displacement(matrix, h, w)))
+    def score(own: np.ndarray, matrices: np.ndarray) -> np.ndarray:
+        return mutual_information(references[own], R.warp(pictures[own], *affine_displacement(matrices, h, w)))
 
-    rng, step, top = np.random.default_rng(seed), 1.0, score(best)
+    rng, step, left = np.random.default_rng(seed), np.ones(n), np.arange(n)
+    top = score(left, best)
     for _ in range(rounds):
-        tried = best + step * scale * rng.normal(size=(2, 3))
-        found = score(tried)
-        if found > top:
-            best, top, step = tried, found, step * 1.5
-        else:
-            step *= 1.5**-0.25
-        if step < 1e-4:
+        tried = best[left] + step[left][:, None, None] * scale * rng.normal(size=(2, 3))
+        found = score(left, tried)
+        up = found > top[left]
+        best[left[up]], top[left[up]] = tried[up], found[up]
+        step[left] *= np.where(up, 1.5, 1.5**-0.25)
+        left = left[step[left] >= 1e-4]
+        if not len(left):
             break
     return best
 
@@ -81,21 +95,21 @@ def demons(reference: np.ndarray, picture: np.ndarray, smooth: float = 5.0, roun
 
     Earlier corrections leave a dark border on ``picture``; its outer ``margin`` is replaced by the strips just within, so that
     the border does not pull at the field.  The field starts on images halved ``levels`` - 1 times (as long as a side keeps 32
-    pixels), and is smoothed in every round.
+    pixels), and is smoothed in every round.  Of stacks too.
     """
-    inner = I.interior_strips(np.nan_to_num(picture), round(margin * min(picture.shape)))  # before the local means, which spread it
-    pyramid = [tuple(I.high_pass(np.maximum(np.nan_to_num(p), 0), max(p.shape) / 8) for p in (reference, inner))]
-    while len(pyramid) < levels and min(pyramid[-1][0].shape) >= 64:
+    inner = I.interior_strips(np.nan_to_num(picture), round(margin * min(picture.shape[-2:])))  # before the local means, which spread it
+    pyramid = [tuple(I.high_pass(np.maximum(np.nan_to_num(p), 0), max(p.shape[-2:]) / 8) for p in (reference, inner))]
+    while len(pyramid) < levels and min(pyramid[-1][0].shape[-2:]) >= 64:
         pyramid.append(tuple(map(I.halved, pyramid[-1])))
     field: list[np.ndarray] | None = None
     for a, b in reversed(pyramid):
-        rows, cols = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+        rows, cols = np.mgrid[: a.shape[-2], : a.shape[-1]].astype(float)
         if field is None:
             field = [np.zeros(a.shape), np.zeros(a.shape)]
         else:
-            coarse = field[0].shape
+            coarse = field[0].shape[-2:]
             field = [2 * R.sample(f, np.minimum(rows / 2, coarse[0] - 1), np.minimum(cols / 2, coarse[1] - 1)) for f in field]
-        slopes = np.gradient(a)
+        slopes = np.gradient(a, axis=(-2, -1))
         steep = slopes[0] ** 2 + slopes[1] ** 2
         for _ in range(rounds):
             moved = R.warp(b, *field)
@@ -119,30 +133,28 @@ def movie_fields(pictures: DataFrame, reference_movie: int, height: int, width:
     both = pictures.withColumn("onto", F.lit(reference_movie)).join(F.broadcast(target), "onto")  # one image
 
     def kernel(movie, picture, target):
-        if movie == reference_movie:
-            return [0.0] * (height * width), [0.0] * (height * width)
-        a, b = (np.nan_to_num(R.image(p, height)) for p in (target, picture))
-        field = affine_displacement(affine_register(a, b, rounds), height, width)
+        a, b = (np.nan_to_num(R.images(p, height)) for p in (target, picture))
+        field = affine_displacement(affine_registers(a, b, rounds), height, width)
         if nonrigid:
             field = R.compose(field, demons(a, np.nan_to_num(R.warp(b, *field)), smooth))
-        return R.flat(field[0]), R.flat(field[1])
+        return tuple(np.where((movie == reference_movie)[:, None], 0.0, R.column_major(f)) for f in field)
 
-    return R.per_frame(both, kernel, ["movie", "image", "target"], "fy array<double>, fx array<double>", ("movie",))
+    return R.per_stack(both, kernel, ["movie", "image", "target"], "fy array<double>, fx array<double>", ("movie",))
 
 
 def apply_fields(frames: DataFrame, lines: DataFrame, fields: DataFrame, height: int, bicubic: bool = True) -> DataFrame:
     """Frames read once through their line displacements (``dy``, ``dx``) composed with their movie's field."""
 
     def kernel(values, dy, dx, fy, fx):
-        picture, second = R.image(values, height), (R.image(fy, height), R.image(fx, height))
-        rows, cols = np.mgrid[: picture.shape[0], : picture.shape[1]].astype(float)
-        first = [np.broadcast_to(np.array(d)[:, None], picture.shape) for d in (dy, dx)]
+        picture, second = R.images(values, height), (R.images(fy, height), R.images(fx, height))
+        rows, cols = np.mgrid[: picture.shape[1], : picture.shape[2]].astype(float)
+        first = [np.broadcast_to(d[:, :, None], picture.shape) for d in (dy, dx)]
         moved = R.compose(first, second)
         read = I.cubic if bicubic else R.sample
         return (R.column_major(read(picture, rows + moved[0], cols + moved[1])),)
 
     rows = frames.join(lines.select("movie", "frame", "dy", "dx"), ["movie", "frame"]).join(fields, "movie")
-    return R.per_frame(rows, kernel, ["values", "dy", "dx", "fy", "fx"], "values array<double>")
+    return R.per_stack(rows, kernel, ["values", "dy", "dx", "fy", "fx"], "values array<double>")
 
 
 def scan_line_shifts(frames: DataFrame, references: DataFrame, height: int, accept: float = 0.75, halt: float = 0.995, rounds: int = 120) -> DataFrame:

@@ -1,7 +1,8 @@
 """Motion registration: Spark deals frames out, NumPy works on one frame at a time.
 
 Frames are rows with a column-major ``values`` array.  A reference image is a row of its movie and joins the frames by
-movie, so memory in a task is one Arrow batch of frames.  Shifts are data: rows with numbers, applied by another join.
+movie, so memory in a task is one Arrow batch of frames.  Small frames go through a kernel as stacks of one size, which
+costs NumPy as many calls as one frame does.  Shifts are data: rows with numbers, applied by another join.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 
 from framelake.sources.stages import kept
 
-from .images import cubic, flatten_luminance
+from .images import cubics, flatten_luminance, in_stack
+
+#: Pixels of a stack that a kernel takes at a time.
+STACK_PIXELS = 1 << 15
 
 
 def image(values, height: int) -> np.ndarray:
@@ -23,9 +27,14 @@ def image(values, height: int) -> np.ndarray:
     return np.asarray(values, np.float64).reshape(-1, height).T
 
 
+def images(values: np.ndarray, height: int) -> np.ndarray:
+    """Column-major rows as a stack of images."""
+    return np.asarray(values, np.float64).reshape(len(values), -1, height).swapaxes(1, 2)
+
+
 def column_major(picture: np.ndarray) -> np.ndarray:
-    """An image as a column-major array."""
-    return picture.T.reshape(-1)
+    """An image as a column-major array, a stack as one row for each."""
+    return picture.T.reshape(-1) if picture.ndim == 2 else picture.swapaxes(1, 2).reshape(len(picture), -1)
 
 
 def flat(picture: np.ndarray) -> list[float]:
@@ -37,44 +46,53 @@ def subpixel_shift(reference: np.ndarray, frame: np.ndarray, upsample: int = 50,
     """(rows, columns) by which to move ``frame`` onto ``reference``: the peak of their cross-correlation, first on whole
     pixels (within ``radius``, where one is given), then on a grid of 1 / upsample by a matrix Fourier transform within 1.5
     pixels (Guizar-Sicairos 2008)."""
-    a, b = np.fft.fft2(reference - reference.mean()), np.fft.fft2(frame - frame.mean())
+    dy, dx = subpixel_shifts(reference[None], frame[None], upsample, radius)
+    return float(dy[0]), float(dx[0])
+
+
+def subpixel_shifts(references: np.ndarray, frames: np.ndarray, upsample: int = 50, radius: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``subpixel_shift`` of every frame of a stack onto its own reference."""
+    a, b = (np.fft.fft2(p - p.mean(axis=(1, 2), keepdims=True)) for p in (references, frames))
     product = a * np.conj(b)
+    n, h, w = product.shape
     strength = np.abs(np.fft.ifft2(product))
     if radius is not None:
-        far = [np.abs(np.fft.fftfreq(n, 1 / n)) for n in product.shape]
+        far = [np.abs(np.fft.fftfreq(m, 1 / m)) for m in (h, w)]
         strength = np.where(np.hypot(far[0][:, None], far[1][None]) <= radius, strength, -1.0)
-    peak = np.unravel_index(strength.argmax(), product.shape)
-    start = [p - n if p > n // 2 else p for p, n in zip(peak, product.shape, strict=True)]
+    peaks = np.unravel_index(strength.reshape(n, -1).argmax(axis=1), (h, w))
     fine = np.arange(-int(1.5 * upsample), int(1.5 * upsample) + 1) / upsample
-    rows, cols = start[0] + fine, start[1] + fine
-    waves = [np.exp(2j * np.pi * np.outer(x, np.fft.fftfreq(n))) for x, n in ((rows, product.shape[0]), (cols, product.shape[1]))]
-    i, j = np.unravel_index(np.abs(waves[0] @ product @ waves[1].T).argmax(), (len(rows), len(cols)))
-    return float(rows[i]), float(cols[j])
+    rows, cols = (np.where(p > m // 2, p - m, p)[:, None] + fine for p, m in zip(peaks, (h, w), strict=True))
+    waves = [np.exp(2j * np.pi * (x[:, :, None] * np.fft.fftfreq(m))) for x, m in ((rows, h), (cols, w))]
+    i, j = np.unravel_index(np.abs(waves[0] @ product @ waves[1].swapaxes(1, 2)).reshape(n, -1).argmax(axis=1), (len(fine), len(fine)))
+    return rows[np.arange(n), i], cols[np.arange(n), j]
 
 
 def sample(picture: np.ndarray, rows: np.ndarray, cols: np.ndarray, fill: float = np.nan) -> np.ndarray:
-    """Bilinear values of an image at real places; ``fill`` outside."""
-    h, w = picture.shape
+    """Bilinear values of an image at real places; ``fill`` outside.  Of stacks too."""
+    h, w = picture.shape[-2:]
+    lead = in_stack(picture)
     inside = (rows >= 0) & (rows <= h - 1) & (cols >= 0) & (cols <= w - 1)
     r, c = np.clip(rows, 0, h - 1), np.clip(cols, 0, w - 1)
     r0, c0 = np.minimum(r.astype(int), max(h - 2, 0)), np.minimum(c.astype(int), max(w - 2, 0))
     r1, c1 = np.minimum(r0 + 1, h - 1), np.minimum(c0 + 1, w - 1)
     y, x = r - r0, c - c0
-    out = (1 - y) * ((1 - x) * picture[r0, c0] + x * picture[r0, c1]) + y * ((1 - x) * picture[r1, c0] + x * picture[r1, c1])
+    corner = [[picture[(*lead, line, place)] for place in (c0, c1)] for line in (r0, r1)]
+    out = (1 - y) * ((1 - x) * corner[0][0] + x * corner[0][1]) + y * ((1 - x) * corner[1][0] + x * corner[1][1])
     return np.where(inside, out, fill)
 
 
 def warp(picture: np.ndarray, d_rows: np.ndarray | float, d_cols: np.ndarray | float, fill: float = np.nan) -> np.ndarray:
-    """The image read at each place plus a displacement."""
-    rows, cols = np.mgrid[: picture.shape[0], : picture.shape[1]].astype(float)
+    """The image read at each place plus a displacement; of stacks too."""
+    rows, cols = np.mgrid[: picture.shape[-2], : picture.shape[-1]].astype(float)
     return sample(picture, rows + d_rows, cols + d_cols, fill)
 
 
 def compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """One displacement field that warps like ``first`` and then ``second``: first read (by cubics) at second's places, plus
-    second."""
-    rows, cols = np.mgrid[: first[0].shape[0], : first[0].shape[1]].astype(float)
-    return tuple(np.nan_to_num(cubic(f, rows + second[0], cols + second[1])) + s for f, s in zip(first, second, strict=True))
+    second.  Of stacks too."""
+    rows, cols = np.mgrid[: first[0].shape[-2], : first[0].shape[-1]].astype(float)
+    read = cubics(list(first), rows + second[0], cols + second[1])
+    return tuple(np.nan_to_num(f) + s for f, s in zip(read, second, strict=True))
 
 
 def line_basis(height: int, spans: int) -> np.ndarray:
@@ -87,28 +105,49 @@ def line_displacement(reference: np.ndarray, frame: np.ndarray, spans: int = 4,
     """Displacements of every line (rows, columns) and the final correlation: Gauss-Newton on knots of a linear spline,
     with a ridge of 1e-4 times the squared median of the reference, stopped when a round raises the correlation by less than
     5e-4.  ``damping`` scales the steps, ``radius`` bounds the shift that they start from."""
-    basis = line_basis(reference.shape[0], spans)
-    start = subpixel_shift(reference, frame, 10, radius)
-    p = [np.full(spans + 1, -s) for s in start]
-    ridge = 1e-4 * max(np.median(reference) ** 2, 1e-6) * np.eye(spans + 1)
-    best, before = (-np.inf, p), -np.inf
+    dy, dx, r = line_displacements(reference[None], frame[None], spans, rounds, damping, radius)
+    return dy[0], dx[0], float(r[0])
+
+
+def line_displacements(references: np.ndarray, frames: np.ndarray, spans: int = 4, rounds: int = 50, damping: float = 1.0, radius: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_displacement`` of every frame of a stack on its own reference; a frame that has stopped leaves the rounds."""
+    n, h, _ = frames.shape
+    basis = line_basis(h, spans)
+    p = np.stack([np.repeat(-s[:, None], spans + 1, axis=1) for s in subpixel_shifts(references, frames, 10, radius)])
+    ridge = 1e-4 * np.maximum(np.median(references.reshape(n, -1), axis=1) ** 2, 1e-6)[:, None, None] * np.eye(spans + 1)
+    top, best, before, left = np.full(n, -np.inf), p.copy(), np.full(n, -np.inf), np.arange(n)
     for k in range(rounds):
-        moved = warp(frame, (basis @ p[0])[:, None], (basis @ p[1])[:, None])
+        reference = references[left]
+        moved = warp(frames[left], *((q[left] @ basis.T)[:, :, None] for q in p))
         ok = ~np.isnan(moved)
         filled = np.where(ok, moved, reference)
-        r = np.corrcoef(filled.ravel(), reference.ravel())[0, 1] if filled.std() and reference.std() else 0.0
-        if r > best[0]:
-            best = (r, [q.copy() for q in p])
-        if k >= 5 and r < before + 5e-4:
+        r = correlations(filled, reference)
+        better = left[r > top[left]]
+        top[left] = np.where(r > top[left], r, top[left])
+        best[:, better] = p[:, better]
+        on = ~(r < before[left] + 5e-4) if k >= 5 else np.ones(len(left), bool)
+        before[left] = r
+        left, reference, filled, ok = left[on], reference[on], filled[on], ok[on]
+        if not len(left):
             break
-        before = r
-        slopes = np.gradient(filled)
+        slopes = np.gradient(filled, axis=(1, 2))
         off = reference - filled
         for axis in (0, 1):
             slope = slopes[axis] * ok
-            weight = (slope**2).sum(axis=1)
-            p[axis] = p[axis] + damping * np.linalg.solve((basis * weight[:, None]).T @ basis + ridge, basis.T @ (off * slope).sum(axis=1))
-    return basis @ best[1][0], basis @ best[1][1], float(best[0])
+            weight = (slope**2).sum(axis=2)
+            normal = (basis * weight[:, :, None]).swapaxes(1, 2) @ basis + ridge[left]
+            p[axis, left] += damping * np.linalg.solve(normal, basis.T @ (off * slope).sum(axis=2)[:, :, None])[:, :, 0]
+    return best[0] @ basis.T, best[1] @ basis.T, top
+
+
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of each image of a stack with the other stack's; 0 where one of them is constant."""
+    off = np.stack([p.reshape(len(p), -1) for p in (a, b)], axis=1)
+    off = off - off.mean(axis=2, keepdims=True)
+    both = off @ off.swapaxes(1, 2)
+    size = np.sqrt(both[:, 0, 0]) * np.sqrt(both[:, 1, 1])
+    flat = (a.std(axis=(1, 2)) == 0) | (b.std(axis=(1, 2)) == 0)
+    return np.where(flat, 0.0, np.clip(both[:, 0, 1] / np.where(flat, 1.0, size), -1, 1))
 
 
 def views(column: pa.Array) -> list:
@@ -144,6 +183,38 @@ def per_frame(frames: DataFrame, kernel: Callable[..., tuple], inputs: list[str]
     return frames.select(*keep, *[c for c in inputs if c not in keep]).mapInArrow(of, whole)
 
 
+def per_stack(frames: DataFrame, kernel: Callable[..., tuple], inputs: list[str], schema: str, keep: tuple[str, ...] = ("movie", "frame")) -> DataFrame:
+    """As ``per_frame``, for a kernel over many rows at a time: its arguments and results have a row for each.  Rows come in
+    stacks of at most ``STACK_PIXELS`` numbers in any argument, in which lists of an argument are equally long."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [views(batch.column(c)) for c in inputs]
+            sizes = [tuple(len(v) if isinstance(v, np.ndarray) else 1 for v in row) for row in zip(*columns, strict=True)]
+            start, stacks = 0, []
+            for k in range(1, len(sizes) + 1):
+                if k == len(sizes) or sizes[k] != sizes[start] or (k - start + 1) * max(sizes[start]) > STACK_PIXELS:
+                    stacks.append(slice(start, k))
+                    start = k
+            for own in stacks:
+                found = kernel(*(np.stack(c[own]) for c in columns))
+                rows = batch.slice(own.start, own.stop - own.start)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *map(stack_column, found)], names)
+
+    kinds = dict(frames.dtypes)
+    whole = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " + schema
+    names = [part.split()[0] for part in whole.split(", ")]
+    return frames.select(*keep, *[c for c in inputs if c not in keep]).mapInArrow(of, whole)
+
+
+def stack_column(values: np.ndarray) -> pa.Array:
+    """Results of a stack as a column; rows of several numbers become lists, in which what is not a number is missing."""
+    if values.ndim == 1:
+        return pa.array(values)
+    ends = np.arange(len(values) + 1) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.reshape(-1), from_pandas=True))
+
+
 def reference_images(frames: DataFrame) -> DataFrame:
     """Mean image of the square root of each movie, as one array for each movie."""
     px = frames.select("movie", F.posexplode("values").alias("px", "v"))
@@ -194,19 +265,18 @@ def line_shifts(frames: DataFrame, references: DataFrame, height: int, spans: in
     16 spans, undamped steps and a radius of 10."""
 
     def kernel(values, reference):
-        dy, dx, r = line_displacement(image(reference, height), np.sqrt(np.maximum(image(values, height), 0)), spans, damping=damping, radius=radius)
-        return dy, dx, r
+        return line_displacements(images(reference, height), np.sqrt(np.maximum(images(values, height), 0)), spans, damping=damping, radius=radius)
 
-    return per_frame(frames.join(references, "movie"), kernel, ["values", "reference"], "dy array<double>, dx array<double>, r double")
+    return per_stack(frames.join(references, "movie"), kernel, ["values", "reference"], "dy array<double>, dx array<double>, r double")
 
 
 def apply_line_shifts(frames: DataFrame, shifts: DataFrame, height: int) -> DataFrame:
     """Frames resampled along their lines' displacements."""
 
     def kernel(values, dy, dx):
-        return (column_major(warp(image(values, height), dy[:, None], dx[:, None])),)
+        return (column_major(warp(images(values, height), dy[:, :, None], dx[:, :, None])),)
 
-    return per_frame(frames.join(shifts.select("movie", "frame", "dy", "dx"), ["movie", "frame"]), kernel, ["values", "dy", "dx"], "values array<double>")
+    return per_stack(frames.join(shifts.select("movie", "frame", "dy", "dx"), ["movie", "frame"]), kernel, ["values", "dy", "dx"], "values array<double>")
 
 
 def flattened_frames(frames: DataFrame, height: int, sigma: float | None = None) -> DataFrame:

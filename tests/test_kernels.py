@@ -278,6 +278,34 @@ def test_headers(spark, tmp_path):
     assert (got.stack, got.channels, got.slices, got.flyback, got.period) == (True, 2, 4, 1, 0.05)
 
 
+def test_stacks_give_what_single_frames_give():
+    rng = np.random.default_rng(3)
+    ref = np.stack([I.blur(rng.random((12, 10)) * 50, 1.0) for _ in range(5)])
+    frames = np.stack([R.warp(r, dy, dx, float(r.mean())) for r, (dy, dx) in zip(ref, [(0, 0), (0.7, -0.4), (1.2, 0.3), (-0.6, 0.9), (0.2, 0.1)], strict=True)])
+    frames[4, :, 3] = np.nan
+    frames[0] = 1.0
+    found = R.line_displacements(ref, frames)
+    for k in range(5):
+        assert all(np.allclose(a[k], b, atol=1e-9) for a, b in zip(found, R.line_displacement(ref[k], frames[k]), strict=True))
+    whole = np.nan_to_num(frames)
+    matrices = N.affine_registers(ref, whole, 40)
+    assert all(np.allclose(m, N.affine_register(a, b, 40)) for m, a, b in zip(matrices, ref, whole, strict=True))
+    fields, field = N.affine_displacement(matrices, 12, 10), N.affine_displacement(matrices[2], 12, 10)
+    assert np.allclose(fields[0][2], field[0]) and np.allclose(fields[1][2], field[1])
+    moved = R.compose(fields, fields)
+    assert np.allclose(moved[0][2], R.compose(field, field)[0])
+    shifted = N.demons(ref, whole, 1.0)
+    assert all(np.allclose(shifted[0][k], N.demons(ref[k], whole[k], 1.0)[0]) for k in range(5))
+
+
+def test_small_frames_meet_a_kernel_in_bounded_stacks(spark):
+    rows = [(0, k, [float(k)] * (64 if k < 1500 else 48)) for k in range(1600)]
+    frames = spark.createDataFrame(rows, "movie int, frame int, values array<double>").coalesce(1)
+    found = R.per_stack(frames, lambda v: (v[:, 0], np.full(len(v), v.size), v[:, :2]), ["values"], "first double, size long, two array<double>").orderBy("frame").collect()
+    assert [r.first for r in found] == [float(k) for k in range(1600)] and found[7].two == [7.0, 7.0]
+    assert found[0].size == R.STACK_PIXELS and max(r.size for r in found) <= R.STACK_PIXELS and found[-1].size == 100 * 48
+
+
 def test_discovery_keeps_file_numbers_of_more_than_three_digits(spark, tmp_path):
     folder = tmp_path / "AM100" / "240101"
     folder.mkdir(parents=True)
