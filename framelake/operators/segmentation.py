@@ -227,14 +227,17 @@ def second_largest(clusters: DataFrame) -> DataFrame:
 def movie_correlations(movie: DataFrame, pixels: DataFrame) -> DataFrame:
     """Correlations, straight from the movie, of all pairs i <= j in each seed's own list of pixels (``seed``, ``px``).
 
-    A seed's list is a neighbourhood of fixed size; its pairs come from the list, then meet the pixels by key.
+    A seed's list is a neighbourhood of fixed size.  A frame's values of one list come together once, as an array, and are paired
+    there, so that what is shuffled grows with the pixels of the lists and not with their pairs.
     """
-    left, right = pixels.select("seed", F.col("px").alias("px_i")), pixels.select("seed", F.col("px").alias("px_j"))
-    pairs = left.join(right, "seed").where("px_i <= px_j")
-    wanted = pairs.select("px_i", "px_j").distinct()
-    a, b = movie.select("frame", F.col("px").alias("px_i"), F.col("v").alias("a")), movie.select("frame", F.col("px").alias("px_j"), F.col("v").alias("b"))
-    found = wanted.join(a, "px_i").join(b, ["px_j", "frame"]).groupBy("px_i", "px_j").agg(pearson(F.col("a"), F.col("b")).alias("r"))
-    return pairs.join(found, ["px_i", "px_j"]).select("seed", "px_i", "px_j", "r")
+    own = pixels.distinct()
+    values = movie.select("frame", "px", "v").join(own, "px").groupBy("seed", "frame").agg(F.collect_list(F.struct("px", "v")).alias("near"))
+    paired = values.select("seed", "near", F.explode("near").alias("a")).select("seed", "a", F.explode("near").alias("b")).where("a.px <= b.px")
+    found = paired.groupBy("seed", F.col("a.px").alias("px_i"), F.col("b.px").alias("px_j")).agg(pearson(F.col("a.v"), F.col("b.v")).alias("r"))
+    times = pixels.groupBy("seed", "px").agg(F.count("*").alias("n"))  # a pixel that a list names twice has its pairs twice
+    left, right = times.withColumnsRenamed({"px": "px_i", "n": "n_i"}), times.withColumnsRenamed({"px": "px_j", "n": "n_j"})
+    whole = found.join(left, ["seed", "px_i"]).join(right, ["seed", "px_j"])
+    return whole.select("seed", "px_i", "px_j", "r", F.explode(F.sequence(F.lit(1), F.col("n_i") * F.col("n_j")))).drop("col")
 
 
 def inside_polygon(row: Column, col: Column, corners: list[tuple[float, float]]) -> Column:

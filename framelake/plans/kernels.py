@@ -89,13 +89,13 @@ def activity_equalised(spark: SparkSession, sf: str) -> DataFrame:
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
     """Cluster 0 of every seed in two."""
-    near = pairs(spark, sf)
+    near = kept(pairs(spark, sf))  # a row for each pair, read twice
     return G.split_cluster(G.cluster_seeds(near, H, 2), near, 0)
 
 
 def background(spark: SparkSession, sf: str) -> DataFrame:
     """The cluster that stands in as background beside each seed's own, by its pixels' correlation with the seed."""
-    near = pairs(spark, sf)
+    near = kept(pairs(spark, sf))  # a row for each pair, read twice
     own = near.where("px_i = seed OR px_j = seed").select("seed", F.when(F.col("px_i") == F.col("seed"), F.col("px_j")).otherwise(F.col("px_i")).alias("px"), F.array("r").alias("vector"))
     return G.background_cluster(G.cluster_seeds(near, H, 2).join(own, ["seed", "px"]))
 

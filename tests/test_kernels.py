@@ -306,6 +306,22 @@ def test_small_frames_meet_a_kernel_in_bounded_stacks(spark):
     assert found[0].size == R.STACK_PIXELS and max(r.size for r in found) <= R.STACK_PIXELS and found[-1].size == 100 * 48
 
 
+def test_pair_correlations_do_not_shuffle_pairs(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(40, 6))
+    movie = spark.createDataFrame([(t, p, float(data[t, p])) for t in range(40) for p in range(6) if (t, p) != (7, 2)], "frame int, px int, v double")
+    lists = [(0, 0), (0, 1), (0, 2), (1, 2), (1, 3), (1, 3), (2, 5)]
+    found = G.movie_correlations(movie, spark.createDataFrame(lists, "seed int, px int"))
+    got = sorted(tuple(r) for r in found.collect())
+    want = sorted((s, i, j) for s, i in lists for z, j in lists if s == z and i <= j)
+    assert [r[:3] for r in got] == want
+    for _, i, j, r in got:
+        there = np.array([t for t in range(40) if 2 not in (i, j) or t != 7])
+        assert abs(r - np.corrcoef(data[there, i], data[there, j])[0, 1]) < 1e-9
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert not any("Join" in line and "frame" in line for line in plan.splitlines())  # pairs were joined frame by frame
+
+
 def test_discovery_keeps_file_numbers_of_more_than_three_digits(spark, tmp_path):
     folder = tmp_path / "AM100" / "240101"
     folder.mkdir(parents=True)
