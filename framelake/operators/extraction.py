@@ -165,15 +165,44 @@ def response(g: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def fading(g: np.ndarray, n: int, least: float = 1e-18) -> int:
+    """Frames, at most n, after which the response of coefficients ``g`` is below ``least`` (repeated roots too)."""
+    widest = float(np.abs(np.roots(np.concatenate(([1.0], -g)))).max(initial=0.0))
+    if widest >= 1:
+        return n
+    return min(n, 2 * int(np.ceil(np.log(least) / np.log(max(widest, 1e-3)))) + 2 * len(g) + 1)
+
+
+def convolution(wave: np.ndarray, taps: int, block: int):
+    """The causal convolution with a response of ``taps`` frames, of which ``wave`` is the spectrum over a block: overlapping
+    blocks, so that the cost of a frame does not grow with the trace."""
+    step = block - taps + 1
+
+    def of(s: np.ndarray) -> np.ndarray:
+        many = -(-len(s) // step)
+        padded = np.zeros((many - 1) * step + block)
+        padded[taps - 1 : taps - 1 + len(s)] = s
+        windows = np.lib.stride_tricks.sliding_window_view(padded, block)[::step]
+        return np.fft.irfft(np.fft.rfft(windows, axis=1) * wave, block, axis=1)[:, taps - 1 :].reshape(-1)[: len(s)]
+
+    return of
+
+
 def deconvolve_any(y: np.ndarray, g: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """As ``deconvolve``, for coefficients of any order."""
     if len(g) == 1:
         return deconvolve(y, float(g[0]), penalty)
     n = len(y)
     size = 1 << (2 * n - 1).bit_length()
-    wave = np.fft.rfft(response(g, n), size)
-    grow = lambda s: np.fft.irfft(np.fft.rfft(s, size) * wave, size)[:n]
-    back = lambda r: np.fft.irfft(np.fft.rfft(r, size) * np.conj(wave), size)[:n]
+    taps = fading(g, n)
+    one, block = response(g, taps), max(4096, 1 << (4 * taps - 1).bit_length())
+    wave = np.fft.rfft(one, size)
+    if block < size:
+        grow = convolution(np.fft.rfft(one, block), taps, block)
+        back = lambda r: grow(r[::-1])[::-1]
+    else:
+        grow = lambda s: np.fft.irfft(np.fft.rfft(s, size) * wave, size)[:n]
+        back = lambda r: np.fft.irfft(np.fft.rfft(r, size) * np.conj(wave), size)[:n]
     rate = 1.0 / max((np.abs(wave) ** 2).max(), 1e-12)
     events = ahead = np.zeros(n)
     turn = 1.0

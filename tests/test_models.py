@@ -95,3 +95,16 @@ def test_results_are_saved_and_read(spark, tmp_path):
     X.write_results(tables, str(tmp_path))
     back = X.read_results(spark, str(tmp_path), "models")
     assert back.keys() == {"models"} and back["models"].count() == 2
+
+
+def test_a_long_trace_is_convolved_in_blocks():
+    rng = np.random.default_rng(2)
+    g, y = np.array([1.2, -0.4]), rng.random(20_000)
+    taps = X.fading(g, len(y))
+    assert taps < 1000 and abs(X.response(g, 3000)[taps:]).max() < 1e-17
+    grow = X.convolution(np.fft.rfft(X.response(g, taps), 4096), taps, 4096)
+    want = np.convolve(y, X.response(g, taps))[: len(y)]
+    assert np.allclose(grow(y), want, atol=1e-12)
+    assert X.fading(np.array([1.0, 0.0]), 50) == 50
+    calcium, events = X.deconvolve_any(grow((y > 0.99) * 1.0), g, 0.0)
+    assert np.allclose(events, y > 0.99, atol=1e-3) and np.allclose(calcium, grow(events), atol=1e-9)
