@@ -128,9 +128,14 @@ def mean_images(frames: DataFrame) -> DataFrame:
 
 
 def movie_fields(pictures: DataFrame, reference_movie: int, height: int, width: int, nonrigid: bool = True, smooth: float = 5.0, rounds: int = 300) -> DataFrame:
-    """Per movie the displacements (``fy``, ``fx``, column-major) onto the reference movie's image: affine, then demons."""
+    """Per movie the displacements (``fy``, ``fx``, column-major) onto the reference movie's image: affine, then demons.
+
+    A movie is a small row that costs much, and Spark merges partitions by their bytes, so the number of parts is given here;
+    by the bare ``movie`` it would keep the parts of the mean images.
+    """
     target = pictures.where(F.col("movie") == reference_movie).select(F.col("movie").alias("onto"), F.col("image").alias("target"))
-    both = pictures.withColumn("onto", F.lit(reference_movie)).join(F.broadcast(target), "onto")  # one image
+    dealt = pictures.repartition(pictures.sparkSession.sparkContext.defaultParallelism, F.xxhash64("movie"))
+    both = dealt.withColumn("onto", F.lit(reference_movie)).join(F.broadcast(target), "onto")  # one image
 
     def kernel(movie, picture, target):
         a, b = (np.nan_to_num(R.images(p, height)) for p in (target, picture))

@@ -306,6 +306,16 @@ def test_small_frames_meet_a_kernel_in_bounded_stacks(spark):
     assert found[0].size == R.STACK_PIXELS and max(r.size for r in found) <= R.STACK_PIXELS and found[-1].size == 100 * 48
 
 
+@pytest.mark.parametrize("nonrigid", [False, True])
+def test_small_movies_are_registered_by_all_cores(spark, nonrigid):
+    rng = np.random.default_rng(3)
+    frames = spark.createDataFrame([(m, m, rng.random(64).tolist()) for m in range(96)], "movie long, frame long, values array<double>")
+    fields = N.movie_fields(N.mean_images(frames), 0, 8, 8, nonrigid, 1.0, rounds=2)
+    parts = fields.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert sum(r["count"] for r in parts) == 96
+    assert len(parts) == 8 and max(r["count"] for r in parts) <= 32  # all were in one task
+
+
 def test_pair_correlations_do_not_shuffle_pairs(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(40, 6))
