@@ -123,7 +123,7 @@ def demons(reference: np.ndarray, picture: np.ndarray, smooth: float = 5.0, roun
 def mean_images(frames: DataFrame) -> DataFrame:
     """Mean image of each movie as one array; places without any value are null."""
     px = frames.select("movie", F.posexplode("values").alias("px", "v"))
-    means = px.groupBy("movie", "px").agg(F.avg("v").alias("m"))
+    means = px.groupBy("movie", "px").agg(R.steady(F.avg("v")).alias("m"))
     return means.groupBy("movie").agg(F.transform(F.sort_array(F.collect_list(F.struct("px", "m"))), lambda s: s["m"]).alias("image"))
 
 

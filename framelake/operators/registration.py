@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.sources.stages import kept
@@ -215,10 +215,17 @@ def stack_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.reshape(-1), from_pandas=True))
 
 
+def steady(mean: Column) -> Column:
+    """A mean to 30 binary digits.  After a shuffle its terms are added in any order, and a search that starts from the last
+    digits of a sum can end elsewhere in the next run."""
+    far = mean * F.lit(float(2**23 + 1))
+    return far - (far - mean)
+
+
 def reference_images(frames: DataFrame) -> DataFrame:
     """Mean image of the square root of each movie, as one array for each movie."""
     px = frames.select("movie", F.posexplode("values").alias("px", "v"))
-    means = px.groupBy("movie", "px").agg(F.avg(F.sqrt(F.greatest("v", F.lit(0.0)))).alias("m"))
+    means = px.groupBy("movie", "px").agg(steady(F.avg(F.sqrt(F.greatest("v", F.lit(0.0))))).alias("m"))
     return means.groupBy("movie").agg(F.transform(F.sort_array(F.collect_list(F.struct("px", "m"))), lambda s: s["m"]).alias("reference"))
 
 
@@ -307,7 +314,7 @@ def register_strategy(name: str, identify: Callable[..., DataFrame], apply: Call
 def movie_shifts(frames: DataFrame, reference_movie: int, height: int, upsample: int = 50) -> DataFrame:
     """Shift (``movie``, ``my``, ``mx``) of each movie's mean image onto the reference movie's; 0 for that movie itself."""
     px = frames.select("movie", F.posexplode("values").alias("px", "v"))
-    means = px.groupBy("movie", "px").agg(F.avg("v").alias("m"))
+    means = px.groupBy("movie", "px").agg(steady(F.avg("v")).alias("m"))
     means = means.groupBy("movie").agg(F.transform(F.sort_array(F.collect_list(F.struct("px", "m"))), lambda s: s["m"]).alias("image"))
     target = means.where(F.col("movie") == reference_movie).select(F.col("image").alias("target"))
 

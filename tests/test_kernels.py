@@ -316,6 +316,21 @@ def test_small_movies_are_registered_by_all_cores(spark, nonrigid):
     assert len(parts) == 8 and max(r["count"] for r in parts) <= 32  # all were in one task
 
 
+def test_mean_images_do_not_depend_on_the_order_of_frames(spark):
+    rng = np.random.default_rng(4)
+    values = 1 + rng.random((50, 64))
+    frames = spark.createDataFrame([(0, k, values[k].tolist()) for k in range(50)], "movie long, frame long, values array<double>")
+
+    def pictures(images, name):
+        return [images(frames.coalesce(1).sortWithinPartitions(order)).first()[name] for order in (F.asc("frame"), F.desc("frame"))]
+
+    (a, b), (c, d) = pictures(N.mean_images, "image"), pictures(R.reference_images, "reference")
+    assert a == b and c == d  # their last digits differed, which can send a registration elsewhere
+    assert np.allclose(a, values.mean(axis=0), rtol=1e-9, atol=0) and np.allclose(c, np.sqrt(values).mean(axis=0), rtol=1e-9, atol=0)
+    small = N.mean_images(frames.withColumn("values", F.transform("values", lambda v: v * 1e-12))).first()["image"]
+    assert np.allclose(small, values.mean(axis=0) * 1e-12, rtol=1e-9, atol=0)
+
+
 def test_pair_correlations_do_not_shuffle_pairs(spark):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(40, 6))
